@@ -19,17 +19,20 @@ def entropies(codes: DataFrame, cols: Sequence[str]) -> DataFrame:
     return counts.groupBy("feature").agg(entropy_of_counts(F.col("n")).alias("entropy"))
 
 
-def conditional_entropy(codes: DataFrame, target: str, given: Sequence[str]) -> DataFrame:
-    """H(target given the columns) as one row ``(conditional_entropy)``.
+def conditional_entropies(codes: DataFrame, target: str, givens: Sequence[Sequence[str]]) -> DataFrame:
+    """H(target given columns) for several column lists in one shuffle: ``(given, conditional_entropy)``.
 
-    Two levels of grouped sums: per cell, then per condition. No window, so a condition that
-    holds most of the cells costs no more than a partial sum.
+    Grouped sums per cell, then per condition. No window, so a condition that holds most of the
+    cells costs no more than a partial sum.
     """
-    cells = contingency(codes, [*given, target])
-    strata = cells.groupBy(*given).agg(n_log_n(F.col("n")).alias("cell_nlogn"), F.sum("n").alias("n"))
+    variants = [
+        F.struct(F.lit(",".join(g)).alias("given"), F.array(*[F.col(c).cast("string") for c in g]).alias("o")) for g in givens
+    ]
+    cells = contingency(codes.select(F.explode(F.array(*variants)).alias("v"), F.col(target).alias("y")), ["v.given", "v.o", "y"])
+    strata = cells.groupBy("given", "o").agg(n_log_n(F.col("n")).alias("cell_nlogn"), F.sum("n").alias("n"))
     n = F.col("n")
     value = (n_log_n(n) - F.sum("cell_nlogn")) / F.sum(n)
-    return strata.agg(F.greatest(F.lit(0.0), value).alias("conditional_entropy"))
+    return strata.groupBy("given").agg(F.greatest(F.lit(0.0), value).alias("conditional_entropy"))
 
 
 def effect_cells(cells: DataFrame, target: str, steps: Sequence[tuple[str, Sequence[str]]]) -> DataFrame:
@@ -87,31 +90,43 @@ def pair_entropies(
     bin_count: int = DEFAULT_BINS,
 ) -> DataFrame:
     """Entropy of single columns (second name ``None``) and joint entropy of pairs: one shuffle of
-    the rows counts every entry. Result ``(col_a, col_b, h)``.
+    the rows counts every entry. Result ``(entry, h)``.
 
     ``standard`` is the entropy of the categories. ``counts`` takes the list of counts, empty
-    cells included, as if the counts were the observations.
+    cells included, as if the counts were the observations. Every column of a pair needs its own
+    single entry in that mode.
     """
     if mode not in ("standard", "counts"):
         raise ValueError(f"unknown mode {mode}")
     names = [c for pair in entries for c in pair if c is not None]
     keys, binned = category_columns(df, names, bin_count, bin_booleans=mode == "counts")
-    exploded = F.explode(F.array(*[_entry(i, keys[a], None if b is None else keys[b]) for i, (a, b) in enumerate(entries)]))
-    cells = contingency(df.select(exploded.alias("e")), ["e.entry", "e.a", "e.b"])
+    # The codes are computed once per row in a projection below the explode.
+    place = {c: f"k{i}" for i, c in enumerate(keys)}
+    coded = df.select(*[key.alias(place[c]) for c, key in keys.items()])
+    listed = [
+        _entry(i, F.col(place[a]), None if b is None else F.col(place[b])) for i, (a, b) in enumerate(entries)
+    ]
+    cells = contingency(coded.select(F.explode(F.array(*listed)).alias("e")), ["e.entry", "e.a", "e.b"])
     if mode == "standard":
         h = cells.groupBy("entry").agg(entropy_of_counts(F.col("n")).alias("h"))
     else:
         h = _count_entropies(cells, entries, binned)
-    a_name = F.element_at(F.array(*[F.lit(a) for a, _ in entries]), F.col("entry") + 1)
-    b_name = F.element_at(F.array(*[F.lit(b).cast("string") for _, b in entries]), F.col("entry") + 1)
-    return h.select(a_name.alias("col_a"), b_name.alias("col_b"), "h")
+    return h
+
+
+def _spread(stats: DataFrame, value: Column, listed: Sequence[Column]) -> DataFrame:
+    """One row per listed struct next to the map ``m`` from entry to its value.
+
+    There is a value per column or pair, so the map is small; spreading it costs one pass over the
+    entries where self-joins would read the counts once for each side.
+    """
+    one = stats.agg(F.map_from_entries(F.collect_list(F.struct("entry", value))).alias("m"))
+    return one.select(F.explode(F.array(*listed)).alias("p"), "m")
 
 
 def _count_entropies(cells: DataFrame, entries: Sequence[tuple[str, str | None]], binned: set[str]) -> DataFrame:
     """Entropy of the count list. Binned columns leave gaps in the code range, enumerated ones do
     not; the gaps are counted by arithmetic and join the list as zeros."""
-    # How far the codes of one column reach: for a binned column the observed codes, from zero
-    # for a list of one column and from the least code for a pair; otherwise the distinct values.
     per_count = cells.groupBy("entry", "n").agg(
         F.count(F.lit(1)).alias("c"), F.min("a.i").alias("a_lo"), F.max("a.i").alias("a_hi"),
         F.min("b.i").alias("b_lo"), F.max("b.i").alias("b_hi"),
@@ -121,29 +136,28 @@ def _count_entropies(cells: DataFrame, entries: Sequence[tuple[str, str | None]]
         F.min("a_lo").alias("a_lo"), F.max("a_hi").alias("a_hi"), F.min("b_lo").alias("b_lo"), F.max("b_hi").alias("b_hi"),
     )
     single = {a: i for i, (a, b) in enumerate(entries) if b is None}
-    sizes = per_entry.select(F.col("entry").alias("single"), F.col("observed").alias("size"))
-
-    def member(position: int, name: str) -> tuple[DataFrame, Column]:
-        which = F.element_at(
-            F.array(*[F.lit(None if p[position] is None else single[p[position]]).cast("int") for p in entries]), F.col("entry") + 1
+    listed = [
+        F.struct(
+            F.lit(i).alias("entry"), F.lit(single[a]).alias("a"), F.lit(None if b is None else single[b]).cast("int").alias("b"),
+            F.lit(a in binned).alias("a_gaps"), F.lit(b in binned).alias("b_gaps"),
         )
-        return F.broadcast(sizes.select(F.col("single").alias(f"{name}_single"), F.col("size").alias(f"{name}_size"))), which
-
-    def span(position: int, name: str) -> Column:
-        gaps = F.element_at(F.array(*[F.lit(p[position] in binned) for p in entries]), F.col("entry") + 1)
-        paired = F.element_at(F.array(*[F.lit(b is not None) for _, b in entries]), F.col("entry") + 1)
-        low = F.when(paired, F.col(f"{name}_lo")).otherwise(F.lit(0))
-        return F.when(gaps, F.col(f"{name}_hi") - low + 1).otherwise(F.col(f"{name}_size"))
-
-    a_sizes, a_which = member(0, "a")
-    b_sizes, b_which = member(1, "b")
-    sized = per_entry.join(a_sizes, a_which == F.col("a_single"), "left").join(b_sizes, b_which == F.col("b_single"), "left")
-    cells_all = span(0, "a") * F.coalesce(span(1, "b"), F.lit(1))
-    empty = cells_all - F.col("observed")
+        for i, (a, b) in enumerate(entries)
+    ]
+    spread = _spread(per_entry, F.struct("observed", "clogc", "a_lo", "a_hi", "b_lo", "b_hi"), listed)
+    own = F.col("m")[F.col("p.entry")]
+
+    def span(name: str) -> Column:
+        # How far the codes of one column reach: a binned column's observed codes, from zero in the
+        # list of one column and from the least code in a pair; otherwise its distinct values.
+        low = own[f"{name}_lo"] if name == "b" else F.when(F.col("p.b").isNull(), F.lit(0)).otherwise(own["a_lo"])
+        return F.when(F.col(f"p.{name}_gaps"), own[f"{name}_hi"] - low + 1).otherwise(F.col("m")[F.col(f"p.{name}")]["observed"])
+
+    cells_all = span("a") * F.when(F.col("p.b").isNull(), F.lit(1)).otherwise(span("b"))
+    empty = cells_all - own["observed"]
     total = cells_all.cast("double")
     empty_term = F.when(empty > 0, empty * F.log2(empty.cast("double"))).otherwise(F.lit(0.0))
-    h = F.log2(total) - (F.col("clogc") + empty_term) / total
-    return sized.select("entry", F.greatest(F.lit(0.0), h).alias("h"))
+    h = F.log2(total) - (own["clogc"] + empty_term) / total
+    return spread.select(F.col("p.entry").alias("entry"), F.greatest(F.lit(0.0), h).alias("h"))
 
 
 def nmi(
@@ -152,11 +166,18 @@ def nmi(
     """``(col_a, col_b, h_a, h_b, h_ab, nmi)`` with nmi = (Ha + Hb - Hab) / (2 max(Ha, Hb)), null when
     both entropies are zero."""
     singles = list(dict.fromkeys(c for p in pairs for c in p))
+    at = {c: i for i, c in enumerate(singles)}
     h = pair_entropies(df, [(c, None) for c in singles] + list(pairs), mode, bin_count)
-    one = h.where(F.col("col_b").isNull())
-    h_a = F.broadcast(one.select("col_a", F.col("h").alias("h_a")))  # a row per column
-    h_b = F.broadcast(one.select(F.col("col_a").alias("col_b"), F.col("h").alias("h_b")))
-    joint = h.where(F.col("col_b").isNotNull()).withColumnRenamed("h", "h_ab")
+    listed = [
+        F.struct(
+            F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
+            F.lit(at[a]).alias("a"), F.lit(at[b]).alias("b"), F.lit(len(singles) + i).alias("ab"),
+        )
+        for i, (a, b) in enumerate(pairs)
+    ]
+    found = _spread(h, F.col("h"), listed).select(
+        "p.col_a", "p.col_b", *[F.col("m")[F.col(f"p.{e}")].alias(f"h_{e}") for e in ("a", "b", "ab")]
+    )
     peak = F.greatest("h_a", "h_b")
     value = (F.col("h_a") + F.col("h_b") - F.col("h_ab")) / F.when(peak > 1e-12, 2 * peak)
-    return joint.join(h_a, "col_a").join(h_b, "col_b").select("col_a", "col_b", "h_a", "h_b", "h_ab", value.alias("nmi"))
+    return found.withColumn("nmi", value)

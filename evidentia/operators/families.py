@@ -83,3 +83,23 @@ def network_score(table: DataFrame, families: Sequence[Family], cards: dict[str,
     """One row: the sum of the family scores less 0.1 per parent."""
     arcs = sum(len(p) for _, p in families)
     return bic_scores(table, families, cards).agg((F.sum("score") - F.lit(PARENT_PENALTY * arcs)).alias("score"))
+
+
+def edge_gains(table: DataFrame, nodes: Sequence[str], cards: dict[str, int]) -> DataFrame:
+    """How much each single parent adds to a node's BIC score: ``(parent, child, gain)``."""
+    pairs = [(c, (p,)) for c in nodes for p in nodes if p != c]
+    scores = named_bic_scores(table, [*[(c, ()) for c in nodes], *pairs], cards)
+    alone = F.map_from_entries(F.collect_list(F.when(F.col("parents") == "", F.struct("node", "score"))))
+    paired = F.collect_list(F.when(F.col("parents") != "", F.struct("parents", "node", "score")))
+    # A score per pair of columns: one small row, opened again.
+    one = scores.agg(alone.alias("alone"), paired.alias("paired")).select(F.explode("paired").alias("e"), "alone")
+    return one.select(
+        F.col("e.parents").alias("parent"), F.col("e.node").alias("child"),
+        (F.col("e.score") - F.col("alone")[F.col("e.node")]).alias("gain"),
+    )
+
+
+def screened_edges(gains: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Edges whose parent comes before the child in ``order`` and raises its score: acyclic by construction."""
+    place = F.create_map(*[x for i, c in enumerate(order) for x in (F.lit(c), F.lit(i))])
+    return gains.where((F.col("gain") > 0) & (place[F.col("parent")] < place[F.col("child")])).select("parent", "child")

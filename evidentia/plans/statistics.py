@@ -10,7 +10,7 @@ from evidentia.functions.sampling import hash_split as split_by_hash
 from evidentia.functions.sampling import nested_sample as sample_by_hash
 from evidentia.operators.bn_features import num_classes as count_classes
 from evidentia.operators.counts import code_histogram, contingency_2d, enumerate_codes
-from evidentia.operators.entropy import conditional_entropy, entropies, nmi, pair_entropies
+from evidentia.operators.entropy import conditional_entropies, entropies, nmi, pair_entropies
 from evidentia.plans.common import (
     r6, registry, sql_cut_codes, sql_iqr_codes, sql_iqr_params, sql_left_code, sql_r6, sql_uniform, table,
 )
@@ -133,13 +133,8 @@ def _conditional_sql(given: list[str]) -> str:
 
 @REG.add("conditional_entropy", f"WITH codes AS ({_CODES_SQL}) " + " UNION ALL ".join(map(_conditional_sql, _GIVENS)))
 def conditional_entropy_query(spark, sf_dir) -> DataFrame:
-    codes = _codes(spark, sf_dir)
-    out = None
-    for given in _GIVENS:
-        h = conditional_entropy(codes, "l_linestatus", given)
-        h = h.select(F.lit(",".join(given)).alias("given"), r6("conditional_entropy").alias("conditional_entropy"))
-        out = h if out is None else out.unionByName(h)
-    return out
+    h = conditional_entropies(_codes(spark, sf_dir), "l_linestatus", _GIVENS)
+    return h.select("given", r6("conditional_entropy").alias("conditional_entropy"))
 
 
 # Normalised mutual information. Binned columns carry gaps in the counts form, the others do not.
@@ -204,7 +199,9 @@ _COUNT_SQL = " UNION ALL ".join(
 @REG.add("nmi_count_entropy", f"WITH codes AS ({_CODES_SQL}) {_COUNT_SQL}")
 def nmi_count_entropy(spark, sf_dir) -> DataFrame:
     h = pair_entropies(table(spark, sf_dir, "lineitem"), _COUNT_ENTRIES, "counts")
-    return h.select("col_a", F.coalesce("col_b", F.lit("")).alias("col_b"), r6("h").alias("h"))
+    at = F.col("entry") + 1
+    names = [F.element_at(F.array(*[F.lit(e[i] or "") for e in _COUNT_ENTRIES]), at).alias(f"col_{'ab'[i]}") for i in (0, 1)]
+    return h.select(*names, r6("h").alias("h"))
 
 
 @REG.add(
