@@ -1,3 +1,178 @@
-from evidentia.plans.common import registry
+"""Queries on outliers in tables and event sequences."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from evidentia.operators.lof import ReferenceLOF, bagged_lof, exact_lof
+from evidentia.operators.outliers import TabularOutlierDetector
+from evidentia.operators.sequences import SequenceOutlierDetector
+from evidentia.plans.common import r6, registry, sql_r6, sql_uniform, table
+from evidentia.plans.networks import sql_cpt
 
 REG = registry()
+K = 5
+
+
+def vectors(spark, sf_dir) -> DataFrame:
+    df = table(spark, sf_dir, "embeddings")
+    return df.select("vec_id", *[F.col("embedding")[j].cast("double").alias(f"e{j}") for j in range(4)])
+
+
+_VECTORS = "(SELECT vec_id AS id, " + ", ".join(f"embedding[{j + 1}]::DOUBLE AS e{j}" for j in range(4)) + " FROM embeddings)"
+
+
+def sql_lof(source: str, cols: list[str], tag: str = "") -> str:
+    """Named steps that end in ``lof<tag>(id, lof)`` by comparing all rows with all rows."""
+    square = " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in cols)
+    return (
+        f"near{tag} AS (SELECT * FROM (SELECT a.id, b.id AS nb, sqrt({square}) AS dist, rank() OVER (PARTITION BY a.id ORDER BY sqrt({square})) AS rk "
+        f"FROM {source} a JOIN {source} b ON a.id <> b.id) WHERE rk <= {K}), "
+        f"kd{tag} AS (SELECT id, max(dist) AS kd FROM near{tag} GROUP BY id), "
+        f"lrd{tag} AS (SELECT n.id, 1 / (avg(greatest(dist, kd)) + 1e-10) AS lrd FROM near{tag} n JOIN kd{tag} k ON k.id = n.nb GROUP BY n.id), "
+        f"lof{tag} AS (SELECT n.id, avg(b.lrd) / any_value(a.lrd) AS lof FROM near{tag} n JOIN lrd{tag} b ON b.id = n.nb "
+        f"JOIN lrd{tag} a ON a.id = n.id GROUP BY n.id)"
+    )
+
+
+@REG.add("lof_exact", f"WITH v AS {_VECTORS}, {sql_lof('v', ['e0', 'e1'])} SELECT id AS vec_id, {sql_r6('lof')} AS lof FROM lof")
+def lof_exact(spark, sf_dir) -> DataFrame:
+    return exact_lof(vectors(spark, sf_dir), ["e0", "e1"], K).select("vec_id", r6("lof").alias("lof"))
+
+
+BAGS = [["e0", "e1"], ["e2", "e3"], ["e0", "e3"]]
+_SCALED = " + ".join(f"(l{i}.lof - (SELECT min(lof) FROM lof{i})) / ((SELECT max(lof) - min(lof) FROM lof{i}))" for i in range(3))
+
+
+@REG.add(
+    "lof_bagged",
+    f"WITH v AS {_VECTORS}, " + ", ".join(sql_lof("v", bag, str(i)) for i, bag in enumerate(BAGS))
+    + f" SELECT l0.id AS vec_id, {sql_r6(f'({_SCALED}) / 3')} AS lof_score FROM lof0 l0 JOIN lof1 l1 USING (id) JOIN lof2 l2 USING (id)",
+)
+def lof_bagged(spark, sf_dir) -> DataFrame:
+    return bagged_lof(vectors(spark, sf_dir), BAGS, K).select("vec_id", r6("lof_score").alias("lof_score"))
+
+
+ROW_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+BAG = ["l_quantity", "l_extendedprice"]
+REFERENCE, SEED = 256, 3
+_ID = " || ':' || ".join(f"{c}::VARCHAR" for c in ROW_KEYS)
+
+
+def sql_reference_lof() -> str:
+    """Named steps that end in ``lof(id, lof)``: every row against the reference rows."""
+    square = " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in BAG)
+    order = ", ".join([sql_uniform(*[f"{c}::VARCHAR" for c in ROW_KEYS], SEED), *ROW_KEYS])
+    return (
+        f"rows_ AS (SELECT *, {_ID} AS id FROM lineitem), refs AS (SELECT * FROM rows_ ORDER BY {order} LIMIT {REFERENCE}), "
+        f"rnear AS (SELECT * FROM (SELECT a.id, b.id AS nb, sqrt({square}) AS dist, rank() OVER (PARTITION BY a.id ORDER BY sqrt({square})) AS rk "
+        f"FROM refs a JOIN refs b ON a.id <> b.id) WHERE rk <= {K}), "
+        "kd AS (SELECT id, max(dist) AS kd FROM rnear GROUP BY id), "
+        "lrd AS (SELECT n.id, 1 / (avg(greatest(dist, kd)) + 1e-10) AS lrd FROM rnear n JOIN kd k ON k.id = n.nb GROUP BY n.id), "
+        f"near AS (SELECT * FROM (SELECT a.id, b.id AS nb, sqrt({square}) AS dist, rank() OVER (PARTITION BY a.id ORDER BY sqrt({square})) AS rk "
+        f"FROM rows_ a JOIN refs b ON a.id <> b.id) WHERE rk <= {K}), "
+        "lof AS (SELECT n.id, avg(l.lrd) * (avg(greatest(n.dist, k.kd)) + 1e-10) AS lof FROM near n JOIN lrd l ON l.id = n.nb "
+        "JOIN kd k ON k.id = n.nb GROUP BY n.id)"
+    )
+
+
+@REG.add(
+    "lof_sampled",
+    f"WITH {sql_reference_lof()} SELECT {', '.join(ROW_KEYS)}, {sql_r6('lof')} AS lof FROM rows_ JOIN lof USING (id)",
+)
+def lof_sampled(spark, sf_dir) -> DataFrame:
+    df = table(spark, sf_dir, "lineitem").select(*ROW_KEYS, *BAG)
+    model = ReferenceLOF.fit(df, BAG, ROW_KEYS, K, REFERENCE, SEED)
+    return model.score(df).select(*ROW_KEYS, r6("lof").alias("lof"))
+
+
+CATEGORIES = ["l_returnflag", "l_linestatus", "l_suppkey"]
+EDGES = [("l_returnflag", "l_linestatus"), ("l_returnflag", "l_suppkey")]
+SCORED_NODES = ["l_linestatus", "l_suppkey"]
+NUMERIC_PARENTS = {"l_extendedprice": ["l_returnflag", "l_linestatus"]}
+
+
+def sql_network_raw() -> str:
+    """``raw``: every row's id with the three raw network scores."""
+    return (
+        f"raw AS (SELECT {_ID} AS id, -ln(s.prob) AS s1, -ln(k.prob) AS s2, abs(d.l_extendedprice - g.mean) / g.sd AS s3 FROM lineitem d "
+        f"JOIN {sql_cpt('l_linestatus', ['l_returnflag'])} s USING (l_returnflag, l_linestatus) "
+        f"JOIN {sql_cpt('l_suppkey', ['l_returnflag'])} k USING (l_returnflag, l_suppkey) "
+        "JOIN (SELECT l_returnflag, l_linestatus, avg(l_extendedprice) AS mean, stddev_pop(l_extendedprice) AS sd FROM lineitem GROUP BY ALL) g "
+        "USING (l_returnflag, l_linestatus))"
+    )
+
+
+_BN = " + ".join(f"(s{i} - (SELECT min(s{i}) FROM raw)) / (SELECT max(s{i}) - min(s{i}) FROM raw)" for i in (1, 2, 3))
+_BN = f"(({_BN}) / 3)"
+_LOF = "((lof - (SELECT min(lof) FROM lof)) / (SELECT max(lof) - min(lof) FROM lof))"
+_COMBINED = (
+    f"WITH {sql_reference_lof()}, {sql_network_raw()}, scores AS (SELECT id, {_LOF} AS lof_score, {_BN} AS bn_score, "
+    f"0.5e0 * {_LOF} + 0.5e0 * {_BN} AS score FROM raw JOIN lof USING (id)), "
+    "cutoff AS (SELECT quantile_cont(score, 0.95) AS cutoff FROM scores) "
+)
+_SPLIT_ID = ", ".join(f"split_part(id, ':', {i + 1})::BIGINT AS {c}" for i, c in enumerate(ROW_KEYS))
+_SPLIT_ID = _SPLIT_ID.replace("::BIGINT AS l_linenumber", "::INT AS l_linenumber")
+
+
+def detector(bags: list[list[str]] | None) -> TabularOutlierDetector:
+    return TabularOutlierDetector(
+        keyCols=ROW_KEYS, numericCols=BAG if bags else [], categoryCols=CATEGORIES, knownStructure=EDGES, numericParents=NUMERIC_PARENTS,
+        bags=bags, nodes=SCORED_NODES, neighbours=K, referenceSize=REFERENCE, contamination=0.05, seed=SEED,
+    )
+
+
+def _lineitem(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(*ROW_KEYS, *BAG, "l_returnflag", "l_linestatus")
+
+
+@REG.add("bn_anomaly", f"WITH {sql_network_raw()} SELECT {_SPLIT_ID}, {sql_r6(_BN)} AS bn_score FROM raw")
+def bn_anomaly(spark, sf_dir) -> DataFrame:
+    df = _lineitem(spark, sf_dir)
+    return detector(None).fit(df).transform(df).select(*ROW_KEYS, r6("bn_score").alias("bn_score"))
+
+
+@REG.add(
+    "combined_anomaly",
+    _COMBINED + f"SELECT {_SPLIT_ID}, {sql_r6('lof_score')} AS lof_score, {sql_r6('bn_score')} AS bn_score, {sql_r6('score')} AS score FROM scores",
+)
+def combined_anomaly(spark, sf_dir) -> DataFrame:
+    df = _lineitem(spark, sf_dir)
+    scored = detector([BAG]).fit(df).transform(df)
+    return scored.select(*ROW_KEYS, *[r6(c).alias(c) for c in ("lof_score", "bn_score", "score")])
+
+
+@REG.add(
+    "outlier_predict",
+    _COMBINED + f"SELECT {_SPLIT_ID}, CASE WHEN score > cutoff THEN -1 ELSE 1 END AS prediction FROM scores CROSS JOIN cutoff",
+)
+def outlier_predict(spark, sf_dir) -> DataFrame:
+    df = _lineitem(spark, sf_dir)
+    return detector([BAG]).fit(df).predict(df).select(*ROW_KEYS, "prediction")
+
+
+@REG.add(
+    "outlier_decision",
+    _COMBINED + f"SELECT {_SPLIT_ID}, {sql_r6('cutoff - score')} AS decision FROM scores CROSS JOIN cutoff",
+)
+def outlier_decision(spark, sf_dir) -> DataFrame:
+    df = _lineitem(spark, sf_dir)
+    return detector([BAG]).fit(df).decision_function(df).select(*ROW_KEYS, r6("decision").alias("decision"))
+
+
+_TS = (
+    "WITH seq AS (SELECT event_id, user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous FROM events), "
+    f"pairs AS (SELECT previous, event_type FROM seq WHERE previous IS NOT NULL), cpt AS (SELECT * FROM {sql_cpt('event_type', ['previous'], 'pairs')}), "
+    "scores AS (SELECT event_id, user_id, event_type, seq.previous, CASE WHEN seq.previous IS NOT NULL THEN -ln(prob) END AS score FROM seq "
+    "LEFT JOIN cpt USING (previous, event_type)), cutoff AS (SELECT quantile_cont(score, 0.95) AS cutoff FROM scores) "
+    f"SELECT event_id, user_id, event_type, previous, {sql_r6('score')} AS score, "
+    "CASE WHEN score > cutoff THEN -1 ELSE 1 END AS prediction FROM scores CROSS JOIN cutoff"
+)
+
+
+@REG.add("ts_anomaly", _TS)
+def ts_anomaly(spark, sf_dir) -> DataFrame:
+    df = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
+    model = SequenceOutlierDetector(entityCol="user_id", orderCols=["ts", "event_id"], stateCol="event_type").fit(df)
+    return model.transform(df).select("event_id", "user_id", "event_type", "previous", r6("score").alias("score"), "prediction")
