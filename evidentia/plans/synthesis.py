@@ -1,3 +1,169 @@
-from evidentia.plans.common import registry
+"""Queries on synthetic rows and class balance."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from evidentia.operators.balance import ClassBalancer
+from evidentia.operators.balance import class_imbalance as imbalance
+from evidentia.operators.mixture import fit_mixtures
+from evidentia.operators.models import rank_consistency
+from evidentia.operators.outliers import gaussian_table
+from evidentia.operators.synth import SyntheticGenerator
+from evidentia.plans.common import r6, registry, sql_r6, sql_uniform, table
+from evidentia.plans.networks import EDGES, NODES, PARENTS, sql_cpt
+from evidentia.sources.tables import attach_target
 
 REG = registry()
+SEED = 11
+PRICE_PARENTS = ["l_returnflag", "l_linestatus"]
+
+
+@REG.add(
+    "gaussian_cpt",
+    f"SELECT l_returnflag, l_linestatus, count(*) AS n, {sql_r6('avg(l_extendedprice)')} AS mean, "
+    f"{sql_r6('stddev_pop(l_extendedprice)')} AS sd FROM lineitem GROUP BY ALL",
+)
+def gaussian_cpt(spark, sf_dir) -> DataFrame:
+    fitted = gaussian_table(table(spark, sf_dir, "lineitem"), "l_extendedprice", PRICE_PARENTS)
+    return fitted.select(*PRICE_PARENTS, "n", r6("mean").alias("mean"), r6("sd").alias("sd"))
+
+
+def sql_draw(node: str, parents: list[str], source: str, before: str, seed: int) -> str:
+    """One sampled column: the state whose probability interval holds the row's uniform number."""
+    part = f"PARTITION BY {', '.join(parents)} " if parents else ""
+    keys = "".join(f"c.{p} = b.{p} AND " for p in parents)
+    u = sql_uniform("b.id::VARCHAR", f"'{node}'", seed)
+    cdf = (
+        f"(SELECT *, coalesce(lag(hi) OVER ({part}ORDER BY {node}), 0) AS lo, "
+        f"{node} = last_value({node}) OVER ({part}ORDER BY {node} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS top "
+        f"FROM (SELECT *, sum(prob) OVER ({part}ORDER BY {node}) AS hi FROM {sql_cpt(node, parents, source)}))"
+    )
+    return f"(SELECT b.*, c.{node} FROM {before} b JOIN {cdf} c ON {keys}{u} >= c.lo AND ({u} < c.hi OR c.top))"
+
+
+def sql_normal(node: str, seed: int) -> str:
+    u1, u2 = (sql_uniform("id::VARCHAR", f"'{node}#{i}'", seed) for i in (1, 2))
+    return f"sqrt(-2 * ln(1 - {u1})) * cos(2 * pi() * {u2})"
+
+
+def _synthetic_sql() -> str:
+    steps, before = ["s AS (SELECT range AS id FROM range((SELECT count(*) FROM lineitem)))"], "s"
+    for i, c in enumerate(NODES):
+        steps.append(f"s{i} AS {sql_draw(c, PARENTS[c], 'lineitem', before, SEED)}")
+        before = f"s{i}"
+    return (
+        f"WITH {', '.join(steps)}, g AS (SELECT l_returnflag, l_linestatus, avg(l_extendedprice) AS mean, stddev_pop(l_extendedprice) AS sd "
+        f"FROM lineitem GROUP BY ALL) SELECT id, l_returnflag, l_linestatus, l_linenumber, "
+        f"round(mean + sd * {sql_normal('l_extendedprice', SEED)}, 3) AS l_extendedprice FROM {before} JOIN g USING (l_returnflag, l_linestatus)"
+    )
+
+
+def generator(components: int = 1) -> SyntheticGenerator:
+    return SyntheticGenerator(
+        featureCols=NODES, knownStructure=EDGES, numericParents={"l_extendedprice": PRICE_PARENTS}, components=components
+    )
+
+
+@REG.add("synthetic_sample", _synthetic_sql())
+def synthetic_sample(spark, sf_dir) -> DataFrame:
+    df = table(spark, sf_dir, "lineitem").select(*NODES, "l_extendedprice")
+    made = generator().fit(df).sample(df.count(), SEED)
+    return made.withColumn("l_extendedprice", F.round("l_extendedprice", 3))
+
+
+_LABELLED = "(SELECT toxic, lang, source FROM documents JOIN labels USING (doc_id))"
+_LABEL_PARENTS = {"lang": ["toxic"], "source": ["toxic", "lang"]}
+
+
+def labelled(spark, sf_dir) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+    return attach_target(documents, table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id")
+
+
+def _balanced_sql() -> str:
+    counts = "(SELECT toxic, count(*) AS n FROM l GROUP BY toxic)"
+    deficits = f"(SELECT toxic, (SELECT max(n) FROM {counts}) - n AS missing FROM {counts})"
+    return (
+        f"WITH l AS {_LABELLED}, d AS (SELECT toxic, sum(missing) OVER (ORDER BY toxic) AS hi, sum(missing) OVER (ORDER BY toxic) - missing AS lo "
+        f"FROM {deficits}), s AS (SELECT range AS id, toxic FROM range((SELECT max(hi) FROM d)::BIGINT) JOIN d ON range >= lo AND range < hi), "
+        f"s0 AS {sql_draw('lang', ['toxic'], 'l', 's', SEED)}, s1 AS {sql_draw('source', ['toxic', 'lang'], 'l', 's0', SEED)}, "
+        "balanced AS (SELECT toxic, lang, source, false AS synthetic FROM l UNION ALL SELECT toxic, lang, source, true FROM s1) "
+    )
+
+
+def _balanced(spark, sf_dir) -> DataFrame:
+    df = labelled(spark, sf_dir).select("toxic", "lang", "source")
+    edges = [(p, c) for c, parents in _LABEL_PARENTS.items() for p in parents]
+    return ClassBalancer(featureCols=["lang", "source"], labelCol="toxic", knownStructure=edges, seed=SEED).fit_resample(df)
+
+
+@REG.add("oversample_rows", _balanced_sql() + "SELECT * FROM balanced")
+def oversample_rows(spark, sf_dir) -> DataFrame:
+    return _balanced(spark, sf_dir)
+
+
+@REG.add("oversample_counts", _balanced_sql() + "SELECT toxic, synthetic, count(*) AS n FROM balanced GROUP BY ALL")
+def oversample_counts(spark, sf_dir) -> DataFrame:
+    return _balanced(spark, sf_dir).groupBy("toxic", "synthetic").agg(F.count(F.lit(1)).alias("n"))
+
+
+@REG.add(
+    "class_imbalance",
+    f"SELECT toxic AS class, count(*) AS n, {sql_r6('count(*)::DOUBLE / max(count(*)) OVER ()')} AS ratio, "
+    "count(*) < 0.5 * max(count(*)) OVER () AS minority FROM labels JOIN documents USING (doc_id) GROUP BY toxic",
+)
+def class_imbalance(spark, sf_dir) -> DataFrame:
+    return imbalance(labelled(spark, sf_dir), "toxic").withColumn("ratio", r6("ratio"))
+
+
+def _mixture_sql(iterations: int) -> str:
+    """Two components per status, the iterations unrolled."""
+    start = (
+        "p0 AS (SELECT l_linestatus, 0.5e0 AS w0, 0.5e0 AS w1, (SELECT quantile_cont(l_extendedprice, 0.25) FROM lineitem) AS m0, "
+        "(SELECT quantile_cont(l_extendedprice, 0.75) FROM lineitem) AS m1, (SELECT stddev_pop(l_extendedprice) FROM lineitem) AS s0, "
+        "(SELECT stddev_pop(l_extendedprice) FROM lineitem) AS s1, 0::BIGINT AS n FROM (SELECT DISTINCT l_linestatus FROM lineitem))"
+    )
+    steps = [start]
+    for i in range(iterations):
+        dens = [f"ln(w{c}) - ln(s{c}) - pow((x - m{c}) / s{c}, 2) / 2" for c in (0, 1)]
+        steps.append(
+            f"e{i} AS (SELECT *, 1 / (1 + exp(l1 - l0)) AS r0, 1 / (1 + exp(l0 - l1)) AS r1 FROM (SELECT p.l_linestatus, l_extendedprice AS x, m0, m1, "
+            f"{dens[0].replace('x -', 'l_extendedprice -')} AS l0, {dens[1].replace('x -', 'l_extendedprice -')} AS l1 "
+            f"FROM lineitem JOIN p{i} p USING (l_linestatus)))"
+        )
+        part = ", ".join(
+            f"sum(r{c}) / count(*) AS w{c}, any_value(m{c}) + sum(r{c} * (x - m{c})) / sum(r{c}) AS m{c}" for c in (0, 1)
+        )
+        spread = ", ".join(
+            f"sqrt(sum(r{c} * (x - m{c}) * (x - m{c})) / sum(r{c}) - pow(sum(r{c} * (x - m{c})) / sum(r{c}), 2)) AS s{c}" for c in (0, 1)
+        )
+        steps.append(f"p{i + 1} AS (SELECT l_linestatus, {part}, {spread}, count(*) AS n FROM e{i} GROUP BY l_linestatus)")
+    last = f"p{iterations}"
+    return f"WITH {', '.join(steps)} " + " UNION ALL ".join(
+        f"SELECT l_linestatus, {c} AS component, n, round(w{c}, 5) + 0e0 AS weight, round(m{c}, 2) + 0e0 AS mean, round(s{c}, 2) + 0e0 AS sd FROM {last}"
+        for c in (0, 1)
+    )
+
+
+@REG.add("gmm_nodes", _mixture_sql(5))
+def gmm_nodes(spark, sf_dir) -> DataFrame:
+    fitted = fit_mixtures(table(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_linestatus"], components=2, iterations=5)
+    each = F.posexplode(F.arrays_zip("weights", "means", "sds")).alias("component", "p")
+    return fitted.select("l_linestatus", "n", each).select(
+        "l_linestatus", "component", "n",
+        *[(F.round(F.col(f"p.{a}"), d) + F.lit(0.0)).alias(b) for a, b, d in (("weights", "weight", 5), ("means", "mean", 2), ("sds", "sd", 2))],
+    )
+
+
+@REG.add("error_rank_consistency")
+def error_rank_consistency(spark, sf_dir) -> DataFrame:
+    """Do models rank alike by error on real and on synthetic test rows?"""
+    df = labelled(spark, sf_dir)
+    model = SyntheticGenerator(
+        featureCols=["toxic", "lang", "source"], knownStructure=[("toxic", "lang"), ("toxic", "source")], numericParents={"n_chars": ["toxic"]},
+        components=2,
+    ).fit(df)
+    made = model.sample(df.count(), SEED)
+    return rank_consistency(df, made, ["lang", "source"], ["n_chars"], "toxic", key=["doc_id"], seed=SEED)
