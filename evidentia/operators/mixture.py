@@ -46,6 +46,20 @@ def fit_mixtures(df: DataFrame, node: str, parents: Sequence[str], components: i
         values.unpersist()
 
 
+def gaussian_table(df: DataFrame, node: str, parents: Sequence[str]) -> DataFrame:
+    """Mean and standard deviation of a continuous column per parent combination."""
+    x = F.nanvl(F.col(node).cast("double"), F.lit(None).cast("double"))
+    return df.groupBy(*parents).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("sd"))
+
+
+def single_normals(df: DataFrame, node: str, parents: Sequence[str]) -> DataFrame:
+    """A mixture of one component needs one aggregate."""
+    fitted = gaussian_table(df, node, parents).where(F.col("n") > 0)
+    return cut_lineage(
+        fitted.select(*parents, "n", F.array(F.lit(1.0)).alias("weights"), F.array("mean").alias("means"), F.array("sd").alias("sds"))
+    )
+
+
 def _log_density(c: int) -> Column:
     z = (F.col("x") - F.col("means")[c]) / F.col("sds")[c]
     return F.ln(F.greatest(F.col("weights")[c], F.lit(1e-300))) - F.ln(F.col("sds")[c]) - z * z / 2

@@ -16,18 +16,13 @@ from evidentia.functions.quantiles import exact_quantiles
 from evidentia.operators.cpt import Network, fit_network
 from evidentia.operators.graph import Edge
 from evidentia.operators.inference import with_probabilities
+from evidentia.operators.mixture import gaussian_table
 from evidentia.operators.lof import ReferenceLOF, min_max, scaled
 from evidentia.operators.selection import FeatureParams
 from evidentia.operators.structure import learn_structure
 from evidentia.session import cut_lineage
 
 
-def gaussian_table(df: DataFrame, node: str, parents: Sequence[str]) -> DataFrame:
-    """Mean and standard deviation of a continuous column per parent combination."""
-    x = F.nanvl(F.col(node).cast("double"), F.lit(None).cast("double"))
-    return df.groupBy(*parents).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("sd"))
-
-
 @dataclass
 class GaussianNode:
     """A continuous column given discrete parents. The table is broadcast when its size allows."""

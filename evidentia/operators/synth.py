@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from evidentia.functions.sampling import hash_uniform
 from evidentia.operators.cpt import Network, fit_network
 from evidentia.operators.graph import Edge, topological
-from evidentia.operators.mixture import fit_mixtures
+from evidentia.operators.mixture import fit_mixtures, single_normals
 from evidentia.operators.selection import FeatureParams
 from evidentia.operators.structure import learn_structure
 
@@ -99,7 +99,7 @@ class SyntheticGenerator(Estimator, FeatureParams):
         count = self.getOrDefault("components")
         mixtures = {}
         for c, parents in self.numeric_parents.items():
-            table = fit_mixtures(df, c, parents, count, 10 if count > 1 else 1)
+            table = fit_mixtures(df, c, parents, count) if count > 1 else single_normals(df, c, parents)
             mixtures[c] = (list(parents), table, table.count())
         return SyntheticModel(network, mixtures)
 

@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from evidentia.operators.balance import ClassBalancer
 from evidentia.operators.balance import class_imbalance as imbalance
-from evidentia.operators.mixture import fit_mixtures
+from evidentia.operators.mixture import fit_mixtures, gaussian_table
 from evidentia.operators.models import rank_consistency
-from evidentia.operators.outliers import gaussian_table
 from evidentia.operators.synth import SyntheticGenerator
 from evidentia.plans.common import r6, registry, sql_r6, sql_uniform, table
 from evidentia.plans.networks import EDGES, NODES, PARENTS, sql_cpt

@@ -42,11 +42,17 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder; survives the loss of executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Keep ``df`` as a table in the shared folder and read it from there.
+
+    Survives the loss of executors, is computed once (an eager ``checkpoint`` runs its last stage
+    twice) and tells the optimizer the real size.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "table")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
