@@ -187,6 +187,8 @@ def exact_lof(df: DataFrame, cols: Sequence[str], k: int, out: str = "lof") -> D
         raise ValueError(f"{rows} rows have no {k} neighbours")
     loc = F.array(*[F.col(c).cast("double") + F.lit(0.0) for c in cols])
     locs = cut_lineage(df.groupBy(loc.alias("loc")).agg(F.count(F.lit(1)).alias("w")))
+    if locs.where(F.col("w") <= k).isEmpty():
+        return df.withColumn(out, F.lit(1.0))
     lo = [found[c][0] for c in cols]
     side = max(found[c][1] - found[c][0] for c in cols)
     factors = _location_factors(locs, len(cols), k, locs.count(), lo, side)
