@@ -4,31 +4,66 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BUILTIN_LIMIT = 5_000_000
+BUILTIN_LIMIT = 100_000
 BUCKETS = 2048
+ACCURACY = 10_000
+
+
+def _clean(c: str) -> Column:
+    return F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+
+
+def _brackets(
+    clean: DataFrame, targets: dict[str, set[int]], counts: dict[str, int], accuracy: int
+) -> dict[tuple[str, int], tuple[float, float, int]]:
+    """For every (column, rank) an interval of values that holds it, and the rank within the interval.
+
+    A sketch proposes the interval, exact counts confirm it; the whole range serves where they do not.
+    """
+    wanted = [(c, r) for c in targets for r in sorted(targets[c])]
+    slack = 2.0 / accuracy
+    aggs = []
+    for i, c in enumerate(targets):
+        probs = []
+        for r in sorted(targets[c]):
+            p = (r + 0.5) / counts[c]
+            probs += [max(0.0, p - slack), min(1.0, p + slack)]
+        aggs += [F.percentile_approx(c, probs, accuracy).alias(f"q{i}"), F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}")]
+    row = clean.agg(*aggs).first()
+    ends = {}
+    for i, c in enumerate(targets):
+        for j, r in enumerate(sorted(targets[c])):
+            ends[(c, r)] = (row[f"q{i}"][2 * j], row[f"q{i}"][2 * j + 1], row[f"lo{i}"], row[f"hi{i}"])
+    checks = []
+    for i, (c, r) in enumerate(wanted):
+        lo, hi, _, _ = ends[(c, r)]
+        checks += [F.count_if(F.col(c) < lo).alias(f"b{i}"), F.count_if(F.col(c) <= hi).alias(f"u{i}")]
+    seen = clean.agg(*checks).first()
+    out = {}
+    for i, key in enumerate(wanted):
+        lo, hi, least, most = ends[key]
+        inside = seen[f"b{i}"] <= key[1] < seen[f"u{i}"]
+        out[key] = (lo, hi, key[1] - seen[f"b{i}"]) if inside else (least, most, key[1])
+    return out
 
 
 def order_statistics(
-    df: DataFrame, targets: dict[str, set[int]], buckets: int = BUCKETS
+    df: DataFrame, targets: dict[str, set[int]], counts: dict[str, int], buckets: int = BUCKETS, accuracy: int = ACCURACY
 ) -> dict[tuple[str, int], float]:
     """Values at the given 0-based ranks of each column (nulls and NaN left out).
 
-    Every round counts all open intervals of all columns in one map-side combined
-    aggregate of at most ``buckets`` rows per interval, and keeps the one bucket that
-    holds the rank. The interval shrinks to observed values, so a handful of scans is enough.
+    Every round counts all open intervals of all columns in one map-side combined aggregate of at
+    most ``buckets`` rows per interval, and keeps the one bucket that holds the rank. Intervals
+    shrink to observed values, so a handful of scans is enough.
     """
-    cols = list(targets)
-    clean = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in cols])
-    bounds = clean.agg(*[f(c).alias(f"{n}_{i}") for i, c in enumerate(cols) for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    clean = df.select(*[_clean(c).alias(c) for c in targets])
+    open_ = _brackets(clean, targets, counts, accuracy)
     found: dict[tuple[str, int], float] = {}
-    open_: dict[tuple[str, int], tuple[float, float, int]] = {}
-    for i, c in enumerate(cols):
-        for rank in targets[c]:
-            open_[(c, rank)] = (bounds[f"lo_{i}"], bounds[f"hi_{i}"], rank)
     while open_:
         for key, (lo, hi, _) in list(open_.items()):
             if lo == hi:
@@ -37,16 +72,17 @@ def order_statistics(
         if not open_:
             break
         intervals = sorted({(c, lo, hi) for (c, _), (lo, hi, _) in open_.items()})
-        entries = []
+        entries, inside = [], []
         for j, (c, lo, hi) in enumerate(intervals):
             x = F.col(c)
             position = F.floor((x - F.lit(lo)) / F.lit(hi - lo) * F.lit(float(buckets)))
             bucket = F.greatest(F.lit(0), F.least(F.lit(buckets - 1), position)).cast("int")
-            entries.append(
-                F.when((x >= lo) & (x <= hi), F.struct(F.lit(j).alias("i"), bucket.alias("b"), x.alias("x")))
-            )
+            inside.append((x >= lo) & (x <= hi))
+            entries.append(F.when(inside[-1], F.struct(F.lit(j).alias("i"), bucket.alias("b"), x.alias("x"))))
         rows = (
-            clean.select(F.explode(F.array_compact(F.array(*entries))).alias("e"))
+            clean.where(reduce(lambda a, b: a | b, inside))
+            .select(F.explode(F.array(*entries)).alias("e"))
+            .where("e IS NOT NULL")
             .groupBy("e.i", "e.b")
             .agg(F.count(F.lit(1)).alias("n"), F.min("e.x").alias("lo"), F.max("e.x").alias("hi"))
             .collect()
@@ -71,24 +107,18 @@ def exact_quantiles(
     distinct value in one buffer, so larger ones go through ``order_statistics``."""
     cols = list(cols)
     if counts is None:
-        row = df.agg(*[F.count(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))).alias(f"n_{i}") for i, c in enumerate(cols)]).first()
+        row = df.agg(*[F.count(_clean(c)).alias(f"n_{i}") for i, c in enumerate(cols)]).first()
         counts = {c: row[f"n_{i}"] for i, c in enumerate(cols)}
     if max(counts.values(), default=0) <= builtin_limit:
-        row = df.agg(
-            *[
-                F.percentile(
-                    F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), F.array(*[F.lit(float(p)) for p in probs])
-                ).alias(f"q_{i}")
-                for i, c in enumerate(cols)
-            ]
-        ).first()
+        points = F.array(*[F.lit(float(p)) for p in probs])
+        row = df.agg(*[F.percentile(_clean(c), points).alias(f"q_{i}") for i, c in enumerate(cols)]).first()
         return {c: list(row[f"q_{i}"]) if row[f"q_{i}"] is not None else [math.nan] * len(probs) for i, c in enumerate(cols)}
     targets = {
         c: {r for p in probs for r in (math.floor(p * (counts[c] - 1)), math.ceil(p * (counts[c] - 1)))}
         for c in cols
         if counts[c] > 0
     }
-    stats = order_statistics(df, targets)
+    stats = order_statistics(df, targets, counts)
     out: dict[str, list[float]] = {}
     for c in cols:
         if counts[c] == 0:

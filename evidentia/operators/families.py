@@ -22,11 +22,11 @@ def compress(df: DataFrame, cols: Sequence[str], *extra: Column) -> DataFrame:
     return df.groupBy(*cols, *extra).agg(F.count(F.lit(1)).alias("n"))
 
 
-def family_counts(table: DataFrame, families: Sequence[Family]) -> DataFrame:
+def family_counts(table: DataFrame, families: Sequence[Family], by: Sequence[str] = ()) -> DataFrame:
     """``(family, pa, state, n)`` for many families in one shuffle of a compressed table.
 
     ``family`` is the position in the list, ``pa`` the parent values as an array. Rows that miss
-    any value of a family do not count for it.
+    any value of a family do not count for it. ``by`` names further grouping columns.
     """
     entries = []
     for i, (node, parents) in enumerate(families):
@@ -36,8 +36,8 @@ def family_counts(table: DataFrame, families: Sequence[Family]) -> DataFrame:
             complete = complete & F.col(p).isNotNull()
         entry = F.struct(F.lit(i).alias("family"), pa.alias("pa"), F.col(node).cast("string").alias("state"))
         entries.append(F.when(complete, entry))
-    exploded = table.select(F.explode(F.array_compact(F.array(*entries))).alias("e"), "n")
-    return exploded.groupBy("e.family", "e.pa", "e.state").agg(F.sum("n").alias("n"))
+    exploded = table.select(F.explode(F.array(*entries)).alias("e"), "n", *by).where("e IS NOT NULL")
+    return exploded.groupBy("e.family", *by, "e.pa", "e.state").agg(F.sum("n").alias("n"))
 
 
 def cardinalities(table: DataFrame, cols: Sequence[str]) -> dict[str, int]:
@@ -52,23 +52,23 @@ def combinations(cards: dict[str, int], parents: Iterable[str]) -> int:
     return math.prod(cards[p] for p in parents)
 
 
-def bic_scores(table: DataFrame, families: Sequence[Family], cards: dict[str, int]) -> DataFrame:
-    """``(family, score)`` with score = sum n ln(n / n_pa) - 0.5 ln(N) q (r - 1).
+def bic_scores(table: DataFrame, families: Sequence[Family], cards: dict[str, int], by: Sequence[str] = ()) -> DataFrame:
+    """``(family, by..., score)`` with score = sum n ln(n / n_pa) - 0.5 ln(N) q (r - 1).
 
     Parent totals are a second grouped sum, so the score is two partial aggregates and no window.
     """
-    cells = family_counts(table, families)
+    cells = family_counts(table, families, by)
     n = F.col("n")
-    strata = cells.groupBy("family", "pa").agg(
+    strata = cells.groupBy("family", *by, "pa").agg(
         F.sum(n * F.ln(n.cast("double"))).alias("cell_nlogn"), F.sum("n").alias("n")
     )
     cost = F.element_at(
         F.array(*[F.lit(0.5 * combinations(cards, p) * (cards[c] - 1)) for c, p in families]), F.col("family") + 1
     )
-    fit = strata.groupBy("family").agg(
+    fit = strata.groupBy("family", *by).agg(
         (F.sum("cell_nlogn") - F.sum(n * F.ln(n.cast("double")))).alias("fit"), F.sum("n").alias("total")
     )
-    return fit.select("family", (F.col("fit") - F.ln(F.col("total").cast("double")) * cost).alias("score"))
+    return fit.select("family", *by, (F.col("fit") - F.ln(F.col("total").cast("double")) * cost).alias("score"))
 
 
 def named_bic_scores(table: DataFrame, families: Sequence[Family], cards: dict[str, int]) -> DataFrame:

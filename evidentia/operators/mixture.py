@@ -18,21 +18,19 @@ CUT_EVERY = 5
 def fit_mixtures(df: DataFrame, node: str, parents: Sequence[str], components: int = 2, iterations: int = 10) -> DataFrame:
     """``(parents..., n, weights, means, sds)`` with one array slot per component.
 
-    Expectation-maximisation as one grouped aggregate per iteration over values with their counts;
+    Expectation-maximisation as one grouped aggregate per iteration over the cached values;
     the parameters of all parent combinations are a table joined back on the parents. All start from
     the quantiles of the whole column, so the result is repeatable.
     """
     parents = list(parents)
     x = F.nanvl(F.col(node).cast("double"), F.lit(None).cast("double"))
-    values = (
-        df.select(*parents, x.alias("x")).where(F.col("x").isNotNull()).groupBy(*parents, "x").agg(F.count(F.lit(1)).alias("n"))
-    ).persist(StorageLevel.MEMORY_AND_DISK)
+    values = df.select(*parents, x.alias("x")).where(F.col("x").isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         starts = exact_quantiles(df, [node], [(i + 0.5) / components for i in range(components)])[node]
         sd = df.agg(F.stddev_pop(x).alias("sd")).first()["sd"] or 1.0
         floor = F.lit(sd * SD_FLOOR)
         params = values.groupBy(*parents).agg(
-            F.sum("n").alias("total"),
+            F.count(F.lit(1)).alias("total"),
             F.array(*[F.lit(1.0 / components)] * components).alias("weights"),
             F.array(*[F.lit(m) for m in starts]).alias("means"),
             F.array(*[F.lit(sd)] * components).alias("sds"),
@@ -75,9 +73,9 @@ def _step(values: DataFrame, params: DataFrame, parents: list[str], components:
     joined = joined.withColumn("peak", peak)
     total = sum((F.exp(F.col(l) - F.col("peak")) for l in logs[1:]), F.exp(F.col(logs[0]) - F.col("peak")))
     joined = joined.withColumn("norm", total)
-    sums = [F.sum("n").alias("total")]
+    sums = [F.count(F.lit(1)).alias("total")]
     for c, l in enumerate(logs):
-        r = F.col("n") * F.exp(F.col(l) - F.col("peak")) / F.col("norm")
+        r = F.exp(F.col(l) - F.col("peak")) / F.col("norm")
         centred = F.col("x") - F.col("means")[c]
         sums += [F.sum(r).alias(f"r{c}"), F.sum(r * centred).alias(f"d{c}"), F.sum(r * centred * centred).alias(f"q{c}")]
         sums.append(F.first(F.col("means")[c]).alias(f"m{c}"))

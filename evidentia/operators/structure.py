@@ -11,6 +11,7 @@ from __future__ import annotations
 import random
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
+from itertools import combinations as combos
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -47,27 +48,37 @@ class Structure:
 
 
 class _Scores:
-    """Family scores by sample stage, fetched from Spark in batches."""
+    """Family scores at every sample stage, fetched from Spark in batches.
+
+    ``table`` holds the counts once per stage that contains them, so one job scores a batch of
+    families for all stages.
+    """
 
     def __init__(self, table: DataFrame, cards: dict[str, int], cols: Sequence[str]) -> None:
         self.table, self.cards, self.cols = table, cards, cols
         self.known: dict[tuple[int, Family], float] = {}
         self.jobs = 0
 
-    def fetch(self, stage: int, families: Iterable[Family]) -> None:
-        wanted = [f for f in dict.fromkeys(families) if (stage, f) not in self.known]
+    def has(self, families: Iterable[Family]) -> bool:
+        return all((0, f) in self.known for f in families)
+
+    def fetch(self, needed: Iterable[Family], likely: Iterable[Family] = ()) -> None:
+        """Score the needed families, and as many likely ones as fit the last job."""
+        wanted = [f for f in dict.fromkeys(needed) if (0, f) not in self.known]
+        if not wanted:
+            return
+        room = -len(wanted) % FAMILIES_PER_JOB
+        wanted += [f for f in dict.fromkeys(likely) if (0, f) not in self.known and f not in wanted][:room]
         for start in range(0, len(wanted), FAMILIES_PER_JOB):
             batch = wanted[start : start + FAMILIES_PER_JOB]
-            rows = bic_scores(self.table.where(F.col("stage") <= stage), batch, self.cards).collect()
+            rows = bic_scores(self.table, batch, self.cards, ["stage"]).collect()
             self.jobs += 1
-            for f in batch:
-                self.known[(stage, f)] = 0.0
-            for r in rows:
-                self.known[(stage, batch[r["family"]])] = r["score"]
+            self.known.update({(s, f): 0.0 for s in range(STAGES) for f in batch})
+            self.known.update({(r["stage"], batch[r["family"]]): r["score"] for r in rows})
 
     def network(self, stage: int, edges: Sequence[Edge]) -> float:
         families = as_families(self.cols, edges)
-        self.fetch(stage, families)
+        self.fetch(families)
         return sum(self.known[(stage, f)] - PARENT_PENALTY * len(f[1]) for f in families)
 
 
@@ -75,6 +86,19 @@ def as_families(nodes: Sequence[str], edges: Iterable[Edge]) -> list[Family]:
     return [(c, tuple(p)) for c, p in parents_of(nodes, edges).items()]
 
 
+def _small_families(nodes: Sequence[str], cards: dict[str, int], max_cells: int, most: int = 2 * FAMILIES_PER_JOB) -> list[Family]:
+    """Families with one or two parents, the ones a search meets first; bounded in number."""
+    out: list[Family] = []
+    for size in (1, 2):
+        for c in nodes:
+            for p in combos([x for x in nodes if x != c], size):
+                if len(out) >= most:
+                    return out
+                if cards[c] * combinations(cards, p) <= max_cells:
+                    out.append((c, p))
+    return out
+
+
 def random_forest(nodes: Sequence[str], forbidden: set[Edge], rng: random.Random) -> list[Edge]:
     """Every node after the first takes one random allowed parent among the nodes before it."""
     edges = []
@@ -135,12 +159,15 @@ def learn_structure(
     table cells are not legal. ``key`` names the columns that identify a row for sampling.
     """
     nodes, forbidden, rng = list(cols), set(black_list), random.Random(seed)
-    u = hash_uniform(*[F.col(c) for c in (key or df.columns)], seed)
+    rows = df.select(*nodes, hash_uniform(*[F.col(c) for c in (key or df.columns)], seed).alias("__u"))
+    u = F.col("__u")
     last = STAGES - 1  # stages 0..2 are growing samples, the last one is all rows
     stage_of = F.lit(last)
     for s in reversed(range(last)):
         stage_of = F.when(u < F.lit(FIRST_FRACTION * 2 ** (s + 1)), F.lit(s)).otherwise(stage_of)
-    table = compress(df, nodes, stage_of.alias("stage")).persist(StorageLevel.MEMORY_AND_DISK)
+    entered = compress(rows, nodes, stage_of.alias("entered"))
+    stages = F.explode(F.sequence("entered", F.lit(last))).alias("stage")
+    table = entered.select(*nodes, "n", stages).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         cards = cardinalities(table, nodes)
         scores = _Scores(table, cards, nodes)
@@ -163,9 +190,9 @@ def learn_structure(
             moves = neighbours(nodes, current, forbidden, max_arcs)
             candidate = propose(moves, current, legal, rng)
             needed = as_families(nodes, candidate)
-            if any((stage, f) not in scores.known for f in needed):
-                reachable = [m for kind in moves.values() for m in kind if legal(m)]
-                scores.fetch(stage, [f for m in [candidate, *reachable] for f in as_families(nodes, m)])
+            if not scores.has(needed):
+                reachable = (f for kind in moves.values() for m in kind if legal(m) for f in as_families(nodes, m))
+                scores.fetch(needed, [*reachable, *_small_families(nodes, cards, max_cells)])
             new_score = scores.network(stage, candidate)
             if new_score > score:
                 current, score = candidate, new_score
