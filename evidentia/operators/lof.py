@@ -100,19 +100,35 @@ def _locate(locs: DataFrame, grid: _Grid, n: int, k: int) -> DataFrame:
     return out
 
 
+def _with_reach(located: DataFrame, grid: _Grid, k: int) -> DataFrame:
+    """Add ``reach``, a distance within which the k-neighbourhood lies for sure, and ``at`` = 2^level.
+
+    A location's own cell holds k others, so the cell's diagonal will do; the k-th distance to the
+    locations of the same cell and level is closer. There are at most 2^d k of those, as each child
+    cell that held more would have taken them to a finer level.
+    """
+    d = grid.d
+    at = F.pow(F.lit(2.0), F.col("level"))
+    own = [grid._index(F.col("loc")[j] - F.lit(grid.lo[j]), F.lit(grid.side) / at, at) for j in range(d)]
+    mates = F.collect_list("loc").over(W.partitionBy("level", *own))
+    distances = F.transform("mates", lambda m: _distance(F.col("loc"), m, d))
+    nearest = F.get(F.array_sort(F.filter(distances, lambda x: x > 0)), F.lit(k - 1))
+    diagonal = F.lit(grid.side * math.sqrt(d)) / at
+    reach = F.least(F.coalesce(nearest, diagonal), diagonal) * F.lit(1 + 1e-9)
+    return located.withColumn("mates", mates).withColumns({"reach": reach, "at": at}).drop("mates")
+
+
 def _neighbours(located: DataFrame, grid: _Grid, k: int) -> DataFrame:
     """``(loc, nb, dist, nb_w, copies)``: the other locations in the k-neighbourhood of each one.
 
-    A location's own cell holds k others, so its k-distance is at most the cell's diagonal. Every
-    cell within that reach is asked through an equi-join on (level, cell). A location meets only
-    queries of its surroundings at each level, which bounds the pairs by a multiple of the
-    locations, however uneven their density.
+    Every cell within a location's reach is asked through an equi-join on (level, cell). A location
+    meets only queries of its surroundings at each level, which bounds the pairs by a multiple of
+    the locations, however uneven their density.
     """
     d = grid.d
-    at = F.pow(F.lit(2.0), F.col("level"))
-    width = F.lit(grid.side) / at
-    reach = width * F.lit(math.sqrt(d) * (1 + 1e-9))
-    asked = located.where(F.col("w") <= k).select("loc", "level", (F.col("w") - 1).alias("copies"), reach.alias("reach"), at.alias("at"))
+    asked = (
+        _with_reach(located, grid, k).where(F.col("w") <= k).select("loc", "level", (F.col("w") - 1).alias("copies"), "reach", "at")
+    )
     key = ["level"]
     for j in range(d):
         offset = F.col("loc")[j] - F.lit(grid.lo[j])

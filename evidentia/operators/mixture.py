@@ -13,6 +13,7 @@ from evidentia.session import cut_lineage
 
 SD_FLOOR = 1e-6
 CUT_EVERY = 5
+BROADCAST_ROWS = 1_000_000
 
 
 def fit_mixtures(df: DataFrame, node: str, parents: Sequence[str], components: int = 2, iterations: int = 10) -> DataFrame:
@@ -35,8 +36,10 @@ def fit_mixtures(df: DataFrame, node: str, parents: Sequence[str], components: i
             F.array(*[F.lit(m) for m in starts]).alias("means"),
             F.array(*[F.lit(sd)] * components).alias("sds"),
         )
+        params = cut_lineage(params)
+        small = params.count() <= BROADCAST_ROWS
         for i in range(iterations):
-            params = _step(values, params, parents, components, floor)
+            params = _step(values, F.broadcast(params) if small else params, parents, components, floor)
             if (i + 1) % CUT_EVERY == 0 or i + 1 == iterations:
                 params = cut_lineage(params)
         return params.withColumnRenamed("total", "n")

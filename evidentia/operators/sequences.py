@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
-from pyspark.ml.feature import Bucketizer
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -15,39 +14,29 @@ from pyspark.sql import functions as F
 from evidentia.operators.cpt import Network, fit_network
 from evidentia.operators.inference import with_probabilities
 from evidentia.operators.outliers import outlier_label
+from evidentia.session import cut_lineage
 
-SLICES = 64
 
+def previous_value(df: DataFrame, entity: str, order: Sequence[str], value: str, out: str) -> DataFrame:
+    """Add the value of the entity's row before, in the order of ``order`` (end it with a unique column).
 
-def time_slices(df: DataFrame, time: str, slices: int = SLICES) -> DataFrame:
-    """Add ``__slice``: time cut into parts of about equal row counts."""
-    seconds = F.col(time).cast("timestamp").cast("double")
-    probs = [i / slices for i in range(1, slices)]
-    found = df.agg(F.percentile_approx(seconds, probs, 10_000).alias("q")).first()["q"] or []
-    splits = [float("-inf"), *sorted(set(found)), float("inf")]
-    cut = Bucketizer(splits=splits, inputCol="__seconds", outputCol="__slice", handleInvalid="keep")
-    return cut.transform(df.withColumn("__seconds", seconds)).drop("__seconds")
-
-
-def previous_value(df: DataFrame, entity: str, order: Sequence[str], value: str, out: str, slices: int = SLICES) -> DataFrame:
-    """Add the value of the entity's row before, in the order of ``order`` (time first).
-
-    A plain ``lag`` would sort all rows of an entity in one task. Here the rows are windowed by
-    entity and time slice, so a hot entity spreads over the slices; only the first row of a slice
-    looks back to the last row of the entity's slice before, taken from a table with one row per
-    entity and slice.
+    A plain ``lag`` by entity would sort all rows of a hot entity in one task. Here the rows are
+    range-partitioned by entity and order, so every part holds about as many rows whatever the
+    entities' sizes, and the window runs by part. Only the first row of a part looks back: to the
+    last row of the part before, from a table with one row per part. The parts are kept as a table,
+    so that a retried task finds the same ones.
     """
-    sliced = time_slices(df, order[0], slices)
-    within = W.partitionBy(entity, "__slice").orderBy(*order)
-    rows = sliced.withColumns({out: F.lag(value).over(within), "__first": F.row_number().over(within) == 1})
-    last = sliced.groupBy(entity, "__slice").agg(F.max_by(value, F.struct(*order)).alias("__last"))
-    across = W.partitionBy(entity).orderBy("__slice")  # at most ``slices`` rows per entity
-    before = last.select(entity, "__slice", F.lag("__last").over(across).alias("__before"))
-    return (
-        rows.join(before, [entity, "__slice"], "left")
-        .withColumn(out, F.when(F.col("__first"), F.col("__before")).otherwise(F.col(out)))
-        .drop("__first", "__before", "__slice")
+    placed = cut_lineage(df.repartitionByRange(entity, *order).withColumn("__part", F.spark_partition_id()))
+    within = W.partitionBy("__part").orderBy(entity, *order)
+    last_of_part = placed.groupBy("__part").agg(
+        F.max_by(F.struct(F.col(entity).alias("e"), F.col(value).alias("v")), F.struct(entity, *order)).alias("last")
     )
+    before = F.lag("last").over(W.orderBy("__part"))  # one row per part
+    ends = last_of_part.select("__part", before.alias("__before"))
+    here = F.struct(F.col(entity).alias("e"), F.col(value).alias("v"))
+    rows = placed.withColumn("__lag", F.lag(here).over(within)).join(F.broadcast(ends), "__part", "left")
+    previous = F.coalesce("__lag", "__before")
+    return rows.withColumn(out, F.when(previous["e"].eqNullSafe(F.col(entity)), previous["v"])).drop("__part", "__lag", "__before")
 
 
 class SequenceOutlierDetector(Estimator):

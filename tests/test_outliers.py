@@ -115,7 +115,7 @@ def test_previous_value_with_a_hot_entity(spark):
         F.timestamp_seconds(F.floor(F.col("id") / 4) * 7 % 5000).alias("ts"), (F.col("id") * 31 % 11).alias("state"),
     )
     plain = df.withColumn("p", F.lag("state").over(W.partitionBy("entity").orderBy("ts", "id")))
-    ours = previous_value(df, "entity", ["ts", "id"], "state", "p", slices=16)
+    ours = previous_value(df, "entity", ["ts", "id"], "state", "p")
     assert sorted(ours.select("id", "p").collect(), key=str) == sorted(plain.select("id", "p").collect(), key=str)
 
 
