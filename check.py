@@ -14,6 +14,9 @@ from evidentia.session import local_session
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+TYPES = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean"}
+
+
 def cell(value):
     if isinstance(value, float):
         return "nan" if math.isnan(value) else repr(round(value, 6) + 0.0)
@@ -38,6 +41,9 @@ def compare(spark, con, fn, sql, sf_dir):
     expected = rel.fetchall()
     if sorted(columns) != sorted(df.columns):
         return len(rows), took, f"columns {sorted(df.columns)} != {sorted(columns)}"
+    wanted = {d[0]: TYPES.get(str(d[1]), str(d[1])) for d in rel.description}
+    if wanted != dict(df.dtypes):
+        return len(rows), took, f"types {sorted(set(df.dtypes) - set(wanted.items()))} != {sorted(set(wanted.items()) - set(df.dtypes))}"
     if len(rows) != len(expected):
         return len(rows), took, f"rows {len(rows)} != {len(expected)}"
     ours, theirs = normal(df.columns, rows), normal(columns, expected)

@@ -17,6 +17,7 @@ from evidentia.operators.selection import FeatureParams, SelectorModel
 
 DEFAULT_THRESHOLD = 0.5
 PAIRS_PER_JOB = 200
+TIE = 1e-12  # sums of doubles have no fixed order: values closer than this count as equal
 
 
 def relevance(df: DataFrame, features: Sequence[str], target: str, mode: str = "standard", bin_count: int = DEFAULT_BINS) -> DataFrame:
@@ -34,7 +35,11 @@ def dominance(scores: DataFrame, pair_scores: DataFrame, threshold: float) -> Da
         pair_scores.select("col_a", "col_b", F.col("nmi").alias("nmi_ab"))
         .join(F.broadcast(a), "col_a")  # a row per column
         .join(F.broadcast(b), "col_b")
-        .where((F.col("nmi_a") > threshold) & (F.col("nmi_a") > F.col("nmi_b")) & (F.col("nmi_ab") > F.col("nmi_b")))
+        .where(
+            (F.col("nmi_a") > threshold + TIE)
+            & (F.col("nmi_a") > F.col("nmi_b") + TIE)
+            & (F.col("nmi_ab") > F.col("nmi_b") + TIE)
+        )
     )
     return scores.join(shown.select(F.col("col_a").alias("feature")), "feature", "left_semi")
 
@@ -68,19 +73,19 @@ class NMIFeatureSelector(Estimator, FeatureParams, DefaultParamsWritable, Defaul
         else:
             raise ValueError("standard mode needs a threshold")
         score = {r["feature"]: r["nmi"] for r in relevance(df, features, label, mode, bins).collect()}
-        relevant = [c for c in features if score[c] is not None and score[c] > threshold]
+        relevant = [c for c in features if score[c] is not None and score[c] > threshold + TIE]
         chosen = relevant if len(relevant) == 1 else self._dominant(df, features, relevant, score, mode, bins)
         return SelectorModel.of(self, features, chosen, score)
 
     def _dominant(self, df, features, relevant, score, mode, bins) -> list[str]:
         # Only pairs that pass the first condition are counted, in batches of bounded width.
-        pairs = [(a, b) for a in relevant for b in features if a != b and score[b] is not None and score[a] > score[b]]
+        pairs = [(a, b) for a in relevant for b in features if a != b and score[b] is not None and score[a] > score[b] + TIE]
         chosen: set[str] = set()
         for start in range(0, len(pairs), PAIRS_PER_JOB):
             batch = [p for p in pairs[start : start + PAIRS_PER_JOB] if p[0] not in chosen]
             if not batch:
                 continue
             for r in nmi(df, batch, mode, bins).collect():
-                if r["nmi"] is not None and r["nmi"] > score[r["col_b"]]:
+                if r["nmi"] is not None and r["nmi"] > score[r["col_b"]] + TIE:
                     chosen.add(r["col_a"])
         return [c for c in relevant if c in chosen]

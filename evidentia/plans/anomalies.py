@@ -61,25 +61,25 @@ _ID = " || ':' || ".join(f"{c}::VARCHAR" for c in ROW_KEYS)
 
 
 def sql_reference_lof() -> str:
-    """Named steps that end in ``lof(id, lof)``: every row against the reference rows."""
+    """Named steps that end in ``lof(rid, lof)``: every row, numbered, against the reference rows."""
     square = " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in BAG)
     order = ", ".join([sql_uniform(*[f"{c}::VARCHAR" for c in ROW_KEYS], SEED), *ROW_KEYS])
+    nearest = f"b.id AS nb, sqrt({square}) AS dist, rank() OVER (PARTITION BY a.rid ORDER BY sqrt({square})) AS rk"
     return (
-        f"rows_ AS (SELECT *, {_ID} AS id FROM lineitem), refs AS (SELECT * FROM rows_ ORDER BY {order} LIMIT {REFERENCE}), "
-        f"rnear AS (SELECT * FROM (SELECT a.id, b.id AS nb, sqrt({square}) AS dist, rank() OVER (PARTITION BY a.id ORDER BY sqrt({square})) AS rk "
-        f"FROM refs a JOIN refs b ON a.id <> b.id) WHERE rk <= {K}), "
+        f"rows_ AS MATERIALIZED (SELECT *, {_ID} AS id, row_number() OVER () AS rid FROM lineitem), "
+        f"refs AS MATERIALIZED (SELECT * FROM rows_ ORDER BY {order} LIMIT {REFERENCE}), "
+        f"rnear AS (SELECT * FROM (SELECT a.id, {nearest} FROM refs a JOIN refs b ON a.id <> b.id) WHERE rk <= {K}), "
         "kd AS (SELECT id, max(dist) AS kd FROM rnear GROUP BY id), "
         "lrd AS (SELECT n.id, 1 / (avg(greatest(dist, kd)) + 1e-10) AS lrd FROM rnear n JOIN kd k ON k.id = n.nb GROUP BY n.id), "
-        f"near AS (SELECT * FROM (SELECT a.id, b.id AS nb, sqrt({square}) AS dist, rank() OVER (PARTITION BY a.id ORDER BY sqrt({square})) AS rk "
-        f"FROM rows_ a JOIN refs b ON a.id <> b.id) WHERE rk <= {K}), "
-        "lof AS (SELECT n.id, avg(l.lrd) * (avg(greatest(n.dist, k.kd)) + 1e-10) AS lof FROM near n JOIN lrd l ON l.id = n.nb "
-        "JOIN kd k ON k.id = n.nb GROUP BY n.id)"
+        f"near AS (SELECT * FROM (SELECT a.rid, {nearest} FROM rows_ a JOIN refs b ON a.id <> b.id) WHERE rk <= {K}), "
+        "lof AS (SELECT n.rid, avg(l.lrd) * (avg(greatest(n.dist, k.kd)) + 1e-10) AS lof FROM near n JOIN lrd l ON l.id = n.nb "
+        "JOIN kd k ON k.id = n.nb GROUP BY n.rid)"
     )
 
 
 @REG.add(
     "lof_sampled",
-    f"WITH {sql_reference_lof()} SELECT {', '.join(ROW_KEYS)}, {sql_r6('lof')} AS lof FROM rows_ JOIN lof USING (id)",
+    f"WITH {sql_reference_lof()} SELECT {', '.join(ROW_KEYS)}, {sql_r6('lof')} AS lof FROM rows_ JOIN lof USING (rid)",
 )
 def lof_sampled(spark, sf_dir) -> DataFrame:
     df = table(spark, sf_dir, "lineitem").select(*ROW_KEYS, *BAG)
@@ -93,11 +93,11 @@ SCORED_NODES = ["l_linestatus", "l_suppkey"]
 NUMERIC_PARENTS = {"l_extendedprice": ["l_returnflag", "l_linestatus"]}
 
 
-def sql_network_raw() -> str:
-    """``raw``: every row's id with the three raw network scores."""
+def sql_network_raw(rows: str = "rows_") -> str:
+    """``raw``: every numbered row with the three raw network scores."""
     return (
-        f"raw AS (SELECT {_ID} AS id, -ln(s.prob) AS s1, -ln(k.prob) AS s2, abs(d.l_extendedprice - g.mean) / g.sd AS s3 FROM lineitem d "
-        f"JOIN {sql_cpt('l_linestatus', ['l_returnflag'])} s USING (l_returnflag, l_linestatus) "
+        f"raw AS (SELECT {', '.join(ROW_KEYS)}, rid, -ln(s.prob) AS s1, -ln(k.prob) AS s2, abs(d.l_extendedprice - g.mean) / g.sd AS s3 "
+        f"FROM {rows} d JOIN {sql_cpt('l_linestatus', ['l_returnflag'])} s USING (l_returnflag, l_linestatus) "
         f"JOIN {sql_cpt('l_suppkey', ['l_returnflag'])} k USING (l_returnflag, l_suppkey) "
         "JOIN (SELECT l_returnflag, l_linestatus, avg(l_extendedprice) AS mean, stddev_pop(l_extendedprice) AS sd FROM lineitem GROUP BY ALL) g "
         "USING (l_returnflag, l_linestatus))"
@@ -108,12 +108,11 @@ _BN = " + ".join(f"(s{i} - (SELECT min(s{i}) FROM raw)) / (SELECT max(s{i}) - mi
 _BN = f"(({_BN}) / 3)"
 _LOF = "((lof - (SELECT min(lof) FROM lof)) / (SELECT max(lof) - min(lof) FROM lof))"
 _COMBINED = (
-    f"WITH {sql_reference_lof()}, {sql_network_raw()}, scores AS (SELECT id, {_LOF} AS lof_score, {_BN} AS bn_score, "
-    f"0.5e0 * {_LOF} + 0.5e0 * {_BN} AS score FROM raw JOIN lof USING (id)), "
+    f"WITH {sql_reference_lof()}, {sql_network_raw()}, scores AS (SELECT {', '.join(ROW_KEYS)}, {_LOF} AS lof_score, {_BN} AS bn_score, "
+    f"0.5e0 * {_LOF} + 0.5e0 * {_BN} AS score FROM raw JOIN lof USING (rid)), "
     "cutoff AS (SELECT quantile_cont(score, 0.95) AS cutoff FROM scores) "
 )
-_SPLIT_ID = ", ".join(f"split_part(id, ':', {i + 1})::BIGINT AS {c}" for i, c in enumerate(ROW_KEYS))
-_SPLIT_ID = _SPLIT_ID.replace("::BIGINT AS l_linenumber", "::INT AS l_linenumber")
+_KEYS = ", ".join(ROW_KEYS)
 
 
 def detector(bags: list[list[str]] | None) -> TabularOutlierDetector:
@@ -127,7 +126,7 @@ def _lineitem(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(*ROW_KEYS, *BAG, "l_returnflag", "l_linestatus")
 
 
-@REG.add("bn_anomaly", f"WITH {sql_network_raw()} SELECT {_SPLIT_ID}, {sql_r6(_BN)} AS bn_score FROM raw")
+@REG.add("bn_anomaly", f"WITH {sql_network_raw('(SELECT *, row_number() OVER () AS rid FROM lineitem)')} SELECT {_KEYS}, {sql_r6(_BN)} AS bn_score FROM raw")
 def bn_anomaly(spark, sf_dir) -> DataFrame:
     df = _lineitem(spark, sf_dir)
     return detector(None).fit(df).transform(df).select(*ROW_KEYS, r6("bn_score").alias("bn_score"))
@@ -135,7 +134,7 @@ def bn_anomaly(spark, sf_dir) -> DataFrame:
 
 @REG.add(
     "combined_anomaly",
-    _COMBINED + f"SELECT {_SPLIT_ID}, {sql_r6('lof_score')} AS lof_score, {sql_r6('bn_score')} AS bn_score, {sql_r6('score')} AS score FROM scores",
+    _COMBINED + f"SELECT {_KEYS}, {sql_r6('lof_score')} AS lof_score, {sql_r6('bn_score')} AS bn_score, {sql_r6('score')} AS score FROM scores",
 )
 def combined_anomaly(spark, sf_dir) -> DataFrame:
     df = _lineitem(spark, sf_dir)
@@ -145,7 +144,7 @@ def combined_anomaly(spark, sf_dir) -> DataFrame:
 
 @REG.add(
     "outlier_predict",
-    _COMBINED + f"SELECT {_SPLIT_ID}, CASE WHEN score > cutoff THEN -1 ELSE 1 END AS prediction FROM scores CROSS JOIN cutoff",
+    _COMBINED + f"SELECT {_KEYS}, CASE WHEN score > cutoff THEN -1 ELSE 1 END AS prediction FROM scores CROSS JOIN cutoff",
 )
 def outlier_predict(spark, sf_dir) -> DataFrame:
     df = _lineitem(spark, sf_dir)
@@ -154,7 +153,7 @@ def outlier_predict(spark, sf_dir) -> DataFrame:
 
 @REG.add(
     "outlier_decision",
-    _COMBINED + f"SELECT {_SPLIT_ID}, {sql_r6('cutoff - score')} AS decision FROM scores CROSS JOIN cutoff",
+    _COMBINED + f"SELECT {_KEYS}, {sql_r6('cutoff - score')} AS decision FROM scores CROSS JOIN cutoff",
 )
 def outlier_decision(spark, sf_dir) -> DataFrame:
     df = _lineitem(spark, sf_dir)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from evidentia.operators.cpt import Network, fit_network
 from evidentia.operators.families import cardinalities, compress, edge_gains, named_bic_scores, network_score, screened_edges
 from evidentia.operators.graph import allowed_edges, parent_table
 from evidentia.operators.selection import markov_blanket
-from evidentia.operators.structure import learn_structure
+from evidentia.operators.structure import learn_structure, random_forest
 from evidentia.plans.common import r6, registry, sql_r6, table
 from evidentia.session import scratch_path
 
@@ -245,9 +247,15 @@ def bn_structure(spark, sf_dir) -> DataFrame:
     return _scored_edges(spark, df, found.edges)
 
 
-@REG.add("bn_forest")
+FOREST = random_forest(ORDER, set(), random.Random(7))  # the seed alone decides the edges
+
+
+@REG.add(
+    "bn_forest",
+    f"WITH derived AS ({DERIVED_SQL}) " + " UNION ALL ".join(
+        f"SELECT '{p}' AS parent, '{c}' AS child, {sql_r6(sql_bic(c, [p], 'derived'))} AS family_score" for p, c in FOREST
+    ),
+)
 def bn_forest(spark, sf_dir) -> DataFrame:
     df = derived(spark, sf_dir, "l_orderkey", "l_linenumber")
     return _scored_edges(spark, df, learn_structure(df, ORDER, iterations=0, seed=7, key=KEYS).edges)
-
-

@@ -10,6 +10,7 @@ from evidentia.operators.entropy import causal_effects, nmi
 from evidentia.operators.nmi_selector import NMIFeatureSelector, dominance, relevance
 from evidentia.operators.selection import FirstKSelector
 from evidentia.plans.common import r6, registry, sql_iqr_codes, sql_r6, table
+from evidentia.plans.networks import derived
 from evidentia.plans.statistics import NMI_CODES_SQL, NMI_FEATURES, NMI_TARGET, sql_nmi
 
 REG = registry()
@@ -99,9 +100,9 @@ def _dominant_sql(threshold: float, mode: str) -> str:
     """Features kept after both stages; stage 2 falls away when stage 1 keeps exactly one."""
     return (
         f"WITH codes AS ({NMI_CODES_SQL}), t AS ({sql_nmi([(c, NMI_TARGET) for c in NMI_FEATURES], mode)}), "
-        f"p AS ({sql_nmi(_PAIRS, mode)}), kept AS (SELECT col_a AS feature, nmi FROM t WHERE nmi > {threshold}), "
+        f"p AS ({sql_nmi(_PAIRS, mode)}), kept AS (SELECT col_a AS feature, nmi FROM t WHERE nmi > {threshold} + 1e-12), "
         "dominant AS (SELECT DISTINCT a.feature FROM kept a JOIN p ON p.col_a = a.feature JOIN t b ON b.col_a = p.col_b "
-        "WHERE a.nmi > b.nmi AND p.nmi > b.nmi) "
+        "WHERE a.nmi > b.nmi + 1e-12 AND p.nmi > b.nmi + 1e-12) "
     )
 
 
@@ -124,17 +125,12 @@ def nmi_select(spark, sf_dir) -> DataFrame:
     return model.support(spark).select("feature", r6("score").alias("score"), "selected")
 
 
-# Stage 1 keeps all five columns, four of which make l_linenumber redundant.
-@REG.add(
-    "nmi_select_transform",
-    "SELECT l_orderkey, l_quantity, l_discount, l_tax FROM lineitem",
-)
+# The price class and its coarse form both tell of the net class, and the first makes the second redundant.
+@REG.add("nmi_select_transform", "SELECT l_orderkey, floor(l_extendedprice / 20000)::BIGINT AS dear FROM lineitem")
 def nmi_select_transform(spark, sf_dir) -> DataFrame:
-    df = table(spark, sf_dir, "lineitem")
-    model = NMIFeatureSelector(
-        featureCols=NMI_FEATURES, labelCol=NMI_TARGET, keepCols=["l_orderkey"], threshold=0.1, mode="counts"
-    ).fit(df)
-    return model.transform(df)
+    df = derived(spark, sf_dir, "l_orderkey").withColumn("coarse", F.floor(F.col("dear") / 2))
+    selector = NMIFeatureSelector(featureCols=["dear", "coarse", "reduced"], labelCol="net", keepCols=["l_orderkey"], threshold=0.01)
+    return selector.fit(df).transform(df)
 
 
 @REG.add("first_k_select", "SELECT l_quantity, l_extendedprice FROM lineitem")
