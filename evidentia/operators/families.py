@@ -52,12 +52,16 @@ def combinations(cards: dict[str, int], parents: Iterable[str]) -> int:
     return math.prod(cards[p] for p in parents)
 
 
-def bic_scores(table: DataFrame, families: Sequence[Family], cards: dict[str, int], by: Sequence[str] = ()) -> DataFrame:
-    """``(family, by..., score)`` with score = sum n ln(n / n_pa) - 0.5 ln(N) q (r - 1).
+def bic_scores(table: DataFrame, families: Sequence[Family], cards: dict[str, int]) -> DataFrame:
+    """``(family, score)`` with score = sum n ln(n / n_pa) - 0.5 ln(N) q (r - 1)."""
+    return bic_of_cells(family_counts(table, families), families, cards)
+
+
+def bic_of_cells(cells: DataFrame, families: Sequence[Family], cards: dict[str, int], by: Sequence[str] = ()) -> DataFrame:
+    """Scores from counted families, per value of the ``by`` columns.
 
     Parent totals are a second grouped sum, so the score is two partial aggregates and no window.
     """
-    cells = family_counts(table, families, by)
     n = F.col("n")
     strata = cells.groupBy("family", *by, "pa").agg(
         F.sum(n * F.ln(n.cast("double"))).alias("cell_nlogn"), F.sum("n").alias("n")

@@ -22,10 +22,11 @@ from evidentia.operators.families import (
     FAMILIES_PER_JOB,
     PARENT_PENALTY,
     Family,
-    bic_scores,
+    bic_of_cells,
     cardinalities,
     combinations,
     compress,
+    family_counts,
 )
 from evidentia.operators.graph import Edge, is_acyclic, parents_of
 
@@ -50,8 +51,9 @@ class Structure:
 class _Scores:
     """Family scores at every sample stage, fetched from Spark in batches.
 
-    ``table`` holds the counts once per stage that contains them, so one job scores a batch of
-    families for all stages.
+    ``table`` holds the counts by the stage at which rows enter the sample. A batch of families is
+    counted by that stage, and only the counted cells are added up for the stages that contain
+    them, so one job scores the batch for all stages.
     """
 
     def __init__(self, table: DataFrame, cards: dict[str, int], cols: Sequence[str]) -> None:
@@ -71,7 +73,10 @@ class _Scores:
         wanted += [f for f in dict.fromkeys(likely) if (0, f) not in self.known and f not in wanted][:room]
         for start in range(0, len(wanted), FAMILIES_PER_JOB):
             batch = wanted[start : start + FAMILIES_PER_JOB]
-            rows = bic_scores(self.table, batch, self.cards, ["stage"]).collect()
+            entered = family_counts(self.table, batch, ["entered"])
+            stages = F.explode(F.sequence("entered", F.lit(STAGES - 1))).alias("stage")
+            cells = entered.select("family", "pa", "state", "n", stages).groupBy("family", "stage", "pa", "state").agg(F.sum("n").alias("n"))
+            rows = bic_of_cells(cells, batch, self.cards, ["stage"]).collect()
             self.jobs += 1
             self.known.update({(s, f): 0.0 for s in range(STAGES) for f in batch})
             self.known.update({(r["stage"], batch[r["family"]]): r["score"] for r in rows})
@@ -165,9 +170,7 @@ def learn_structure(
     stage_of = F.lit(last)
     for s in reversed(range(last)):
         stage_of = F.when(u < F.lit(FIRST_FRACTION * 2 ** (s + 1)), F.lit(s)).otherwise(stage_of)
-    entered = compress(rows, nodes, stage_of.alias("entered"))
-    stages = F.explode(F.sequence("entered", F.lit(last))).alias("stage")
-    table = entered.select(*nodes, "n", stages).persist(StorageLevel.MEMORY_AND_DISK)
+    table = compress(rows, nodes, stage_of.alias("entered")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         cards = cardinalities(table, nodes)
         scores = _Scores(table, cards, nodes)
