@@ -8,6 +8,7 @@ from pyspark import keyword_only
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evidentia.operators.graph import Edge
 from evidentia.operators.selection import FeatureParams
@@ -15,6 +16,7 @@ from evidentia.operators.synth import SyntheticGenerator
 
 IMBALANCE_RATIO = 0.5
 MAX_CLASSES = 10_000
+CHUNK = 100_000
 
 
 def class_imbalance(df: DataFrame, label: str, limit: float = IMBALANCE_RATIO) -> DataFrame:
@@ -56,19 +58,20 @@ class ClassBalancer(FeatureParams):
         columns = [label, *features, *self.numeric_parents]
         originals = df.select(*columns).withColumn("synthetic", F.lit(False))
         largest = max((r["n"] for r in rows), default=0)
-        ends, total = [], 0
+        missing, start = [], 0
         for r in rows:
             if r["n"] < largest:
-                total += largest - r["n"]
-                ends.append((total, r[label]))
-        if not ends:
+                missing.append((r[label], start, start + largest - r["n"]))
+                start += largest - r["n"]
+        if not missing:
             return originals
-        # The new rows come from one range over all deficits, so they are made in parallel however
-        # uneven the classes are; the row's class follows from its number.
-        which = F.lit(ends[-1][1])
-        for end, value in reversed(ends[:-1]):
-            which = F.when(F.col("id") < end, F.lit(value)).otherwise(which)
-        wanted = df.sparkSession.range(total).withColumn(label, which.cast(df.schema[label].dataType))
+        # The numbers of the new rows are cut into chunks that spread over the cluster, however uneven
+        # the classes are.
+        schema = T.StructType([df.schema[label], T.StructField("first", T.LongType()), T.StructField("end", T.LongType())])
+        deficits = df.sparkSession.createDataFrame(missing, schema)
+        chunks = deficits.select(label, "end", F.explode(F.sequence(F.col("first"), F.col("end") - 1, F.lit(CHUNK))).alias("first"))
+        until = F.least(F.col("first") + CHUNK, F.col("end")) - 1
+        wanted = chunks.repartition(label, "first").select(label, F.explode(F.sequence("first", until)).alias("id"))
         made = model._transform(wanted, self.getOrDefault("seed")).select(
             *[F.col(c).cast(df.schema[c].dataType).alias(c) for c in columns], F.lit(True).alias("synthetic")
         )

@@ -7,9 +7,10 @@ importance is the mean absolute change of the last layer's prediction when the u
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -17,7 +18,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evidentia.operators.ace import moments
 from evidentia.session import cut_lineage
 
 
@@ -34,8 +34,20 @@ def response_norms(activations: DataFrame, response: str = "response", out: str
     return activations.withColumn(out, frobenius(block)).drop(response)
 
 
-def unit_column(layer: int, unit: int) -> str:
-    return f"u{layer}_{unit}"
+def layered(norms: DataFrame, layers: Sequence[str], units: Sequence[Sequence[int]], sample: str) -> DataFrame:
+    """One row per complete sample with an array of norms per layer, ``l0, l1, ...``, in unit order."""
+    arrays = []
+    for i, name in enumerate(layers):
+        found = F.collect_list(F.when(F.col("layer") == name, F.struct("unit", "norm")))  # one per unit
+        arrays.append(F.transform(F.array_sort(found), lambda e: e["norm"]).alias(f"l{i}"))
+    complete = F.lit(True)
+    for i, us in enumerate(units):
+        complete = complete & (F.size(f"l{i}") == len(us))
+    return norms.where(F.col("norm").isNotNull()).groupBy(sample).agg(*arrays).where(complete)
+
+
+def _matrix(column: pd.Series) -> np.ndarray:
+    return np.stack(column.to_numpy()) if len(column) else np.empty((0, 0))
 
 
 class UnitImportance(Estimator):
@@ -56,26 +68,50 @@ class UnitImportance(Estimator):
         units = [sorted(r["unit"] for r in found if r["layer"] == name) for name in layers]
         if len(layers) < 2 or not all(units):
             raise ValueError("at least two layers with units are needed")
-        wide = cut_lineage(widen(response_norms(activations), layers, units, sample))
-        cols = [[unit_column(i, u) for u in us] for i, us in enumerate(units)]
-        pairs = {(a, b) for i in range(1, len(layers)) for a in cols[i - 1] for b in [*cols[i - 1], *cols[i]]}
-        stats = moments(wide, [c for layer in cols for c in layer], pairs)
+        rows = cut_lineage(layered(response_norms(activations), layers, units, sample).drop(sample))
+        means = self._means(rows, units)
         weights, intercepts = [], []
-        for before, after in zip(cols, cols[1:]):
-            solved = [stats.solve(before, c) for c in after]
-            weights.append(np.column_stack([coef for coef, _ in solved]))
-            intercepts.append(np.array([b for _, b in solved]))
+        for (inner, outer), before, after in zip(self._products(rows, units, means), means, means[1:]):
+            w = np.linalg.pinv(inner, hermitian=True) @ outer
+            weights.append(w)
+            intercepts.append(after - before @ w)
         return UnitImportanceModel(layers, units, sample, weights, intercepts)
 
-
-def widen(norms: DataFrame, layers: Sequence[str], units: Sequence[Sequence[int]], sample: str) -> DataFrame:
-    """One row per sample with a column per unit, by one grouped aggregate."""
-    picks = [
-        F.max(F.when((F.col("layer") == name) & (F.col("unit") == u), F.col("norm"))).alias(unit_column(i, u))
-        for i, (name, us) in enumerate(zip(layers, units))
-        for u in us
-    ]
-    return norms.groupBy(sample).agg(*picks)
+    @staticmethod
+    def _means(rows: DataFrame, units: list[list[int]]) -> list[np.ndarray]:
+        out = [np.zeros(len(us)) for us in units]
+        for i in range(len(units)):
+            each = rows.select(F.posexplode(f"l{i}").alias("at", "norm")).groupBy("at").agg(F.avg("norm").alias("mean"))
+            for r in each.collect():
+                out[i][r["at"]] = r["mean"]
+        return out
+
+    @staticmethod
+    def _products(rows: DataFrame, units: list[list[int]], means: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Centred cross products of every layer with itself and with the next one. Each task sums its
+        Arrow batches; only the sums are shuffled."""
+        last = len(units) - 1
+
+        def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            inner = [np.zeros((len(units[i]), len(units[i]))) for i in range(last)]
+            outer = [np.zeros((len(units[i]), len(units[i + 1]))) for i in range(last)]
+            for batch in batches:
+                if not len(batch):
+                    continue
+                x = [_matrix(batch[f"l{i}"]) - means[i] for i in range(last + 1)]
+                for i in range(last):
+                    inner[i] += x[i].T @ x[i]
+                    outer[i] += x[i].T @ x[i + 1]
+            for kind, parts in enumerate((inner, outer)):
+                for i, part in enumerate(parts):
+                    r, c = np.indices(part.shape)
+                    yield pd.DataFrame({"kind": kind, "layer": i, "r": r.ravel(), "c": c.ravel(), "s": part.ravel()})
+
+        out = [(np.zeros((len(units[i]),) * 2), np.zeros((len(units[i]), len(units[i + 1])))) for i in range(last)]
+        summed = rows.mapInPandas(sums, "kind int, layer int, r int, c int, s double").groupBy("kind", "layer", "r", "c").agg(F.sum("s").alias("s"))
+        for r in summed.collect():  # one row per pair of units in neighbouring layers
+            out[r["layer"]][r["kind"]][r["r"], r["c"]] = r["s"]
+        return out
 
 
 class UnitImportanceModel(Model):
@@ -92,34 +128,28 @@ class UnitImportanceModel(Model):
                 rows += [(self.layers[i + 1], unit, source, float(w[j, k])) for j, source in enumerate(self.units[i])]
         return df.sparkSession.createDataFrame(rows, "layer string, unit int, source int, coefficient double")
 
-    def _wide(self, activations: DataFrame) -> DataFrame:
-        return widen(response_norms(activations), self.layers, self.units, self.sample)
-
     def _transform(self, activations: DataFrame) -> DataFrame:
-        """The wide table with ``p<unit>``: the last layer predicted from the first through the chain."""
-        df = self._wide(activations)
-        last = len(self.layers) - 1
-        current = [F.col(unit_column(0, u)) for u in self.units[0]]
-        for i, (w, b) in enumerate(zip(self.weights, self.intercepts)):
-            step = {}
-            for k, unit in enumerate(self.units[i + 1]):
-                value = F.lit(float(b[k]))
-                for j, x in enumerate(current):
-                    value = value + F.lit(float(w[j, k])) * x
-                step[f"p{unit}" if i + 1 == last else f"__p{i + 1}_{unit}"] = value
-            df = df.withColumns(step)
-            current = [F.col(c) for c in step]
-        return df.drop(*[f"__p{i}_{u}" for i in range(1, last) for u in self.units[i]])
+        """Per sample the layers' norms and ``predicted``: the last layer from the first through the chain."""
+        weights, intercepts = self.weights, self.intercepts
+
+        @F.pandas_udf("array<double>")
+        def chained(first: pd.Series) -> pd.Series:
+            if not len(first):
+                return pd.Series([], dtype=object)
+            x = _matrix(first)
+            for w, b in zip(weights, intercepts):
+                x = x @ w + b
+            return pd.Series(list(x))
+
+        rows = layered(response_norms(activations), self.layers, self.units, self.sample)
+        return rows.withColumn("predicted", chained("l0"))
 
     def mse(self, activations: DataFrame) -> DataFrame:
         """One row: mean squared error of the chained prediction over samples and last units."""
-        last = len(self.layers) - 1
-        df = self.transform(activations)
-        errors = [F.pow(F.col(f"p{u}") - F.col(unit_column(last, u)), F.lit(2)) for u in self.units[last]]
-        total = errors[0]
-        for e in errors[1:]:
-            total = total + e
-        return df.agg(F.avg(total / len(errors)).alias("mse"))
+        actual = F.col(f"l{len(self.layers) - 1}")
+        squares = F.zip_with("predicted", actual, lambda p, a: (p - a) * (p - a))
+        total = F.aggregate(squares, F.lit(0.0), lambda s, x: s + x)
+        return self.transform(activations).agg(F.avg(total / len(self.units[-1])).alias("mse"))
 
     def importance(self, activations: DataFrame) -> DataFrame:
         """``(layer, unit, importance)`` of every unit before the last layer.
@@ -127,18 +157,15 @@ class UnitImportanceModel(Model):
         The chain is linear, so zeroing a unit moves the last prediction by its norm times the path
         weight from the unit to the end: one aggregate of mean norms gives all units.
         """
-        norms = response_norms(activations)
         path = np.eye(len(self.units[-1]))
-        reach = F.lit(None).cast("double")
+        reach = []
         for i in reversed(range(len(self.layers) - 1)):
             path = self.weights[i] @ path
-            for j, unit in enumerate(self.units[i]):
-                at = (F.col("layer") == self.layers[i]) & (F.col("unit") == unit)
-                reach = F.when(at, F.lit(float(np.abs(path[j]).mean()))).otherwise(reach)
-        means = norms.groupBy("layer", "unit").agg(F.avg(F.abs("norm")).alias("mean_norm"))
-        return means.withColumn("importance", F.col("mean_norm") * reach).where(F.col("importance").isNotNull()).select(
-            "layer", "unit", "importance"
-        )
+            reach += [(self.layers[i], unit, float(np.abs(path[j]).mean())) for j, unit in enumerate(self.units[i])]
+        spark = activations.sparkSession
+        factors = F.broadcast(spark.createDataFrame(reach, "layer string, unit int, reach double"))  # a row per unit
+        means = response_norms(activations).groupBy("layer", "unit").agg(F.avg(F.abs("norm")).alias("mean_norm"))
+        return means.join(factors, ["layer", "unit"]).select("layer", "unit", (F.col("mean_norm") * F.col("reach")).alias("importance"))
 
     def top(self, activations: DataFrame, n: int = 10) -> DataFrame:
         return self.importance(activations).orderBy(F.desc("importance"), "layer", "unit").limit(n)

@@ -110,7 +110,8 @@ def _with_reach(located: DataFrame, grid: _Grid, k: int) -> DataFrame:
     d = grid.d
     at = F.pow(F.lit(2.0), F.col("level"))
     own = [grid._index(F.col("loc")[j] - F.lit(grid.lo[j]), F.lit(grid.side) / at, at) for j in range(d)]
-    mates = F.collect_list("loc").over(W.partitionBy("level", *own))
+    alone = F.when(F.col("level") >= MAX_LEVEL, F.col("loc"))  # the last level is not cut further
+    mates = F.collect_list("loc").over(W.partitionBy("level", *own, alone))
     distances = F.transform("mates", lambda m: _distance(F.col("loc"), m, d))
     nearest = F.get(F.array_sort(F.filter(distances, lambda x: x > 0)), F.lit(k - 1))
     diagonal = F.lit(grid.side * math.sqrt(d)) / at
