@@ -75,15 +75,18 @@ def category_columns(
         dtype = df.schema[c].dataType
         if is_numeric(dtype) and not is_integer(dtype) and (bin_booleans or not isinstance(dtype, T.BooleanType)):
             binned.append(c)
-    none_i, none_s = F.lit(None).cast("bigint"), F.lit(None).cast("string")
+    none_s = F.lit(None).cast("string")
     for c, code in right_codes(fit_right_closed(df, binned, bin_count)).items():
         keys[c] = F.struct(code.alias("i"), none_s.alias("s"))
     for c in dict.fromkeys(cols):
-        if c in keys:
-            continue
-        dtype = df.schema[c].dataType
-        if is_integer(dtype) or isinstance(dtype, T.BooleanType):
-            keys[c] = F.struct(F.col(c).cast("bigint").alias("i"), none_s.alias("s"))
-        else:
-            keys[c] = F.struct(none_i.alias("i"), F.col(c).cast("string").alias("s"))
+        if c not in keys:
+            keys[c] = plain_key(df, c)
     return keys, set(binned)
+
+
+def plain_key(df: DataFrame, c: str) -> Column:
+    """A value as its own category: ``struct<i bigint, s string>`` with one side filled."""
+    whole = is_integer(df.schema[c].dataType) or isinstance(df.schema[c].dataType, T.BooleanType)
+    i = F.col(c).cast("bigint") if whole else F.lit(None).cast("bigint")
+    s = F.lit(None).cast("string") if whole else F.col(c).cast("string")
+    return F.struct(i.alias("i"), s.alias("s"))

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from evidentia.functions.binning import DEFAULT_BINS
 from evidentia.functions.information import entropy_of_counts, n_log_n
-from evidentia.operators.counts import category_columns, contingency
+from evidentia.operators.counts import category_columns, contingency, plain_key
 
 
 def entropies(codes: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Base-2 entropy of each column, all in one shuffle: ``(feature, entropy)``."""
-    keys = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("code")) for c in cols]))
+    keys = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), plain_key(codes, c).alias("code")) for c in cols]))
     counts = contingency(codes.select(keys.alias("e")), ["e.feature", "e.code"])
     return counts.groupBy("feature").agg(entropy_of_counts(F.col("n")).alias("entropy"))
 
@@ -26,7 +26,7 @@ def conditional_entropies(codes: DataFrame, target: str, givens: Sequence[Sequen
     cells costs no more than a partial sum.
     """
     variants = [
-        F.struct(F.lit(",".join(g)).alias("given"), F.array(*[F.col(c).cast("string") for c in g]).alias("o")) for g in givens
+        F.struct(F.lit(",".join(g)).alias("given"), F.array(*[plain_key(codes, c) for c in g]).alias("o")) for g in givens
     ]
     cells = contingency(codes.select(F.explode(F.array(*variants)).alias("v"), F.col(target).alias("y")), ["v.given", "v.o", "y"])
     strata = cells.groupBy("given", "o").agg(n_log_n(F.col("n")).alias("cell_nlogn"), F.sum("n").alias("n"))

@@ -79,12 +79,12 @@ class UnitImportance(Estimator):
 
     @staticmethod
     def _means(rows: DataFrame, units: list[list[int]]) -> list[np.ndarray]:
-        out = [np.zeros(len(us)) for us in units]
-        for i in range(len(units)):
-            each = rows.select(F.posexplode(f"l{i}").alias("at", "norm")).groupBy("at").agg(F.avg("norm").alias("mean"))
-            for r in each.collect():
-                out[i][r["at"]] = r["mean"]
-        return out
+        everything = F.posexplode(F.concat(*[f"l{i}" for i in range(len(units))])).alias("at", "norm")
+        found = rows.select(everything).groupBy("at").agg(F.avg("norm").alias("mean")).collect()  # one row per unit
+        flat = np.zeros(sum(map(len, units)))
+        for r in found:
+            flat[r["at"]] = r["mean"]
+        return np.split(flat, np.cumsum([len(us) for us in units])[:-1])
 
     @staticmethod
     def _products(rows: DataFrame, units: list[list[int]], means: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
