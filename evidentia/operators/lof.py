@@ -248,9 +248,8 @@ class ReferenceLOF:
             raise ValueError("the reference columns hold missing or infinite values")
         dist = cls._distances(points, points)
         np.fill_diagonal(dist, np.inf)
-        k_dist = np.partition(dist, k - 1, axis=1)[:, k - 1]
-        near = dist <= k_dist[:, None]
-        lrd = 1.0 / (cls._mean(np.maximum(dist, k_dist[None, :]), near) + LRD_EPSILON)
+        row, other, k_dist = cls._near(dist, k)
+        lrd = 1.0 / (cls._mean(row, np.maximum(dist[row, other], k_dist[other])) + LRD_EPSILON)
         return cls(cols, keys, k, local["__id"].to_numpy(dtype=object), points, k_dist, lrd)
 
     @staticmethod
@@ -262,13 +261,20 @@ class ReferenceLOF:
         return np.sqrt(total)
 
     @staticmethod
-    def _mean(values: np.ndarray, near: np.ndarray) -> np.ndarray:
-        return np.where(near, values, 0.0).sum(axis=1) / near.sum(axis=1)
+    def _near(dist: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row and column of every pair within the row's k-distance, and the k-distances."""
+        k_dist = np.partition(dist, k - 1, axis=1)[:, k - 1]
+        row, other = np.nonzero(dist <= k_dist[:, None])
+        return row, other, k_dist
+
+    @staticmethod
+    def _mean(row: np.ndarray, values: np.ndarray) -> np.ndarray:
+        return np.bincount(row, weights=values) / np.bincount(row)
 
     def score(self, df: DataFrame, out: str = "lof") -> DataFrame:
         points, k_dist, lrd, k = self.points, self.k_dist, self.lrd, self.k
         known = pd.Index(self.ids)
-        distances, mean = self._distances, self._mean
+        distances, near, mean = self._distances, self._near, self._mean
 
         @F.pandas_udf("double")
         def factors(ids: pd.Series, *cols: pd.Series) -> pd.Series:
@@ -280,10 +286,9 @@ class ReferenceLOF:
                 own_place = known.get_indexer(ids.iloc[part])
                 inside = np.flatnonzero(own_place >= 0)
                 dist[inside, own_place[inside]] = np.inf  # a reference row is not its own neighbour
-                reach = np.partition(dist, k - 1, axis=1)[:, k - 1]
-                near = dist <= reach[:, None]
-                own = 1.0 / (mean(np.maximum(dist, k_dist[None, :]), near) + LRD_EPSILON)
-                result[part] = mean(np.broadcast_to(lrd, dist.shape), near) / own
+                row, other, _ = near(dist, k)
+                own = 1.0 / (mean(row, np.maximum(dist[row, other], k_dist[other])) + LRD_EPSILON)
+                result[part] = mean(row, lrd[other]) / own
             return pd.Series(result)
 
         label = F.concat_ws(":", *[F.col(c).cast("string") for c in self.keys])

@@ -44,9 +44,9 @@ def draw_category(df: DataFrame, network: Network, node: str, seed: int, id_col:
     df = _attach(df, cumulative_table(network, node), network.parents[node], ["cdf"], small=True)
     u = hash_uniform(F.col(id_col), node, seed)
     df = df.withColumn("__u", u)
-    hit = F.filter("cdf", lambda c: F.col("__u") < c["hi"])
+    hit = F.get(F.filter("cdf", lambda c: F.col("__u") < c["hi"]), F.lit(0))["state"]
     # Rounding may leave the last end a hair below one.
-    state = F.when(F.size(hit) > 0, F.get(hit, F.lit(0))["state"]).otherwise(F.element_at("cdf", -1)["state"])
+    state = F.coalesce(hit, F.element_at("cdf", -1)["state"])
     return df.withColumn(node, state).drop("__u", "cdf")
 
 
@@ -57,17 +57,25 @@ def standard_normal(id_col: str, node: str, seed: int) -> Column:
     return F.sqrt(-2 * F.ln(1 - u1)) * F.cos(F.lit(2 * math.pi) * u2)
 
 
-def draw_number(df: DataFrame, table: DataFrame, node: str, parents: Sequence[str], seed: int, id_col: str, small: bool) -> DataFrame:
+def draw_number(
+    df: DataFrame, table: DataFrame, node: str, parents: Sequence[str], seed: int, id_col: str, small: bool, components: int
+) -> DataFrame:
     """Add a continuous column: a mixture component, then a normal value."""
-    names = {c: f"__{c}" for c in ("weights", "means", "sds")}
-    side = table.withColumnsRenamed(names)
-    df = _attach(df, side, parents, list(names.values()), small)
+    normal = standard_normal(id_col, node, seed)
+    if components == 1:
+        side = table.select(*parents, F.get("means", F.lit(0)).alias("__mean"), F.get("sds", F.lit(0)).alias("__sd"))
+        df = _attach(df, side, parents, ["__mean", "__sd"], small)
+        return df.withColumn(node, F.col("__mean") + F.col("__sd") * normal).drop("__mean", "__sd")
+    ends = F.transform(
+        "weights", lambda w, i: F.aggregate(F.slice("weights", 1, i + 1), F.lit(0.0), lambda a, b: a + b)
+    )
+    side = table.select(*parents, ends.alias("__ends"), F.col("means").alias("__means"), F.col("sds").alias("__sds"))
+    df = _attach(df, side, parents, ["__ends", "__means", "__sds"], small)
     df = df.withColumn("__u", hash_uniform(F.col(id_col), f"{node}#0", seed))
-    # The number of components whose cumulative weight lies at or below u is the component's place.
-    below = F.transform("__weights", lambda w, i: F.aggregate(F.slice("__weights", 1, i + 1), F.lit(0.0), lambda a, b: a + b))
-    place = F.least(F.size(F.filter(below, lambda e: e <= F.col("__u"))), F.size("__weights") - 1)
-    value = F.get("__means", place) + F.get("__sds", place) * standard_normal(id_col, node, seed)
-    return df.withColumn(node, value).drop("__u", *names.values())
+    # The number of ends at or below u is the component's place.
+    df = df.withColumn("__c", F.least(F.size(F.filter("__ends", lambda e: e <= F.col("__u"))), F.lit(components - 1)))
+    value = F.get("__means", F.col("__c")) + F.get("__sds", F.col("__c")) * normal
+    return df.withColumn(node, value).drop("__u", "__c", "__ends", "__means", "__sds")
 
 
 class SyntheticGenerator(Estimator, FeatureParams):
@@ -100,14 +108,14 @@ class SyntheticGenerator(Estimator, FeatureParams):
         mixtures = {}
         for c, parents in self.numeric_parents.items():
             table = fit_mixtures(df, c, parents, count) if count > 1 else single_normals(df, c, parents)
-            mixtures[c] = (list(parents), table, table.count())
+            mixtures[c] = (list(parents), table, table.count(), count)
         return SyntheticModel(network, mixtures)
 
 
 class SyntheticModel(Model):
     SMALL_ROWS = 1_000_000
 
-    def __init__(self, network: Network, mixtures: dict[str, tuple[list[str], DataFrame, int]]) -> None:
+    def __init__(self, network: Network, mixtures: dict[str, tuple[list[str], DataFrame, int, int]]) -> None:
         super().__init__()
         self.network, self.mixtures = network, mixtures
 
@@ -123,22 +131,22 @@ class SyntheticModel(Model):
         for node in topological(self.network.nodes, self.network.edges):
             if node not in given:
                 df = draw_category(df, self.network, node, seed, id_col)
-        for node, (parents, table, rows) in self.mixtures.items():
+        for node, (parents, table, rows, components) in self.mixtures.items():
             if node not in given:
-                df = draw_number(df, table, node, parents, seed, id_col, rows <= self.SMALL_ROWS)
+                df = draw_number(df, table, node, parents, seed, id_col, rows <= self.SMALL_ROWS, components)
         keep = [c for c in df.columns if c in given]
         return df.select(*keep, *[c for c in [*self.network.nodes, *self.mixtures] if c not in given])
 
     def save(self, path: str) -> None:
         self.network.save(f"{path}/network")
         spark = self.network.cpt.sparkSession
-        meta = json.dumps({c: [p, n] for c, (p, _, n) in self.mixtures.items()})
+        meta = json.dumps({c: [p, n, k] for c, (p, _, n, k) in self.mixtures.items()})
         spark.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/mixtures.json")
-        for c, (_, table, _) in self.mixtures.items():
+        for c, (_, table, _, _) in self.mixtures.items():
             table.write.mode("overwrite").parquet(f"{path}/mixture={c}")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> SyntheticModel:
         meta = json.loads(spark.read.text(f"{path}/mixtures.json").first()["value"])
-        mixtures = {c: (p, spark.read.parquet(f"{path}/mixture={c}"), n) for c, (p, n) in meta.items()}
+        mixtures = {c: (p, spark.read.parquet(f"{path}/mixture={c}"), n, k) for c, (p, n, k) in meta.items()}
         return cls(Network.load(spark, f"{path}/network"), mixtures)

@@ -32,10 +32,13 @@ def local_session(cpus: str | int = "*", app: str = "evidentia", **conf: str) ->
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach: the session's checkpoint folder.
 
-    Only a session that names none (tests, local runs) gets a temporary one.
+    Only a local session that names none (tests) gets a temporary one; on a cluster the setting is
+    required, since a folder of one machine would not do.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="evidentia-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)
