@@ -46,10 +46,6 @@ def layered(norms: DataFrame, layers: Sequence[str], units: Sequence[Sequence[in
     return norms.where(F.col("norm").isNotNull()).groupBy(sample).agg(*arrays).where(complete)
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_numpy()) if len(column) else np.empty((0, 0))
-
-
 class UnitImportance(Estimator):
     """Fits the chain of linear equations between the layers, in their given order."""
 
@@ -98,7 +94,7 @@ class UnitImportance(Estimator):
             for batch in batches:
                 if not len(batch):
                     continue
-                x = [_matrix(batch[f"l{i}"]) - means[i] for i in range(last + 1)]
+                x = [np.stack(batch[f"l{i}"].to_numpy()) - means[i] for i in range(last + 1)]
                 for i in range(last):
                     inner[i] += x[i].T @ x[i]
                     outer[i] += x[i].T @ x[i + 1]
@@ -136,7 +132,7 @@ class UnitImportanceModel(Model):
         def chained(first: pd.Series) -> pd.Series:
             if not len(first):
                 return pd.Series([], dtype=object)
-            x = _matrix(first)
+            x = np.stack(first.to_numpy())
             for w, b in zip(weights, intercepts):
                 x = x @ w + b
             return pd.Series(list(x))

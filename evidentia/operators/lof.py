@@ -6,7 +6,7 @@ The k-neighbourhood holds every other row within the k-distance, ties included.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -217,6 +217,29 @@ def exact_lof(df: DataFrame, cols: Sequence[str], k: int, out: str = "lof") -> D
     )
 
 
+def _kernels() -> tuple[Callable, Callable, Callable]:
+    """Array steps of the reference factor. Made here so that they travel to the tasks by value and
+    the executors need no copy of this package."""
+
+    def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        total = np.zeros((len(a), len(b)))
+        for j in range(a.shape[1]):
+            delta = a[:, j][:, None] - b[:, j][None, :]
+            total += delta * delta
+        return np.sqrt(total)
+
+    def near(dist: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row and column of every pair within the row's k-distance, and the k-distances."""
+        k_dist = np.partition(dist, k - 1, axis=1)[:, k - 1]
+        row, other = np.nonzero(dist <= k_dist[:, None])
+        return row, other, k_dist
+
+    def mean(row: np.ndarray, values: np.ndarray) -> np.ndarray:
+        return np.bincount(row, weights=values) / np.bincount(row)
+
+    return distances, near, mean
+
+
 @dataclass
 class ReferenceLOF:
     """Factors against a fixed reference sample: one pass over the rows, no shuffle.
@@ -246,35 +269,17 @@ class ReferenceLOF:
         points = local[[f"__v{i}" for i in range(len(cols))]].to_numpy(dtype=float)
         if not np.isfinite(points).all():
             raise ValueError("the reference columns hold missing or infinite values")
-        dist = cls._distances(points, points)
+        distances, near, mean = _kernels()
+        dist = distances(points, points)
         np.fill_diagonal(dist, np.inf)
-        row, other, k_dist = cls._near(dist, k)
-        lrd = 1.0 / (cls._mean(row, np.maximum(dist[row, other], k_dist[other])) + LRD_EPSILON)
+        row, other, k_dist = near(dist, k)
+        lrd = 1.0 / (mean(row, np.maximum(dist[row, other], k_dist[other])) + LRD_EPSILON)
         return cls(cols, keys, k, local["__id"].to_numpy(dtype=object), points, k_dist, lrd)
 
-    @staticmethod
-    def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        total = np.zeros((len(a), len(b)))
-        for j in range(a.shape[1]):
-            delta = a[:, j][:, None] - b[:, j][None, :]
-            total += delta * delta
-        return np.sqrt(total)
-
-    @staticmethod
-    def _near(dist: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row and column of every pair within the row's k-distance, and the k-distances."""
-        k_dist = np.partition(dist, k - 1, axis=1)[:, k - 1]
-        row, other = np.nonzero(dist <= k_dist[:, None])
-        return row, other, k_dist
-
-    @staticmethod
-    def _mean(row: np.ndarray, values: np.ndarray) -> np.ndarray:
-        return np.bincount(row, weights=values) / np.bincount(row)
-
     def score(self, df: DataFrame, out: str = "lof") -> DataFrame:
         points, k_dist, lrd, k = self.points, self.k_dist, self.lrd, self.k
         known = pd.Index(self.ids)
-        distances, near, mean = self._distances, self._near, self._mean
+        distances, near, mean = _kernels()
 
         @F.pandas_udf("double")
         def factors(ids: pd.Series, *cols: pd.Series) -> pd.Series:
