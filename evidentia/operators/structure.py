@@ -36,6 +36,7 @@ FIRST_FRACTION = 0.1
 STAGES = 4
 ADD_TRIES = 10
 MAX_CELLS = 1_000_000
+TIE = 1e-9  # networks of equal score, such as one with an edge reversed, are no improvement
 
 
 @dataclass
@@ -79,7 +80,7 @@ class _Scores:
             rows = bic_of_cells(cells, batch, self.cards, ["stage"]).collect()
             self.jobs += 1
             self.known.update({(s, f): 0.0 for s in range(STAGES) for f in batch})
-            self.known.update({(r["stage"], batch[r["family"]]): r["score"] for r in rows})
+            self.known.update({(r["stage"], batch[r["family"]]): steady(r["score"]) for r in rows})
 
     def network(self, stage: int, edges: Sequence[Edge]) -> float:
         families = as_families(self.cols, edges)
@@ -87,6 +88,11 @@ class _Scores:
         return sum(self.known[(stage, f)] - PARENT_PENALTY * len(f[1]) for f in families)
 
 
+def steady(score: float) -> float:
+    """Ten digits of a score: sums of doubles have no fixed order, and a seed must decide alone."""
+    return float(f"{score:.10g}")
+
+
 def as_families(nodes: Sequence[str], edges: Iterable[Edge]) -> list[Family]:
     return [(c, tuple(p)) for c, p in parents_of(nodes, edges).items()]
 
@@ -197,7 +203,7 @@ def learn_structure(
                 reachable = (f for kind in moves.values() for m in kind if legal(m) for f in as_families(nodes, m))
                 scores.fetch(needed, [*reachable, *_small_families(nodes, cards, max_cells)])
             new_score = scores.network(stage, candidate)
-            if new_score > score:
+            if new_score > score + TIE * abs(score):
                 current, score = candidate, new_score
                 best = sorted([*best, (score, current)], reverse=True)[:REPOSITORY_SIZE]
             elif best:

@@ -141,6 +141,11 @@ def test_search_is_repeatable_and_never_below_its_start(spark):
     assert {frozenset(e) for e in found[0].edges} == {frozenset(("a", "b"))}
 
 
+def test_reversing_a_lone_edge_is_no_improvement(spark):
+    runs = [learn_structure(dependent(spark, p), ["a", "b"], iterations=40, seed=s, key=["id"]) for p, s in ((2, 5), (5, 5))]
+    assert runs[0].edges == runs[1].edges == runs[0].forest
+
+
 def test_no_iterations_give_the_forest(spark):
     found = learn_structure(dependent(spark, 2), ["a", "b", "c"], iterations=0, seed=3, key=["id"])
     assert found.edges == found.forest and len(found.edges) == 2
