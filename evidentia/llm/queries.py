@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame
 
+from evidentia.llm import language, quality_model, toxicity
 from evidentia.llm.byte_bpe import encode_digests, tokenizer_json
 from evidentia.llm.quality_rules import judge
 from evidentia.llm.sharding import STEP, shard_rows
@@ -57,3 +58,21 @@ def op7_token_counts(spark, sf_dir) -> DataFrame:
 def op8_byte_bpe(spark, sf_dir) -> DataFrame:
     spec = tokenizer_json(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     return encode_digests(table(spark, sf_dir, "documents"), spec)
+
+
+@REG.add("op4_toxicity_network")
+def op4_toxicity_network(spark, sf_dir) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_rows(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@REG.add("op10_byte_language")
+def op10_byte_language(spark, sf_dir) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.fit(docs))
+
+
+@REG.add("op3_ordinal_quality")
+def op3_ordinal_quality(spark, sf_dir) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_model.grade_rows(docs, quality_model.fit(docs, quality_model.ratings_of(table(spark, sf_dir, "labels"))))
