@@ -122,8 +122,8 @@ def digests(texts: list[str], spec: str) -> Iterator[tuple[int, str, str]]:
     """Number of tokens and digests of the ids and of the decoded bytes, text by text."""
     _, inner, first = load(spec)
     cuts = [cut(t) for t in texts]
-    inner.learn(p for _, rest in cuts for p in rest)
-    first.learn(p for p, _ in cuts)
+    inner.learn(rest for _, rest in cuts)
+    first.learn([[p for p, _ in cuts]])
     for head, rest in cuts:
         found = [first[head], *map(inner.__getitem__, rest)]
         ids, counts, raw = zip(*found)

@@ -9,8 +9,9 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable
 
-LIMIT = 500_000  # pieces kept by a worker; beyond that the table starts anew
+LIMIT = 1_000_000  # pieces kept by a worker; beyond that the table starts anew
 
+MARKS = frozenset(".,")
 SPACE_BEFORE_SPACE = re.compile(r"\s ")
 CUT = re.compile(r"(?<=\S)(?= )")
 
@@ -53,17 +54,19 @@ class Table(dict):
         super().__init__()
         self.encode, self.join, self.lead, self.same = encode, join, lead, same
 
-    def learn(self, pieces: Iterable[str]) -> None:
-        """Encode what is new among ``pieces``."""
-        wanted = set(pieces)
-        if len(self) + len(wanted) > LIMIT:
+    def learn(self, lists: Iterable[list[str]]) -> None:
+        """Encode what is new among lists of pieces. Afterwards the table has all of them."""
+        every: set[str] = set()
+        for pieces in lists:
+            every.update(pieces)
+        if len(self) + len(every) > LIMIT and len(self) + len(every.difference(self)) > LIMIT:
             self.clear()
+        wanted = every.difference(self)
         new = []
         for p in wanted:
-            if p not in self:
-                at = tail(p)
-                new.append((p, self.same(p[:at]), p[at:]) if at else (p, self.same(p), ""))
-        self.fill(self, {c for _, c, _ in new if c not in self}, self.lead)
+            at = tail(p) if p[-1:] in MARKS else 0
+            new.append((p, self.same(p[:at]), p[at:]) if at else (p, self.same(p), ""))
+        self.fill(self, {c for _, c, _ in new}.difference(self), self.lead)
         ends: dict = {}
         self.fill(ends, {e for _, _, e in new if e}, "")
         for p, core, end in new:

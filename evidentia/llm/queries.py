@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 
 from evidentia.llm import language, quality_model, toxicity
 from evidentia.llm.byte_bpe import encode_digests, tokenizer_json
+from evidentia.llm.packing import pack_documents
 from evidentia.llm.quality_rules import judge
 from evidentia.llm.sharding import STEP, shard_rows
 from evidentia.llm.token_counts import count_tokens, fresh_cache
@@ -76,3 +77,8 @@ def op10_byte_language(spark, sf_dir) -> DataFrame:
 def op3_ordinal_quality(spark, sf_dir) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_model.grade_rows(docs, quality_model.fit(docs, quality_model.ratings_of(table(spark, sf_dir, "labels"))))
+
+
+@REG.add("op9_genetic_packing")
+def op9_genetic_packing(spark, sf_dir) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))

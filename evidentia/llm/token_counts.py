@@ -51,8 +51,8 @@ def count_texts(texts: list[str], path: str, key: str) -> list[int]:
     """Token counts of whole texts, as the library gives them."""
     inner, first = _count_tables(path, key)
     cuts = [cut(t) for t in texts]
-    inner.learn(p for _, rest in cuts for p in rest)
-    first.learn(p for p, _ in cuts)
+    inner.learn(rest for _, rest in cuts)
+    first.learn([[p for p, _ in cuts]])
     count = inner.__getitem__
     return [first[p] + sum(map(count, rest)) for p, rest in cuts]
 
