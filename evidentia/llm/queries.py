@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 
 from evidentia.llm import language, quality_model, toxicity
 from evidentia.llm.byte_bpe import encode_digests, tokenizer_json
+from evidentia.llm.minhash import near_duplicates
 from evidentia.llm.packing import pack_documents
 from evidentia.llm.quality_rules import judge
 from evidentia.llm.sharding import STEP, shard_rows
@@ -82,3 +83,8 @@ def op3_ordinal_quality(spark, sf_dir) -> DataFrame:
 @REG.add("op9_genetic_packing")
 def op9_genetic_packing(spark, sf_dir) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@REG.add("op1_minhash_duplicates")
+def op1_minhash_duplicates(spark, sf_dir) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
