@@ -12,6 +12,7 @@ from evidentia.llm.packing import pack_documents
 from evidentia.llm.quality_rules import judge
 from evidentia.llm.sharding import STEP, shard_rows
 from evidentia.llm.token_counts import count_tokens, fresh_cache
+from evidentia.llm.vectors import near_vectors
 from evidentia.plans.common import registry, table
 
 REG = registry()
@@ -88,3 +89,8 @@ def op9_genetic_packing(spark, sf_dir) -> DataFrame:
 @REG.add("op1_minhash_duplicates")
 def op1_minhash_duplicates(spark, sf_dir) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@REG.add("op6_graph_vectors")
+def op6_graph_vectors(spark, sf_dir) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
