@@ -1,18 +1,60 @@
-"""From raw documents to packed training sequences."""
+"""From raw documents to packed training sequences.
+
+Every stage takes ``(spark, docs, sf_dir)`` and works on all that the stage before it kept; all but the last return the
+columns that they got. Labels are read from ``sf_dir``.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from evidentia.llm import quality_model, toxicity
+from evidentia.llm.minhash import near_duplicates
+from evidentia.llm.packing import pack_documents
 from evidentia.plans.common import table
 from evidentia.session import cut_lineage
 
-STAGES: list = []
+
+def _filtered(docs: DataFrame, score: Column, keeps) -> DataFrame:
+    """The rows whose score passes, with their columns; the score's own column has a name that no table has."""
+    name = f"score-{uuid.uuid4().hex}"
+    return docs.withColumn(name, score).where(keeps(F.col(f"`{name}`"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the ordinal model expects to be of good quality: P(grade >= 1) of at least 0.5. Without labels, all."""
+    model = quality_model.fit(docs, quality_model.ratings_of(table(spark, sf_dir, "labels")))
+    return _filtered(docs, quality_model.score_column(docs, model), lambda s: F.coalesce(s["tail_probability"], F.lit(1.0)) >= 0.5)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below the toxicity threshold of their language."""
+    net = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return _filtered(docs, toxicity.score_column(docs, net), lambda s: s < toxicity.threshold_column(net))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every group of near copies, the one with the smallest doc_id; of rows that share a doc_id, one. Rows without a doc_id stay."""
+    kept = cut_lineage(near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct())
+    one = docs.join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return one.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of at most 2048 tokens."""
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("quality classifier", keep_good), ("toxicity", drop_toxic), ("near copies", drop_near_copies), ("packing", pack)]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each on what the one before it kept."""
+    """All stages over ``documents``, each on what the one before it wrote."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = cut_lineage(stage(spark, docs, sf_dir))
