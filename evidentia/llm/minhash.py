@@ -48,7 +48,7 @@ def shingles(words: list[bytes]) -> np.ndarray:
 def sketches(sets: list[np.ndarray]) -> np.ndarray:
     """Sketch (128 numbers) of every set; sets must not be empty."""
     out = np.full((len(sets), PLACES), np.iinfo(np.uint64).max, np.uint64)
-    lengths = np.array([len(s) for s in sets])
+    lengths = np.array([len(s) for s in sets], np.int64)
     flat, owner = np.concatenate([*sets, np.zeros(0, np.uint64)]), np.repeat(np.arange(len(sets)), lengths)
     for r in range(2 * PLACES):
         h = mixed(flat ^ SEEDS[r])
