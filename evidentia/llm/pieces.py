@@ -30,8 +30,8 @@ def cut(text: str) -> tuple[str, list[str]]:
 
 
 def plain_word(word: str) -> bool:
-    """Letters alone, of scripts on which all Unicode versions agree."""
-    return word.isalpha() and max(word) < "\u0370"
+    """Letters alone, of scripts on which all Unicode versions agree; not the one whose lower case has a mark besides."""
+    return word.isalpha() and max(word) < "\u0370" and "\u0130" not in word
 
 
 def tail(piece: str) -> int:
