@@ -147,7 +147,10 @@ def train(languages: list[str], windows: np.ndarray, target: np.ndarray, epochs:
 
 
 def training_windows(docs: DataFrame, rows: int, windows: int) -> DataFrame:
-    """At most about ``rows`` documents shared evenly over the languages, as ``(lang, windows)`` of up to ``windows`` spread windows."""
+    """About ``rows`` documents shared evenly over the languages, as ``(lang, windows)`` of up to ``windows`` spread windows.
+
+    A hash of the key draws them, and of a key's rows one stays.
+    """
     keyed = docs.where("lang IS NOT NULL AND text IS NOT NULL").where(fold("doc_id", 4) != 2).select("doc_id", "lang")
     counts = {r.lang: r.n for r in keyed.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
@@ -163,10 +166,12 @@ def training_windows(docs: DataFrame, rows: int, windows: int) -> DataFrame:
                 cuts = cut_windows(text.encode("utf-8", "replace"))
                 at = np.unique(np.linspace(0, len(cuts) - 1, windows).astype(int))
                 out.append(cuts[at].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(out, pa.binary())], ["lang", "windows"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(out, pa.binary())], ["doc_id", "lang", "windows"])
 
     chosen = docs.where("lang IS NOT NULL AND text IS NOT NULL").where(fold("doc_id", 4) != 2).where(draw < share[F.col("lang")])
-    return chosen.select("lang", "text").mapInArrow(pick, "lang string, windows binary").limit(2 * rows)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    picked = chosen.select("doc_id", F.col("lang").cast("string"), "text").mapInArrow(pick, f"doc_id {kind}, lang string, windows binary")
+    return picked.dropDuplicates(["doc_id"]).select("lang", "windows")
 
 
 def fit(docs: DataFrame, rows: int = 3000, windows: int = 4) -> ByteNet | None:

@@ -119,10 +119,11 @@ def fit(docs: DataFrame, ratings: DataFrame, rows: int = 2000) -> OrdinalModel |
     """A model from a bounded sample of ``ratings(doc_id, grade)``, or None where fewer than two grades are known.
 
     At most ``rows`` documents of every grade from 0 on are learned from, weighed back to the grades' shares; fold 0 of 5 is
-    never learned from. The driver gets sparse features, at most 2 * BUCKETS numbers a document.
+    never learned from. The driver gets sparse features, at most 2 * BUCKETS numbers a document, of one row a key; of
+    several grades of a key the lowest counts.
     """
     prepare(docs.sparkSession)
-    known = ratings.where("doc_id IS NOT NULL AND grade >= 0").where(fold("doc_id", 5) != 0).select("doc_id", "grade").distinct()
+    known = ratings.where("doc_id IS NOT NULL AND grade >= 0").where(fold("doc_id", 5) != 0).groupBy("doc_id").agg(F.min("grade").alias("grade"))
     counts = {r.grade: r.n for r in known.groupBy("grade").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
         return None
@@ -143,7 +144,7 @@ def fit(docs: DataFrame, ratings: DataFrame, rows: int = 2000) -> OrdinalModel |
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id")
-    got = found.mapInArrow(encode, f"doc_id {kind}, grade int, at binary, v binary").limit(2 * rows * len(counts)).collect()
+    got = found.mapInArrow(encode, f"doc_id {kind}, grade int, at binary, v binary").dropDuplicates(["doc_id"]).collect()
     got.sort(key=lambda r: (r.doc_id, r.grade, r.v))
     names = sorted({r.grade for r in got})
     if len(names) < 2:

@@ -35,18 +35,25 @@ def _jump(shards: int) -> str:
     )
 
 
+# The checksum byte by byte, over rows that are made from its polynomial.
+_BIT = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+_ROWS = f"list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: {_BIT}, i))"
+_BYTES = "list_transform(range(length(hexed) // 2), lambda i: ('0x' || substr(hexed, 2 * i + 1, 2))::BIGINT)"
+_CRC = f"xor(list_reduce({_BYTES}, lambda c, b: xor(c >> 8, crc_rows[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT)"
 OP5_SQL = (
-    "WITH RECURSIVE keys AS (SELECT DISTINCT coalesce(doc_id, 0)::HUGEINT AS key FROM documents), "
+    f"WITH RECURSIVE crc AS MATERIALIZED (SELECT {_ROWS} AS crc_rows), "
+    "texts AS (SELECT doc_id, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS hexed FROM documents), "
+    "keys AS (SELECT DISTINCT coalesce(doc_id, 0)::HUGEINT AS key FROM documents), "
     f"walk40 AS ({_jump(40)}), walk41 AS ({_jump(41)}), "
     "s40 AS (SELECT key, max(place)::INTEGER AS shard FROM walk40 GROUP BY key), "
     "s41 AS (SELECT key, max(place)::INTEGER AS grown_shard FROM walk41 GROUP BY key) "
-    "SELECT doc_id, (strlen(coalesce(text, '')) + 16)::BIGINT AS size, 'key' AS law, shard, grown_shard, "
+    f"SELECT doc_id, (strlen(text) + 16)::BIGINT AS size, {_CRC} AS text_crc32, 'key' AS law, shard, grown_shard, "
     "(row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1)::BIGINT AS slot "
-    "FROM documents JOIN s40 ON s40.key = coalesce(doc_id, 0) JOIN s41 ON s41.key = coalesce(doc_id, 0)"
+    "FROM texts CROSS JOIN crc JOIN s40 ON s40.key = coalesce(doc_id, 0) JOIN s41 ON s41.key = coalesce(doc_id, 0)"
 )
 
 
-@REG.add("op5_jump_shards")
+@REG.add("op5_jump_shards", OP5_SQL)
 def op5_jump_shards(spark, sf_dir) -> DataFrame:
     return shard_rows(table(spark, sf_dir, "documents"))
 
