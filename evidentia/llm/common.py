@@ -82,18 +82,38 @@ def components(edges: DataFrame) -> DataFrame:
         labels = labels.select("id", "c")
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, kept by the worker up to a bound."""
+class Kept(dict):
+    """A worker's table of results by key, bounded together with all others: a worker outlives the stage that filled one.
 
-    LIMIT = 500_000
+    ``trim`` goes before a batch. It drops the other tables when all together have grown beyond ``LIMIT`` entries, and its
+    own when that alone has.
+    """
+
+    LIMIT = 300_000
+    ALL: list[Kept] = []
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.ALL.append(self)
+
+    def trim(self, coming: int = 0) -> None:
+        if sum(map(len, self.ALL)) + coming > self.LIMIT:
+            for other in self.ALL:
+                if other is not self:
+                    other.clear()
+            if len(self) + coming > self.LIMIT:
+                self.clear()
+
+
+class WordHashes(Kept):
+    """64-bit hashes of words."""
 
     def __missing__(self, word: bytes) -> int:
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > self.LIMIT:
-            self.clear()
+        self.trim()
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 

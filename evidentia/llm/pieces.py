@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable
 
-LIMIT = 1_000_000  # pieces kept by a worker; beyond that the table starts anew
+from evidentia.llm.common import Kept
 
 MARKS = frozenset(".,")
 SPACE_BEFORE_SPACE = re.compile(r"\s ")
@@ -43,13 +43,15 @@ def tail(piece: str) -> int:
     return len(word) if len(word) < len(piece) and plain_word(word) else 0
 
 
-class Table(dict):
+class Table(Kept):
     """Results by piece.
 
     ``encode`` takes distinct pieces to results, ``join`` puts a word and its closing marks together,
     ``lead`` goes before a piece and ``same`` names another piece that has the same result.
     """
 
+    LIMIT = 1_000_000
+
     def __init__(self, encode: Callable[[list[str]], Iterable], join: Callable, lead: str, same: Callable[[str], str] = str):
         super().__init__()
         self.encode, self.join, self.lead, self.same = encode, join, lead, same
@@ -59,8 +61,7 @@ class Table(dict):
         every: set[str] = set()
         for pieces in lists:
             every.update(pieces)
-        if len(self) + len(every) > LIMIT and len(self) + len(every.difference(self)) > LIMIT:
-            self.clear()
+        self.trim(len(every.difference(self)))
         wanted = every.difference(self)
         new = []
         for p in wanted:

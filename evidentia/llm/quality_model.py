@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import WORD_HASHES, bounded_ids, fold, in_fold, prepare, repeated_words, text_or_empty
+from evidentia.llm.common import WORD_HASHES, Kept, bounded_ids, fold, in_fold, prepare, repeated_words, text_or_empty
 from evidentia.llm.language import adam
 
 BUCKETS = 1 << 13
@@ -37,10 +37,8 @@ def shape(word: str) -> str:
     return "".join(out[:6])
 
 
-class WordBuckets(dict):
-    """Both buckets of a word, of the word itself in lower case and of its shape, in one number; bounded."""
-
-    LIMIT = 500_000
+class WordBuckets(Kept):
+    """Both buckets of a word, of the word itself in lower case and of its shape, in one number."""
 
     def __missing__(self, word: bytes) -> int:
         text = word.decode("utf-8", "replace")
@@ -55,8 +53,7 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Buckets with values: shares of words and shapes, and shares of repetition under names of their own."""
     words = text.encode("utf-8", "replace").split()
     n = len(words)
-    if len(_BUCKETS) > WordBuckets.LIMIT:
-        _BUCKETS.clear()
+    _BUCKETS.trim()
     both = np.fromiter(map(_BUCKETS.__getitem__, words), np.int64, n)
     lines = [x for x in text.split("\n") if x.strip()]
     extra = {

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import bounded_ids, fold, in_fold, prepare, text_or_empty
+from evidentia.llm.common import Kept, bounded_ids, fold, in_fold, prepare, text_or_empty
 from evidentia.llm.language import adam
 
 BUCKETS = 1 << 16
@@ -29,10 +29,8 @@ UNTOUCHED = np.float32(1e-4)  # first value of the sums of squared gradients
 WORD = re.compile(r"[^\W_]+")
 
 
-class Codes(dict):
-    """Both bucket numbers of a word, in one number; bounded."""
-
-    LIMIT = 500_000
+class Codes(Kept):
+    """Both bucket numbers of a word, in one number."""
 
     def __missing__(self, word: str) -> int:
         h = xxhash.xxh3_64_intdigest
@@ -46,8 +44,7 @@ _CODES = Codes()
 def codes_of(text: str) -> np.ndarray:
     """Bucket numbers of a text's words, lower-cased runs of letters and digits."""
     words = WORD.findall(text.lower())
-    if len(_CODES) > Codes.LIMIT:
-        _CODES.clear()
+    _CODES.trim()
     return np.fromiter(map(_CODES.__getitem__, words), np.uint32, len(words))
 
 
