@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.llm.common import prepare, text_or_empty
-from evidentia.llm.pieces import Table, cut
+from evidentia.llm.pieces import Table, cut, pair
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 _LOADED: dict[str, tuple] = {}
@@ -114,7 +114,7 @@ def load(spec: str) -> tuple[ByteBPE, Table, Table]:
         def join(a: tuple[str, int, bytes], b: tuple[str, int, bytes]) -> tuple[str, int, bytes]:
             return f"{a[0]},{b[0]}", a[1] + b[1], a[2] + b[2]
 
-        _LOADED[key] = bpe, Table(encode, join, " "), Table(encode, join, "")
+        _LOADED[key] = bpe, *pair(encode, join)
     return _LOADED[key]
 
 

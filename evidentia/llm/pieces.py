@@ -78,3 +78,10 @@ class Table(Kept):
         for start in range(0, len(todo), 10_000):
             part = todo[start : start + 10_000]
             into.update(zip(part, self.encode([lead + p for p in part])))
+
+
+def pair(encode: Callable[[list[str]], Iterable], join: Callable) -> tuple[Table, Table]:
+    """Tables of pieces that follow a space and of pieces that start a text, filled side by side."""
+    inner, first = Table(encode, join, " "), Table(encode, join, "")
+    inner.mates, first.mates = [first], [inner]
+    return inner, first

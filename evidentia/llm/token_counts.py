@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.llm.common import prepare, text_or_empty
-from evidentia.llm.pieces import Table, cut
+from evidentia.llm.pieces import Table, cut, pair
 from evidentia.session import cut_lineage, scratch_path
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -42,8 +42,7 @@ def _count_tables(path: str, key: str) -> tuple[Table, Table]:
         def lengths(texts: list[str]) -> list[int]:
             return [len(e) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-        add = int.__add__
-        _LOADED[key] = Table(lengths, add, " "), Table(lengths, add, "")
+        _LOADED[key] = pair(lengths, int.__add__)
     return _LOADED[key]
 
 

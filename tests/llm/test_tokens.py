@@ -101,3 +101,14 @@ def test_columns_and_odd_rows(spark, spec, reference):
     assert sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens) for r in rows) == sorted((i is None, i or 0, len(reference.encode_ordinary(t or ""))) for i, t, _ in ODD_ROWS)
     assert byte_bpe.encode_digests(no_docs(spark), spec).count() == 0
     assert docs_table(spark, [(1, "a", "b")]).count() == 1
+
+
+def test_tables_that_are_full_start_anew(monkeypatch):
+    from evidentia.llm.pieces import Table
+
+    monkeypatch.setattr(Table, "LIMIT", 50)
+    texts = random_texts(400, 9)
+    whole = Tokenizer.from_file(BYTE_BPE)
+    expected = [len(whole.encode(t, add_special_tokens=False).ids) for t in texts]
+    got = [n for a in range(0, len(texts), 7) for n in token_counts.count_texts(texts[a : a + 7], BYTE_BPE, "full")]
+    assert got == expected
