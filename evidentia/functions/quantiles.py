@@ -9,7 +9,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BUILTIN_LIMIT = 100_000
 BUCKETS = 2048
 ACCURACY = 10_000
 
@@ -99,26 +98,18 @@ def order_statistics(
     return found
 
 
-def exact_quantiles(
-    df: DataFrame, cols: Sequence[str], probs: Sequence[float], counts: dict[str, int] | None = None,
-    builtin_limit: int = BUILTIN_LIMIT,
-) -> dict[str, list[float]]:
-    """Linear-interpolated quantiles. The built-in aggregate serves small inputs; it keeps every
-    distinct value in one buffer, so larger ones go through ``order_statistics``."""
+def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], counts: dict[str, int] | None = None) -> dict[str, list[float]]:
+    """Linear-interpolated quantiles by ``order_statistics``, at every size; NaN for a column without values."""
     cols = list(cols)
     if counts is None:
         row = df.agg(*[F.count(_clean(c)).alias(f"n_{i}") for i, c in enumerate(cols)]).first()
         counts = {c: row[f"n_{i}"] for i, c in enumerate(cols)}
-    if max(counts.values(), default=0) <= builtin_limit:
-        points = F.array(*[F.lit(float(p)) for p in probs])
-        row = df.agg(*[F.percentile(_clean(c), points).alias(f"q_{i}") for i, c in enumerate(cols)]).first()
-        return {c: list(row[f"q_{i}"]) if row[f"q_{i}"] is not None else [math.nan] * len(probs) for i, c in enumerate(cols)}
     targets = {
         c: {r for p in probs for r in (math.floor(p * (counts[c] - 1)), math.ceil(p * (counts[c] - 1)))}
         for c in cols
         if counts[c] > 0
     }
-    stats = order_statistics(df, targets, counts)
+    stats = order_statistics(df, targets, counts) if targets else {}
     out: dict[str, list[float]] = {}
     for c in cols:
         if counts[c] == 0:

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+MISSING = "\u0000null"  # told apart from every text of a key part
+
+
 def _text(part: str | int | Column) -> Column:
     return part.cast("string") if isinstance(part, Column) else F.lit(str(part))
 
@@ -17,7 +20,7 @@ def hash_uniform(*parts: str | int | Column) -> Column:
 
     Unlike ``rand(seed)`` the value does not depend on partitioning or row order.
     """
-    digest = F.md5(F.concat_ws(":", *[F.coalesce(_text(p), F.lit("")) for p in parts]))
+    digest = F.md5(F.concat_ws(":", *[F.coalesce(_text(p), F.lit(MISSING)) for p in parts]))
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 

@@ -10,19 +10,17 @@ from evidentia.operators.graph import topological
 from evidentia.operators.inference import with_probabilities
 from evidentia.operators.structure import learn_structure
 from evidentia.streaming.scoring import score_stream
-from tests.fixtures import NET_EDGES, NET_SCHEMA, network_rows
-
-NODES = ["A", "B", "C"]
+from tests.fixtures import CHAIN, DAYS, NODES, SCHEMA, SLIP, WET, bdeu, bic, day_rows
 
 
 @pytest.fixture(scope="module")
 def df(spark):
-    return spark.createDataFrame(network_rows(), NET_SCHEMA)
+    return spark.createDataFrame(day_rows(), SCHEMA)
 
 
 @pytest.fixture(scope="module")
 def model(df):
-    return NetworkFeatureGenerator(featureCols=NODES, labelCol="y", knownStructure=NET_EDGES).fit(df)
+    return NetworkFeatureGenerator(featureCols=NODES, labelCol="slip", knownStructure=CHAIN).fit(df)
 
 
 def table(network, node):
@@ -32,40 +30,43 @@ def table(network, node):
 
 def test_tables(model):
     n = model.network
-    assert table(n, "A") == pytest.approx({(0,): 0.433333, (1,): 0.566667}, abs=1e-6)
-    expected = {(0, 0): 0.5, (0, 1): 0.5, (1, 0): 0.382353, (1, 1): 0.617647}
-    assert table(n, "B") == pytest.approx(expected, abs=1e-6)
-    assert table(n, "C") == pytest.approx(expected, abs=1e-6)
+    assert table(n, "rain") == pytest.approx(bdeu("rain", []))
+    assert table(n, "sprinkler") == pytest.approx(bdeu("sprinkler", ["rain"]))
+    assert table(n, "wet") == pytest.approx(bdeu("wet", ["sprinkler"]))
 
 
 def test_known_structure_classes_and_variables(model):
-    assert model.edges == NET_EDGES and model.variables == NODES and model.num_classes == 2
+    assert model.edges == CHAIN and model.variables == NODES and model.num_classes == len(set(SLIP))
 
 
 def test_features(df, model):
     rows = model.features(df.orderBy("row_id")).collect()
-    assert len(rows) == 10
-    assert list(rows[0].asDict()) == ["lambda_A", "lambda_B", "lambda_C"]
-    assert all(0 <= v <= 1 for r in rows for v in r)
-    first = model.transform(df).where("row_id = 0").first()
-    assert (first["lambda_A"], first["lambda_B"], first["lambda_C"]) == pytest.approx((0.433333, 0.5, 0.617647), abs=1e-6)
+    assert len(rows) == DAYS
+    assert list(rows[0].asDict()) == [f"lambda_{c}" for c in NODES]
+    p = {"rain": bdeu("rain", []), "sprinkler": bdeu("sprinkler", ["rain"]), "wet": bdeu("wet", ["sprinkler"])}
+    for r in model.transform(df).collect():
+        expected = p["rain"][(r["rain"],)], p["sprinkler"][(r["rain"], r["sprinkler"])], p["wet"][(r["sprinkler"], r["wet"])]
+        assert tuple(r[f"lambda_{c}"] for c in NODES) == pytest.approx(expected)
 
 
 def test_missing_value_touches_its_own_cells_only(df, model):
-    gapped = df.withColumn("A", F.when(F.col("row_id") != 0, F.col("A")))
+    gapped = df.withColumn("rain", F.when(F.col("row_id") != 7, F.col("rain")))
     whole = {r["row_id"]: r for r in model.transform(df).collect()}
     for r in model.transform(gapped).collect():
-        if r["row_id"] == 0:
-            assert (r["lambda_A"], r["lambda_B"]) == (0.5, 0.5) and r["lambda_C"] == whole[0]["lambda_C"]
-        else:
-            assert [r[f"lambda_{c}"] for c in NODES] == [whole[r["row_id"]][f"lambda_{c}"] for c in NODES]
+        same = NODES[2:] if r["row_id"] == 7 else NODES
+        assert [r[f"lambda_{c}"] for c in same] == [whole[r["row_id"]][f"lambda_{c}"] for c in same]
+        if r["row_id"] == 7:
+            assert (r["lambda_rain"], r["lambda_sprinkler"]) == (0.5, 0.5)
 
 
 def test_absent_parent_is_summed_out(df, model):
-    rows = model.transform(df.drop("B")).collect()
-    assert {r["lambda_B"] for r in rows} == {0.5}
+    first, second, third = bdeu("rain", []), bdeu("sprinkler", ["rain"]), bdeu("wet", ["sprinkler"])
+    sprinkler = {s: sum(first[(a,)] * second[(a, s)] for a in (0, 1)) for s in (0, 1)}
+    wet = {w: sum(sprinkler[s] * third[(s, w)] for s in (0, 1)) for w in (0, 1)}
+    rows = model.transform(df.drop("sprinkler")).collect()
+    assert {r["lambda_sprinkler"] for r in rows} == {0.5}
     for r in rows:
-        assert r["lambda_C"] == pytest.approx({0: 0.433333, 1: 0.566667}[r["C"]], abs=1e-6)
+        assert r["lambda_wet"] == pytest.approx(wet[r["wet"]])
 
 
 def test_absent_parent_of_several(spark):
@@ -109,20 +110,19 @@ def test_rows_of_every_table_sum_to_one(spark, model):
 def test_scores(df):
     counts = compress(df, NODES)
     cards = cardinalities(counts, NODES)
-    families = [("A", ()), ("B", ("A",)), ("C", ("B",)), ("B", ()), ("C", ())]
+    families = [("rain", ()), ("sprinkler", ("rain",)), ("wet", ("sprinkler",)), ("wet", ("rain", "sprinkler")), ("wet", ())]
     found = {(r["node"], r["parents"]): r["score"] for r in named_bic_scores(counts, families, cards).collect()}
-    assert found == pytest.approx(
-        {("A", ""): -7.881409, ("B", "A"): -8.894259, ("C", "B"): -8.894259, ("B", ""): -7.881409, ("C", ""): -7.881409}, abs=1e-6
-    )
-    assert network_score(counts, families[:3], cards).first()["score"] == pytest.approx(-25.869927, abs=1e-6)
+    assert sorted(found.values()) == pytest.approx(sorted(bic(c, p) for c, p in families))
+    total = sum(bic(c, p) for c, p in families[:3]) - 0.1 * 2
+    assert network_score(counts, families[:3], cards).first()["score"] == pytest.approx(total)
 
 
 def test_learned_network(df):
-    model = NetworkFeatureGenerator(featureCols=NODES, blackList=[("A", "C")], iterations=12).fit(df)
+    model = NetworkFeatureGenerator(featureCols=NODES, blackList=[("rain", "wet")], iterations=12).fit(df)
     assert model.num_classes is None
-    assert ("A", "C") not in model.edges
+    assert ("rain", "wet") not in model.edges
     topological(NODES, model.edges)
-    assert model.features(df).count() == 10
+    assert model.features(df).count() == DAYS
 
 
 def dependent(spark, parts):
@@ -154,16 +154,16 @@ def test_no_iterations_give_the_forest(spark):
 def test_everything_black_listed(df):
     black = [(a, b) for a in NODES for b in NODES if a != b]
     model = NetworkFeatureGenerator(featureCols=NODES, blackList=black, iterations=8).fit(df)
-    assert model.edges == [] and model.features(df).count() == 10
+    assert model.edges == [] and model.features(df).count() == DAYS
 
 
 def test_single_column(df):
-    model = NetworkFeatureGenerator(featureCols=["A"], iterations=4).fit(df)
-    assert {round(r["lambda_A"], 6) for r in model.transform(df).collect()} == {0.433333, 0.566667}
+    model = NetworkFeatureGenerator(featureCols=["wet"], iterations=4).fit(df)
+    assert {r["wet"]: r["lambda_wet"] for r in model.transform(df).collect()} == pytest.approx({v: bdeu("wet", [])[(v,)] for v in set(WET)})
 
 
 def test_cycle_and_unknown_column_are_rejected(df):
-    for edges in ([("A", "B"), ("B", "A")], [("A", "Z")]):
+    for edges in ([("wet", "rain"), ("rain", "wet")], [("rain", "snow")]):
         with pytest.raises(ValueError):
             NetworkFeatureGenerator(featureCols=NODES, knownStructure=edges).fit(df)
 
@@ -171,7 +171,7 @@ def test_cycle_and_unknown_column_are_rejected(df):
 def test_save_and_load(spark, df, model, tmp_path):
     model.save(str(tmp_path / "net"))
     again = NetworkFeatureModel.load(spark, str(tmp_path / "net"))
-    assert again.edges == NET_EDGES and again.num_classes == 2
+    assert again.edges == CHAIN and again.num_classes == 2
     assert sorted(again.transform(df).collect()) == sorted(model.transform(df).collect())
 
 

@@ -9,25 +9,29 @@ from evidentia.operators.causal_selector import binned_cells, greedy_effects
 from evidentia.operators.counts import contingency
 from evidentia.operators.entropy import causal_effects, conditional_entropies, entropies, nmi
 from evidentia.operators.selection import SelectorModel
-from tests.fixtures import BITS, CONTROL_1, CONTROL_2, MIRRORED, NMI_1, NMI_2, SELECTOR
+from tests.fixtures import RAIN, SCHEMA, SLIP, SPRINKLER, WET, column, day_rows, entropy, entropy_given
 
 
-def bits(spark):
-    return spark.createDataFrame(list(zip(BITS, MIRRORED, CONTROL_1, CONTROL_2)), "x bigint, y bigint, o1 bigint, o2 bigint")
+def days(spark):
+    return spark.createDataFrame(day_rows(), SCHEMA)
 
 
-def test_entropy_of_balanced_bits(spark):
-    assert entropies(bits(spark), ["x"]).first()["entropy"] == pytest.approx(1.0)
+@pytest.mark.parametrize("name", ["rain", "wet", "slip"])
+def test_entropy_of_a_column(spark, name):
+    assert entropies(days(spark), [name]).first()["entropy"] == pytest.approx(entropy(column(name)))
 
 
-def test_conditional_entropy_of_mirrored_bits(spark):
-    assert conditional_entropies(bits(spark), "y", [["x"]]).first()["conditional_entropy"] == pytest.approx(0.0, abs=1e-12)
+def test_conditional_entropy(spark):
+    df = days(spark).withColumn("dry", 1 - F.col("wet"))
+    found = conditional_entropies(df, "wet", [["dry"], ["rain"], ["rain", "sprinkler"]]).collect()
+    expected = [0.0, entropy_given(WET, RAIN), entropy_given(WET, RAIN, SPRINKLER)]
+    assert sorted(r["conditional_entropy"] for r in found) == pytest.approx(sorted(expected), abs=1e-12)
 
 
 def test_effect_with_two_controls(spark):
-    cells = contingency(bits(spark), ["x", "y", "o1", "o2"])
-    row = causal_effects(cells, "y", [("x", ["o1", "o2"])]).first()
-    assert row["effect"] == pytest.approx(0.5)
+    cells = contingency(days(spark), ["wet", "slip", "rain", "sprinkler"])
+    row = causal_effects(cells, "slip", [("wet", ["rain", "sprinkler"])]).first()
+    assert row["effect"] == pytest.approx(entropy_given(SLIP, RAIN, SPRINKLER) - entropy_given(SLIP, RAIN, SPRINKLER, WET))
     assert row["dependent"]
 
 
@@ -37,21 +41,27 @@ def test_independent_columns_have_exactly_no_effect(spark):
     assert not row["dependent"]
 
 
-def selector_frame(spark):
-    return spark.createDataFrame(SELECTOR, "f0 bigint, f1 bigint, f2 bigint, target bigint")
+def plates(spark):
+    """A thickness decides the grade, half of the rows have a noisy second reading, and a stamp says nothing."""
+    rows = [(i % 5, (i % 5 + (i // 5) % 2) % 6, 7, int(i % 5 >= 3)) for i in range(60)]
+    return rows, spark.createDataFrame(rows, "thickness bigint, reading bigint, stamp bigint, grade bigint")
 
 
 def test_causal_selector(spark):
-    df = selector_frame(spark)
-    model = CausalFeatureSelector(labelCol="target").fit(df)
-    assert model.get_support() == [False, True, True]
-    assert model.getOrDefault("scores") == pytest.approx([0.0, 0.540852, 0.125815], abs=1e-6)
-    assert model.transform(df).columns == ["f1", "f2"]
+    rows, df = plates(spark)
+    model = CausalFeatureSelector(labelCol="grade").fit(df)
+    assert model.get_support()[2] is False and model.get_support()[0] is True
+    scores = model.getOrDefault("scores")
+    assert scores[0] > 0 and scores[2] == pytest.approx(0.0)
+    assert model.transform(df).columns == model.get_feature_names_out()
 
 
 def test_least_effect(spark):
-    model = CausalFeatureSelector(labelCol="target", minEffect=0.3).fit(selector_frame(spark))
-    assert model.get_feature_names_out() == ["f1"]
+    _, df = plates(spark)
+    every = CausalFeatureSelector(labelCol="grade").fit(df).getOrDefault("scores")
+    model = CausalFeatureSelector(labelCol="grade", minEffect=max(every) - 1e-9).fit(df)
+    assert model.get_feature_names_out() == ["thickness"]
+    assert CausalFeatureSelector(labelCol="grade", minEffect=2.0).fit(df).get_feature_names_out() == []
 
 
 def greedy_by_hand(codes, target):
@@ -102,11 +112,16 @@ def test_causal_selector_rejects_missing_label(spark):
         CausalFeatureSelector().fit(df)
 
 
-@pytest.mark.parametrize("mode,ha,hb,hab,value", [("counts", 1.0, 1.0, 1.5, 0.25), ("standard", 0.954434, 0.811278, 1.561278, 0.107097)])
-def test_nmi_of_two_bit_columns(spark, mode, ha, hb, hab, value):
-    df = spark.createDataFrame(list(zip(NMI_1, NMI_2)), "a bigint, b bigint")
-    row = nmi(df, [("a", "b")], mode).first()
-    assert (row["h_a"], row["h_b"], row["h_ab"], row["nmi"]) == pytest.approx((ha, hb, hab, value), abs=1e-6)
+def test_nmi_of_two_columns(spark):
+    df = days(spark)
+    joint = list(zip(RAIN, WET))
+    ha, hb, hab = entropy(RAIN), entropy(WET), entropy(joint)
+    row = nmi(df, [("rain", "wet")], "standard").first()
+    assert (row["h_a"], row["h_b"], row["h_ab"], row["nmi"]) == pytest.approx((ha, hb, hab, (ha + hb - hab) / (2 * max(ha, hb))))
+    counts = [[v.count(x) for x in (0, 1)] for v in (RAIN, WET)] + [[joint.count((a, b)) for a in (0, 1) for b in (0, 1)]]
+    ha, hb, hab = (count_list_entropy(c) for c in counts)
+    row = nmi(df, [("rain", "wet")], "counts").first()
+    assert (row["h_a"], row["h_b"], row["h_ab"], row["nmi"]) == pytest.approx((ha, hb, hab, (ha + hb - hab) / (2 * max(ha, hb))))
 
 
 def count_list_entropy(counts):
@@ -144,13 +159,16 @@ def test_equally_frequent_categories_give_no_value(spark):
     assert NMIFeatureSelector(labelCol="t", mode="counts").fit(df).get_feature_names_out() == []
 
 
-def test_nmi_selector_on_random_numbers(spark):
-    rng = np.random.default_rng(0)
-    target = [0, 1, 0, 1, 1, 0, 0, 1, 1, 1]
-    rows = [[*map(float, r), t] for r, t in zip(rng.standard_normal((10, 10)), target)]
-    df = spark.createDataFrame(rows, ", ".join([f"f{i} double" for i in range(10)] + ["t int"]))
-    model = NMIFeatureSelector(labelCol="t", mode="counts").fit(df)
-    assert len(model.transform(df).columns) <= 10
+def test_nmi_selector_takes_signal_and_leaves_noise(spark):
+    rng = np.random.default_rng(21)
+    t = rng.integers(0, 2, 500)
+    signal = t * 3.0 + rng.random(500)
+    noise = rng.integers(0, 3, 500)
+    df = spark.createDataFrame([(int(a > 2), int(b), int(c)) for a, b, c in zip(signal, noise, t)], "signal int, noise int, t int")
+    kept = NMIFeatureSelector(labelCol="t", threshold=0.1).fit(df)
+    scores = {c: nmi_by_hand(np.array([r[0] for r in df.select(c).collect()]), t) for c in ("signal", "noise")}
+    assert scores["signal"] > 0.4 and scores["noise"] < 0.1
+    assert set(kept.get_feature_names_out()) <= {"signal"}
 
 
 def nmi_by_hand(a, b):
@@ -184,15 +202,16 @@ def test_nmi_selector_two_stages(spark):
 
 
 def test_first_two_columns_and_inverse(spark, tmp_path):
-    df = selector_frame(spark)
+    _, df = plates(spark)
     model = FirstKSelector().fit(df)
-    assert model.transform(df).columns == ["f0", "f1"]
+    first = ["thickness", "reading"]
+    assert model.transform(df).columns == first
     back = model.inverse_transform(model.transform(df))
-    assert back.columns == df.columns
-    assert back.agg(F.sum("f2")).first()[0] == 0
+    assert back.columns == df.columns and back.dtypes == df.dtypes
+    assert back.agg(F.sum("stamp")).first()[0] == 0
     model.write().overwrite().save(str(tmp_path / "m"))
-    assert SelectorModel.load(str(tmp_path / "m")).get_feature_names_out() == ["f0", "f1"]
-    assert [(r["feature"], r["selected"]) for r in model.support(spark).collect()] == [("f0", True), ("f1", True), ("f2", False), ("target", False)]
+    assert SelectorModel.load(str(tmp_path / "m")).get_feature_names_out() == first
+    assert [(r["feature"], r["selected"]) for r in model.support(spark).collect()] == [(c, c in first) for c in df.columns]
 
 
 def test_markov_blanket_selector(spark):
@@ -211,5 +230,6 @@ def test_one_shuffle_of_the_rows_for_all_features(spark):
 
 
 def test_cells_are_counted_once(spark):
-    cells = binned_cells(selector_frame(spark), ["f0", "f1", "f2"], "target")
-    assert cells.agg(F.sum("n")).first()[0] == 6
+    rows, df = plates(spark)
+    cells = binned_cells(df, ["thickness", "reading", "stamp"], "grade")
+    assert cells.agg(F.sum("n")).first()[0] == len(rows)
