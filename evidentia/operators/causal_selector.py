@@ -80,4 +80,4 @@ class CausalFeatureSelector(Estimator, FeatureParams, DefaultParamsWritable, Def
             walked = greedy_effects(cells, features, label, self.getOrDefault("minEffect"))
         finally:
             cells.unpersist()
-        return SelectorModel.of(self, features, [e.feature for e in walked if e.selected], {e.feature: e.effect for e in walked})
+        return SelectorModel.of(self, df, features, [e.feature for e in walked if e.selected], {e.feature: e.effect for e in walked})

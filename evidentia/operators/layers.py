@@ -160,7 +160,9 @@ class UnitImportanceModel(Model):
             reach += [(self.layers[i], unit, float(np.abs(path[j]).mean())) for j, unit in enumerate(self.units[i])]
         spark = activations.sparkSession
         factors = F.broadcast(spark.createDataFrame(reach, "layer string, unit int, reach double"))  # a row per unit
-        means = response_norms(activations).groupBy("layer", "unit").agg(F.avg(F.abs("norm")).alias("mean_norm"))
+        norms = response_norms(activations)
+        complete = layered(norms, self.layers, self.units, self.sample).select(self.sample)  # the rows that fit and mse use
+        means = norms.join(complete, self.sample, "left_semi").groupBy("layer", "unit").agg(F.avg(F.abs("norm")).alias("mean_norm"))
         return means.join(factors, ["layer", "unit"]).select("layer", "unit", (F.col("mean_norm") * F.col("reach")).alias("importance"))
 
     def top(self, activations: DataFrame, n: int = 10) -> DataFrame:

@@ -75,7 +75,7 @@ class NMIFeatureSelector(Estimator, FeatureParams, DefaultParamsWritable, Defaul
         score = {r["feature"]: r["nmi"] for r in relevance(df, features, label, mode, bins).collect()}
         relevant = [c for c in features if score[c] is not None and score[c] > threshold + TIE]
         chosen = relevant if len(relevant) == 1 else self._dominant(df, features, relevant, score, mode, bins)
-        return SelectorModel.of(self, features, chosen, score)
+        return SelectorModel.of(self, df, features, chosen, score)
 
     def _dominant(self, df, features, relevant, score, mode, bins) -> list[str]:
         # Only pairs that pass the first condition are counted, in batches of bounded width.

@@ -67,18 +67,26 @@ class NetworkScore:
     gaussians: list[GaussianNode]
 
     def raw(self, df: DataFrame) -> tuple[DataFrame, list[str]]:
-        df = with_probabilities(df, self.network, self.nodes, prefix="__p_")
+        distinct = list(dict.fromkeys(self.nodes))
+        df = with_probabilities(df, self.network, distinct, prefix="__p_")
         names = []
-        for c in self.nodes:
+        for c in distinct:
             names.append(f"__s_{c}")
             df = df.withColumn(names[-1], -F.ln(F.greatest(F.col(f"__p_{c}"), F.lit(1e-300)))).drop(f"__p_{c}")
         for g in self.gaussians:
             names.append(f"__s_{g.node}")
             df = g.attach(df, "__mean", "__sd")
-            z = F.abs(F.col(g.node) - F.col("__mean")) / F.when(F.col("__sd") > 0, F.col("__sd"))
-            df = df.withColumn(names[-1], F.coalesce(z, F.lit(0.0))).drop("__mean", "__sd")
+            # A group of equal numbers has no spread of its own: the spread of all rows tells how far off a value is.
+            spread = F.when(F.col("__sd") > 0, F.col("__sd")).otherwise(F.lit(g.overall[1] or 1.0))
+            number = F.nanvl(F.col(g.node).cast("double"), F.lit(None).cast("double"))
+            df = df.withColumn(names[-1], F.abs(number - F.col("__mean")) / spread).drop("__mean", "__sd")
         return df, names
 
+    def weights(self) -> list[int]:
+        """How often each raw score counts: a node that was drawn several times counts each time."""
+        distinct = list(dict.fromkeys(self.nodes))
+        return [self.nodes.count(c) for c in distinct] + [1] * len(self.gaussians)
+
 
 def combine(lof: Column, bn: Column, weight: float = 0.5) -> Column:
     """The combined score: a weighted mean of the two scaled scores."""
@@ -145,7 +153,7 @@ class TabularOutlierDetector(Estimator, FeatureParams):
                 rng = random.Random(get("seed"))
                 nodes = [rng.choice(categories) for _ in range(get("iterations"))]
             gaussians = [GaussianNode.fit(df, c, p) for c, p in self.numeric_parents.items()]
-            network_score = NetworkScore(network, list(dict.fromkeys(nodes)), gaussians)
+            network_score = NetworkScore(network, list(nodes), gaussians)
         model = TabularOutlierModel(density, network_score, get("weight"))
         model.calibrate(df, get("contamination"))
         return model
@@ -170,15 +178,16 @@ class TabularOutlierModel(Model):
         return df, lof_names, bn_names
 
     def _scored(self, raw: DataFrame, lof_names: list[str], bn_names: list[str]) -> DataFrame:
-        def mean(names: list[str]) -> Column:
+        def mean(names: list[str], weights: list[int]) -> Column:
             total = F.lit(0.0)
-            for n in names:
-                total = total + scaled(F.col(n), *self.fitted[n])
-            return total / max(1, len(names))
+            for n, w in zip(names, weights):
+                total = total + scaled(F.col(n), *self.fitted[n]) * F.lit(float(w))
+            return total / max(1, sum(weights))
 
         weight = self.weight if lof_names and bn_names else (1.0 if lof_names else 0.0)
+        drawn = self.network_score.weights() if self.network_score else []
         return (
-            raw.withColumns({"lof_score": mean(lof_names), "bn_score": mean(bn_names)})
+            raw.withColumns({"lof_score": mean(lof_names, [1] * len(lof_names)), "bn_score": mean(bn_names, drawn)})
             .withColumn("score", combine(F.col("lof_score"), F.col("bn_score"), weight))
             .drop(*lof_names, *bn_names)
         )
@@ -208,4 +217,5 @@ class TabularOutlierModel(Model):
 
 
 def outlier_label(score: Column, cutoff: float) -> Column:
-    return F.when(score > F.lit(cutoff), F.lit(-1)).otherwise(F.lit(1))
+    """-1 above the cutoff, else 1; null where a row has no score."""
+    return F.when(score > F.lit(cutoff), F.lit(-1)).when(score.isNotNull(), F.lit(1))

@@ -50,13 +50,20 @@ class SelectorModel(Model, FeatureParams, DefaultParamsWritable, DefaultParamsRe
 
     selected = Param(Params._dummy(), "selected", "selected features", TypeConverters.toListString)
     scores = Param(Params._dummy(), "scores", "score per feature, NaN if none", TypeConverters.toListFloat)
+    featureTypes = Param(Params._dummy(), "featureTypes", "type per feature, double if unknown", TypeConverters.toListString)
 
     @classmethod
-    def of(cls, parent: FeatureParams, features: Sequence[str], selected: Sequence[str], scores: dict[str, float | None]):
+    def of(
+        cls, parent: FeatureParams, df: DataFrame, features: Sequence[str], selected: Sequence[str], scores: dict[str, float | None]
+    ):
         model = cls()
         chosen = [c for c in features if c in set(selected)]
         values = [float("nan") if scores.get(c) is None else float(scores[c]) for c in features]
-        model._set(featureCols=list(features), selected=chosen, scores=values, keepCols=parent.getOrDefault("keepCols"))
+        types = dict(df.dtypes)
+        model._set(
+            featureCols=list(features), selected=chosen, scores=values, keepCols=parent.getOrDefault("keepCols"),
+            featureTypes=[types[c] for c in features],
+        )
         return model
 
     def get_support(self) -> list[bool]:
@@ -77,11 +84,12 @@ class SelectorModel(Model, FeatureParams, DefaultParamsWritable, DefaultParamsRe
         return df.select(*self.getOrDefault("keepCols"), *self.getOrDefault("selected"))
 
     def inverse_transform(self, df: DataFrame) -> DataFrame:
-        """All original features again; the dropped ones are zero."""
+        """All original features again, in their types; the dropped ones are zero."""
         chosen = set(self.getOrDefault("selected"))
+        types = dict(zip(self.getOrDefault("featureCols"), self.getOrDefault("featureTypes")))
         return df.select(
             *self.getOrDefault("keepCols"),
-            *[F.col(c) if c in chosen else F.lit(0.0).alias(c) for c in self.getOrDefault("featureCols")],
+            *[F.col(c) if c in chosen else F.lit(0).cast(types[c]).alias(c) for c in self.getOrDefault("featureCols")],
         )
 
 
@@ -98,7 +106,7 @@ class FirstKSelector(Estimator, FeatureParams, DefaultParamsWritable, DefaultPar
 
     def _fit(self, df: DataFrame) -> SelectorModel:
         cols = self.features(df)
-        return SelectorModel.of(self, cols, cols[: self.getOrDefault("k")], {})
+        return SelectorModel.of(self, df, cols, cols[: self.getOrDefault("k")], {})
 
 
 def markov_blanket(edges: DataFrame, node: str) -> DataFrame:
@@ -130,4 +138,4 @@ class MarkovBlanketSelector(Estimator, FeatureParams):
         )
         edges = df.sparkSession.createDataFrame(found.edges, "parent string, child string")
         chosen = [r["feature"] for r in markov_blanket(edges, label).collect()]
-        return SelectorModel.of(self, cols, chosen, {})
+        return SelectorModel.of(self, df, cols, chosen, {})

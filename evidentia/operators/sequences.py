@@ -85,7 +85,7 @@ class SequenceOutlierModel(Model):
         rows = with_probabilities(rows, self.network, [self.state], prefix="__p_")
         score = F.when(F.col("previous").isNotNull(), -F.ln(F.col(f"__p_{self.state}")))
         return rows.withColumn("score", score).drop(f"__p_{self.state}").withColumn(
-            "prediction", outlier_label(F.col("score"), self.cutoff)
+            "prediction", F.coalesce(outlier_label(F.col("score"), self.cutoff), F.lit(1))  # nothing speaks against a first event
         )
 
 

@@ -32,7 +32,7 @@ def scan_features(spark, sf_dir) -> DataFrame:
 @REG.add("labels_features_join", "SELECT doc_id, lang, source, n_chars, quality, toxic FROM documents JOIN labels USING (doc_id)")
 def labels_features_join(spark, sf_dir) -> DataFrame:
     features = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
-    return attach_target(features, table(spark, sf_dir, "labels"), "doc_id")
+    return attach_target(features, table(spark, sf_dir, "labels"), "doc_id", how="inner")
 
 
 @REG.add("iqr_bin_params", f"SELECT feature, lo, hi, {sql_r6('iqr')} AS iqr, n, bins FROM ({sql_iqr_params('lineitem', NUMERIC)})")

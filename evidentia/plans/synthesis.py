@@ -78,7 +78,7 @@ _LABEL_PARENTS = {"lang": ["toxic"], "source": ["toxic", "lang"]}
 
 def labelled(spark, sf_dir) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
-    return attach_target(documents, table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id")
+    return attach_target(documents, table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id", how="inner")
 
 
 def _balanced_sql() -> str:

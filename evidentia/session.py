@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -32,21 +35,29 @@ def local_session(cpus: str | int = "*", app: str = "evidentia", **conf: str) ->
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach: the session's checkpoint folder.
 
-    Only a local session that names none (tests) gets a temporary one; on a cluster the setting is
-    required, since a folder of one machine would not do.
+    Only a session of one process that names none (tests) gets a temporary one, which goes when that process
+    ends; on a cluster, local ones of several processes included, the setting is required.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="evidentia-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)
     return named
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    """A new place among the application's intermediate tables."""
+    return os.path.join(shared_dir(spark), f"evidentia-{spark.sparkContext.applicationId}", f"{name}-{uuid.uuid4().hex}")
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the application's intermediate tables. Frames and models that were made from them can't be read afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(os.path.dirname(scratch_path(spark, "")))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

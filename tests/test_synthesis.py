@@ -159,6 +159,12 @@ def test_csv_source_and_target(spark, tmp_path):
     features, target = split_target(df, "target")
     assert features.columns == ["a", "b"] and target.columns == ["target"]
     assert attach_target(features, df.select("a", "target"), "a").count() == 2
+    longer = features.union(features.selectExpr(*["a + 100 AS a" if c == "a" else c for c in features.columns]))
+    assert attach_target(longer, df.select("a", "target"), "a", how="inner").count() == 2
+    targets = df.select("a", "target")
+    for left, right, how in ((longer, targets, "exact"), (features, targets.limit(1), "exact"), (features, targets.union(targets), "inner")):
+        with pytest.raises(ValueError):
+            attach_target(left, right, "a", how=how)
     assert as_table(spark, [(1, 2)], ["a", "b"]).columns == ["a", "b"] and as_table(spark, df) is df
     with pytest.raises(ValueError):
         split_target(df, "none")
