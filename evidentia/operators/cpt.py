@@ -18,10 +18,11 @@ from pyspark.sql import types as T
 
 from evidentia.operators.families import cardinalities, combinations, compress, family_counts
 from evidentia.operators.graph import Edge, parents_of, topological
-from evidentia.operators.structure import MAX_CELLS, as_families
+from evidentia.operators.structure import as_families
 from evidentia.session import cut_lineage
 
 EQUIVALENT_SAMPLE_SIZE = 5.0  # fixed value of the prior
+MAX_CELLS = 1_000_000
 
 
 @dataclass

@@ -146,7 +146,7 @@ class TabularOutlierDetector(Estimator, FeatureParams):
         if categories:
             edges = self.known_structure
             if edges is None:
-                edges = learn_structure(df, categories, seed=get("seed"), key=keys).edges
+                edges = learn_structure(df, categories, seed=get("seed")).edges
             network = fit_network(df, categories, edges)
             nodes = self.nodes
             if nodes is None:

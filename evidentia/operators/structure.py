@@ -2,8 +2,8 @@
 
 The rows are compressed once into counts per observed combination. Each round asks Spark for the
 scores of every family that one legal move away needs and that is not known yet, in one job; the
-walk itself touches scores only. Samples are nested by a hash of the row, so a larger sample is a
-filter with a higher bound on the same table.
+walk itself touches scores only. Samples are nested: of every combination's rows each sample takes its
+share, up to one row, and a larger sample keeps what a smaller one has.
 """
 
 from __future__ import annotations
@@ -24,7 +24,6 @@ from evidentia.operators.families import (
     Family,
     bic_of_cells,
     cardinalities,
-    combinations,
     compress,
     family_counts,
 )
@@ -35,7 +34,6 @@ REPOSITORY_SIZE = 10
 FIRST_FRACTION = 0.1
 STAGES = 4
 ADD_TRIES = 10
-MAX_CELLS = 1_000_000
 TIE = 1e-9  # networks of equal score, such as one with an edge reversed, are no improvement
 
 
@@ -97,7 +95,7 @@ def as_families(nodes: Sequence[str], edges: Iterable[Edge]) -> list[Family]:
     return [(c, tuple(p)) for c, p in parents_of(nodes, edges).items()]
 
 
-def _small_families(nodes: Sequence[str], cards: dict[str, int], max_cells: int, most: int = 2 * FAMILIES_PER_JOB) -> list[Family]:
+def _small_families(nodes: Sequence[str], most: int = 2 * FAMILIES_PER_JOB) -> list[Family]:
     """Families with one or two parents, the ones a search meets first; bounded in number."""
     out: list[Family] = []
     for size in (1, 2):
@@ -105,8 +103,7 @@ def _small_families(nodes: Sequence[str], cards: dict[str, int], max_cells: int,
             for p in combos([x for x in nodes if x != c], size):
                 if len(out) >= most:
                     return out
-                if cards[c] * combinations(cards, p) <= max_cells:
-                    out.append((c, p))
+                out.append((c, p))
     return out
 
 
@@ -120,10 +117,19 @@ def random_forest(nodes: Sequence[str], forbidden: set[Edge], rng: random.Random
     return edges
 
 
-def _fits(nodes: Sequence[str], edges: Sequence[Edge], cards: dict[str, int], max_cells: int) -> bool:
-    return is_acyclic(nodes, edges) and all(
-        combinations(cards, p) * cards[c] <= max_cells for c, p in parents_of(nodes, edges).items()
-    )
+def staged(counts: DataFrame, nodes: Sequence[str], seed: int) -> DataFrame:
+    """Split every combination's rows over the stages at which they enter the sample, as ``(nodes, n, entered)``.
+
+    A sample of share f holds floor(n f + u) of a combination's n rows, where u in [0, 1) is drawn by a hash of the
+    combination: within one row of the share, right on average over combinations, and the same under any partitioning.
+    """
+    u = hash_uniform(*[F.col(c) for c in nodes], seed)
+    upto = [F.least(F.col("n"), F.floor(F.col("n") * F.lit(FIRST_FRACTION * 2 ** (s + 1)) + u)) for s in range(STAGES - 1)]
+    upto.append(F.col("n"))
+    entries = [
+        F.struct(F.lit(s).alias("entered"), (upto[s] - (upto[s - 1] if s else F.lit(0))).cast("bigint").alias("n")) for s in range(STAGES)
+    ]
+    return counts.select(*nodes, F.explode(F.array(*entries)).alias("e")).select(*nodes, "e.entered", "e.n").where("n > 0")
 
 
 def neighbours(nodes: Sequence[str], edges: Sequence[Edge], forbidden: set[Edge], max_arcs: int) -> dict[str, list[list[Edge]]]:
@@ -158,34 +164,25 @@ def learn_structure(
     iterations: int = 100,
     seed: int = 0,
     black_list: Iterable[Edge] = (),
-    key: Sequence[str] | None = None,
-    max_cells: int = MAX_CELLS,
 ) -> Structure:
     """Learn the edges between categorical columns.
 
     Starts from a random forest, tries one random move per iteration, keeps it when the score
     grows and otherwise restarts from one of the ten best networks. The arc cap and the sample
     grow every quarter; the networks held are scored again when the sample grows. With
-    ``iterations=0`` the forest is the result. Parent sets that would need more than ``max_cells``
-    table cells are not legal. ``key`` names the columns that identify a row for sampling.
+    ``iterations=0`` the forest is the result. Only observed cells are counted, so a family's
+    number of possible cells limits nothing but its score.
     """
     nodes, forbidden, rng = list(cols), set(black_list), random.Random(seed)
-    rows = df.select(*nodes, hash_uniform(*[F.col(c) for c in (key or df.columns)], seed).alias("__u"))
-    u = F.col("__u")
     last = STAGES - 1  # stages 0..2 are growing samples, the last one is all rows
-    stage_of = F.lit(last)
-    for s in reversed(range(last)):
-        stage_of = F.when(u < F.lit(FIRST_FRACTION * 2 ** (s + 1)), F.lit(s)).otherwise(stage_of)
-    table = compress(rows, nodes, stage_of.alias("entered")).persist(StorageLevel.MEMORY_AND_DISK)
+    table = staged(compress(df, nodes), nodes, seed).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         cards = cardinalities(table, nodes)
         scores = _Scores(table, cards, nodes)
         forest = random_forest(nodes, forbidden, rng)
-        if not _fits(nodes, forest, cards, max_cells):
-            forest = [e for e in forest if cards[e[0]] * cards[e[1]] <= max_cells]
 
         def legal(edges: list[Edge]) -> bool:
-            return _fits(nodes, edges, cards, max_cells)
+            return is_acyclic(nodes, edges)
 
         current, stage, score = forest, 0, 0.0
         best: list[tuple[float, list[Edge]]] = []
@@ -201,7 +198,7 @@ def learn_structure(
             needed = as_families(nodes, candidate)
             if not scores.has(needed):
                 reachable = (f for kind in moves.values() for m in kind if legal(m) for f in as_families(nodes, m))
-                scores.fetch(needed, [*reachable, *_small_families(nodes, cards, max_cells)])
+                scores.fetch(needed, [*reachable, *_small_families(nodes)])
             new_score = scores.network(stage, candidate)
             if new_score > score + TIE * abs(score):
                 current, score = candidate, new_score

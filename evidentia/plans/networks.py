@@ -243,7 +243,7 @@ def _scored_edges(spark, df: DataFrame, edges: list[tuple[str, str]]) -> DataFra
 @REG.add("bn_structure")
 def bn_structure(spark, sf_dir) -> DataFrame:
     df = derived(spark, sf_dir, "l_orderkey", "l_linenumber")
-    found = learn_structure(df, ORDER, seed=7, black_list=BLACK_LIST, key=KEYS)
+    found = learn_structure(df, ORDER, seed=7, black_list=BLACK_LIST)
     return _scored_edges(spark, df, found.edges)
 
 
@@ -258,4 +258,4 @@ FOREST = random_forest(ORDER, set(), random.Random(7))  # the seed alone decides
 )
 def bn_forest(spark, sf_dir) -> DataFrame:
     df = derived(spark, sf_dir, "l_orderkey", "l_linenumber")
-    return _scored_edges(spark, df, learn_structure(df, ORDER, iterations=0, seed=7, key=KEYS).edges)
+    return _scored_edges(spark, df, learn_structure(df, ORDER, iterations=0, seed=7).edges)

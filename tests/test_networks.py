@@ -134,7 +134,7 @@ def dependent(spark, parts):
 
 
 def test_search_is_repeatable_and_never_below_its_start(spark):
-    found = [learn_structure(dependent(spark, p), ["a", "b", "c"], iterations=20, seed=3, key=["id"]) for p in (1, 8)]
+    found = [learn_structure(dependent(spark, p), ["a", "b", "c"], iterations=20, seed=3) for p in (1, 8)]
     assert found[0].edges == found[1].edges
     assert found[0].score == pytest.approx(found[1].score)
     assert found[0].score >= found[0].forest_score
@@ -142,12 +142,12 @@ def test_search_is_repeatable_and_never_below_its_start(spark):
 
 
 def test_reversing_a_lone_edge_is_no_improvement(spark):
-    runs = [learn_structure(dependent(spark, p), ["a", "b"], iterations=40, seed=s, key=["id"]) for p, s in ((2, 5), (5, 5))]
+    runs = [learn_structure(dependent(spark, p), ["a", "b"], iterations=40, seed=s) for p, s in ((2, 5), (5, 5))]
     assert runs[0].edges == runs[1].edges == runs[0].forest
 
 
 def test_no_iterations_give_the_forest(spark):
-    found = learn_structure(dependent(spark, 2), ["a", "b", "c"], iterations=0, seed=3, key=["id"])
+    found = learn_structure(dependent(spark, 2), ["a", "b", "c"], iterations=0, seed=3)
     assert found.edges == found.forest and len(found.edges) == 2
 
 
@@ -189,3 +189,24 @@ def test_stream_scores_like_a_batch(spark, df, model, tmp_path):
     assert sorted(spark.read.parquet(out).collect()) == sorted(model.transform(df).collect())
     with pytest.raises(ValueError):
         score_stream(model, df, out, str(tmp_path / "c2"))
+
+
+def test_samples_hold_their_share_of_every_combination(spark):
+    from evidentia.operators.structure import FIRST_FRACTION, STAGES, staged
+
+    rows = [(a, b) for a in range(4) for b in range(5) for _ in range(1 + 37 * a * b)]
+    wanted = {(a, b): rows.count((a, b)) for a, b in set(rows)}
+    found = []
+    for parts in (1, 7):
+        df = spark.createDataFrame(rows, "a int, b int").repartition(parts)
+        found.append(sorted(staged(compress(df, ["a", "b"]), ["a", "b"], 3).collect()))
+    assert found[0] == found[1]
+    for s in range(STAGES):
+        share = FIRST_FRACTION * 2 ** (s + 1) if s < STAGES - 1 else 1.0
+        sizes = {cell: sum(r["n"] for r in found[0] if (r["a"], r["b"]) == cell and r["entered"] <= s) for cell in wanted}
+        assert all(abs(sizes[cell] - share * n) <= 1 for cell, n in wanted.items())
+
+
+def test_columns_of_many_values_can_be_linked(spark):
+    df = spark.range(8000).select((F.col("id") % 2000).cast("int").alias("p"), (F.col("id") % 2000 % 1500).cast("int").alias("c"))
+    assert learn_structure(df, ["p", "c"], iterations=0).edges == [("p", "c")]
