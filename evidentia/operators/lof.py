@@ -1,4 +1,4 @@
-"""Local outlier factor (Breunig et al., 2000): exact on few columns, or against a reference sample.
+"""Local outlier factor (Breunig et al., 2000): exact over a whole table, or against a reference sample.
 
 The k-neighbourhood holds every other row within the k-distance, ties included.
 """
@@ -20,7 +20,7 @@ from evidentia.functions.sampling import bottom_k
 from evidentia.session import cut_lineage
 
 LRD_EPSILON = 1e-10  # fixed value: keeps the density of coinciding rows finite
-MAX_COLUMNS = 4
+GRID_COLUMNS = 4  # columns that the cells cut; distances always take all
 MAX_LEVEL = 48
 LEVELS_PER_ROUND = 8
 SMALL_CELLS = 2**18
@@ -36,10 +36,15 @@ def _distance(a: Column, b: Column, d: int) -> Column:
 
 @dataclass
 class _Grid:
-    """Nested cubes over the data: level l cuts each side into 2^l cells."""
+    """Nested cubes over the first columns of the data: level l cuts each side into 2^l cells.
+
+    A distance in these columns is never above the distance in all ``columns``, so the cells within some reach
+    hold every place within that reach.
+    """
 
     lo: list[float]
     side: float
+    columns: int
 
     @property
     def d(self) -> int:
@@ -112,10 +117,13 @@ def _with_reach(located: DataFrame, grid: _Grid, k: int) -> DataFrame:
     own = [grid._index(F.col("loc")[j] - F.lit(grid.lo[j]), F.lit(grid.side) / at, at) for j in range(d)]
     alone = F.when(F.col("level") >= MAX_LEVEL, F.col("loc"))  # the last level is not cut further
     mates = F.collect_list("loc").over(W.partitionBy("level", *own, alone))
-    distances = F.transform("mates", lambda m: _distance(F.col("loc"), m, d))
+    distances = F.transform("mates", lambda m: _distance(F.col("loc"), m, grid.columns))
     nearest = F.get(F.array_sort(F.filter(distances, lambda x: x > 0)), F.lit(k - 1))
-    diagonal = F.lit(grid.side * math.sqrt(d)) / at
-    reach = F.least(F.coalesce(nearest, diagonal), diagonal) * F.lit(1 + 1e-9)
+    if grid.columns == d:
+        diagonal = F.lit(grid.side * math.sqrt(d)) / at
+        reach = F.least(F.coalesce(nearest, diagonal), diagonal) * F.lit(1 + 1e-9)
+    else:  # the cell says nothing about the other columns
+        reach = F.coalesce(nearest, F.lit(grid.side * math.sqrt(grid.columns))) * F.lit(1 + 1e-9)
     return located.withColumn("mates", mates).withColumns({"reach": reach, "at": at}).drop("mates")
 
 
@@ -138,16 +146,32 @@ def _neighbours(located: DataFrame, grid: _Grid, k: int) -> DataFrame:
         final = grid._index(offset + F.col("reach"), unit, F.col("at"))
         asked = asked.withColumn(f"c{j}", F.explode(F.sequence(first, final)))
         key.append(f"c{j}")
-    used = sorted(r["level"] for r in located.where(F.col("w") <= k).select("level").distinct().collect())
+    return _nearest(asked, key, located, grid, k)
+
+
+def _levels(located: DataFrame, k: int) -> list[int]:
+    """The levels on which some place asks for its neighbours."""
+    return sorted(r["level"] for r in located.where(F.col("w") <= k).select("level").distinct().collect())
+
+
+def _on_levels(located: DataFrame, grid: _Grid, levels: Sequence[int]) -> DataFrame:
+    """Every place with its cell on each of some levels: ``(nb, nb_w, level, c0, ...)``."""
     held = [
-        F.struct(F.lit(l).alias("level"), *[c.alias(f"c{j}") for j, c in enumerate(grid.cell(F.col("loc"), l))]) for l in used
+        F.struct(F.lit(l).alias("level"), *[c.alias(f"c{j}") for j, c in enumerate(grid.cell(F.col("loc"), l))]) for l in levels
     ]
-    offered = located.select(F.col("loc").alias("nb"), F.col("w").alias("nb_w"), F.explode(F.array(*held)).alias("e")).select(
+    return located.select(F.col("loc").alias("nb"), F.col("w").alias("nb_w"), F.explode(F.array(*held)).alias("e")).select(
         "nb", "nb_w", "e.*"
     )
-    dist = _distance(F.col("loc"), F.col("nb"), d)
+
+
+def _nearest(
+    asked: DataFrame, key: Sequence[str], located: DataFrame, grid: _Grid, k: int, levels: Sequence[int] | None = None
+) -> DataFrame:
+    """The k-neighbourhoods among places for ``(loc, copies, reach)`` asked on cells."""
+    offered = _on_levels(located, grid, levels or _levels(located, k))
+    dist = _distance(F.col("loc"), F.col("nb"), grid.columns)
     pairs = (
-        asked.join(offered, key)
+        asked.join(offered, list(key))
         .where(F.col("loc") != F.col("nb"))
         .withColumn("dist", dist)
         .where(F.col("dist") <= F.col("reach"))
@@ -166,55 +190,129 @@ def _neighbours(located: DataFrame, grid: _Grid, k: int) -> DataFrame:
     )
 
 
-def _location_factors(locs: DataFrame, d: int, k: int, n: int, lo: list[float], side: float) -> DataFrame:
-    """``(loc, lof)`` of the locations with at most k rows; the others have factor 1."""
-    grid = _Grid(lo, side * (1 + 1e-9) if side else 1.0)
-    located = _locate(locs, grid, n, k)
-    pairs = cut_lineage(_neighbours(located, grid, k))
-    # A location with more than k rows has its k-distance at 0.
-    k_dist = pairs.groupBy("loc").agg(F.max("dist").alias("k_dist"), F.max("copies").alias("copies"))
-    k_of_nb = k_dist.select(F.col("loc").alias("nb"), F.col("k_dist").alias("nb_k"))
-    reach = F.greatest("dist", F.coalesce("nb_k", F.lit(0.0)))
-    sums = pairs.join(k_of_nb, "nb", "left").groupBy("loc").agg(
-        F.sum(F.col("nb_w") * reach).alias("far"), F.sum("nb_w").alias("others")
-    )
-    total = F.col("others") + F.col("copies")
-    density = F.lit(1.0) / ((F.col("far") + F.col("copies") * F.col("k_dist")) / total + F.lit(LRD_EPSILON))
-    lrd = cut_lineage(sums.join(k_dist, "loc").select("loc", density.alias("lrd"), "copies", total.alias("total")))
-    lrd_of_nb = lrd.select(F.col("loc").alias("nb"), F.col("lrd").alias("nb_lrd"))
-    near = pairs.join(lrd_of_nb, "nb", "left").groupBy("loc").agg(
-        F.sum(F.col("nb_w") * F.coalesce("nb_lrd", F.lit(1.0 / LRD_EPSILON))).alias("dense")
-    )
-    factor = (F.col("dense") + F.col("copies") * F.col("lrd")) / F.col("total") / F.col("lrd")
-    return near.join(lrd, "loc").select("loc", factor.alias("lof"))
+@dataclass
+class PlaceFactors:
+    """The exact factors of a whole table and what further rows need to be scored against it.
+
+    Rows at the same place are one weighted place from the start, so copies cost nothing: a place with more than k
+    rows has factor 1 and asks no neighbours. ``places`` is ``(loc, w, level)``, ``density`` ``(loc, k_dist, lrd)`` and
+    ``factors`` ``(loc, lof)`` for places of at most k rows. Any number of columns; all tables stay distributed.
+    """
 
+    cols: list[str]
+    k: int
+    grid: _Grid
+    places: DataFrame
+    density: DataFrame
+    factors: DataFrame
 
-def exact_lof(df: DataFrame, cols: Sequence[str], k: int, out: str = "lof") -> DataFrame:
-    """Append the local outlier factor of every row on one to four numeric columns.
+    @classmethod
+    def fit(cls, df: DataFrame, cols: Sequence[str], k: int) -> PlaceFactors:
+        cols = list(cols)
+        if not cols:
+            raise ValueError("a density needs columns")
+        found = ranges(df, cols, allow_missing=False)
+        rows = next(iter(found.values()))[2]
+        if rows <= k:
+            raise ValueError(f"{rows} rows have no {k} neighbours")
+        locs = cut_lineage(df.groupBy(place(cols).alias("loc")).agg(F.count(F.lit(1)).alias("w")))
+        cut = cols[:GRID_COLUMNS]
+        side = max(found[c][1] - found[c][0] for c in cut)
+        whole = max(found[c][1] - found[c][0] for c in cols)
+        grid = _Grid([found[c][0] for c in cut], max(side, whole) * (1 + 1e-9) or 1.0, len(cols))
+        places = cut_lineage(_locate(locs, grid, locs.count(), k))
+        pairs = cut_lineage(_neighbours(places, grid, k)) if not places.where(F.col("w") <= k).isEmpty() else None
+        if pairs is None:  # every place has more than k rows
+            nothing = places.limit(0)
+            zero = F.lit(0.0)
+            return cls(cols, k, grid, places, nothing.select("loc", zero.alias("k_dist"), zero.alias("lrd")), nothing.select("loc", zero.alias("lof")))
+        # A place with more than k rows has its k-distance at 0.
+        k_dist = pairs.groupBy("loc").agg(F.max("dist").alias("k_dist"), F.max("copies").alias("copies"))
+        k_of_nb = k_dist.select(F.col("loc").alias("nb"), F.col("k_dist").alias("nb_k"))
+        reach = F.greatest("dist", F.coalesce("nb_k", F.lit(0.0)))
+        sums = pairs.join(k_of_nb, "nb", "left").groupBy("loc").agg(
+            F.sum(F.col("nb_w") * reach).alias("far"), F.sum("nb_w").alias("others")
+        )
+        total = F.col("others") + F.col("copies")
+        density = F.lit(1.0) / ((F.col("far") + F.col("copies") * F.col("k_dist")) / total + F.lit(LRD_EPSILON))
+        lrd = cut_lineage(sums.join(k_dist, "loc").select("loc", density.alias("lrd"), "copies", total.alias("total"), "k_dist"))
+        lrd_of_nb = lrd.select(F.col("loc").alias("nb"), F.col("lrd").alias("nb_lrd"))
+        near = pairs.join(lrd_of_nb, "nb", "left").groupBy("loc").agg(
+            F.sum(F.col("nb_w") * F.coalesce("nb_lrd", F.lit(1.0 / LRD_EPSILON))).alias("dense")
+        )
+        factor = (F.col("dense") + F.col("copies") * F.col("lrd")) / F.col("total") / F.col("lrd")
+        return cls(cols, k, grid, places, lrd.select("loc", "k_dist", "lrd"), cut_lineage(near.join(lrd, "loc").select("loc", factor.alias("lof"))))
 
-    Rows at the same place are one weighted location from the start, so copies cost nothing: a
-    place with more than k rows has factor 1 and asks no neighbours.
-    """
-    cols = list(cols)
-    if not 1 <= len(cols) <= MAX_COLUMNS:
-        raise ValueError(f"exact factors need 1 to {MAX_COLUMNS} columns; use bags of columns or a reference sample")
-    found = ranges(df, cols, allow_missing=False)
-    rows = next(iter(found.values()))[2]
-    if rows <= k:
-        raise ValueError(f"{rows} rows have no {k} neighbours")
-    loc = F.array(*[F.col(c).cast("double") + F.lit(0.0) for c in cols])
-    locs = cut_lineage(df.groupBy(loc.alias("loc")).agg(F.count(F.lit(1)).alias("w")))
-    if locs.where(F.col("w") <= k).isEmpty():
-        return df.withColumn(out, F.lit(1.0))
-    lo = [found[c][0] for c in cols]
-    side = max(found[c][1] - found[c][0] for c in cols)
-    factors = _location_factors(locs, len(cols), k, locs.count(), lo, side)
-    return (
-        df.withColumn("__loc", loc)
-        .join(factors.select(F.col("loc").alias("__loc"), F.col("lof").alias(out)), "__loc", "left")
-        .drop("__loc")
-        .withColumn(out, F.coalesce(F.col(out), F.lit(1.0)))
-    )
+    def score(self, df: DataFrame, out: str = "lof") -> DataFrame:
+        """Append the factor of every row; null where a column is missing or not finite.
+
+        A row at a fitted place has that place's factor, as if it were one of its rows. Any other row is measured
+        against the fitted places alone, so rows that are scored together don't change each other.
+        """
+        finite = F.lit(True)
+        for c in self.cols:
+            x = F.col(c).cast("double")
+            finite = finite & x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(math.inf))
+        rows = df.withColumn("__loc", F.when(finite, place(self.cols)))
+        known = self.places.join(self.factors, "loc", "left").select("loc", F.coalesce("lof", F.lit(1.0)).alias(out))
+        fresh = cut_lineage(rows.where("__loc IS NOT NULL").select(F.col("__loc").alias("loc")).distinct().join(known, "loc", "left_anti"))
+        if not fresh.isEmpty():
+            known = known.unionByName(self._unseen(fresh).select("loc", F.col("lof").alias(out)))
+        return rows.join(known.withColumnRenamed("loc", "__loc"), "__loc", "left").drop("__loc")
+
+    def _unseen(self, fresh: DataFrame) -> DataFrame:
+        """``(loc, lof)`` of new places among the fitted ones.
+
+        A place within distance t has its k-neighbourhood and itself within t plus its k-distance, so one place of each
+        cell that a new place shares bounds how far to look. Only the part of the grid within that reach is asked,
+        on the finest level whose cells are not smaller than the part.
+        """
+        grid, d, k = self.grid, self.grid.d, self.k
+        levels = sorted({0, *_levels(self.places, k)})
+        names = [f"c{j}" for j in range(d)]
+        radius = self.places.join(self.density, "loc", "left").select("loc", "w", F.coalesce("k_dist", F.lit(0.0)).alias("k_dist"))
+        first = _on_levels(radius.select("loc", F.col("k_dist").alias("w")), grid, levels)
+        seeds = cut_lineage(first.groupBy("level", *names).agg(F.min_by("nb", "nb_w").alias("seed"), F.min("nb_w").alias("k_dist")))
+        at = _on_levels(fresh.select("loc", F.lit(0).alias("w")), grid, levels).withColumnRenamed("nb", "loc").drop("nb_w")
+        bound = _distance(F.col("loc"), F.col("seed"), grid.columns) + F.col("k_dist")
+        asked = at.join(seeds, ["level", *names]).groupBy("loc").agg((F.min(bound) * F.lit(1 + 1e-9)).alias("reach"))
+        outside = [F.greatest(F.lit(0.0), F.lit(lo) - F.col("loc")[j], F.col("loc")[j] - F.lit(lo + grid.side)) for j, lo in enumerate(grid.lo)]
+        all_out = F.lit(0.0)
+        for o in outside:
+            all_out = all_out + o * o
+        starts, ends, extent = [], [], F.lit(0.0)
+        for j, lo in enumerate(grid.lo):
+            half = F.sqrt(F.greatest(F.lit(0.0), F.col("reach") * F.col("reach") - (all_out - outside[j] * outside[j])))
+            starts.append(F.greatest(F.lit(0.0), F.col("loc")[j] - half - F.lit(lo)))
+            ends.append(F.least(F.lit(grid.side), F.col("loc")[j] + half - F.lit(lo)))
+            extent = F.greatest(extent, ends[-1] - starts[-1])
+        level = F.lit(levels[0])
+        for l in levels[1:]:
+            level = F.when(extent <= F.lit(grid.width(l)), F.lit(l)).otherwise(level)
+        asked = asked.withColumns({"level": level, "copies": F.lit(0).cast("bigint"), "at": F.pow(F.lit(2.0), level)})
+        for j in range(d):
+            unit = F.lit(grid.side) / F.col("at")
+            cells = F.sequence(grid._index(starts[j], unit, F.col("at")), grid._index(ends[j], unit, F.col("at")))
+            asked = asked.withColumn(names[j], F.explode(cells))
+        pairs = cut_lineage(_nearest(asked, ["level", *names], self.places, grid, k, levels))
+        facts = self.density.select(F.col("loc").alias("nb"), "k_dist", F.col("lrd").alias("nb_lrd"))
+        joined = pairs.join(facts, "nb", "left")
+        reach = F.greatest("dist", F.coalesce("k_dist", F.lit(0.0)))
+        sums = joined.groupBy("loc").agg(
+            F.sum(F.col("nb_w") * reach).alias("far"), F.sum("nb_w").alias("total"),
+            F.sum(F.col("nb_w") * F.coalesce("nb_lrd", F.lit(1.0 / LRD_EPSILON))).alias("dense"),
+        )
+        return sums.select("loc", (F.col("dense") / F.col("total") * (F.col("far") / F.col("total") + F.lit(LRD_EPSILON))).alias("lof"))
+
+
+def place(cols: Sequence[str]) -> Column:
+    """Where a row lies; a negative zero is zero."""
+    return F.array(*[F.col(c).cast("double") + F.lit(0.0) for c in cols])
+
+
+def exact_lof(df: DataFrame, cols: Sequence[str], k: int, out: str = "lof") -> DataFrame:
+    """Append the local outlier factor of every row among all rows, on any number of numeric columns."""
+    return PlaceFactors.fit(df, cols, k).score(df, out)
 
 
 def _kernels() -> tuple[Callable, Callable, Callable]:
@@ -291,13 +389,16 @@ class ReferenceLOF:
                 own_place = known.get_indexer(ids.iloc[part])
                 inside = np.flatnonzero(own_place >= 0)
                 dist[inside, own_place[inside]] = np.inf  # a reference row is not its own neighbour
+                dist[np.isnan(dist)] = 0.0
                 row, other, _ = near(dist, k)
                 own = 1.0 / (mean(row, np.maximum(dist[row, other], k_dist[other])) + LRD_EPSILON)
-                result[part] = mean(row, lrd[other]) / own
+                whole = np.isfinite(rows[part]).all(1)  # a row with a missing number has no factor
+                result[part] = np.where(whole, mean(row, lrd[other]) / own, np.nan)
             return pd.Series(result)
 
         label = F.concat_ws(":", *[F.col(c).cast("string") for c in self.keys])
-        return df.withColumn(out, factors(label, *[F.col(c).cast("double") for c in self.cols]))
+        found = factors(label, *[F.col(c).cast("double") for c in self.cols])
+        return df.withColumn(out, F.nanvl(found, F.lit(None).cast("double")))
 
 
 def min_max(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float, float]]:
@@ -306,20 +407,20 @@ def min_max(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float, float]
 
 
 def scaled(c: Column, lo: float, hi: float) -> Column:
-    """To 0..1 by the fitted range; rows outside it are clipped, a constant score is 0."""
+    """To 0..1 by the fitted range; rows outside it are clipped, a constant score is 0, a missing one stays missing."""
     if hi == lo:
         return F.when(c.isNotNull(), F.lit(0.0))
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (c - F.lit(lo)) / F.lit(hi - lo)))
+    return F.when(c.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), (c - F.lit(lo)) / F.lit(hi - lo))))
 
 
 def bagged_lof(df: DataFrame, bags: Sequence[Sequence[str]], k: int, out: str = "lof_score") -> DataFrame:
     """Mean over column bags of the exact factor scaled to 0..1."""
     names = [f"__lof{i}" for i in range(len(bags))]
-    for bag, name in zip(bags, names):
-        df = exact_lof(df, bag, k, name)
-    df = cut_lineage(df)
-    fitted = min_max(df, names)
+    fitted = [PlaceFactors.fit(df, bag, k) for bag in bags]
+    for one, name in zip(fitted, names):
+        df = cut_lineage(one.score(df, name))
+    limits = min_max(df, names)
     total = F.lit(0.0)
     for name in names:
-        total = total + scaled(F.col(name), *fitted[name])
+        total = total + scaled(F.col(name), *limits[name])
     return df.withColumn(out, total / len(bags)).drop(*names)

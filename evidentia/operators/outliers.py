@@ -17,7 +17,7 @@ from evidentia.operators.cpt import Network, fit_network
 from evidentia.operators.graph import Edge
 from evidentia.operators.inference import with_probabilities
 from evidentia.operators.mixture import gaussian_table
-from evidentia.operators.lof import ReferenceLOF, min_max, scaled
+from evidentia.operators.lof import PlaceFactors, min_max, scaled
 from evidentia.operators.selection import FeatureParams
 from evidentia.operators.structure import learn_structure
 from evidentia.session import cut_lineage
@@ -103,15 +103,14 @@ class TabularOutlierDetector(Estimator, FeatureParams):
     """Scores rows by local density on bags of numeric columns and by a network over the columns.
 
     ``keyCols`` identify a row. ``categoryCols`` are network nodes, ``numericCols`` enter the density
-    score and, given ``numericParents``, the network score. The density reference is a sample of
-    ``referenceSize`` rows; use ``exact_lof`` for factors among all rows.
+    score and, given ``numericParents``, the network score. The density of a row is its exact factor among
+    all rows of ``fit``, averaged over the bags; rows not seen there are measured against them.
     """
 
     keyCols = Param(Params._dummy(), "keyCols", "columns that identify a row", TypeConverters.toListString)
     numericCols = Param(Params._dummy(), "numericCols", "numeric columns", TypeConverters.toListString)
     categoryCols = Param(Params._dummy(), "categoryCols", "category columns", TypeConverters.toListString)
     neighbours = Param(Params._dummy(), "neighbours", "k of the density score", TypeConverters.toInt)
-    referenceSize = Param(Params._dummy(), "referenceSize", "rows in the density reference", TypeConverters.toInt)
     bagSize = Param(Params._dummy(), "bagSize", "columns per bag", TypeConverters.toInt)
     iterations = Param(Params._dummy(), "iterations", "number of bags and of random nodes", TypeConverters.toInt)
     contamination = Param(Params._dummy(), "contamination", "share of outliers", TypeConverters.toFloat)
@@ -121,11 +120,11 @@ class TabularOutlierDetector(Estimator, FeatureParams):
     @keyword_only
     def __init__(
         self, *, keyCols=None, numericCols=None, categoryCols=None, knownStructure=None, numericParents=None, bags=None,
-        nodes=None, neighbours=5, referenceSize=1000, bagSize=2, iterations=5, contamination=0.05, weight=0.5, seed=0,
+        nodes=None, neighbours=5, bagSize=2, iterations=5, contamination=0.05, weight=0.5, seed=0,
     ):
         super().__init__()
         self._setDefault(
-            neighbours=5, referenceSize=1000, bagSize=2, iterations=5, contamination=0.05, weight=0.5, seed=0,
+            neighbours=5, bagSize=2, iterations=5, contamination=0.05, weight=0.5, seed=0,
             numericCols=[], categoryCols=[],
         )
         given = dict(self._input_kwargs)
@@ -137,11 +136,11 @@ class TabularOutlierDetector(Estimator, FeatureParams):
 
     def _fit(self, df: DataFrame) -> TabularOutlierModel:
         get = self.getOrDefault
-        keys, numeric, categories = get("keyCols"), get("numericCols"), get("categoryCols")
+        numeric, categories = get("numericCols"), get("categoryCols")
         density = []
         bags = self.bags or (random_bags(numeric, get("bagSize"), get("iterations"), get("seed")) if numeric else [])
         for bag in bags:
-            density.append(ReferenceLOF.fit(df, bag, keys, get("neighbours"), get("referenceSize"), get("seed")))
+            density.append(PlaceFactors.fit(df, bag, get("neighbours")))
         network_score = None
         if categories:
             edges = self.known_structure
@@ -162,7 +161,7 @@ class TabularOutlierDetector(Estimator, FeatureParams):
 class TabularOutlierModel(Model):
     """Adds ``lof_score``, ``bn_score``, ``score``; see ``predict`` and ``decision_function``."""
 
-    def __init__(self, density: list[ReferenceLOF], network_score: NetworkScore | None, weight: float) -> None:
+    def __init__(self, density: list[PlaceFactors], network_score: NetworkScore | None, weight: float) -> None:
         super().__init__()
         self.density, self.network_score, self.weight = density, network_score, weight
         self.fitted: dict[str, tuple[float, float]] = {}
@@ -170,9 +169,9 @@ class TabularOutlierModel(Model):
 
     def _raw(self, df: DataFrame) -> tuple[DataFrame, list[str], list[str]]:
         lof_names, bn_names = [], []
-        for i, reference in enumerate(self.density):
+        for i, factors in enumerate(self.density):
             lof_names.append(f"__lof{i}")
-            df = reference.score(df, lof_names[-1])
+            df = factors.score(df, lof_names[-1])
         if self.network_score:
             df, bn_names = self.network_score.raw(df)
         return df, lof_names, bn_names

@@ -17,10 +17,10 @@ K = 5
 
 def vectors(spark, sf_dir) -> DataFrame:
     df = table(spark, sf_dir, "embeddings")
-    return df.select("vec_id", *[F.col("embedding")[j].cast("double").alias(f"e{j}") for j in range(4)])
+    return df.select("vec_id", *[F.col("embedding")[j].cast("double").alias(f"e{j}") for j in range(6)])
 
 
-_VECTORS = "(SELECT vec_id AS id, " + ", ".join(f"embedding[{j + 1}]::DOUBLE AS e{j}" for j in range(4)) + " FROM embeddings)"
+_VECTORS = "(SELECT vec_id AS id, " + ", ".join(f"embedding[{j + 1}]::DOUBLE AS e{j}" for j in range(6)) + " FROM embeddings)"
 
 
 def sql_lof(source: str, cols: list[str], tag: str = "") -> str:
@@ -41,6 +41,14 @@ def lof_exact(spark, sf_dir) -> DataFrame:
     return exact_lof(vectors(spark, sf_dir), ["e0", "e1"], K).select("vec_id", r6("lof").alias("lof"))
 
 
+WIDE = [f"e{j}" for j in range(6)]
+
+
+@REG.add("lof_wide", f"WITH v AS {_VECTORS}, {sql_lof('v', WIDE)} SELECT id AS vec_id, {sql_r6('lof')} AS lof FROM lof")
+def lof_wide(spark, sf_dir) -> DataFrame:
+    return exact_lof(vectors(spark, sf_dir), WIDE, K).select("vec_id", r6("lof").alias("lof"))
+
+
 BAGS = [["e0", "e1"], ["e2", "e3"], ["e0", "e3"]]
 _SCALED = " + ".join(f"(l{i}.lof - (SELECT min(lof) FROM lof{i})) / ((SELECT max(lof) - min(lof) FROM lof{i}))" for i in range(3))
 
@@ -87,6 +95,37 @@ def lof_sampled(spark, sf_dir) -> DataFrame:
     return model.score(df).select(*ROW_KEYS, r6("lof").alias("lof"))
 
 
+PLACE, K_ROWS = ["l_quantity", "l_discount", "l_tax"], 20
+
+
+def sql_place_lof(cols: list[str], k: int, source: str = "lineitem") -> str:
+    """Named steps that end in ``lof(cols, lof)``: the factor of every place, rows at the same place counted one by one."""
+    listed = ", ".join(cols)
+    square = " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in cols)
+    return (
+        f"spots AS MATERIALIZED (SELECT {listed}, count(*) AS w, row_number() OVER () AS s FROM {source} GROUP BY {listed}), "
+        f"far AS (SELECT a.s, b.s AS nb, a.w - 1 AS copies, b.w, sqrt({square}) AS dist FROM spots a JOIN spots b ON a.s <> b.s WHERE a.w <= {k}), "
+        "upto AS (SELECT *, copies + sum(w) OVER (PARTITION BY s ORDER BY dist) - sum(w) OVER (PARTITION BY s, dist) AS before FROM far), "
+        f"near AS MATERIALIZED (SELECT * FROM upto WHERE before < {k}), "
+        "kd AS (SELECT s, max(dist) AS kd, any_value(copies) AS copies FROM near GROUP BY s), "
+        "lrd AS (SELECT n.s, any_value(k.kd) AS kd, any_value(k.copies) AS copies, sum(n.w) + any_value(k.copies) AS total, "
+        "1 / ((sum(n.w * greatest(n.dist, coalesce(o.kd, 0))) + any_value(k.copies * k.kd)) / (sum(n.w) + any_value(k.copies)) + 1e-10) AS lrd "
+        "FROM near n JOIN kd k USING (s) LEFT JOIN kd o ON o.s = n.nb GROUP BY n.s), "
+        "fac AS (SELECT n.s, (sum(n.w * coalesce(o.lrd, 1e10)) + any_value(l.copies * l.lrd)) / any_value(l.total) / any_value(l.lrd) AS lof "
+        "FROM near n JOIN lrd l USING (s) LEFT JOIN lrd o ON o.s = n.nb GROUP BY n.s), "
+        f"lof AS MATERIALIZED (SELECT {listed}, coalesce(lof, 1) AS lof FROM spots LEFT JOIN fac USING (s))"
+    )
+
+
+@REG.add(
+    "lof_rows",
+    f"WITH {sql_place_lof(PLACE, K_ROWS)} SELECT {', '.join(ROW_KEYS)}, {sql_r6('lof')} AS lof FROM lineitem JOIN lof USING ({', '.join(PLACE)})",
+)
+def lof_rows(spark, sf_dir) -> DataFrame:
+    df = table(spark, sf_dir, "lineitem").select(*ROW_KEYS, *PLACE)
+    return exact_lof(df, PLACE, K_ROWS).select(*ROW_KEYS, r6("lof").alias("lof"))
+
+
 CATEGORIES = ["l_returnflag", "l_linestatus", "l_suppkey"]
 EDGES = [("l_returnflag", "l_linestatus"), ("l_returnflag", "l_suppkey")]
 SCORED_NODES = ["l_linestatus", "l_suppkey"]
@@ -96,7 +135,7 @@ NUMERIC_PARENTS = {"l_extendedprice": ["l_returnflag", "l_linestatus"]}
 def sql_network_raw(rows: str = "rows_") -> str:
     """``raw``: every numbered row with the three raw network scores."""
     return (
-        f"raw AS (SELECT {', '.join(ROW_KEYS)}, rid, -ln(s.prob) AS s1, -ln(k.prob) AS s2, abs(d.l_extendedprice - g.mean) / g.sd AS s3 "
+        f"raw AS (SELECT {', '.join([*ROW_KEYS, *PLACE])}, rid, -ln(s.prob) AS s1, -ln(k.prob) AS s2, abs(d.l_extendedprice - g.mean) / g.sd AS s3 "
         f"FROM {rows} d JOIN {sql_cpt('l_linestatus', ['l_returnflag'])} s USING (l_returnflag, l_linestatus) "
         f"JOIN {sql_cpt('l_suppkey', ['l_returnflag'])} k USING (l_returnflag, l_suppkey) "
         "JOIN (SELECT l_returnflag, l_linestatus, avg(l_extendedprice) AS mean, stddev_pop(l_extendedprice) AS sd FROM lineitem GROUP BY ALL) g "
@@ -108,8 +147,8 @@ _BN = " + ".join(f"(s{i} - (SELECT min(s{i}) FROM raw)) / (SELECT max(s{i}) - mi
 _BN = f"(({_BN}) / 3)"
 _LOF = "((lof - (SELECT min(lof) FROM lof)) / (SELECT max(lof) - min(lof) FROM lof))"
 _COMBINED = (
-    f"WITH {sql_reference_lof()}, {sql_network_raw()}, scores AS (SELECT {', '.join(ROW_KEYS)}, {_LOF} AS lof_score, {_BN} AS bn_score, "
-    f"0.5e0 * {_LOF} + 0.5e0 * {_BN} AS score FROM raw JOIN lof USING (rid)), "
+    f"WITH {sql_place_lof(PLACE, K_ROWS)}, {sql_network_raw('(SELECT *, row_number() OVER () AS rid FROM lineitem)')}, scores AS (SELECT {', '.join(ROW_KEYS)}, {_LOF} AS lof_score, {_BN} AS bn_score, "
+    f"0.5e0 * {_LOF} + 0.5e0 * {_BN} AS score FROM raw JOIN lof USING ({', '.join(PLACE)})), "
     "cutoff AS (SELECT quantile_cont(score, 0.95) AS cutoff FROM scores) "
 )
 _KEYS = ", ".join(ROW_KEYS)
@@ -117,13 +156,13 @@ _KEYS = ", ".join(ROW_KEYS)
 
 def detector(bags: list[list[str]] | None) -> TabularOutlierDetector:
     return TabularOutlierDetector(
-        keyCols=ROW_KEYS, numericCols=BAG if bags else [], categoryCols=CATEGORIES, knownStructure=EDGES, numericParents=NUMERIC_PARENTS,
-        bags=bags, nodes=SCORED_NODES, neighbours=K, referenceSize=REFERENCE, contamination=0.05, seed=SEED,
+        keyCols=ROW_KEYS, numericCols=PLACE if bags else [], categoryCols=CATEGORIES, knownStructure=EDGES, numericParents=NUMERIC_PARENTS,
+        bags=bags, nodes=SCORED_NODES, neighbours=K_ROWS, contamination=0.05, seed=SEED,
     )
 
 
 def _lineitem(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").select(*ROW_KEYS, *BAG, "l_returnflag", "l_linestatus")
+    return table(spark, sf_dir, "lineitem").select(*ROW_KEYS, *PLACE, "l_extendedprice", "l_returnflag", "l_linestatus")
 
 
 @REG.add("bn_anomaly", f"WITH {sql_network_raw('(SELECT *, row_number() OVER () AS rid FROM lineitem)')} SELECT {_KEYS}, {sql_r6(_BN)} AS bn_score FROM raw")
@@ -138,7 +177,7 @@ def bn_anomaly(spark, sf_dir) -> DataFrame:
 )
 def combined_anomaly(spark, sf_dir) -> DataFrame:
     df = _lineitem(spark, sf_dir)
-    scored = detector([BAG]).fit(df).transform(df)
+    scored = detector([PLACE]).fit(df).transform(df)
     return scored.select(*ROW_KEYS, *[r6(c).alias(c) for c in ("lof_score", "bn_score", "score")])
 
 
@@ -148,7 +187,7 @@ def combined_anomaly(spark, sf_dir) -> DataFrame:
 )
 def outlier_predict(spark, sf_dir) -> DataFrame:
     df = _lineitem(spark, sf_dir)
-    return detector([BAG]).fit(df).predict(df).select(*ROW_KEYS, "prediction")
+    return detector([PLACE]).fit(df).predict(df).select(*ROW_KEYS, "prediction")
 
 
 @REG.add(
@@ -157,7 +196,7 @@ def outlier_predict(spark, sf_dir) -> DataFrame:
 )
 def outlier_decision(spark, sf_dir) -> DataFrame:
     df = _lineitem(spark, sf_dir)
-    return detector([BAG]).fit(df).decision_function(df).select(*ROW_KEYS, r6("decision").alias("decision"))
+    return detector([PLACE]).fit(df).decision_function(df).select(*ROW_KEYS, r6("decision").alias("decision"))
 
 
 _TS = (

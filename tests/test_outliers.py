@@ -4,7 +4,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evidentia import SequenceOutlierDetector, TabularOutlierDetector
-from evidentia.operators.lof import ReferenceLOF, exact_lof
+from evidentia.operators.lof import PlaceFactors, ReferenceLOF, exact_lof
 from evidentia.operators.outliers import random_bags
 from evidentia.operators.sequences import previous_value
 
@@ -61,7 +61,60 @@ def test_exact_factor_limits(spark):
     with pytest.raises(ValueError):
         exact_lof(df, ["x"], 1)
     with pytest.raises(ValueError):
-        exact_lof(df, ["x", "y"] * 3, 1)
+        exact_lof(df, [], 1)
+
+
+def test_exact_factor_on_many_columns(spark):
+    rng = np.random.default_rng(9)
+    points = np.vstack([rng.normal(0, 1, (120, 7)), rng.normal(5, 0.1, (40, 7)), np.repeat(rng.normal(0, 1, (1, 7)), 9, axis=0)])
+    points[:5, :4] = 0.0  # places that only the columns outside the grid tell apart
+    check_exact(spark, points, 4)
+
+
+def brute_unseen(points, fresh, k):
+    dist = np.sqrt(((points[:, None] - points[None]) ** 2).sum(2))
+    np.fill_diagonal(dist, np.inf)
+    k_dist = np.sort(dist, axis=1)[:, k - 1]
+    near = dist <= k_dist[:, None]
+    lrd = np.array([1 / (np.maximum(dist[i], k_dist)[near[i]].mean() + 1e-10) for i in range(len(points))])
+    out = []
+    for q in fresh:
+        d = np.sqrt(((points - q) ** 2).sum(1))
+        hit = d <= np.sort(d)[k - 1]
+        out.append(lrd[hit].mean() * (np.maximum(d, k_dist)[hit].mean() + 1e-10))
+    return np.array(out)
+
+
+@pytest.mark.parametrize("d", [1, 2, 5])
+def test_rows_not_seen_are_measured_against_the_fitted_ones(spark, d):
+    rng = np.random.default_rng(d)
+    points = np.vstack([rng.normal(0, 1, (150, d)), rng.normal(20, 1e-3, (60, d))])
+    fresh = np.vstack([rng.normal(0, 2, (25, d)), rng.normal(20, 1e-2, (10, d)), np.full((1, d), 500.0), np.full((1, d), -90.0), np.full((1, d), 10.0)])
+    names = [f"x{j}" for j in range(d)]
+    frame = lambda x: spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(x)], ["id", *names])
+    fitted = PlaceFactors.fit(frame(points), names, 4)
+    found = [r["lof"] for r in fitted.score(frame(fresh)).orderBy("id").collect()]
+    assert np.allclose(found, brute_unseen(points, fresh, 4), rtol=1e-6)
+    again = [r["lof"] for r in fitted.score(frame(points)).orderBy("id").collect()]
+    assert np.allclose(again, brute_lof(points, 4), rtol=1e-6)
+
+
+def test_missing_numbers_have_no_score(spark):
+    df = table_frame(spark)
+    model = TabularOutlierDetector(keyCols=["id"], numericCols=["x", "y"], categoryCols=["a", "b"], knownStructure=[("a", "b")], numericParents={"x": ["a"]}, bags=[["x", "y"]]).fit(df)
+    gapped = df.limit(4).withColumn("x", F.when(F.col("id") == 1, F.lit(float("nan"))).when(F.col("id") != 2, F.col("x")))
+    rows = {r["id"]: r for r in model.predict(gapped).collect()}
+    for i, r in rows.items():
+        assert (r["score"] is None) == (r["prediction"] is None) == (i in (1, 2))
+
+
+def test_a_value_off_a_constant_group_stands_out(spark):
+    rows = [(i, i % 2, 5.0 if i % 2 else float(i)) for i in range(100)]
+    df = spark.createDataFrame(rows, "id bigint, a int, x double")
+    model = TabularOutlierDetector(keyCols=["id"], categoryCols=["a"], knownStructure=[], numericParents={"x": ["a"]}, nodes=["a"]).fit(df)
+    odd = spark.createDataFrame([(1000, 1, 5.0), (1001, 1, 90.0)], df.schema)
+    scores = {r["id"]: r["bn_score"] for r in model.transform(odd).collect()}
+    assert scores[1001] > scores[1000]
 
 
 def test_no_cross_join_and_no_python_in_the_exact_factor(spark):
@@ -95,7 +148,7 @@ def test_detector_finds_the_planted_row(spark):
     df = table_frame(spark)
     model = TabularOutlierDetector(
         keyCols=["id"], numericCols=["x", "y"], categoryCols=["a", "b"], knownStructure=[("a", "b")],
-        numericParents={"x": ["a"]}, referenceSize=200, iterations=2, contamination=0.02, seed=1,
+        numericParents={"x": ["a"]}, iterations=2, contamination=0.02, seed=1,
     ).fit(df)
     rows = model.predict(df).orderBy(F.desc("score")).collect()
     assert rows[0]["id"] == 0 and rows[0]["prediction"] == -1
