@@ -7,15 +7,15 @@ from collections.abc import Sequence
 from pyspark import keyword_only
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from evidentia.operators.graph import Edge
 from evidentia.operators.selection import FeatureParams
 from evidentia.operators.synth import SyntheticGenerator
+from evidentia.session import cut_lineage
 
 IMBALANCE_RATIO = 0.5
-MAX_CLASSES = 10_000
 CHUNK = 100_000
 
 
@@ -26,6 +26,20 @@ def class_imbalance(df: DataFrame, label: str, limit: float = IMBALANCE_RATIO) -
     return counts.withColumn("ratio", ratio).withColumn("minority", ratio < limit)
 
 
+def _numbered(deficits: DataFrame, label: str) -> DataFrame:
+    """``(label, first, end)``: the numbers of every class's new rows, counted on from class to class in order.
+
+    The classes are dealt out by range and numbered part by part, so their number is not bound to one task.
+    """
+    parts = int(deficits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut_lineage(deficits.repartitionByRange(parts, label).withColumn("__part", F.spark_partition_id()))
+    sums = placed.groupBy("__part").agg(F.sum("missing").alias("__sum"))  # a row per part
+    before = F.coalesce(F.sum("__sum").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = sums.select("__part", before.alias("__start"))
+    end = F.col("__start") + F.sum("missing").over(W.partitionBy("__part").orderBy(label))
+    return placed.join(F.broadcast(starts), "__part").withColumn("end", end).select(label, (F.col("end") - F.col("missing")).alias("first"), "end")
+
+
 class ClassBalancer(FeatureParams):
     """Raises every class to the size of the largest with rows sampled from a network whose root is
     the label. ``featureCols`` are categories; ``numericParents`` as in the generator."""
@@ -47,28 +61,19 @@ class ClassBalancer(FeatureParams):
         label, features = self.label(df), self.features(df)
         if self.known_structure and any(child == label for _, child in self.known_structure):
             raise ValueError("the label must be a root of the network")
-        counts = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-        rows = sorted(counts.limit(MAX_CLASSES + 1).collect())
-        if len(rows) > MAX_CLASSES:
-            raise ValueError(f"{label} has more than {MAX_CLASSES} classes")
+        counts = cut_lineage(df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n")))
         model = SyntheticGenerator(
             featureCols=[label, *features], knownStructure=self.known_structure, blackList=[(c, label) for c in features],
             numericParents=self.numeric_parents, components=self.getOrDefault("components"), seed=self.getOrDefault("seed"),
         ).fit(df)
         columns = [label, *features, *self.numeric_parents]
         originals = df.select(*columns).withColumn("synthetic", F.lit(False))
-        largest = max((r["n"] for r in rows), default=0)
-        missing, start = [], 0
-        for r in rows:
-            if r["n"] < largest:
-                missing.append((r[label], start, start + largest - r["n"]))
-                start += largest - r["n"]
-        if not missing:
+        largest = counts.agg(F.max("n")).first()[0] or 0
+        deficits = _numbered(counts.where(F.col("n") < largest).select(label, (F.lit(largest) - F.col("n")).alias("missing")), label)
+        if deficits.isEmpty():
             return originals
         # The numbers of the new rows are cut into chunks that spread over the cluster, however uneven
         # the classes are.
-        schema = T.StructType([df.schema[label], T.StructField("first", T.LongType()), T.StructField("end", T.LongType())])
-        deficits = df.sparkSession.createDataFrame(missing, schema)
         chunks = deficits.select(label, "end", F.explode(F.sequence(F.col("first"), F.col("end") - 1, F.lit(CHUNK))).alias("first"))
         until = F.least(F.col("first") + CHUNK, F.col("end")) - 1
         wanted = chunks.repartition(label, "first").select(label, F.explode(F.sequence("first", until)).alias("id"))

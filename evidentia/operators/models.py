@@ -40,32 +40,42 @@ def rank_consistency(
     real: DataFrame, made: DataFrame, categories: Sequence[str], numbers: Sequence[str], label: str, key: Sequence[str], seed: int = 0
 ) -> DataFrame:
     """Errors of several models on real and synthetic test rows with their ranks and the rank
-    correlation: ``(model, error_real, error_synthetic, rank_real, rank_synthetic, spearman)``."""
+    correlation: ``(model, error_real, error_synthetic, rank_real, rank_synthetic, spearman)``.
+
+    Every row counts in every error: a missing number is 0 with a flag of its own. Numbers are floored at zero for the
+    model of counts alone."""
     train, test = hash_split(real, key, 0.7, seed)
     vectors = [f"{c}__v" for c in categories]
     prepare = [
         *[StringIndexer(inputCol=c, outputCol=f"{c}__i", handleInvalid="keep", stringOrderType="alphabetAsc") for c in categories],
         OneHotEncoder(inputCols=[f"{c}__i" for c in categories], outputCols=vectors, handleInvalid="keep"),
-        VectorAssembler(inputCols=[*vectors, *numbers], outputCol="features", handleInvalid="skip"),
+        VectorAssembler(inputCols=[*vectors, *numbers, *[f"{c}__none" for c in numbers]], outputCol="features"),
+        VectorAssembler(inputCols=[*vectors, *[f"{c}__floor" for c in numbers], *[f"{c}__none" for c in numbers]], outputCol="counts"),
     ]
-    # Only the columns needed, floored at zero for models of counts.
-    floored = [F.greatest(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in numbers]
 
     def shaped(df: DataFrame) -> DataFrame:
-        return df.select(*categories, *floored, F.col(label).cast("double").alias("label"))
+        made = []
+        for c in numbers:
+            x = F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+            filled = F.coalesce(x, F.lit(0.0))
+            made += [filled.alias(c), F.greatest(filled, F.lit(0.0)).alias(f"{c}__floor"), x.isNull().cast("double").alias(f"{c}__none")]
+        return df.select(*categories, *made, F.col(label).cast("double").alias("label"))
 
     prep = Pipeline(stages=prepare).fit(shaped(real))
-    fit_rows = prep.transform(shaped(train)).select("features", "label").persist()
+    fit_rows = prep.transform(shaped(train)).select("features", "counts", "label").persist()
     candidates = {
         "stump": DecisionTreeClassifier(maxDepth=1, seed=seed),
         "tree": DecisionTreeClassifier(maxDepth=6, seed=seed),
         "forest": RandomForestClassifier(numTrees=20, maxDepth=6, seed=seed),
         "logistic": LogisticRegression(maxIter=20),
-        "bayes": NaiveBayes(),
+        "bayes": NaiveBayes(featuresCol="counts"),
     }
     parts = []
-    for name, estimator in candidates.items():
-        model = estimator.fit(fit_rows)
+    try:
+        fitted = {name: estimator.fit(fit_rows) for name, estimator in candidates.items()}
+    finally:
+        fit_rows.unpersist()
+    for name, model in fitted.items():
         for kind, rows in (("real", test), ("synthetic", made)):
             scored = model.transform(prep.transform(shaped(rows)))
             wrong = F.avg((F.col("prediction") != F.col("label")).cast("double"))

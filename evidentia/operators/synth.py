@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions.sampling import hash_uniform
 from evidentia.operators.cpt import Network, fit_network
-from evidentia.operators.graph import Edge, topological
+from evidentia.operators.graph import Edge, ancestors, topological
 from evidentia.operators.mixture import fit_mixtures, single_normals
 from evidentia.operators.selection import FeatureParams
 from evidentia.operators.structure import learn_structure
@@ -126,8 +126,14 @@ class SyntheticModel(Model):
 
     def _transform(self, df: DataFrame, seed: int = 0, id_col: str = "id") -> DataFrame:
         """Fill in every network column that ``df`` does not hold; columns it holds are evidence and
-        must be roots or have their ancestors given too."""
+        must be roots or have their ancestors given too, or a ``ValueError`` names those that are not."""
         given = set(df.columns)
+        above = {c: ancestors(c, self.network.parents) for c in self.network.nodes}
+        for c, (parents, *_) in self.mixtures.items():
+            above[c] = set(parents).union(*[above[p] for p in parents])
+        loose = {c: sorted(up - given) for c, up in above.items() if c in given and up - given}
+        if loose:
+            raise ValueError(f"evidence needs its ancestors: {loose}")
         for node in topological(self.network.nodes, self.network.edges):
             if node not in given:
                 df = draw_category(df, self.network, node, seed, id_col)

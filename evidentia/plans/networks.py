@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from evidentia.operators.bn_features import NetworkFeatureGenerator
 from evidentia.operators.cpt import Network, fit_network
 from evidentia.operators.families import cardinalities, compress, edge_gains, named_bic_scores, network_score, screened_edges
-from evidentia.operators.graph import allowed_edges, parent_table
+from evidentia.operators.graph import allowed_edges, is_acyclic, parent_table
 from evidentia.operators.selection import markov_blanket
 from evidentia.operators.structure import learn_structure, random_forest
 from evidentia.plans.common import r6, registry, sql_r6, table
@@ -240,6 +240,9 @@ def _scored_edges(spark, df: DataFrame, edges: list[tuple[str, str]]) -> DataFra
     return scores.select(parent, F.col("node").alias("child"), r6("score").alias("family_score"))
 
 
+START = random_forest(ORDER, set(BLACK_LIST), random.Random(7))  # the seed alone decides the edges
+
+
 @REG.add("bn_structure")
 def bn_structure(spark, sf_dir) -> DataFrame:
     df = derived(spark, sf_dir, "l_orderkey", "l_linenumber")
@@ -247,6 +250,34 @@ def bn_structure(spark, sf_dir) -> DataFrame:
     return _scored_edges(spark, df, found.edges)
 
 
+@REG.add(
+    "bn_structure_facts",
+    f"WITH derived AS ({DERIVED_SQL}) SELECT 'cyclic edges' AS fact, 0e0 AS value UNION ALL SELECT 'forbidden edges', 0e0 "
+    "UNION ALL SELECT 'score less the sum of its families', 0e0 UNION ALL SELECT 'not below its forest', 1e0 "
+    "UNION ALL SELECT 'score of the forest', "
+    + sql_r6(" + ".join(sql_bic(c, [p for p, k in START if k == c], "derived") for c in ORDER) + f" - 0.1e0 * {len(START)}"),
+)
+def bn_structure_facts(spark, sf_dir) -> DataFrame:
+    """What must hold of a learned network whatever the walk found, and the score of the forest that it starts from."""
+    df = derived(spark, sf_dir, "l_orderkey", "l_linenumber")
+    found = learn_structure(df, ORDER, seed=7, black_list=BLACK_LIST)
+    counts = compress(df, ORDER)
+    cards = cardinalities(counts, ORDER)
+
+    def score(edges: list[tuple[str, str]]) -> float:
+        return network_score(counts, [(c, tuple(p for p, k in edges if k == c)) for c in ORDER], cards).first()["score"]
+
+    again = score(found.edges)
+    facts = [
+        ("cyclic edges", 0.0 if is_acyclic(ORDER, found.edges) else float(len(found.edges))),
+        ("forbidden edges", float(len(set(found.edges) & set(BLACK_LIST)))),
+        ("score less the sum of its families", round((found.score - again) / abs(again), 8) + 0.0),
+        ("not below its forest", float(found.score >= found.forest_score)),
+        ("score of the forest", score(found.forest)),
+    ]
+    return spark.createDataFrame(facts, "fact string, value double").select("fact", r6("value").alias("value"))
+
+
 FOREST = random_forest(ORDER, set(), random.Random(7))  # the seed alone decides the edges
 
 

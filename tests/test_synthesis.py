@@ -168,3 +168,19 @@ def test_csv_source_and_target(spark, tmp_path):
     assert as_table(spark, [(1, 2)], ["a", "b"]).columns == ["a", "b"] and as_table(spark, df) is df
     with pytest.raises(ValueError):
         split_target(df, "none")
+
+
+def test_evidence_below_missing_ancestors_is_rejected(spark):
+    df = spark.range(400).select((F.col("id") % 2).cast("int").alias("a"), (F.col("id") % 2).cast("int").alias("b"))
+    model = SyntheticGenerator(featureCols=["a", "b"], knownStructure=[("a", "b")]).fit(df)
+    with pytest.raises(ValueError):
+        model._transform(spark.range(10).withColumn("b", F.lit(1)))
+    assert model._transform(spark.range(10).withColumn("a", F.lit(1))).count() == 10
+
+
+def test_many_classes_are_balanced(spark):
+    rows = [(f"c{i:03}", i % 3) for i in range(300) for _ in range(1 + i % 3)]
+    df = spark.createDataFrame(rows, "label string, x int")
+    out = ClassBalancer(featureCols=["x"], labelCol="label", knownStructure=[("label", "x")]).fit_resample(df)
+    assert {r["count"] for r in out.groupBy("label").count().collect()} == {3}
+    assert out.where("synthetic").count() == 900 - len(rows)
