@@ -22,7 +22,8 @@ from evidentia.operators.structure import as_families
 from evidentia.session import cut_lineage
 
 EQUIVALENT_SAMPLE_SIZE = 5.0  # fixed value of the prior
-MAX_CELLS = 1_000_000
+MAX_CELLS = 1_000_000  # cells of a table that lookups may broadcast
+STATES_PER_LIST = 256
 
 
 @dataclass
@@ -54,6 +55,36 @@ class Network:
             *cols, F.col("state").cast(self.types[node]).alias(node), "n", "prob"
         )
 
+    def complete_table(self, node: str) -> DataFrame:
+        """``node_table`` with every combination of parent and node states, whatever their number.
+
+        Large grids are laid out in blocks: each column's states in short lists, a row per combination of lists, and
+        lists opened last, so no task or row holds more than a block.
+        """
+        table = self.node_table(node)
+        if self.is_dense(node):
+            return table
+        columns = [*self.parents[node], node]
+        grid = None
+        for i, c in enumerate(columns):
+            lists = max(1, -(-self.cards[c] // STATES_PER_LIST))
+            states = self.cpt.where(F.col("node") == c).select(F.col("state").cast(self.types[c]).alias(c)).distinct()
+            place = F.pmod(F.xxhash64(c), F.lit(lists)).cast("int")
+            listed = states.groupBy(place.alias(f"__at{i}")).agg(F.collect_list(c).alias(f"__all{i}"))
+            if grid is None:
+                grid = listed
+            else:
+                grid = grid.withColumn(f"__at{i}", F.explode(F.sequence(F.lit(0), F.lit(lists - 1)))).join(listed, f"__at{i}")
+        for i, c in enumerate(columns):
+            grid = grid.withColumn(c, F.explode(f"__all{i}"))
+        cells = grid.select(*columns).join(table.select(*columns, "n"), columns, "left").withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))
+        parents = self.parents[node]
+        q, r = float(combinations(self.cards, parents)), float(self.cards[node])
+        totals = table.groupBy(*parents).agg(F.sum("n").alias("n_pa"))
+        joined = cells.join(totals, parents, "left") if parents else cells.withColumn("n_pa", totals.select("n_pa").scalar())
+        prob = (F.col("n") + F.lit(self.ess) / (r * q)) / (F.coalesce("n_pa", F.lit(0)) + F.lit(self.ess) / q)
+        return joined.select(*columns, "n", prob.alias("prob"))
+
     def save(self, path: str) -> None:
         """Probabilities as parquet, parameters as one JSON text row."""
         params = {

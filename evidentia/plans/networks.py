@@ -108,6 +108,20 @@ def bdeu_cpt(spark, sf_dir) -> DataFrame:
     return _long(fit_network(table(spark, sf_dir, "lineitem"), NODES, EDGES))
 
 
+@REG.add(
+    "bdeu_cpt_large",
+    f"SELECT l_suppkey, count(*) AS cells, sum(n)::BIGINT AS n, {sql_r6('sum(prob)')} AS prob, {sql_r6('max(prob)')} AS most, {sql_r6('min(prob)')} AS least "
+    f"FROM {sql_cpt('l_partkey', ['l_suppkey'])} GROUP BY l_suppkey",
+)
+def bdeu_cpt_large(spark, sf_dir) -> DataFrame:
+    """The whole table of a node with more cells than are kept for lookups, added up by parent state."""
+    network = fit_network(table(spark, sf_dir, "lineitem"), ["l_suppkey", "l_partkey"], [("l_suppkey", "l_partkey")], max_cells=1000)
+    return network.complete_table("l_partkey").groupBy("l_suppkey").agg(
+        F.count("*").alias("cells"), F.sum("n").alias("n"), r6(F.sum("prob")).alias("prob"),
+        r6(F.max("prob")).alias("most"), r6(F.min("prob")).alias("least"),
+    )
+
+
 @REG.add("cpt_save_load", sql_long_cpt(PARENTS))
 def cpt_save_load(spark, sf_dir) -> DataFrame:
     path = scratch_path(spark, "network")

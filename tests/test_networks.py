@@ -28,6 +28,10 @@ def table(network, node):
     return {tuple(r[c] for c in (*parents, node)): r["prob"] for r in network.node_table(node).collect()}
 
 
+def table_of(df):
+    return {tuple(r[:-2]): r["prob"] for r in df.collect()}
+
+
 def test_tables(model):
     n = model.network
     assert table(n, "rain") == pytest.approx(bdeu("rain", []))
@@ -93,6 +97,9 @@ def test_unseen_combination_is_uniform_dense_and_sparse(spark):
     dense = fit_network(df, ["a", "b", "c"], edges)
     sparse = fit_network(df, ["a", "b", "c"], edges, max_cells=1)
     assert not sparse.is_dense("c") and dense.is_dense("c")
+    assert sparse.node_table("c").count() < sparse.complete_table("c").count() == 2 * 2 * 3
+    assert table_of(sparse.complete_table("c")) == pytest.approx(table_of(dense.complete_table("c")))
+    assert table_of(sparse.complete_table("a")) == pytest.approx(table_of(dense.node_table("a")))
     one = sorted(with_probabilities(rows, dense, num_classes=4).collect(), key=str)
     other = sorted(with_probabilities(rows, sparse, num_classes=4).collect(), key=str)
     for r, s in zip(one, other):
