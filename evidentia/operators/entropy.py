@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -83,8 +84,23 @@ def _entry(index: int, a: Column, b: Column | None) -> Column:
     return F.struct(F.lit(index).alias("entry"), a.alias("a"), (empty if b is None else b).alias("b"))
 
 
+@dataclass
+class CodedTable:
+    """Category keys of some columns, computed once per row: what any number of entropy jobs can count."""
+
+    rows: DataFrame
+    place: dict[str, str]
+    binned: set[str]
+
+    @classmethod
+    def of(cls, df: DataFrame, cols: Sequence[str], mode: str, bin_count: int) -> CodedTable:
+        keys, binned = category_columns(df, cols, bin_count, bin_booleans=mode == "counts")
+        place = {c: f"k{i}" for i, c in enumerate(keys)}
+        return cls(df.select(*[key.alias(place[c]) for c, key in keys.items()]), place, binned)
+
+
 def pair_entropies(
-    df: DataFrame,
+    df: DataFrame | CodedTable,
     entries: Sequence[tuple[str, str | None]],
     mode: str = "standard",
     bin_count: int = DEFAULT_BINS,
@@ -99,10 +115,9 @@ def pair_entropies(
     if mode not in ("standard", "counts"):
         raise ValueError(f"unknown mode {mode}")
     names = [c for pair in entries for c in pair if c is not None]
-    keys, binned = category_columns(df, names, bin_count, bin_booleans=mode == "counts")
     # The codes are computed once per row in a projection below the explode.
-    place = {c: f"k{i}" for i, c in enumerate(keys)}
-    coded = df.select(*[key.alias(place[c]) for c, key in keys.items()])
+    table = df if isinstance(df, CodedTable) else CodedTable.of(df, names, mode, bin_count)
+    coded, place, binned = table.rows, table.place, table.binned
     listed = [
         _entry(i, F.col(place[a]), None if b is None else F.col(place[b])) for i, (a, b) in enumerate(entries)
     ]
@@ -161,7 +176,7 @@ def _count_entropies(cells: DataFrame, entries: Sequence[tuple[str, str | None]]
 
 
 def nmi(
-    df: DataFrame, pairs: Sequence[tuple[str, str]], mode: str = "standard", bin_count: int = DEFAULT_BINS
+    df: DataFrame | CodedTable, pairs: Sequence[tuple[str, str]], mode: str = "standard", bin_count: int = DEFAULT_BINS
 ) -> DataFrame:
     """``(col_a, col_b, h_a, h_b, h_ab, nmi)`` with nmi = (Ha + Hb - Hab) / (2 max(Ha, Hb)), null when
     both entropies are zero."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import keyword_only
+from pyspark import StorageLevel, keyword_only
 from pyspark.ml import Estimator
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.functions.binning import DEFAULT_BINS
-from evidentia.operators.entropy import nmi
+from evidentia.operators.entropy import CodedTable, nmi
 from evidentia.operators.selection import FeatureParams, SelectorModel
 
 DEFAULT_THRESHOLD = 0.5
@@ -20,7 +20,7 @@ PAIRS_PER_JOB = 200
 TIE = 1e-12  # sums of doubles have no fixed order: values closer than this count as equal
 
 
-def relevance(df: DataFrame, features: Sequence[str], target: str, mode: str = "standard", bin_count: int = DEFAULT_BINS) -> DataFrame:
+def relevance(df: DataFrame | CodedTable, features: Sequence[str], target: str, mode: str = "standard", bin_count: int = DEFAULT_BINS) -> DataFrame:
     """NMI of every feature with the target: ``(feature, nmi)``."""
     scores = nmi(df, [(c, target) for c in features], mode, bin_count)
     return scores.select(F.col("col_a").alias("feature"), "nmi")
@@ -72,9 +72,14 @@ class NMIFeatureSelector(Estimator, FeatureParams, DefaultParamsWritable, Defaul
             threshold = DEFAULT_THRESHOLD
         else:
             raise ValueError("standard mode needs a threshold")
-        score = {r["feature"]: r["nmi"] for r in relevance(df, features, label, mode, bins).collect()}
-        relevant = [c for c in features if score[c] is not None and score[c] > threshold + TIE]
-        chosen = relevant if len(relevant) == 1 else self._dominant(df, features, relevant, score, mode, bins)
+        coded = CodedTable.of(df, [*features, label], mode, bins)  # bins are fitted once for both stages
+        coded.rows.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            score = {r["feature"]: r["nmi"] for r in relevance(coded, features, label, mode, bins).collect()}
+            relevant = [c for c in features if score[c] is not None and score[c] > threshold + TIE]
+            chosen = relevant if len(relevant) == 1 else self._dominant(coded, features, relevant, score, mode, bins)
+        finally:
+            coded.rows.unpersist()
         return SelectorModel.of(self, df, features, chosen, score)
 
     def _dominant(self, df, features, relevant, score, mode, bins) -> list[str]:
