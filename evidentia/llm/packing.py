@@ -16,85 +16,132 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import prepare, text_or_empty
-from evidentia.llm.pieces import Table, plain_word
+from evidentia.llm.common import Kept, prepare, text_or_empty
+from evidentia.llm.pieces import plain_word
 from evidentia.session import cut_lineage
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 ALONE = 1 << 60  # sequences of pieces that fill one by themselves are numbered from here
-_LOADED: dict[str, Table] = {}
+_LOADED: dict[str, Ids] = {}
 
 
-def _lower(word: str) -> str:
-    """A word of plain letters in lower case, as the tokenizer makes it; anything else as it is."""
-    return word.lower() if plain_word(word) else word
+class Ids(Kept):
+    """Ids by piece of text, as little-endian unsigned 32-bit numbers."""
 
+    LIMIT = 1_000_000
+    PART = 20_000
 
-def id_table(spec: bytes) -> Table:
-    """This worker's table from pieces between spaces to their ids, as little-endian unsigned 32-bit numbers."""
-    key = hashlib.sha256(spec).hexdigest()
-    if key not in _LOADED:
+    def __init__(self, spec: str):
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_str(spec.decode())
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-        size = tokenizer.get_vocab_size(with_added_tokens=True)
-        ends = np.array([(tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
-
-        def encode(texts: list[str]) -> list[bytes]:
-            plain = [t for t in texts if plain_word(t)]
-            found = dict(zip(plain, together(plain)))
-            rest = [t for t in texts if t not in found]
-            for t, e in zip(rest, tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-                found[t] = np.array(e.ids, "<u4").tobytes()
-            return [found[t] for t in texts]
-
-        def together(words: list[str]) -> list[bytes]:
-            """Words of letters go through as one text; each ends with a token that has the end mark."""
-            if not words:
-                return []
-            ids = np.array(tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(ends[ids]) + 1
-            if len(cuts) != len(words):
-                return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-            raw, at = ids.tobytes(), [0, *(4 * cuts).tolist()]
-            return [raw[a:z] for a, z in zip(at, at[1:])]
-
-        _LOADED[key] = Table(encode, bytes.__add__, "", _lower)
+        super().__init__()
+        self.tokenizer = Tokenizer.from_str(spec)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+
+    def learn(self, pieces: list[str]) -> None:
+        """Encode what is new among distinct pieces."""
+        new = [p for p in pieces if p not in self]
+        if self.trim(len(new)):
+            new = pieces
+        words = [p for p in new if plain_word(p)]
+        for a in range(0, len(words), self.PART):
+            self.update(zip(words[a : a + self.PART], self.together(words[a : a + self.PART])))
+        others = [p for p in new if not plain_word(p)]
+        for a in range(0, len(others), self.PART):
+            self.update(zip(others[a : a + self.PART], self.one_by_one(others[a : a + self.PART])))
+
+    def encode(self, texts: list[str]) -> list:
+        return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+
+    def one_by_one(self, pieces: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.encode(pieces)]
+
+    def together(self, words: list[str]) -> list[bytes]:
+        """Words of letters go through as one text; each ends with a token that has the end mark."""
+        ids = np.array(self.encode([" ".join(words)])[0].ids, "<u4")
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(words):
+            return self.one_by_one(words)
+        raw, at = ids.tobytes(), [0, *(4 * cuts).tolist()]
+        return [raw[a:z] for a, z in zip(at, at[1:])]
+
+
+def id_table(spec: bytes) -> Ids:
+    """This worker's table for a tokenizer."""
+    key = hashlib.sha256(spec).hexdigest()
+    if key not in _LOADED:
+        _LOADED[key] = Ids(spec.decode())
     return _LOADED[key]
 
 
-def text_ids(texts: list[str], table: Table) -> list[bytes]:
-    """Ids of whole texts. White space is dropped by the tokenizer and never part of a match, so a text may be cut at any space."""
-    lists = [t.replace("\n", " ").split(" ") for t in texts]
-    table.learn(lists)
-    get = table.__getitem__
-    return [b"".join(map(get, pieces)) for pieces in lists]
+def text_ids(texts: pa.Array, table: Ids) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of whole texts, one after the other, and where each text's ids begin and the last's end.
+
+    White space is dropped by the tokenizer and never part of a match, so a text may be cut at any space, and a space
+    may come between a Latin letter and a full stop or comma, where a match ends anyway. The tokenizer lower-cases; ASCII
+    letters are so from the start, unless a text may hold a special string. Distinct pieces are looked up once; their
+    ids are then gathered for all places at which they stand.
+    """
+    if not pc.any(pc.match_substring(texts, "<|")).as_py():
+        texts = pc.ascii_lower(texts)
+    spaced = pc.replace_substring_regex(pc.replace_substring(texts, "\n", " "), r"([A-Za-zÀ-ÖØ-öø-ÿ])([.,])", r"\1 \2")
+    lists = pc.split_pattern(spaced, " ")
+    pieces = lists.flatten().dictionary_encode()
+    names = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
+    table.learn(names)
+    found = list(map(table.__getitem__, names))
+    flat = np.frombuffer(b"".join(found), "<u4")
+    size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+    first = np.cumsum(size) - size
+    places = pieces.indices.to_numpy(zero_copy_only=False)
+    lengths = size[places]
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    ids = flat[np.arange(ends[-1]) + np.repeat(first[places] - ends[:-1], lengths)]
+    return ids, ends[lists.offsets.to_numpy()]
+
+
+def by_size(texts: pa.Array, most: int = 8_000_000) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about ``most`` bytes at most, a longer text by itself."""
+    sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+    start, total = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if total and total + n > most:
+            yield start, i
+            start, total = i, 0
+        total += n
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int) -> DataFrame:
     """Rows ``(uid, doc_id, piece, start, length, ids_crc32)``: every document's ids and the end id, cut at ``capacity``."""
-    prepare(docs.sparkSession)
+    prepare(docs.sparkSession, 2000)
     with open(tokenizer_path, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
-    last, step = np.array([end_id], "<u4").tobytes(), 4 * capacity
     names = ["uid", "doc_id", "piece", "start", "length", "ids_crc32"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, uid = id_table(shared.value), TaskContext.get().partitionId() << 36
         for batch in batches:
-            keys, rows = batch.column("doc_id"), []
-            for row, ids in enumerate(text_ids(batch.column("text").to_pylist(), table)):
-                ids += last
-                for k, a in enumerate(range(0, len(ids), step)):
-                    part = ids[a : a + step]
-                    rows.append((uid, row, k, a // 4, len(part) // 4, zlib.crc32(part)))
-                    uid += 1
+            keys, texts, rows = batch.column("doc_id"), batch.column("text"), []
+            for low, high in by_size(texts):
+                flat, at = text_ids(texts.slice(low, high - low), table)
+                ids = np.insert(flat, at[1:], end_id)  # after every text
+                at = at + np.arange(len(at))
+                raw = ids.astype("<u4").tobytes()
+                for row, (start, end) in enumerate(zip(at.tolist(), at[1:].tolist()), low):
+                    for k, a in enumerate(range(start, end, capacity)):
+                        z = min(a + capacity, end)
+                        rows.append((uid, row, k, a - start, z - a, zlib.crc32(raw[4 * a : 4 * z])))
+                        uid += 1
             u, at, k, a, n, crc = zip(*rows) if rows else ((),) * 6
             yield pa.RecordBatch.from_arrays(
                 [pa.array(u, pa.int64()), keys.take(pa.array(at, pa.int64())), pa.array(k, pa.int32()), pa.array(a, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64())], names)

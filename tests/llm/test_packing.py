@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -22,8 +23,13 @@ def table():
 def test_ids_are_the_librarys(table):
     texts = random_texts(3000, 2) + ["", LONG]
     whole = Tokenizer.from_file(PATH)
-    expected = [np.array(e.ids, "<u4").tobytes() for e in whole.encode_batch(texts, add_special_tokens=False)]
-    assert packing.text_ids(texts, table) == expected
+    expected = [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+    column = pa.array(["skipped", *texts])[1:]
+    ids, at = packing.text_ids(column, table)
+    assert [ids[a:z].tolist() for a, z in zip(at, at[1:])] == expected
+    runs = list(packing.by_size(column, 1000))
+    assert [i for low, high in runs for i in range(low, high)] == list(range(len(texts))) and len(runs) > 5
+    assert list(packing.by_size(column[:0])) == []
 
 
 def fill_is_right(rows, capacity):
