@@ -86,7 +86,7 @@ class Kept(dict):
     """A worker's table of results by key, bounded together with all others: a worker outlives the stage that filled one.
 
     ``trim`` goes before a batch. It drops the other tables when all together have grown beyond ``LIMIT`` entries, and its
-    own when that alone has. Tables that are filled for the same batch are ``mates`` and leave each other alone.
+    own when that alone has, which it tells. Tables that are filled for the same batch are ``mates`` and leave each other alone.
     """
 
     LIMIT = 300_000
@@ -97,13 +97,15 @@ class Kept(dict):
         self.mates: list[Kept] = []
         self.ALL.append(self)
 
-    def trim(self, coming: int = 0) -> None:
+    def trim(self, coming: int = 0) -> bool:
         if sum(map(len, self.ALL)) + coming > self.LIMIT:
             for other in self.ALL:
                 if other is not self and not any(other is m for m in self.mates):
                     other.clear()
             if len(self) + coming > self.LIMIT:
                 self.clear()
+                return True
+        return False
 
 
 class WordHashes(Kept):

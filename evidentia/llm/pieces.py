@@ -31,7 +31,7 @@ def cut(text: str) -> tuple[str, list[str]]:
 
 def plain_word(word: str) -> bool:
     """Letters alone, of scripts on which all Unicode versions agree; not the one whose lower case has a mark besides."""
-    return word.isalpha() and max(word) < "\u0370" and "\u0130" not in word
+    return word.isalpha() and (word.isascii() or (max(word) < "\u0370" and "\u0130" not in word))
 
 
 def tail(piece: str) -> int:
@@ -47,30 +47,31 @@ class Table(Kept):
     """Results by piece.
 
     ``encode`` takes distinct pieces to results, ``join`` puts a word and its closing marks together,
-    ``lead`` goes before a piece and ``same`` names another piece that has the same result.
+    ``lead`` goes before a piece.
     """
 
     LIMIT = 1_000_000
 
-    def __init__(self, encode: Callable[[list[str]], Iterable], join: Callable, lead: str, same: Callable[[str], str] = str):
+    def __init__(self, encode: Callable[[list[str]], Iterable], join: Callable, lead: str):
         super().__init__()
-        self.encode, self.join, self.lead, self.same = encode, join, lead, same
+        self.encode, self.join, self.lead = encode, join, lead
 
     def learn(self, lists: Iterable[list[str]]) -> None:
         """Encode what is new among lists of pieces. Afterwards the table has all of them."""
         every: set[str] = set()
         for pieces in lists:
             every.update(pieces)
-        self.trim(len(every.difference(self)))
-        wanted = every.difference(self)
+        wanted = [p for p in every if p not in self]
+        if self.trim(len(wanted)):
+            wanted = list(every)
         new = []
         for p in wanted:
             at = tail(p) if p[-1:] in MARKS else 0
-            new.append((p, self.same(p[:at]), p[at:]) if at else (p, self.same(p), ""))
-        self.fill(self, {c for _, c, _ in new}.difference(self), self.lead)
+            new.append((p[:at] if at else p, p[at:] if at else "", p))
+        self.fill(self, {c for c, _, _ in new if c not in self}, self.lead)
         ends: dict = {}
-        self.fill(ends, {e for _, _, e in new if e}, "")
-        for p, core, end in new:
+        self.fill(ends, {e for _, e, _ in new if e}, "")
+        for core, end, p in new:
             self[p] = self.join(self[core], ends[end]) if end else self[core]
 
     def fill(self, into: dict, pieces: set[str], lead: str) -> None:
