@@ -26,6 +26,7 @@ SYMBOLS = "#*$%&|<>"
 CLASSES = ["lower", "upper", "letter", "digit", "space", "point", "symbol", "other"]
 SCALE = 1_000_000  # shares are summed as whole millionths, so that no order of rows changes a reference
 SHARE = 0.0005  # a common word makes up at least this share of some task's words in the language
+SLACK = SHARE / 10  # by which share a task may undercount a word, so that its table stays short
 
 
 @lru_cache(1)
@@ -61,7 +62,11 @@ def class_counts(text: str) -> np.ndarray:
 
 
 def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words of a task that make up a set share of its words in a language: at most 1 / SHARE to a language."""
+    """Words of a task that make up a set share of its words in a language.
+
+    Whenever a language's table is long, words up to a share of SLACK so far are dropped from it: no more than 1 / SLACK
+    words stay, and no word's count is short by more than that share.
+    """
     counts: dict[str | None, Counter] = {}
     totals: Counter = Counter()
     for batch in batches:
@@ -70,9 +75,9 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts.setdefault(lang, Counter()).update(words)
             totals[lang] += len(words)
         for lang, c in counts.items():
-            if len(c) > 300_000:  # whatever has come up once by now is below the share, or counts from here on
-                counts[lang] = Counter({w: n for w, n in c.items() if n > 1})
-    rows = [(lang, w.decode("utf-8", "replace"), n) for lang, c in counts.items() for w, n in c.items() if n >= SHARE * totals[lang]]
+            if len(c) > 200_000:
+                counts[lang] = Counter({w: n for w, n in c.items() if n > SLACK * totals[lang]})
+    rows = [(lang, w.decode("utf-8", "replace"), n) for lang, c in counts.items() for w, n in c.items() if n >= (SHARE - SLACK) * totals[lang]]
     langs, words, ns = zip(*rows) if rows else ((), (), ())
     yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.string()), pa.array(ns, pa.int64())], ["lang", "word", "n"])
 
