@@ -172,16 +172,29 @@ def confirmed(hits: np.ndarray, a: np.ndarray, b: np.ndarray, limit: float) -> n
     return hits
 
 
-def roots(hits: np.ndarray) -> np.ndarray:
-    """Smallest row number that each row reaches in a symmetric table of links."""
-    out = np.full(len(hits), -1)
-    for i in range(len(hits)):
-        if out[i] < 0:
-            out[i], front = i, np.array([i])
+def groups(hits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the component of each row and of each column of a table of links; -1 for a column without links."""
+    rows, columns = np.full(hits.shape[0], -1), np.full(hits.shape[1], -1)
+    for i in range(len(rows)):
+        if rows[i] < 0:
+            rows[i], front = i, np.array([i])
             while len(front):
-                front = np.flatnonzero(hits[front].any(0) & (out < 0))
-                out[front] = i
-    return out
+                met = np.flatnonzero(hits[front].any(0) & (columns < 0))
+                columns[met] = i
+                front = np.flatnonzero(hits[:, met].any(1) & (rows < 0))
+                rows[front] = i
+    return rows, columns
+
+
+def found_links(hits: np.ndarray, ids: np.ndarray, copies: np.ndarray, ids2: np.ndarray, copies2: np.ndarray) -> pd.DataFrame:
+    """``(id, links, root)`` of the rows and columns of a table of links: rows linked with, and the least id of the component."""
+    rows, columns = groups(hits)
+    table = pd.DataFrame({
+        "id": np.concatenate([ids, ids2]), "group": np.concatenate([rows, columns]),
+        "links": [int(copies2[h].sum()) for h in hits] + [int(copies[h].sum()) for h in hits.T],
+    })
+    table = table[table["links"] > 0]
+    return table.assign(root=table.groupby("group")["id"].transform("min"))[["id", "links", "root"]]
 
 
 INDEX = "label int, dim int, shard int, ids binary, copies binary, vectors binary, head binary, links binary, entry binary"
@@ -208,20 +221,15 @@ def _link(limit: float, recall: float, width: int):
                 ids, copies, x, graph = load(r, "a")
                 if r.a == r.b:
                     hits = search(graph, x, limit, recall, width)
+                    hits |= hits.T
+                    np.fill_diagonal(hits, False)
+                    hits = confirmed(hits, x, x, limit)
+                    hits |= hits.T  # a product may round differently in the other order
+                    yield found_links(hits, ids, copies, ids, copies).drop_duplicates("id")
                 else:
                     ids2, copies2, y, graph2 = load(r, "b")
-                    cross = search(graph2, x, limit, recall, width) | search(graph, y, limit, recall, width).T
-                    ids, copies, x = np.concatenate([ids, ids2]), np.concatenate([copies, copies2]), np.vstack([x, y])
-                    n = len(cross)
-                    hits = np.zeros((len(ids), len(ids)), bool)
-                    hits[:n, n:] = cross
-                hits |= hits.T
-                np.fill_diagonal(hits, False)
-                hits = confirmed(hits, x, x, limit)
-                hits &= hits.T
-                some = np.flatnonzero(hits.any(1))
-                least = pd.Series(ids).groupby(roots(hits)).transform("min").to_numpy()
-                yield pd.DataFrame({"id": ids[some], "links": [int(copies[hits[i]].sum()) for i in some], "root": least[some]}, columns=["id", "links", "root"])
+                    hits = search(graph2, x, limit, recall, width) | search(graph, y, limit, recall, width).T
+                    yield found_links(confirmed(hits, x, y, limit), ids, copies, ids2, copies2)
 
     return run
 

@@ -104,4 +104,7 @@ def test_audit_widens_beams():
     x = vectors.unit(np.vstack([rng.normal(0, 1, (1, 16)) + rng.normal(0, 0.05, (400, 16)), rng.normal(0, 1, (600, 16))]))
     hits = vectors.search(vectors.Graph(x, m=3, width=3), x, 0.93, 1.0, 2)
     assert (hits >= (x @ x.T >= 0.93)).all()
-    assert vectors.roots(np.eye(4, k=1, dtype=bool) | np.eye(4, k=-1, dtype=bool)).tolist() == [0, 0, 0, 0]
+    chain = np.zeros((4, 4), bool)
+    chain[[0, 1, 1, 3], [1, 1, 2, 3]] = True
+    rows, columns = vectors.groups(chain)
+    assert rows.tolist() == [0, 0, 2, 3] and columns.tolist() == [-1, 0, 0, 3]
