@@ -19,8 +19,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evidentia.functions.quantiles import order_statistics
 from evidentia.llm.common import Kept, bounded_ids, fold, in_fold, prepare, text_or_empty
 from evidentia.llm.language import adam
+from evidentia.session import cut_lineage
 
 BUCKETS = 1 << 16
 WIDTHS = (1, 2, 3)
@@ -182,6 +184,11 @@ def train(texts: list[np.ndarray], target: np.ndarray, epochs: int = 8, batch: i
     return net
 
 
+def threshold(score: float) -> float:
+    """The lowest threshold above a score that still lies between 0.2 and 0.8."""
+    return float(min(0.8, max(0.2, np.nextafter(score, 1))))
+
+
 def calibrated(rows: list[tuple[str, int, float]], most: float = 0.01, least: int = 20) -> dict[str, float]:
     """Thresholds by language from ``(lang, label, score)``: the lowest that flags at most ``most`` of the clean rows.
 
@@ -191,49 +198,65 @@ def calibrated(rows: list[tuple[str, int, float]], most: float = 0.01, least: in
     for lang in {lang for lang, _, _ in rows}:
         clean = sorted((s for l, y, s in rows if l == lang and y == 0), reverse=True)
         if lang is not None and len(clean) >= least:
-            out[lang] = min(0.8, max(0.2, np.nextafter(clean[int(most * len(clean))], 1)))
+            out[lang] = threshold(clean[int(most * len(clean))])
+    return out
+
+
+def calibrated_table(clean: DataFrame, most: float = 0.01, least: int = 20, together: int = 32) -> dict[str, float]:
+    """What ``calibrated`` gives, for the clean rows ``(lang, score)`` of a table of any size; ``together`` languages a scan."""
+    counts = clean.where("lang IS NOT NULL").groupBy("lang").count().where(F.col("count") >= least).collect()
+    sizes = sorted((r["lang"], r["count"]) for r in counts)
+    out = {}
+    for a in range(0, len(sizes), together):
+        part = {f"s{i}": (lang, n) for i, (lang, n) in enumerate(sizes[a : a + together])}
+        columns = clean.select(*[F.when(F.col("lang") == lang, F.col("score")).alias(c) for c, (lang, _) in part.items()])
+        targets = {c: {n - 1 - int(most * n)} for c, (_, n) in part.items()}
+        found = order_statistics(columns, targets, {c: n for c, (_, n) in part.items()})
+        out |= {part[c][0]: threshold(score) for (c, _), score in found.items()}
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = 3000, words: int = 5000, calibration: int = 3000) -> WordNet:
-    """A network from a bounded sample of labelled documents.
+def fit(docs: DataFrame, labels: DataFrame, rows: int = 3000, words: int = 5000) -> WordNet:
+    """A network from a bounded sample of labelled documents, with thresholds from all clean ones of a fold.
 
-    At most ``rows`` toxic and ``rows`` clean documents of folds 2 to 4 of 5 train it, at most ``calibration`` of fold 1
-    set the thresholds; fold 0 is never learned from. Documents of more than ``words`` words are not learned from. The
-    driver gets bucket numbers, four bytes a word, of one row a key; a key with several labels counts as toxic if one says so. Without any toxic and clean document all scores stay near 0.27.
+    At most ``rows`` toxic and ``rows`` clean documents of folds 2 to 4 of 5 train it; documents of more than ``words`` words are
+    not learned from. Every clean document of fold 1, of any length, counts for its language's threshold; fold 0 is
+    used for neither. The driver gets bucket numbers, four bytes a word, of one row a key; a key with several labels counts as
+    toxic if one says so. Without any toxic and clean document all scores stay near 0.27.
     """
     prepare(docs.sparkSession)
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("y"))
     train_rows = known.where(fold("doc_id", 5) >= 2)
-    chosen = (
-        bounded_ids(train_rows.where("y = 1"), "doc_id", rows)
-        .unionByName(bounded_ids(train_rows.where("y = 0"), "doc_id", rows))
-        .unionByName(bounded_ids(known.where(in_fold("doc_id", 5, 1)), "doc_id", calibration))
-    )
+    chosen = bounded_ids(train_rows.where("y = 1"), "doc_id", rows).unionByName(bounded_ids(train_rows.where("y = 0"), "doc_id", rows))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             coded = [codes_of(t) for t in batch.column("text").to_pylist()]
             data = [c.tobytes() if len(c) <= words else None for c in coded]
-            yield pa.RecordBatch.from_arrays([batch.column(n) for n in ("doc_id", "lang", "y")] + [pa.array(data, pa.binary())], ["doc_id", "lang", "y", "codes"])
+            yield pa.RecordBatch.from_arrays([batch.column(n) for n in ("doc_id", "y")] + [pa.array(data, pa.binary())], ["doc_id", "y", "codes"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = docs.select("doc_id", F.col("lang").cast("string"), text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id")
-    coded = found.mapInArrow(encode, f"doc_id {kind}, lang string, y int, codes binary").where("codes IS NOT NULL")
-    got = coded.dropDuplicates(["doc_id"]).withColumn("held", in_fold("doc_id", 5, 1)).collect()
+    found = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id")
+    coded = found.mapInArrow(encode, f"doc_id {kind}, y int, codes binary").where("codes IS NOT NULL")
+    got = coded.dropDuplicates(["doc_id"]).collect()
     got.sort(key=lambda r: (r.doc_id, r.codes))
-    as_codes = lambda r: np.frombuffer(r.codes, np.uint32)
-    seen = [r for r in got if not r.held]
-    if len({r.y for r in seen}) < 2:
+    if len({r.y for r in got}) < 2:
         return WordNet.start()
-    net = train([as_codes(r) for r in seen], np.array([r.y for r in seen]))
-    held = [r for r in got if r.held]
-    if held:
-        scores = net.scores([as_codes(r) for r in held], net.projected())
-        net.thresholds = calibrated([(r.lang, r.y, float(s)) for r, s in zip(held, scores)])
+    net = train([np.frombuffer(r.codes, np.uint32) for r in got], np.array([r.y for r in got]))
+    net.thresholds = calibrated_table(clean_scores(docs, known, net))
     return net
 
 
+def clean_scores(docs: DataFrame, known: DataFrame, net: WordNet) -> DataFrame:
+    """Rows ``(lang, score)`` of every document of fold 1 that ``known(doc_id, y)`` calls clean.
+
+    Texts are scored where they lie and only scores are shuffled to their labels.
+    """
+    held = docs.where(in_fold("doc_id", 5, 1))
+    scores = held.select("doc_id", F.col("lang").cast("string").alias("lang"), score_column(docs, net).alias("score"))
+    return cut_lineage(scores.join(known.where((F.col("y") == 0) & in_fold("doc_id", 5, 1)), "doc_id", "left_semi").select("lang", "score"))
+
+
 def score_column(docs: DataFrame, net: WordNet) -> Column:
     """Score of the text column, 0 to 1; a null text counts as empty."""
     prepare(docs.sparkSession)

@@ -168,6 +168,29 @@ def test_thresholds():
     assert toxicity.calibrated([("en", 0, 0.6)] * 100)["en"] > 0.6
 
 
+def test_thresholds_of_a_table(spark):
+    rng = random.Random(4)
+    rows = [(lang, rng.choice([rng.random(), 0.55])) for lang, n in (("en", 3000), ("fr", 19), ("de", 20), (None, 100), ("it's", 150)) for _ in range(n)]
+    expected = toxicity.calibrated([(lang, 0, s) for lang, s in rows])
+    clean = spark.createDataFrame(rows, "lang string, score double")
+    assert set(expected) == {"en", "de", "it's"}
+    assert toxicity.calibrated_table(clean) == toxicity.calibrated_table(clean, together=2) == expected
+
+
+def test_thresholds_cover_all_labelled_documents(spark):
+    """A language of few documents has its threshold next to a large one, and long documents count."""
+    docs, labels = graded(spark, 200)
+    held = [i for i in range(1000, 40_000) if zlib.crc32(str(i).encode()) % 5 == 1]
+    few, long = held[:25], held[25:50]
+    more = [(i, "vile " * 6000 if i in long else "wort1 wort2 wort3 wort4", "few" if i in few else "long" if i in long else "en") for i in held]
+    table = docs.unionByName(docs_table(spark, more))
+    net = toxicity.fit(table, labels.unionByName(labels_table(spark, [(i, 1, 0) for i in held])))
+    assert set(net.thresholds) == {"en", "few", "long"}
+    scores = {r.doc_id: r.score for r in toxicity.score_rows(table, net).collect()}
+    for lang, ids in (("few", few), ("long", long)):
+        assert net.thresholds[lang] == toxicity.calibrated([(lang, 0, scores[i]) for i in ids])[lang]
+
+
 def test_language_windows():
     for n in (0, 1, 255, 256, 257, 512, 1000):
         raw = bytes(i % 251 + 1 for i in range(n))
