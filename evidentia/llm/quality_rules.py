@@ -25,8 +25,7 @@ SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 CLASSES = ["lower", "upper", "letter", "digit", "space", "point", "symbol", "other"]
 SCALE = 1_000_000  # shares are summed as whole millionths, so that no order of rows changes a reference
-SHARE = 0.0005  # a common word makes up at least this share of some task's words in the language
-SLACK = SHARE / 10  # by which share a task may undercount a word, so that its table stays short
+LONG, WIDE = 200_000, 1 << 26  # words and bytes of words in a task's table, above which it is passed on and begun anew
 
 
 @lru_cache(1)
@@ -61,35 +60,36 @@ def class_counts(text: str) -> np.ndarray:
     return np.bincount(class_table()[codes], minlength=len(CLASSES))
 
 
-def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words of a task that make up a set share of its words in a language.
-
-    Whenever a language's table is long, words up to a share of SLACK so far are dropped from it: no more than 1 / SLACK
-    words stay, and no word's count is short by more than that share.
-    """
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts ``(lang, word, n)`` of a task's words; a word comes again whenever the table became long in between."""
     counts: dict[str | None, Counter] = {}
-    totals: Counter = Counter()
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-            words = text.encode("utf-8", "replace").split()
-            counts.setdefault(lang, Counter()).update(words)
-            totals[lang] += len(words)
-        for lang, c in counts.items():
-            if len(c) > 200_000:
-                counts[lang] = Counter({w: n for w, n in c.items() if n > SLACK * totals[lang]})
-    rows = [(lang, w.decode("utf-8", "replace"), n) for lang, c in counts.items() for w, n in c.items() if n >= (SHARE - SLACK) * totals[lang]]
-    langs, words, ns = zip(*rows) if rows else ((), (), ())
-    yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.string()), pa.array(ns, pa.int64())], ["lang", "word", "n"])
+            counts.setdefault(lang, Counter()).update(text.encode("utf-8", "replace").split())
+            if sum(map(len, counts.values())) > LONG:
+                yield _rows_of(counts)
+                counts = {}
+        if sum(len(w) for c in counts.values() for w in c) > WIDE:
+            yield _rows_of(counts)
+            counts = {}
+    yield _rows_of(counts)
+
+
+def _rows_of(counts: dict[str | None, Counter]) -> pa.RecordBatch:
+    langs = [lang for lang, c in counts.items() for _ in range(len(c))]
+    words = [w.decode("utf-8", "replace") for c in counts.values() for w in c]
+    ns = [n for c in counts.values() for n in c.values()]
+    return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.string()), pa.array(ns, pa.int64())], ["lang", "word", "n"])
 
 
 def common_words(docs: DataFrame, top: int) -> DataFrame:
     """The ``top`` most frequent words of every language as ``(lang, words)``, most frequent first.
 
-    Every task counts all its words and gives those above a set share, so a language's leading words
-    are in every task's list and the shuffle carries short lists alone.
+    Counts are exact: every task passes on all its words with their counts. Every part of the sums keeps its own
+    ``top`` words of a language before those are gathered.
     """
     texts = docs.select("lang", text_or_empty().alias("text"))
-    counts = texts.mapInArrow(_frequent, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counts = texts.mapInArrow(_counted, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     place = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "word"))
     return (
         counts.withColumn("place", place).where(F.col("place") <= top)

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from evidentia.llm import language, quality_model, quality_rules, toxicity
@@ -76,6 +77,28 @@ def test_rules_on_odd_rows(spark):
     assert quality_rules.judge(no_docs(spark)).count() == 0
 
 
+def test_common_words_do_not_depend_on_partitions(spark):
+    """A word that is rare in one part of the rows counts there too."""
+    filler = lambda k: " ".join(f"w{k}x{i}" for i in range(4990))
+    rows = [(0, "the " * 5000 + "x " * 4 + filler(0), "en"), (1, "the " * 5000 + "x " * 5 + "y " * 6 + filler(1), "en")]
+    for parts in (1, 2):
+        docs = docs_table(spark, rows).repartitionByRange(parts, "doc_id")
+        assert quality_rules.common_words(docs, 2).first().words == ["the", "x"]
+
+
+@pytest.mark.parametrize("limit", ["LONG", "WIDE"])
+def test_long_word_tables_lose_nothing(monkeypatch, limit):
+    monkeypatch.setattr(quality_rules, limit, 20)
+    rng = random.Random(3)
+    rows = [(rng.choice(["en", None]), " ".join(f"w{rng.randrange(60)}" for _ in range(15))) for _ in range(200)]
+    batches = [pa.RecordBatch.from_pylist([{"lang": a, "text": t} for a, t in rows[i : i + 10]]) for i in range(0, 200, 10)]
+    parts = list(quality_rules._counted(iter(batches)))
+    got = Counter()
+    for r in pa.Table.from_batches(parts).to_pylist():
+        got[r["lang"], r["word"]] += r["n"]
+    assert len(parts) > 10 and got == Counter((a, w) for a, t in rows for w in t.split())
+
+
 def test_ordinal_gradients():
     """The fitted model is where small moves of any weight make the penalised likelihood worse."""
     rng = np.random.default_rng(0)
