@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.llm import quality_model, toxicity
+from evidentia.llm.common import text_or_empty
 from evidentia.llm.minhash import near_duplicates
 from evidentia.llm.packing import pack_documents
 from evidentia.plans.common import table
@@ -38,10 +39,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of near copies, the one with the smallest doc_id; of rows that share a doc_id, one. Rows without a doc_id stay."""
-    kept = cut_lineage(near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct())
-    one = docs.join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    """One document of every group of near copies, the one with the smallest doc_id; null comes last.
+
+    Every row is judged by its own words, whatever its doc_id. Texts without words are copies only of equal texts of the same doc_id.
+    """
+    row, mark = (f"{part}-{uuid.uuid4().hex}" for part in ("row", "mark"))  # names that no table has
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    digest = F.md5(text_or_empty().cast("binary"))
+    rows = cut_lineage(docs.select(*columns, F.monotonically_increasing_id().alias(row), digest.alias(mark)))
+    judged = near_duplicates(rows.select(F.col(f"`{row}`").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "n_shingles", "component_id")
+    marks = rows.select(F.col(f"`{row}`").alias("row"), F.col(f"`{mark}`").alias("mark"), "doc_id")
+    repeated = (F.col("n_shingles") == 0) & F.col("doc_id").isNotNull()
+    group = [F.when(~repeated, F.col("component_id")), F.when(repeated, F.col("doc_id")), F.when(repeated, F.col("mark"))]
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark", "row"))
+    firsts = judged.join(marks, "row").groupBy(*[g.alias(f"g{i}") for i, g in enumerate(group)]).agg(first.alias("first"))
+    kept = cut_lineage(firsts.select(F.col("first.row").alias(row)))
+    return rows.join(kept.hint("merge"), row, "left_semi").select(*columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

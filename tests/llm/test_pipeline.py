@@ -9,7 +9,7 @@ import corpus_pipeline
 from evidentia.llm import toxicity
 from evidentia.llm.queries import REG
 from evidentia.plans.common import table
-from tests.llm.cases import no_docs, odd_docs
+from tests.llm.cases import docs_table, no_docs, odd_docs
 from tests.llm.test_minhash import brute, sets_of
 from tests.llm.test_packing import fill_is_right
 
@@ -46,6 +46,17 @@ def test_odd_rows(spark):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in single) == [(False, i) for i in (1, 2, 3, 4, 5, 7, 8, 9)] + [(True, 0)] * 2
 
 
+def test_near_copies_by_their_own_words(spark):
+    """Rows that share a doc_id are no copies for that, and rows without one may be."""
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(1, text(0), "en"), (1, text(1), "en"), (2, text(0) + " more", "en"), (3, text(1), "fr"), (1, text(1), "en"), (None, text(2), "en"), (None, text(2), "fr")]
+    rows += [(None, text(3), "en"), (4, text(3), "en"), (5, "", "en"), (5, "", "en"), (5, None, "en"), (5, " ", "en"), (6, "", "en"), (None, "", "en"), (None, "", "en")]
+    got = corpus_pipeline.drop_near_copies(spark, docs_table(spark, rows).withColumn("row", F.lit(1)), SF).collect()
+    key = lambda r: str(r)
+    expected = [(1, text(0)), (1, text(1)), (None, text(2)), (4, text(3)), (5, ""), (5, " "), (6, ""), (None, ""), (None, "")]
+    assert sorted([(r.doc_id, r.text or "") for r in got], key=key) == sorted(expected, key=key)
+
+
 def test_registered():
     import __spark_entry__
 
