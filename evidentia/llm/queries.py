@@ -9,11 +9,14 @@ from evidentia.llm import language, quality_model, toxicity
 from evidentia.llm.byte_bpe import encode_digests, tokenizer_json
 from evidentia.llm.minhash import near_duplicates
 from evidentia.llm.packing import pack_documents
+from evidentia.llm.periodic_runs import periodic_runs
 from evidentia.llm.quality_rules import judge
 from evidentia.llm.sharding import STEP, shard_rows
 from evidentia.llm.token_counts import count_tokens, fresh_cache
+from evidentia.llm.url_reputation import LEAST_SPREAD, LOWER, MOST_SPREAD, UNKNOWN_SPREAD, UPPER, judge_urls
 from evidentia.llm.vectors import near_vectors
-from evidentia.plans.common import registry, table
+from evidentia.llm.whitening import whiten
+from evidentia.plans.common import registry, sql_r6, table
 
 REG = registry()
 
@@ -101,3 +104,79 @@ def op1_minhash_duplicates(spark, sf_dir) -> DataFrame:
 @REG.add("op6_graph_vectors")
 def op6_graph_vectors(spark, sf_dir) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@REG.add("op11_jacobi_whitening")
+def op11_jacobi_whitening(spark, sf_dir) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+@REG.add("op12_periodic_runs")
+def op12_periodic_runs(spark, sf_dir) -> DataFrame:
+    return periodic_runs(table(spark, sf_dir, "documents"), rehearse=True)
+
+
+URL_RULES = (
+    ("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"),
+)
+SUFFIXES = ("example.com", "example.net", "example.org")  # names are registered below these
+BAD_LIMIT, DEVIATIONS = 0.5, 3.0
+
+
+def _spread(groups: str) -> str:
+    """The strength of the prior of ``groups(labelled, bad, center)``, one row."""
+    n, x, chance = "labelled::DOUBLE", "bad::DOUBLE", "(center * (1 - center))"
+    over, scale = f"sum(({x} - {n} * center) * ({x} - {n} * center) - {n} * {chance})", f"sum({n} * ({n} - 1) * {chance})"
+    return (
+        f"SELECT 1 / (CASE WHEN coalesce({scale}, 0) = 0 THEN {UNKNOWN_SPREAD}::DOUBLE ELSE least(greatest({over} / {scale}, {LEAST_SPREAD}::DOUBLE), "
+        f"{MOST_SPREAD}::DOUBLE) END) - 1 AS k FROM {groups} WHERE labelled > 0"
+    )
+
+
+def _posterior(groups: str, strength: str) -> str:
+    return f"SELECT g.*, k * center + bad AS a, k * (1 - center) + labelled - bad AS b FROM {groups} g, {strength}"
+
+
+def _suffix_sql() -> str:
+    cases = " ".join(f"WHEN host = '{s}' OR ends_with(host, '.{s}') THEN '{s}'" for s in sorted(SUFFIXES, key=lambda s: (-len(s), s)))
+    return f"CASE WHEN regexp_matches(host, '^[0-9.]+$') THEN '' {cases} ELSE regexp_extract(host, '([^.]*)$', 1) END"
+
+
+def _rule_sql(part: int) -> str:
+    cases = []
+    for rule in sorted(URL_RULES, key=lambda r: (len(r[0]), r[0]), reverse=True):
+        name, slash, rest = rule[0].partition("/")
+        cases.append(f"WHEN (host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '{slash + rest}') THEN '{rule[part]}'")
+    return f"CASE {' '.join(cases)} END"
+
+
+OP13_SQL = (
+    r"WITH p AS MATERIALIZED (SELECT page_id, "
+    rf"coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '{UPPER}', '{LOWER}'), '') AS host, "
+    r"coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages), "
+    r"marks AS (SELECT doc_id, max((coalesce(quality, 1) = 0 OR coalesce(toxic, 0) = 1)::INT) AS bad FROM labels "
+    r"WHERE doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL) GROUP BY doc_id), "
+    r"outcomes AS (SELECT host, count(*) AS labelled, sum(bad) AS bad FROM p JOIN marks ON doc_id = "
+    r"try_cast(regexp_extract(path, '([0-9]+)[^0-9/]*/?$', 1) AS BIGINT) GROUP BY host), "
+    r"named AS (SELECT host, coalesce(labelled, 0)::BIGINT AS labelled, coalesce(bad, 0)::BIGINT AS bad, "
+    rf"{_suffix_sql()} AS suffix FROM (SELECT DISTINCT host FROM p) LEFT JOIN outcomes USING (host)), "
+    r"hosts AS MATERIALIZED (SELECT *, CASE WHEN suffix = '' OR host = suffix THEN host ELSE "
+    r"regexp_extract(substr(host, 1, length(host) - length(suffix) - 1), '([^.]*)$', 1) || '.' || suffix END AS domain FROM named), "
+    r"s0 AS (SELECT suffix, sum(labelled) AS labelled, sum(bad) AS bad, "
+    r"(SELECT coalesce(sum(bad)::DOUBLE / nullif(sum(labelled), 0), 0) FROM hosts) AS center FROM hosts GROUP BY suffix), "
+    rf"sk AS ({_spread('s0')}), s AS ({_posterior('s0', 'sk')}), "
+    r"d0 AS (SELECT h.domain, h.suffix, sum(h.labelled) AS labelled, sum(h.bad) AS bad, any_value(s.a / (s.a + s.b)) AS center "
+    r"FROM hosts h JOIN s USING (suffix) GROUP BY h.domain, h.suffix), "
+    rf"dk AS ({_spread('d0')}), d AS ({_posterior('d0', 'dk')}), "
+    r"h0 AS (SELECT h.*, d.a / (d.a + d.b) AS center FROM hosts h JOIN d ON d.domain = h.domain), "
+    rf"hk AS ({_spread('h0')}), h AS ({_posterior('h0', 'hk')}), "
+    rf"judged AS (SELECT host, labelled, bad, a / (a + b) AS share, a / (a + b) - {DEVIATIONS} * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1)) AS least FROM h) "
+    rf"SELECT page_id, host, path, {_rule_sql(0)} AS rule, coalesce({_rule_sql(1)}, CASE WHEN least > {BAD_LIMIT} THEN 'block' ELSE 'allow' END) AS verdict, "
+    rf"labelled, bad, {sql_r6('share')} AS bad_share, {sql_r6('least')} AS bad_least FROM p JOIN judged USING (host)"
+)
+
+
+@REG.add("op13_host_reputation", OP13_SQL)
+def op13_host_reputation(spark, sf_dir) -> DataFrame:
+    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
+    return judge_urls(pages, labels, URL_RULES, SUFFIXES, BAD_LIMIT, DEVIATIONS)
