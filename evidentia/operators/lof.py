@@ -1,4 +1,4 @@
-"""Local outlier factor (Breunig et al., 2000): exact over a whole table, or against a reference sample.
+"""Local outlier factor (Breunig et al., 2000), exact over a whole table on any number of columns.
 
 The k-neighbourhood holds every other row within the k-distance, ties included.
 """
@@ -6,188 +6,29 @@ The k-neighbourhood holds every other row within the k-distance, ties included.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+import uuid
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evidentia.functions.binning import ranges
-from evidentia.functions.sampling import bottom_k
+from evidentia.operators.tree import PartitionTree
 from evidentia.session import cut_lineage
 
 LRD_EPSILON = 1e-10  # fixed value: keeps the density of coinciding rows finite
-GRID_COLUMNS = 4  # columns that the cells cut; distances always take all
-MAX_LEVEL = 48
-LEVELS_PER_ROUND = 8
-SMALL_CELLS = 2**18
 
 
-def _distance(a: Column, b: Column, d: int) -> Column:
-    total = F.lit(0.0)
-    for j in range(d):
-        delta = a[j] - b[j]
-        total = total + delta * delta
-    return F.sqrt(total)
-
-
-@dataclass
-class _Grid:
-    """Nested cubes over the first columns of the data: level l cuts each side into 2^l cells.
-
-    A distance in these columns is never above the distance in all ``columns``, so the cells within some reach
-    hold every place within that reach.
-    """
-
-    lo: list[float]
-    side: float
-    columns: int
-
-    @property
-    def d(self) -> int:
-        return len(self.lo)
-
-    def width(self, level: int) -> float:
-        return self.side / 2**level
-
-    def cell(self, x: Column, level: int) -> list[Column]:
-        return [self._index(x[j] - F.lit(self.lo[j]), F.lit(self.width(level)), 2**level) for j in range(self.d)]
-
-    @staticmethod
-    def _index(offset: Column, width: Column, cells: int | Column) -> Column:
-        last = F.lit(cells) - 1 if isinstance(cells, int) else cells - 1
-        return F.greatest(F.lit(0), F.least(last.cast("bigint"), F.floor(offset / width)))
-
-
-def _locate(locs: DataFrame, grid: _Grid, n: int, k: int) -> DataFrame:
-    """Add ``level``: the finest level at which the location's own cell holds more than k locations.
-
-    Goes down several levels per round, and only with the locations whose cell is still crowded, so
-    a dense cluster is cut finer and finer while sparse regions are done at once.
-    """
-    d = grid.d
-    needed = k + 1
-    done: list[DataFrame] = []
-    active = locs.withColumn("level", F.lit(0))
-    level, size = 0, n
-    while True:
-        span = max(1, min(LEVELS_PER_ROUND, math.ceil(math.log2(max(2.0, size / needed)) / d) + 1))
-        last = min(level + span, MAX_LEVEL)
-        stepped = active
-        for l in range(level + 1, last + 1):
-            names = [f"c{j}" for j in range(d)]
-            cells = [c.alias(m) for c, m in zip(grid.cell(F.col("loc"), l), names)]
-            counts = active.groupBy(*cells).agg(F.count(F.lit(1)).alias(f"n{l}")).where(F.col(f"n{l}") >= needed)
-            if 2 ** (l * d) <= SMALL_CELLS:  # that many cells exist at most
-                counts = F.broadcast(counts)
-            stepped = (
-                stepped.withColumns(dict(zip(names, grid.cell(F.col("loc"), l))))
-                .join(counts, names, "left")
-                .drop(*names)
-                .withColumn("level", F.when(F.col(f"n{l}").isNotNull(), F.lit(l)).otherwise(F.col("level")))
-            )
-        crowded = F.coalesce(F.col(f"n{last}"), F.lit(0)) > needed * 2**d
-        placed = cut_lineage(stepped.select("loc", "w", "level", crowded.alias("crowded")))
-        done.append(placed.where(~F.col("crowded")).select("loc", "w", "level"))
-        active = placed.where("crowded").select("loc", "w", "level")
-        size = active.count() if last < MAX_LEVEL else 0
-        if size == 0:
-            if last >= MAX_LEVEL:
-                done.append(active)
-            break
-        level = last
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
-    return out
-
-
-def _with_reach(located: DataFrame, grid: _Grid, k: int) -> DataFrame:
-    """Add ``reach``, a distance within which the k-neighbourhood lies for sure, and ``at`` = 2^level.
-
-    A location's own cell holds k others, so the cell's diagonal will do; the k-th distance to the
-    locations of the same cell and level is closer. There are at most 2^d k of those, as each child
-    cell that held more would have taken them to a finer level.
-    """
-    d = grid.d
-    at = F.pow(F.lit(2.0), F.col("level"))
-    own = [grid._index(F.col("loc")[j] - F.lit(grid.lo[j]), F.lit(grid.side) / at, at) for j in range(d)]
-    alone = F.when(F.col("level") >= MAX_LEVEL, F.col("loc"))  # the last level is not cut further
-    mates = F.collect_list("loc").over(W.partitionBy("level", *own, alone))
-    distances = F.transform("mates", lambda m: _distance(F.col("loc"), m, grid.columns))
-    nearest = F.get(F.array_sort(F.filter(distances, lambda x: x > 0)), F.lit(k - 1))
-    if grid.columns == d:
-        diagonal = F.lit(grid.side * math.sqrt(d)) / at
-        reach = F.least(F.coalesce(nearest, diagonal), diagonal) * F.lit(1 + 1e-9)
-    else:  # the cell says nothing about the other columns
-        reach = F.coalesce(nearest, F.lit(grid.side * math.sqrt(grid.columns))) * F.lit(1 + 1e-9)
-    return located.withColumn("mates", mates).withColumns({"reach": reach, "at": at}).drop("mates")
-
-
-def _neighbours(located: DataFrame, grid: _Grid, k: int) -> DataFrame:
-    """``(loc, nb, dist, nb_w, copies)``: the other locations in the k-neighbourhood of each one.
-
-    Every cell within a location's reach is asked through an equi-join on (level, cell). A location
-    meets only queries of its surroundings at each level, which bounds the pairs by a multiple of
-    the locations, however uneven their density.
-    """
-    d = grid.d
-    asked = (
-        _with_reach(located, grid, k).where(F.col("w") <= k).select("loc", "level", (F.col("w") - 1).alias("copies"), "reach", "at")
-    )
-    key = ["level"]
-    for j in range(d):
-        offset = F.col("loc")[j] - F.lit(grid.lo[j])
-        unit = F.lit(grid.side) / F.col("at")
-        first = grid._index(offset - F.col("reach"), unit, F.col("at"))
-        final = grid._index(offset + F.col("reach"), unit, F.col("at"))
-        asked = asked.withColumn(f"c{j}", F.explode(F.sequence(first, final)))
-        key.append(f"c{j}")
-    return _nearest(asked, key, located, grid, k)
-
-
-def _levels(located: DataFrame, k: int) -> list[int]:
-    """The levels on which some place asks for its neighbours."""
-    return sorted(r["level"] for r in located.where(F.col("w") <= k).select("level").distinct().collect())
-
-
-def _on_levels(located: DataFrame, grid: _Grid, levels: Sequence[int]) -> DataFrame:
-    """Every place with its cell on each of some levels: ``(nb, nb_w, level, c0, ...)``."""
-    held = [
-        F.struct(F.lit(l).alias("level"), *[c.alias(f"c{j}") for j, c in enumerate(grid.cell(F.col("loc"), l))]) for l in levels
-    ]
-    return located.select(F.col("loc").alias("nb"), F.col("w").alias("nb_w"), F.explode(F.array(*held)).alias("e")).select(
-        "nb", "nb_w", "e.*"
-    )
-
-
-def _nearest(
-    asked: DataFrame, key: Sequence[str], located: DataFrame, grid: _Grid, k: int, levels: Sequence[int] | None = None
-) -> DataFrame:
-    """The k-neighbourhoods among places for ``(loc, copies, reach)`` asked on cells."""
-    offered = _on_levels(located, grid, levels or _levels(located, k))
-    dist = _distance(F.col("loc"), F.col("nb"), grid.columns)
-    pairs = (
-        asked.join(offered, list(key))
-        .where(F.col("loc") != F.col("nb"))
-        .withColumn("dist", dist)
-        .where(F.col("dist") <= F.col("reach"))
-        .select("loc", "copies", "nb", "nb_w", "dist")
-    )
-    # rank() <= k is pushed below the shuffle as a group limit: few rows per location move.
-    by_distance = W.partitionBy("loc").orderBy("dist")
+def _within_kth(pairs: DataFrame, k: int) -> DataFrame:
+    """Of ``(id, copies, nb, nb_w, dist)`` the pairs within the distance of the k-th other row; copies count one by one."""
+    # rank() <= k is pushed below the shuffle as a group limit: few rows per place move.
+    by_distance = W.partitionBy("id").orderBy("dist")
     nearest = pairs.withColumn("rank", F.rank().over(by_distance)).where(F.col("rank") <= k)
-    # Copies of a neighbour count one by one: keep distances before which fewer than k rows lie.
     up_to = F.sum("nb_w").over(by_distance.rangeBetween(W.unboundedPreceding, W.currentRow))
-    same = F.sum("nb_w").over(W.partitionBy("loc", "dist"))
-    return (
-        nearest.withColumn("before", F.col("copies") + up_to - same)
-        .where(F.col("before") < k)
-        .select("loc", "copies", "nb", "nb_w", "dist")
-    )
+    same = F.sum("nb_w").over(W.partitionBy("id", "dist"))
+    return nearest.withColumn("before", F.col("copies") + up_to - same).where(F.col("before") < k).select("id", "copies", "nb", "nb_w", "dist")
 
 
 @dataclass
@@ -195,19 +36,19 @@ class PlaceFactors:
     """The exact factors of a whole table and what further rows need to be scored against it.
 
     Rows at the same place are one weighted place from the start, so copies cost nothing: a place with more than k
-    rows has factor 1 and asks no neighbours. ``places`` is ``(loc, w, level)``, ``density`` ``(loc, k_dist, lrd)`` and
-    ``factors`` ``(loc, lof)`` for places of at most k rows. Any number of columns; all tables stay distributed.
+    rows has factor 1 and asks no neighbours. ``places`` is ``(id, loc, w)``, ``density`` ``(id, k_dist, lrd)`` and
+    ``factors`` ``(id, lof)`` for places of at most k rows. Any number of columns; all tables stay distributed.
     """
 
     cols: list[str]
     k: int
-    grid: _Grid
+    tree: PartitionTree
     places: DataFrame
     density: DataFrame
     factors: DataFrame
 
     @classmethod
-    def fit(cls, df: DataFrame, cols: Sequence[str], k: int) -> PlaceFactors:
+    def fit(cls, df: DataFrame, cols: Sequence[str], k: int, cell_places: int | None = None) -> PlaceFactors:
         cols = list(cols)
         if not cols:
             raise ValueError("a density needs columns")
@@ -215,94 +56,67 @@ class PlaceFactors:
         rows = next(iter(found.values()))[2]
         if rows <= k:
             raise ValueError(f"{rows} rows have no {k} neighbours")
-        locs = cut_lineage(df.groupBy(place(cols).alias("loc")).agg(F.count(F.lit(1)).alias("w")))
-        cut = cols[:GRID_COLUMNS]
-        side = max(found[c][1] - found[c][0] for c in cut)
-        whole = max(found[c][1] - found[c][0] for c in cols)
-        grid = _Grid([found[c][0] for c in cut], max(side, whole) * (1 + 1e-9) or 1.0, len(cols))
-        places = cut_lineage(_locate(locs, grid, locs.count(), k))
-        pairs = cut_lineage(_neighbours(places, grid, k)) if not places.where(F.col("w") <= k).isEmpty() else None
-        if pairs is None:  # every place has more than k rows
-            nothing = places.limit(0)
-            zero = F.lit(0.0)
-            return cls(cols, k, grid, places, nothing.select("loc", zero.alias("k_dist"), zero.alias("lrd")), nothing.select("loc", zero.alias("lof")))
+        counted = df.groupBy(place(cols).alias("loc")).agg(F.count(F.lit(1)).alias("w"))
+        places = cut_lineage(counted.select(F.monotonically_increasing_id().alias("id"), "loc", "w"))
+        tree = PartitionTree.build(places, len(cols), cell_places)
+        pairs = cut_lineage(_within_kth(tree.neighbours(k), k))
         # A place with more than k rows has its k-distance at 0.
-        k_dist = pairs.groupBy("loc").agg(F.max("dist").alias("k_dist"), F.max("copies").alias("copies"))
-        k_of_nb = k_dist.select(F.col("loc").alias("nb"), F.col("k_dist").alias("nb_k"))
+        k_dist = pairs.groupBy("id").agg(F.max("dist").alias("k_dist"), F.max("copies").alias("copies"))
+        k_of_nb = k_dist.select(F.col("id").alias("nb"), F.col("k_dist").alias("nb_k"))
         reach = F.greatest("dist", F.coalesce("nb_k", F.lit(0.0)))
-        sums = pairs.join(k_of_nb, "nb", "left").groupBy("loc").agg(
+        sums = pairs.join(k_of_nb, "nb", "left").groupBy("id").agg(
             F.sum(F.col("nb_w") * reach).alias("far"), F.sum("nb_w").alias("others")
         )
         total = F.col("others") + F.col("copies")
         density = F.lit(1.0) / ((F.col("far") + F.col("copies") * F.col("k_dist")) / total + F.lit(LRD_EPSILON))
-        lrd = cut_lineage(sums.join(k_dist, "loc").select("loc", density.alias("lrd"), "copies", total.alias("total"), "k_dist"))
-        lrd_of_nb = lrd.select(F.col("loc").alias("nb"), F.col("lrd").alias("nb_lrd"))
-        near = pairs.join(lrd_of_nb, "nb", "left").groupBy("loc").agg(
+        lrd = cut_lineage(sums.join(k_dist, "id").select("id", density.alias("lrd"), "copies", total.alias("total"), "k_dist"))
+        lrd_of_nb = lrd.select(F.col("id").alias("nb"), F.col("lrd").alias("nb_lrd"))
+        near = pairs.join(lrd_of_nb, "nb", "left").groupBy("id").agg(
             F.sum(F.col("nb_w") * F.coalesce("nb_lrd", F.lit(1.0 / LRD_EPSILON))).alias("dense")
         )
         factor = (F.col("dense") + F.col("copies") * F.col("lrd")) / F.col("total") / F.col("lrd")
-        return cls(cols, k, grid, places, lrd.select("loc", "k_dist", "lrd"), cut_lineage(near.join(lrd, "loc").select("loc", factor.alias("lof"))))
+        factors = cut_lineage(near.join(lrd, "id").select("id", factor.alias("lof")))
+        return cls(cols, k, tree, places, lrd.select("id", "k_dist", "lrd"), factors)
+
+    def at(self, rows: DataFrame, name: str) -> DataFrame:
+        """Add where each row lies; null where a column is missing or not finite."""
+        finite = F.forall(place(self.cols), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(math.inf)))
+        return rows.withColumn(name, F.when(finite, place(self.cols)))
 
-    def score(self, df: DataFrame, out: str = "lof") -> DataFrame:
+    def known(self, name: str) -> DataFrame:
+        """``(loc, factor)`` of the fitted places."""
+        return self.places.join(self.factors, "id", "left").select("loc", F.coalesce("lof", F.lit(1.0)).alias(name))
+
+    def score(self, df: DataFrame, out: str = "lof", apart: bool = False) -> DataFrame:
         """Append the factor of every row; null where a column is missing or not finite.
 
-        A row at a fitted place has that place's factor, as if it were one of its rows. Any other row is measured
-        against the fitted places alone, so rows that are scored together don't change each other.
+        A row at a fitted place has that place's factor, as if it were one of its rows; with ``apart`` it counts as another row there. Any
+        other row is measured against the fitted places alone, so rows that are scored together don't change each other.
         """
-        finite = F.lit(True)
-        for c in self.cols:
-            x = F.col(c).cast("double")
-            finite = finite & x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(math.inf))
-        rows = df.withColumn("__loc", F.when(finite, place(self.cols)))
-        known = self.places.join(self.factors, "loc", "left").select("loc", F.coalesce("lof", F.lit(1.0)).alias(out))
-        fresh = cut_lineage(rows.where("__loc IS NOT NULL").select(F.col("__loc").alias("loc")).distinct().join(known, "loc", "left_anti"))
+        loc = f"loc-{uuid.uuid4().hex}"  # a name that no table has
+        rows = self.at(df, loc)
+        # kept before it is filtered: a condition on a place of many columns would be taken apart by the optimizer
+        there = cut_lineage(rows.select(F.col(f"`{loc}`").alias("loc")).distinct()).where("loc IS NOT NULL")
+        known = self.known(out)
+        fresh = there if apart else there.join(known, "loc", "left_anti")
+        fresh = cut_lineage(fresh.select(F.monotonically_increasing_id().alias("id"), "loc"))
+        scored = known.limit(0) if apart else known
         if not fresh.isEmpty():
-            known = known.unionByName(self._unseen(fresh).select("loc", F.col("lof").alias(out)))
-        return rows.join(known.withColumnRenamed("loc", "__loc"), "__loc", "left").drop("__loc")
+            scored = scored.unionByName(self._unseen(fresh).select("loc", F.col("lof").alias(out)))
+        return rows.join(scored.withColumnRenamed("loc", loc), loc, "left").drop(loc)
 
     def _unseen(self, fresh: DataFrame) -> DataFrame:
-        """``(loc, lof)`` of new places among the fitted ones.
-
-        A place within distance t has its k-neighbourhood and itself within t plus its k-distance, so one place of each
-        cell that a new place shares bounds how far to look. Only the part of the grid within that reach is asked,
-        on the finest level whose cells are not smaller than the part.
-        """
-        grid, d, k = self.grid, self.grid.d, self.k
-        levels = sorted({0, *_levels(self.places, k)})
-        names = [f"c{j}" for j in range(d)]
-        radius = self.places.join(self.density, "loc", "left").select("loc", "w", F.coalesce("k_dist", F.lit(0.0)).alias("k_dist"))
-        first = _on_levels(radius.select("loc", F.col("k_dist").alias("w")), grid, levels)
-        seeds = cut_lineage(first.groupBy("level", *names).agg(F.min_by("nb", "nb_w").alias("seed"), F.min("nb_w").alias("k_dist")))
-        at = _on_levels(fresh.select("loc", F.lit(0).alias("w")), grid, levels).withColumnRenamed("nb", "loc").drop("nb_w")
-        bound = _distance(F.col("loc"), F.col("seed"), grid.columns) + F.col("k_dist")
-        asked = at.join(seeds, ["level", *names]).groupBy("loc").agg((F.min(bound) * F.lit(1 + 1e-9)).alias("reach"))
-        outside = [F.greatest(F.lit(0.0), F.lit(lo) - F.col("loc")[j], F.col("loc")[j] - F.lit(lo + grid.side)) for j, lo in enumerate(grid.lo)]
-        all_out = F.lit(0.0)
-        for o in outside:
-            all_out = all_out + o * o
-        starts, ends, extent = [], [], F.lit(0.0)
-        for j, lo in enumerate(grid.lo):
-            half = F.sqrt(F.greatest(F.lit(0.0), F.col("reach") * F.col("reach") - (all_out - outside[j] * outside[j])))
-            starts.append(F.greatest(F.lit(0.0), F.col("loc")[j] - half - F.lit(lo)))
-            ends.append(F.least(F.lit(grid.side), F.col("loc")[j] + half - F.lit(lo)))
-            extent = F.greatest(extent, ends[-1] - starts[-1])
-        level = F.lit(levels[0])
-        for l in levels[1:]:
-            level = F.when(extent <= F.lit(grid.width(l)), F.lit(l)).otherwise(level)
-        asked = asked.withColumns({"level": level, "copies": F.lit(0).cast("bigint"), "at": F.pow(F.lit(2.0), level)})
-        for j in range(d):
-            unit = F.lit(grid.side) / F.col("at")
-            cells = F.sequence(grid._index(starts[j], unit, F.col("at")), grid._index(ends[j], unit, F.col("at")))
-            asked = asked.withColumn(names[j], F.explode(cells))
-        pairs = cut_lineage(_nearest(asked, ["level", *names], self.places, grid, k, levels))
-        facts = self.density.select(F.col("loc").alias("nb"), "k_dist", F.col("lrd").alias("nb_lrd"))
+        """``(loc, lof)`` of new places ``(id, loc)`` among the fitted ones."""
+        pairs = cut_lineage(_within_kth(self.tree.nearest(fresh, self.k), self.k))
+        facts = self.density.select(F.col("id").alias("nb"), "k_dist", F.col("lrd").alias("nb_lrd"))
         joined = pairs.join(facts, "nb", "left")
         reach = F.greatest("dist", F.coalesce("k_dist", F.lit(0.0)))
-        sums = joined.groupBy("loc").agg(
+        sums = joined.groupBy("id").agg(
             F.sum(F.col("nb_w") * reach).alias("far"), F.sum("nb_w").alias("total"),
             F.sum(F.col("nb_w") * F.coalesce("nb_lrd", F.lit(1.0 / LRD_EPSILON))).alias("dense"),
         )
-        return sums.select("loc", (F.col("dense") / F.col("total") * (F.col("far") / F.col("total") + F.lit(LRD_EPSILON))).alias("lof"))
+        lof = F.col("dense") / F.col("total") * (F.col("far") / F.col("total") + F.lit(LRD_EPSILON))
+        return fresh.join(sums.select("id", lof.alias("lof")), "id").select("loc", "lof")
 
 
 def place(cols: Sequence[str]) -> Column:
@@ -315,92 +129,6 @@ def exact_lof(df: DataFrame, cols: Sequence[str], k: int, out: str = "lof") -> D
     return PlaceFactors.fit(df, cols, k).score(df, out)
 
 
-def _kernels() -> tuple[Callable, Callable, Callable]:
-    """Array steps of the reference factor. Made here so that they travel to the tasks by value and
-    the executors need no copy of this package."""
-
-    def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        total = np.zeros((len(a), len(b)))
-        for j in range(a.shape[1]):
-            delta = a[:, j][:, None] - b[:, j][None, :]
-            total += delta * delta
-        return np.sqrt(total)
-
-    def near(dist: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row and column of every pair within the row's k-distance, and the k-distances."""
-        k_dist = np.partition(dist, k - 1, axis=1)[:, k - 1]
-        row, other = np.nonzero(dist <= k_dist[:, None])
-        return row, other, k_dist
-
-    def mean(row: np.ndarray, values: np.ndarray) -> np.ndarray:
-        return np.bincount(row, weights=values) / np.bincount(row)
-
-    return distances, near, mean
-
-
-@dataclass
-class ReferenceLOF:
-    """Factors against a fixed reference sample: one pass over the rows, no shuffle.
-
-    The sample has a set size (that is the operator), so it travels with the tasks; every row is
-    scored. Works for any number of columns and for rows not seen before.
-    """
-
-    cols: list[str]
-    keys: list[str]
-    k: int
-    ids: np.ndarray
-    points: np.ndarray
-    k_dist: np.ndarray
-    lrd: np.ndarray
-
-    @classmethod
-    def fit(cls, df: DataFrame, cols: Sequence[str], keys: Sequence[str], k: int, size: int, seed: int) -> ReferenceLOF:
-        cols, keys = list(cols), list(keys)
-        label = F.concat_ws(":", *[F.col(c).cast("string") for c in keys]).alias("__id")
-        rows = bottom_k(df.select(*keys, *[F.col(c).cast("double").alias(f"__v{i}") for i, c in enumerate(cols)]), keys, size, seed)
-        local = rows.select(label, *[f"__v{i}" for i in range(len(cols))]).toPandas()  # ``size`` rows
-        if len(local) <= k:
-            raise ValueError(f"a reference of {len(local)} rows has no {k} neighbours")
-        if local["__id"].duplicated().any():
-            raise ValueError(f"the columns {keys} do not identify a row")
-        points = local[[f"__v{i}" for i in range(len(cols))]].to_numpy(dtype=float)
-        if not np.isfinite(points).all():
-            raise ValueError("the reference columns hold missing or infinite values")
-        distances, near, mean = _kernels()
-        dist = distances(points, points)
-        np.fill_diagonal(dist, np.inf)
-        row, other, k_dist = near(dist, k)
-        lrd = 1.0 / (mean(row, np.maximum(dist[row, other], k_dist[other])) + LRD_EPSILON)
-        return cls(cols, keys, k, local["__id"].to_numpy(dtype=object), points, k_dist, lrd)
-
-    def score(self, df: DataFrame, out: str = "lof") -> DataFrame:
-        points, k_dist, lrd, k = self.points, self.k_dist, self.lrd, self.k
-        known = pd.Index(self.ids)
-        distances, near, mean = _kernels()
-
-        @F.pandas_udf("double")
-        def factors(ids: pd.Series, *cols: pd.Series) -> pd.Series:
-            rows = np.column_stack([c.to_numpy(dtype=float) for c in cols])
-            result = np.empty(len(rows))
-            for start in range(0, len(rows), 2048):
-                part = slice(start, start + 2048)
-                dist = distances(rows[part], points)
-                own_place = known.get_indexer(ids.iloc[part])
-                inside = np.flatnonzero(own_place >= 0)
-                dist[inside, own_place[inside]] = np.inf  # a reference row is not its own neighbour
-                dist[np.isnan(dist)] = 0.0
-                row, other, _ = near(dist, k)
-                own = 1.0 / (mean(row, np.maximum(dist[row, other], k_dist[other])) + LRD_EPSILON)
-                whole = np.isfinite(rows[part]).all(1)  # a row with a missing number has no factor
-                result[part] = np.where(whole, mean(row, lrd[other]) / own, np.nan)
-            return pd.Series(result)
-
-        label = F.concat_ws(":", *[F.col(c).cast("string") for c in self.keys])
-        found = factors(label, *[F.col(c).cast("double") for c in self.cols])
-        return df.withColumn(out, F.nanvl(found, F.lit(None).cast("double")))
-
-
 def min_max(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float, float]]:
     row = df.agg(*[f(c).alias(f"{n}_{i}") for i, c in enumerate(cols) for n, f in (("lo", F.min), ("hi", F.max))]).first()
     return {c: (row[f"lo_{i}"], row[f"hi_{i}"]) for i, c in enumerate(cols)}

@@ -5,22 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.operators.lof import ReferenceLOF, bagged_lof, exact_lof
-from evidentia.operators.outliers import TabularOutlierDetector
+from evidentia.functions.sampling import bottom_k
+from evidentia.operators.lof import PlaceFactors, bagged_lof, exact_lof
+from evidentia.operators.outliers import TabularOutlierDetector, random_bags
 from evidentia.operators.sequences import SequenceOutlierDetector
 from evidentia.plans.common import r6, registry, sql_r6, sql_uniform, table
 from evidentia.plans.networks import sql_cpt
+from evidentia.session import cut_lineage
 
 REG = registry()
 K = 5
+COMPONENTS = 64
 
 
 def vectors(spark, sf_dir) -> DataFrame:
     df = table(spark, sf_dir, "embeddings")
-    return df.select("vec_id", *[F.col("embedding")[j].cast("double").alias(f"e{j}") for j in range(6)])
+    return df.select("vec_id", *[F.col("embedding")[j].cast("double").alias(f"e{j}") for j in range(COMPONENTS)])
 
 
-_VECTORS = "(SELECT vec_id AS id, " + ", ".join(f"embedding[{j + 1}]::DOUBLE AS e{j}" for j in range(6)) + " FROM embeddings)"
+_VECTORS = "(SELECT vec_id AS id, " + ", ".join(f"embedding[{j + 1}]::DOUBLE AS e{j}" for j in range(COMPONENTS)) + " FROM embeddings)"
 
 
 def sql_lof(source: str, cols: list[str], tag: str = "") -> str:
@@ -41,7 +44,7 @@ def lof_exact(spark, sf_dir) -> DataFrame:
     return exact_lof(vectors(spark, sf_dir), ["e0", "e1"], K).select("vec_id", r6("lof").alias("lof"))
 
 
-WIDE = [f"e{j}" for j in range(6)]
+WIDE = [f"e{j}" for j in range(COMPONENTS)]
 
 
 @REG.add("lof_wide", f"WITH v AS {_VECTORS}, {sql_lof('v', WIDE)} SELECT id AS vec_id, {sql_r6('lof')} AS lof FROM lof")
@@ -49,14 +52,15 @@ def lof_wide(spark, sf_dir) -> DataFrame:
     return exact_lof(vectors(spark, sf_dir), WIDE, K).select("vec_id", r6("lof").alias("lof"))
 
 
-BAGS = [["e0", "e1"], ["e2", "e3"], ["e0", "e3"]]
-_SCALED = " + ".join(f"(l{i}.lof - (SELECT min(lof) FROM lof{i})) / ((SELECT max(lof) - min(lof) FROM lof{i}))" for i in range(3))
+BAGS = random_bags(WIDE, 5, 4, 11)
+_SCALED = " + ".join(f"(l{i}.lof - (SELECT min(lof) FROM lof{i})) / ((SELECT max(lof) - min(lof) FROM lof{i}))" for i in range(len(BAGS)))
+_JOINED = " ".join(f"JOIN lof{i} l{i} USING (id)" for i in range(1, len(BAGS)))
 
 
 @REG.add(
     "lof_bagged",
     f"WITH v AS {_VECTORS}, " + ", ".join(sql_lof("v", bag, str(i)) for i, bag in enumerate(BAGS))
-    + f" SELECT l0.id AS vec_id, {sql_r6(f'({_SCALED}) / 3')} AS lof_score FROM lof0 l0 JOIN lof1 l1 USING (id) JOIN lof2 l2 USING (id)",
+    + f" SELECT l0.id AS vec_id, {sql_r6(f'({_SCALED}) / {len(BAGS)}')} AS lof_score FROM lof0 l0 {_JOINED}",
 )
 def lof_bagged(spark, sf_dir) -> DataFrame:
     return bagged_lof(vectors(spark, sf_dir), BAGS, K).select("vec_id", r6("lof_score").alias("lof_score"))
@@ -91,8 +95,11 @@ def sql_reference_lof() -> str:
 )
 def lof_sampled(spark, sf_dir) -> DataFrame:
     df = table(spark, sf_dir, "lineitem").select(*ROW_KEYS, *BAG)
-    model = ReferenceLOF.fit(df, BAG, ROW_KEYS, K, REFERENCE, SEED)
-    return model.score(df).select(*ROW_KEYS, r6("lof").alias("lof"))
+    reference = cut_lineage(bottom_k(df, ROW_KEYS, REFERENCE, SEED))
+    fitted = PlaceFactors.fit(reference, BAG, K)
+    others = df.join(F.broadcast(reference.select(*ROW_KEYS)), ROW_KEYS, "left_anti")
+    scored = fitted.score(reference).unionByName(fitted.score(others, apart=True))
+    return scored.select(*ROW_KEYS, r6("lof").alias("lof"))
 
 
 PLACE, K_ROWS = ["l_quantity", "l_discount", "l_tax"], 20

@@ -4,7 +4,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evidentia import SequenceOutlierDetector, TabularOutlierDetector
-from evidentia.operators.lof import PlaceFactors, ReferenceLOF, exact_lof
+from evidentia.operators.lof import PlaceFactors, exact_lof
 from evidentia.operators.outliers import random_bags
 from evidentia.operators.sequences import previous_value
 
@@ -22,11 +22,14 @@ def brute_lof(points, k):
     return np.array([lrd[near[i]].mean() / lrd[i] for i in range(len(points))])
 
 
-def check_exact(spark, points, k):
-    d = points.shape[1]
-    names = [f"x{j}" for j in range(d)]
-    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(points)], ["id", *names])
-    found = np.array([r["lof"] for r in exact_lof(df, names, k).orderBy("id").collect()])
+def frame(spark, points):
+    return spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(points)], ["id", *[f"x{j}" for j in range(points.shape[1])]])
+
+
+def check_exact(spark, points, k, cell=None):
+    df, names = frame(spark, points), [f"x{j}" for j in range(points.shape[1])]
+    scored = exact_lof(df, names, k) if cell is None else PlaceFactors.fit(df, names, k, cell).score(df)
+    found = np.array([r["lof"] for r in scored.orderBy("id").collect()])
     assert len(found) == len(points)
     assert np.allclose(found, brute_lof(points, k), rtol=1e-6)
 
@@ -67,7 +70,7 @@ def test_exact_factor_limits(spark):
 def test_exact_factor_on_many_columns(spark):
     rng = np.random.default_rng(9)
     points = np.vstack([rng.normal(0, 1, (120, 7)), rng.normal(5, 0.1, (40, 7)), np.repeat(rng.normal(0, 1, (1, 7)), 9, axis=0)])
-    points[:5, :4] = 0.0  # places that only the columns outside the grid tell apart
+    points[:5, :4] = 0.0  # places that only the last columns tell apart
     check_exact(spark, points, 4)
 
 
@@ -117,20 +120,62 @@ def test_a_value_off_a_constant_group_stands_out(spark):
     assert scores[1001] > scores[1000]
 
 
-def test_no_cross_join_and_no_python_in_the_exact_factor(spark):
+def test_no_cross_join_in_the_exact_factor(spark):
     rng = np.random.default_rng(2)
     df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(rng.normal(0, 1, (60, 2)))], "id bigint, x double, y double")
-    plan = exact_lof(df, ["x", "y"], 3)._jdf.queryExecution().executedPlan().toString()
-    assert "NestedLoop" not in plan and "Cartesian" not in plan and "Python" not in plan
+    plan = PlaceFactors.fit(df, ["x", "y"], 3, 8).tree.neighbours(3)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def few_values_first(n=1000, seed=4):
+    """Four columns of two values and one of numbers: only the last tells most rows apart."""
+    rng = np.random.default_rng(seed)
+    return np.hstack([rng.integers(0, 2, (n, 4)), rng.normal(0, 1, (n, 1))]).astype(float)
+
+
+@pytest.mark.parametrize("cell", [None, 40])
+@pytest.mark.parametrize("turned", [False, True])
+def test_exact_factor_where_the_first_columns_have_few_values(spark, turned, cell):
+    points = few_values_first(1000 if cell is None else 400)
+    check_exact(spark, points[:, ::-1] if turned else points, 5, cell)
+
+
+def heavy_value(rng):
+    """A value that most places share, which quantiles alone can't split."""
+    return np.vstack([np.c_[np.zeros(300), rng.normal(0, 1, 300)], np.c_[rng.normal(0, 1e-3, 40), rng.normal(0, 1, 40)], rng.normal(0, 1, (60, 2))])
+
+
+@pytest.mark.parametrize("cell", [6, 40])
+def test_exact_factor_over_many_small_cells(spark, cell):
+    rng = np.random.default_rng(8)
+    lattice = np.array([[i, j] for i in range(12) for j in range(12)], dtype=float)
+    check_exact(spark, np.vstack([heavy_value(rng), lattice, np.repeat(lattice[5:6], 9, axis=0), [[900.0, -900.0]]]), 4, cell)
+
+
+def test_cells_are_bounded_and_pairs_few(spark):
+    rng = np.random.default_rng(3)
+    points = np.vstack([rng.normal(0, 1, (3000, 2)), heavy_value(rng)])
+    fitted = PlaceFactors.fit(frame(spark, points), ["x0", "x1"], 5, 64)
+    sizes = [r["size"] for r in fitted.tree.nodes.where("cell").collect()]
+    assert max(sizes) <= 64 and sum(sizes) == len(points) == fitted.places.count()
+    assert fitted.tree.neighbours(5).count() < 30 * len(points)
+
+
+@pytest.mark.parametrize("cell", [None, 16])
+def test_unseen_rows_over_cells(spark, cell):
+    rng = np.random.default_rng(12)
+    points = np.vstack([heavy_value(rng), rng.normal(8, 0.01, (80, 2))])
+    fresh = np.vstack([points[:15] + 1e-4, rng.normal(0, 4, (25, 2)), [[500.0, 500.0], [-80.0, 0.0]]])
+    fitted = PlaceFactors.fit(frame(spark, points), ["x0", "x1"], 4, cell)
+    found = [r["lof"] for r in fitted.score(frame(spark, fresh)).orderBy("id").collect()]
+    assert np.allclose(found, brute_unseen(points, fresh, 4), rtol=1e-6)
 
 
-def test_reference_of_all_rows_equals_the_exact_factor(spark):
-    points = np.round(np.random.default_rng(6).normal(0, 1, (120, 5)), 3)
-    names = [f"x{j}" for j in range(5)]
-    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(points)], ["id", *names])
-    model = ReferenceLOF.fit(df, names, ["id"], 4, 1000, 0)
-    found = [r["lof"] for r in model.score(df).orderBy("id").collect()]
-    assert np.allclose(found, brute_lof(points, 4))
+def test_rows_scored_apart_count_as_further_rows(spark):
+    points = np.round(np.random.default_rng(6).normal(0, 1, (120, 3)), 1)
+    fitted = PlaceFactors.fit(frame(spark, points), ["x0", "x1", "x2"], 4)
+    found = [r["lof"] for r in fitted.score(frame(spark, points[:40]), apart=True).orderBy("id").collect()]
+    assert np.allclose(found, brute_unseen(points, points[:40], 4), rtol=1e-6)
 
 
 def table_frame(spark, n=600):
