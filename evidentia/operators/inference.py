@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from evidentia.operators.cpt import Network
 from evidentia.operators.families import combinations
+from evidentia.operators.factors import Term, marginal_terms
 from evidentia.operators.graph import ancestors
+from evidentia.operators.joins import split_join
 
 
 def fallback_probability(num_classes: int | None) -> float:
@@ -18,18 +20,20 @@ def fallback_probability(num_classes: int | None) -> float:
 
 
 def _lookup(df: DataFrame, table: DataFrame, keys: Sequence[str], value: str, out: str, small: bool) -> DataFrame:
-    """Left equi-join that adds ``out``. A table of checked size is broadcast, others shuffle."""
+    """Left equi-join that adds ``out``. A table of checked size is broadcast; others are joined by exchange, very frequent keys apart."""
+    if not small:
+        return split_join(df, table.select(*keys, F.col(value).alias(out)), keys)
     names = {k: f"__k{i}" for i, k in enumerate(keys)}
     side = table.select(*[F.col(k).alias(n) for k, n in names.items()], F.col(value).alias(out))
     on: Column | None = None
     for k, n in names.items():
         equal = F.col(k) == F.col(n)
         on = equal if on is None else on & equal
-    return df.join(F.broadcast(side) if small else side, on, "left").drop(*names.values())
+    return df.join(F.broadcast(side), on, "left").drop(*names.values())
 
 
 def marginal_table(network: Network, node: str, present: Sequence[str]) -> DataFrame:
-    """P(node given the present parents), the absent ones summed out of the network.
+    """P(node given the present parents), the absent ones summed out of the network. For dense tables.
 
     Works on the tables of the node and its ancestors: absent variables go one by one, each by
     joining the tables that hold it on their common columns and summing the product.
@@ -40,8 +44,6 @@ def marginal_table(network: Network, node: str, present: Sequence[str]) -> DataF
     involved = ancestors(node, network.parents) | {node}
     scopes: list[tuple[set[str], DataFrame]] = []
     for c in involved:
-        if not network.is_dense(c):
-            raise ValueError(f"the table of {c} is too large to sum out")
         scopes.append(({c, *network.parents[c]}, network.node_table(c).select(*network.parents[c], c, "prob")))
     order = [c for c in reversed(_order(network, involved)) if c not in {node, *shown}]
 
@@ -98,18 +100,53 @@ def with_probabilities(
             df = df.withColumn(out, fallback)
             continue
         shown = [p for p in network.parents[node] if p in cols]
-        if network.is_dense(node):
+        summed = len(shown) < len(network.parents[node])
+        above = ancestors(node, network.parents) if summed else set()
+        if all(network.is_dense(c) for c in {node, *above}):
             table = marginal_table(network, node, shown)
             keys = [c for c in table.columns if c != "prob"]
             df = _lookup(df, table, keys, "prob", out, small=True)
             df = df.withColumn(out, F.coalesce(F.col(out), fallback))
+        elif summed:
+            df = _sparse_marginal(df, network, node, shown, out, fallback)
         else:
-            if len(shown) < len(network.parents[node]):
-                raise ValueError(f"the table of {node} is too large to sum out")
             df = _sparse_lookup(df, network, node, out, fallback)
     return df
 
 
+def _with_known(df: DataFrame, network: Network, cols: Sequence[str], out: str) -> DataFrame:
+    """Add whether all of some columns hold states of the network."""
+    known, marks = F.lit(True), []
+    for c in cols:
+        marks.append(f"__known{len(marks)}")
+        states = network.node_table(c).select(c).distinct().withColumn("known", F.lit(True))
+        df = _lookup(df, states, [c], "known", marks[-1], small=False)
+        known = known & F.coalesce(F.col(marks[-1]), F.lit(False))
+    return df.withColumn(out, known).drop(*marks)
+
+
+def _value_of(terms: Sequence[Term], names: dict[int, str]) -> Column:
+    total = F.lit(0.0)
+    for t in terms:
+        value = F.lit(t.weight)
+        for p in t.parts:
+            value = value * F.coalesce(F.col(names[id(p)]), F.lit(0.0))
+        total = total + value
+    return total
+
+
+def _sparse_marginal(df: DataFrame, network: Network, node: str, shown: Sequence[str], out: str, fallback: Column) -> DataFrame:
+    """P(node given the present parents) where some table is too large to lay out: every sparse part is looked up."""
+    joint, given = marginal_terms(network, node, shown)
+    parts = {id(p): p for t in (*joint, *given) for p in t.parts}
+    names = {key: f"__f{i}" for i, key in enumerate(parts)}
+    for key, part in parts.items():
+        df = _lookup(df, part.table, part.cols, "v", names[key], small=False)
+    df = _with_known(df, network, [node, *shown], "__known")
+    prob = _value_of(joint, names) / _value_of(given, names)
+    return df.withColumn(out, F.when(F.col("__known"), prob).otherwise(fallback)).drop("__known", *names.values())
+
+
 def _sparse_lookup(df: DataFrame, network: Network, node: str, out: str, fallback: Column) -> DataFrame:
     """Observed cells by one shuffled join, the others from the parents' totals and the prior."""
     parents = network.parents[node]
@@ -123,13 +160,6 @@ def _sparse_lookup(df: DataFrame, network: Network, node: str, out: str, fallbac
     else:
         df = df.withColumn("__n_pa", F.lit(None).cast("bigint"))
     unseen = F.lit(network.ess / (r * q)) / (F.coalesce("__n_pa", F.lit(0)) + F.lit(network.ess / q))
-    known = F.lit(True)
-    marks = []
-    for c in (node, *parents):
-        mark = f"__known{len(marks)}"
-        states = network.node_table(c).select(c).distinct().withColumn("known", F.lit(True))
-        df = _lookup(df, states, [c], "known", mark, small=False)
-        marks.append(mark)
-        known = known & F.coalesce(F.col(mark), F.lit(False))
-    value = F.coalesce(F.col(out), F.when(known, unseen), fallback)
-    return df.withColumn(out, value).drop("__n_pa", *marks)
+    df = _with_known(df, network, [node, *parents], "__known")
+    value = F.coalesce(F.col(out), F.when(F.col("__known"), unseen), fallback)
+    return df.withColumn(out, value).drop("__n_pa", "__known")

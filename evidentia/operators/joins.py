@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 HOT_SHARE = 0.001  # of the rows on one key, beyond which it is joined apart
 HOT_BYTES = 64 << 20  # of the small side's rows for those keys
+SALTS = 1024
 
 
 def key_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -17,6 +20,12 @@ def key_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return full.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.count(F.lit(1)).alias("rows"))
 
 
+def _holds_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_holds_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, T.MapType) or (isinstance(kind, T.ArrayType) and _holds_map(kind.elementType))
+
+
 def split_join(
     rows: DataFrame, side: DataFrame, keys: Sequence[str], counts: DataFrame | None = None, share: float = HOT_SHARE,
     hot_bytes: int = HOT_BYTES,
@@ -24,35 +33,36 @@ def split_join(
     """Left join of ``rows`` with ``side``, which has at most one row a key, where keys may hold any share of the rows.
 
     Keys that hold more than ``share`` of the rows are at most ``1 / share``; their rows of ``side`` are broadcast if they fit
-    ``hot_bytes`` (counted from their JSON form), so the rows of such keys stay where they are. All other keys are joined by
-    exchange, where none holds more than ``share``. ``counts`` (keys and ``rows``) saves a count of ``rows`` if it is known. Rows
-    with a null in a key find nothing and take no part in the exchange. ``rows`` is read once for every branch.
+    ``hot_bytes`` (counted from their JSON form). All other keys are joined by exchange, where none holds more than ``share``; rows that
+    have their match already or that hold a null in a key, which finds none, spread evenly over that exchange. ``counts`` (keys and
+    ``rows``) saves a count of ``rows`` if it is known. ``rows`` is read once, and once more where they are counted.
     """
     keys = list(keys)
-    key = [F.col(f"`{k}`") for k in keys]
     other = [c for c in side.columns if c not in keys]
     clash = set(other) & set(rows.columns)
     if clash:
         raise ValueError(f"columns on both sides: {sorted(clash)}")
+    col = lambda c: F.col(f"`{c}`")
     counts = key_counts(rows, keys) if counts is None else counts.dropna(subset=keys)
     total = counts.agg(F.sum("rows")).first()[0] or 0
-    hot = counts.where(F.col("rows") > F.lit(share * total)).select(*key).collect() if total else []
-    null = None
-    for k in key:
-        null = k.isNull() if null is None else null | k.isNull()
-    order = [F.col(f"`{c}`") for c in [*rows.columns, *other]]
-    cold = rows.where(~null)
-    parts = [rows.where(null).select(*[F.col(f"`{c}`") for c in rows.columns], *[F.lit(None).cast(side.schema[c].dataType).alias(c) for c in other])]
+    hot = counts.where(F.col("rows") > F.lit(share * total)).select(*[col(k) for k in keys]).collect() if total else []
+    found, taken, salt, held = (f"{n}-{uuid.uuid4().hex}" for n in ("found", "taken", "salt", "held"))  # names that no table has
+    away = F.lit(False)
+    for k in keys:
+        away = away | col(k).isNull()
+    marked = rows
     if hot:
         types = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
-        named = rows.sparkSession.createDataFrame([tuple(r) for r in hot], types)
-        found = named.join(side, keys, "left")
-        weight = found.agg(F.sum(F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in found.columns]))))).first()[0]
+        named = rows.sparkSession.createDataFrame([tuple(r) for r in hot], types).join(side, keys, "left")
+        weight = named.agg(F.sum(F.length(F.to_json(F.struct(*[col(c) for c in named.columns]))))).first()[0]
         if weight <= hot_bytes:
-            cold = cold.join(F.broadcast(named), keys, "left_anti")
-            parts.append(rows.join(F.broadcast(found), keys).select(*order))
-    parts.append(cold.join(side, keys, "left").select(*order))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+            ready = named.select(*[col(k) for k in keys], F.struct(*[col(c) for c in other]).alias(held), F.lit(True).alias(taken))
+            marked = rows.join(F.broadcast(ready), keys, "left")
+            away = away | F.coalesce(col(taken), F.lit(False))
+    spread = [col(f.name) for f in rows.schema.fields if not _holds_map(f.dataType)]
+    marked = marked.withColumn(salt, F.when(away, F.pmod(F.xxhash64(*spread), F.lit(SALTS)) + 1).otherwise(0))
+    nought = F.pmod(F.xxhash64(*[col(k) for k in keys]), F.lit(1))  # a plain 0 would be taken out of the join's keys
+    cold = side.select(*[col(k) for k in keys], F.struct(*[col(c) for c in other]).alias(found), nought.alias(salt))
+    met = marked.join(cold, [*keys, salt], "left")
+    value = lambda c: F.when(col(taken), col(held)[c]).otherwise(col(found)[c]) if taken in met.columns else col(found)[c]
+    return met.select(*[col(c) for c in rows.columns], *[value(c).alias(c) for c in other])

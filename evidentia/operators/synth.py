@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import uuid
 from collections.abc import Sequence
 
 from pyspark import keyword_only
@@ -13,12 +14,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from evidentia.functions.running import numbered, running_sums
 from evidentia.functions.sampling import hash_uniform
-from evidentia.operators.cpt import Network, fit_network
+from evidentia.operators.cpt import MAX_CELLS, Network, fit_network
+from evidentia.operators.families import combinations
 from evidentia.operators.graph import Edge, ancestors, topological
+from evidentia.operators.joins import split_join
 from evidentia.operators.mixture import fit_mixtures, single_normals
 from evidentia.operators.selection import FeatureParams
 from evidentia.operators.structure import learn_structure
+from evidentia.session import cut_lineage
+
+LEAST_BUCKETS, MOST_BUCKETS = 64, 1 << 20  # of the unit interval of a parent combination
 
 
 def cumulative_table(network: Network, node: str) -> DataFrame:
@@ -37,10 +44,11 @@ def _attach(df: DataFrame, table: DataFrame, keys: Sequence[str], values: Sequen
     return df.join(F.broadcast(table.select(*keys, *values)) if small else table.select(*keys, *values), list(keys), "left")
 
 
-def draw_category(df: DataFrame, network: Network, node: str, seed: int, id_col: str) -> DataFrame:
-    """Add a sampled column given its parents' columns."""
+def draw_category(df: DataFrame, network: Network, node: str, seed: int, id_col: str, drawn: Sequence[str] = ()) -> DataFrame:
+    """Add a sampled column given its parents' columns; null where a parent's value is none of the network's. ``drawn`` are columns that the
+    network has filled in itself."""
     if not network.is_dense(node):
-        raise ValueError(f"the table of {node} has {network.cells(node)} cells, too many to sample from")
+        return _draw_sparse(df, network, node, seed, id_col, drawn)
     df = _attach(df, cumulative_table(network, node), network.parents[node], ["cdf"], small=True)
     u = hash_uniform(F.col(id_col), node, seed)
     df = df.withColumn("__u", u)
@@ -50,6 +58,89 @@ def draw_category(df: DataFrame, network: Network, node: str, seed: int, id_col:
     return df.withColumn(node, state).drop("__u", "cdf")
 
 
+def ranked_states(network: Network, node: str) -> DataFrame:
+    """``(node, rank)``: a node's states, numbered in their order."""
+    return cut_lineage(numbered(network.node_table(node).select(node).distinct(), [node], "rank"))
+
+
+def segments(network: Network, node: str, states: DataFrame) -> DataFrame:
+    """The inverse distribution of a node whose table is too large to lay out, per parent combination that occurred.
+
+    States lie in their order; one that was never seen takes the same small step as all such. So a row stands for an observed state and all unseen
+    ones up to the next: ``[lo, end)`` of the unit interval, of which ``[lo, hi)`` is the observed state (``rank``), then come steps of ``step`` from ``base``
+    on. A first row without a state leads up to the first. Every row is told which of the combination's ``buckets`` it touches.
+    """
+    parents = network.parents[node]
+    q, r = float(combinations(network.cards, parents)), float(network.cards[node])
+    a, b = network.ess / (r * q), network.ess / q
+    seen = network.node_table(node).where("n > 0").select(*parents, node, "n").join(states, node)
+    run = cut_lineage(running_sums(seen, parents, ["rank"], {"upto": F.col("n"), "pos": F.lit(1)}))
+    totals = run.groupBy(*parents).agg(F.sum("n").alias("n_pa"), F.count(F.lit(1)).alias("k"))
+    none = totals.select(*parents, F.lit(0).cast("bigint").alias("pos"), F.lit(-1).cast("bigint").alias("rank"), F.lit(0).cast("bigint").alias("upto"), F.lit(0).cast("bigint").alias("n"))
+    rows = run.select(*parents, "pos", "rank", "upto", "n").unionByName(none)
+    if parents:
+        rows = rows.join(totals, parents)
+    else:
+        rows = rows.withColumns({c: totals.select(c).scalar() for c in ("n_pa", "k")})
+    mass = F.col("n_pa") + F.lit(b)
+    step = F.lit(a) / mass
+    rows = rows.withColumns({"step": step, "base": F.col("upto") / mass, "buckets": F.least(F.greatest("k", F.lit(LEAST_BUCKETS)), F.lit(MOST_BUCKETS)).cast("bigint")})
+    low = F.when(F.col("pos") == 0, F.lit(0.0)).otherwise(F.col("rank") * F.col("step") + (F.col("upto") - F.col("n")) / mass)
+    rows = cut_lineage(rows.withColumns({"lo": low, "hi": F.when(F.col("pos") == 0, F.lit(0.0)).otherwise((F.col("rank") + 1) * F.col("step") + F.col("base"))}))
+    following = rows.select(*parents, (F.col("pos") - 1).alias("pos"), F.col("lo").alias("end"), F.col("rank").alias("until"))
+    whole = rows.join(following, [*parents, "pos"], "left").withColumns({"end": F.coalesce("end", F.lit(2.0)), "until": F.coalesce("until", F.lit(int(r)).cast("bigint"))})
+    touched = F.sequence(F.floor(F.col("lo") * F.col("buckets")), F.least(F.floor(F.col("end") * F.col("buckets")), F.col("buckets") - 1))
+    named = whole.where("lo < end AND lo < 1").join(states, "rank", "left").withColumn("bucket", F.explode(touched))
+    return named.select(*parents, "bucket", "buckets", "rank", "until", "step", "base", "lo", "hi", "end", F.col(node).alias("state"))
+
+
+def _draw_sparse(df: DataFrame, network: Network, node: str, seed: int, id_col: str, drawn: Sequence[str]) -> DataFrame:
+    """Sampling by an interval join without a range join: intervals and draws meet on (parents, bucket) and are compared there.
+
+    A combination's draws spread over its buckets, so a frequent one is no single task; parents that never occurred together draw evenly from all
+    states.
+    """
+    parents, r = network.parents[node], network.cards[node]
+    tag = lambda n: f"{n}-{uuid.uuid4().hex}"  # noqa: E731  names that no table has
+    at, count, bucket, rank, state, known = (tag(n) for n in ("u", "buckets", "bucket", "rank", "state", "known"))
+    col = lambda c: F.col(f"`{c}`")
+    kept = [col(c) for c in df.columns]
+    states = ranked_states(network, node)
+    parts = cut_lineage(segments(network, node, states))
+    rows = df.withColumn(at, hash_uniform(F.col(id_col), node, seed))
+    marks = []
+    for p in parents:
+        if p not in drawn:
+            marks.append(tag("known"))
+            rows = split_join(rows, network.node_table(p).select(p).distinct().withColumn(marks[-1], F.lit(True)), [p])
+    if parents:
+        rows = split_join(rows, parts.groupBy(*parents).agg(F.max("buckets").alias(count)), parents)
+    else:
+        rows = rows.withColumn(count, parts.agg(F.max("buckets")).scalar())
+    # a combination without intervals gets buckets that nothing meets, spread like the draws
+    rows = rows.withColumn(bucket, F.coalesce(F.floor(col(at) * col(count)), -1 - F.floor(col(at) * LEAST_BUCKETS)))
+    side = {c: tag(c) for c in ("bucket", "rank", "until", "step", "base", "lo", "hi", "end", "state", *parents)}
+    side_rows = parts.select(*[F.col(c).alias(n) for c, n in side.items()])
+    s = lambda c: col(side[c])
+    on = (col(bucket) == s("bucket")) & (s("lo") <= col(at)) & (col(at) < s("end"))
+    for p in parents:
+        on = on & (col(p) == s(p))
+    met = rows.join(side_rows, on, "left")
+    hit = s("state").isNotNull() & (col(at) < s("hi"))
+    further = F.greatest(F.least(F.floor((col(at) - s("base")) / s("step")), s("until") - 1), s("rank"))
+    evenly = F.least(F.floor(col(at) * F.lit(r)), F.lit(r - 1))
+    legal = F.lit(True)
+    for p in parents:
+        legal = legal & col(p).isNotNull()
+    for m in marks:
+        legal = legal & F.coalesce(col(m), F.lit(False))
+    place = F.when(legal & ~F.coalesce(hit, F.lit(False)), F.when(s("lo").isNull(), evenly).otherwise(further)).cast("bigint")
+    met = met.select(*kept, F.when(legal & hit, s("state")).alias(state), place.alias(rank))
+    nothing = states.limit(0).select(F.col("rank").alias(rank), F.lit(0).alias("rows"))  # ranks are spread evenly
+    named = split_join(met, states.select(F.col("rank").alias(rank), F.col(node).alias(known)), [rank], nothing)
+    return named.select(*kept, F.coalesce(col(state), col(known)).alias(node))
+
+
 def standard_normal(id_col: str, node: str, seed: int) -> Column:
     """Box-Muller on two repeatable uniforms."""
     u1 = hash_uniform(F.col(id_col), f"{node}#1", seed)
@@ -85,13 +176,14 @@ class SyntheticGenerator(Estimator, FeatureParams):
     components = Param(Params._dummy(), "components", "mixture components", TypeConverters.toInt)
     iterations = Param(Params._dummy(), "iterations", "search iterations", TypeConverters.toInt)
     seed = Param(Params._dummy(), "seed", "random seed", TypeConverters.toInt)
+    maxCells = Param(Params._dummy(), "maxCells", "cells of a table that is laid out and broadcast", TypeConverters.toInt)
 
     @keyword_only
     def __init__(
-        self, *, featureCols=None, knownStructure=None, blackList=None, numericParents=None, components=1, iterations=100, seed=0
+        self, *, featureCols=None, knownStructure=None, blackList=None, numericParents=None, components=1, iterations=100, seed=0, maxCells=MAX_CELLS
     ):
         super().__init__()
-        self._setDefault(components=1, iterations=100, seed=0)
+        self._setDefault(components=1, iterations=100, seed=0, maxCells=MAX_CELLS)
         given = dict(self._input_kwargs)
         self.known_structure: list[Edge] | None = given.pop("knownStructure", None)
         self.black_list: list[Edge] = list(given.pop("blackList", None) or [])
@@ -103,7 +195,7 @@ class SyntheticGenerator(Estimator, FeatureParams):
         edges = self.known_structure
         if edges is None:
             edges = learn_structure(df, nodes, self.getOrDefault("iterations"), self.getOrDefault("seed"), self.black_list).edges
-        network = fit_network(df, nodes, edges)
+        network = fit_network(df, nodes, edges, max_cells=self.getOrDefault("maxCells"))
         count = self.getOrDefault("components")
         mixtures = {}
         for c, parents in self.numeric_parents.items():
@@ -134,9 +226,11 @@ class SyntheticModel(Model):
         loose = {c: sorted(up - given) for c, up in above.items() if c in given and up - given}
         if loose:
             raise ValueError(f"evidence needs its ancestors: {loose}")
+        drawn: list[str] = []
         for node in topological(self.network.nodes, self.network.edges):
             if node not in given:
-                df = draw_category(df, self.network, node, seed, id_col)
+                df = draw_category(df, self.network, node, seed, id_col, drawn)
+                drawn.append(node)
         for node, (parents, table, rows, components) in self.mixtures.items():
             if node not in given:
                 df = draw_number(df, table, node, parents, seed, id_col, rows <= self.SMALL_ROWS, components)

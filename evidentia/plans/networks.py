@@ -11,6 +11,7 @@ from evidentia.operators.bn_features import NetworkFeatureGenerator
 from evidentia.operators.cpt import Network, fit_network
 from evidentia.operators.families import cardinalities, compress, edge_gains, named_bic_scores, network_score, screened_edges
 from evidentia.operators.graph import allowed_edges, is_acyclic, parent_table
+from evidentia.operators.inference import with_probabilities
 from evidentia.operators.selection import markov_blanket
 from evidentia.operators.structure import learn_structure, random_forest
 from evidentia.plans.common import r6, registry, sql_r6, table
@@ -193,6 +194,25 @@ def bn_lambda_marginal(spark, sf_dir) -> DataFrame:
     return _lambdas(model.transform(df.drop("l_linestatus")), KEYS, NODES)
 
 
+_LARGE_SQL = (
+    f"WITH s AS MATERIALIZED (SELECT * FROM {sql_cpt('l_suppkey', ['l_returnflag'])}), a AS MATERIALIZED (SELECT * FROM {sql_cpt('l_linenumber', ['l_returnflag', 'l_suppkey'])}), "
+    f"f AS MATERIALIZED (SELECT * FROM {sql_cpt('l_returnflag', [])}), m AS (SELECT l_returnflag, l_linenumber, sum(a.prob * s.prob) AS prob "
+    "FROM a JOIN s USING (l_returnflag, l_suppkey) GROUP BY ALL) "
+    f"SELECT l_orderkey, l_linenumber, {sql_r6('f.prob')} AS lambda_l_returnflag, 0.5e0 AS lambda_l_suppkey, {sql_r6('m.prob')} AS lambda_l_linenumber "
+    "FROM lineitem JOIN f USING (l_returnflag) JOIN m USING (l_returnflag, l_linenumber)"
+)
+
+
+@REG.add("bn_lambda_marginal_large", _LARGE_SQL)
+def bn_lambda_marginal_large(spark, sf_dir) -> DataFrame:
+    """A parent summed out of tables that are treated as too large to lay out."""
+    nodes = ["l_returnflag", "l_suppkey", "l_linenumber"]
+    edges = [("l_returnflag", "l_suppkey"), ("l_returnflag", "l_linenumber"), ("l_suppkey", "l_linenumber")]
+    df = table(spark, sf_dir, "lineitem").select("l_orderkey", *nodes)
+    network = fit_network(df, nodes, edges, max_cells=10)
+    return _lambdas(with_probabilities(df.drop("l_suppkey"), network), KEYS, nodes)
+
+
 BLACK_LIST = [("bulk", "status"), ("flag", "bulk"), ("dear", "reduced")]
 
 

@@ -72,6 +72,26 @@ def synthetic_sample(spark, sf_dir) -> DataFrame:
     return made.withColumn("l_extendedprice", F.round("l_extendedprice", 3))
 
 
+_SPARSE_PARENTS = {"l_suppkey": ["l_returnflag"], "l_partkey": ["l_suppkey"]}
+
+
+def _sparse_sql() -> str:
+    first = sql_draw("l_returnflag", [], "lineitem", "s", SEED)
+    steps = ["s AS (SELECT range AS id FROM range((SELECT count(*) FROM lineitem)))", f"s0 AS {first}"]
+    for i, (c, parents) in enumerate(_SPARSE_PARENTS.items()):
+        steps.append(f"s{i + 1} AS {sql_draw(c, parents, 'lineitem', f's{i}', SEED)}")
+    return f"WITH {', '.join(steps)} SELECT id, l_returnflag, l_suppkey, l_partkey FROM s2"
+
+
+@REG.add("synthetic_sample_large", _sparse_sql())
+def synthetic_sample_large(spark, sf_dir) -> DataFrame:
+    """Sampling from tables that are treated as too large to lay out: all but the observed cells follow from the prior."""
+    df = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_suppkey", "l_partkey")
+    edges = [(p, c) for c, parents in _SPARSE_PARENTS.items() for p in parents]
+    model = SyntheticGenerator(featureCols=df.columns, knownStructure=edges, maxCells=10).fit(df)
+    return model.sample(df.count(), SEED)
+
+
 _LABELLED = "(SELECT toxic, lang, source FROM documents JOIN labels USING (doc_id))"
 _LABEL_PARENTS = {"lang": ["toxic"], "source": ["toxic", "lang"]}
 

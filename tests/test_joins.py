@@ -24,16 +24,29 @@ def test_equals_plain_left_join(spark, hot_bytes, given):
     assert sorted(map(str, got.collect())) == expected
 
 
-def test_hot_rows_are_not_exchanged(spark):
-    rows, side = sides(spark)
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+def test_hot_rows_spread_evenly(spark):
+    """With 80 % of the rows on one key and more nulls, no task of the exchange gets three times the median."""
+    rows = spark.range(40_000).select("id", F.when(F.col("id") % 10 < 8, 7).when(F.col("id") % 10 == 9, F.col("id")).alias("k"))
+    side = spark.range(40_000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
-        joined = split_join(rows.drop("b"), side.where("b = 0").drop("b"), ["a key"], share=0.1)
-        plan = joined._jdf.queryExecution().executedPlan().toString()
+        joined = split_join(rows, side, ["k"])
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+        found = joined.where("v = 2 * k").count()
     finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert "BroadcastHashJoin" in plan and "LeftAnti" in plan
-    assert joined.where("value IS NOT NULL").count() == rows.join(side.where("b = 0").drop("b"), "a key").count()
+        for k in settings:
+            spark.conf.unset(k)
+    assert len(sizes) == 8 and max(sizes) <= 3 * sorted(sizes)[4]
+    assert found == 36_000 and joined.where("k IS NULL AND v IS NULL").count() == 4_000
+
+
+def test_maps_and_repeated_rows(spark):
+    rows = spark.createDataFrame([(1, {"a": 1}), (1, {"a": 1}), (None, {}), (2, None)], "k int, m map<string,int>")
+    side = spark.createDataFrame([(1, "one")], "k int, name string")
+    got = sorted((r.k is None, r.k or 0, r.name or "") for r in split_join(rows, side, ["k"], share=0.4).collect())
+    assert got == [(False, 1, "one"), (False, 1, "one"), (False, 2, ""), (True, 0, "")]
 
 
 def test_empty_and_clashes(spark):

@@ -109,6 +109,31 @@ def test_unseen_combination_is_uniform_dense_and_sparse(spark):
     assert by_key[("z", "u", 1)] == by_key[("x", "u", 9)] == 0.25
 
 
+def diamond(spark, n=400):
+    """a -> b, a -> c, (b, c) -> d, d -> e with several states, of which many combinations never occur."""
+    import random
+
+    rng = random.Random(3)
+    rows = []
+    for _ in range(n):
+        a = rng.choice([0, 0, 1, 2])
+        b, c = (a + rng.choice([0, 0, 1])) % 5, rng.choice([a, 3])
+        d = (b * c + rng.choice([0, 1])) % 7
+        rows.append((a, b, c, d, (d + rng.choice([0, 0, 2])) % 6))
+    return spark.createDataFrame(rows, "a int, b int, c int, d int, e int"), [("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("d", "e")]
+
+
+@pytest.mark.parametrize("absent, limit", [(["b"], 1), (["b", "c"], 1), (["c"], 20), (["d"], 1), (["a"], 1), (["d", "a"], 12)])
+def test_summing_out_large_tables(spark, absent, limit):
+    df, edges = diamond(spark)
+    dense, sparse = (fit_network(df, df.columns, edges, max_cells=m) for m in (10**6, limit))
+    assert not all(sparse.is_dense(c) for c in df.columns)
+    rows = df.limit(60).unionByName(spark.createDataFrame([(4, 4, 3, 6, 5), (0, None, 1, 2, 3), (9, 1, 9, 1, 9)], df.schema)).drop(*absent)
+    one, other = (sorted(with_probabilities(rows, net, num_classes=4).collect(), key=str) for net in (dense, sparse))
+    for r, s in zip(one, other):
+        assert tuple(r) == pytest.approx(tuple(s), abs=1e-12)
+
+
 def test_rows_of_every_table_sum_to_one(spark, model):
     sums = model.network.cpt.groupBy("node", "pa").agg(F.sum("prob").alias("s")).collect()
     assert all(r["s"] == pytest.approx(1.0) for r in sums)

@@ -1,11 +1,14 @@
 import numpy as np
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evidentia import AverageCausalEffect, ClassBalancer, SyntheticGenerator, UnitImportance
+from evidentia.functions.running import numbered, running_sums
 from evidentia.functions.sampling import bottom_k, hash_split, nested_sample
 from evidentia.operators.ace import moments
 from evidentia.operators.balance import class_imbalance
+from evidentia.operators.cpt import fit_network
 from evidentia.operators.layers import response_norms
 from evidentia.operators.mixture import fit_mixtures
 from evidentia.operators.synth import SyntheticModel
@@ -184,3 +187,37 @@ def test_many_classes_are_balanced(spark):
     out = ClassBalancer(featureCols=["x"], labelCol="label", knownStructure=[("label", "x")]).fit_resample(df)
     assert {r["count"] for r in out.groupBy("label").count().collect()} == {3}
     assert out.where("synthetic").count() == 900 - len(rows)
+
+
+def sparse_and_dense(spark, limit=1):
+    rng = np.random.default_rng(2)
+    a = rng.integers(0, 3, 500)
+    b = a * 10 + rng.integers(0, 6, 500)
+    c = (b * 7 + rng.integers(0, 3, 500) * (a + 1)) % 50
+    df = spark.createDataFrame(list(zip(a.tolist(), map(str, b.tolist()), c.tolist())), "a int, b string, c int")
+    edges = [("a", "b"), ("a", "c"), ("b", "c")]
+    return df, [fit_network(df, df.columns, edges, max_cells=m) for m in (10**6, limit)]
+
+
+def test_sampling_from_large_tables_equals_that_from_small_ones(spark):
+    df, (dense, sparse) = sparse_and_dense(spark)
+    one, other = (SyntheticModel(net, {}).sample(6000, 5).orderBy("id").collect() for net in (dense, sparse))
+    assert [tuple(r) for r in one] == [tuple(r) for r in other]
+    assert {(r.a, r.b, r.c) for r in one} - {tuple(r) for r in df.collect()}  # combinations that never occurred as well
+
+
+def test_evidence_for_large_tables(spark):
+    """Null and unknown parents give no value; combinations that never occurred draw from all states."""
+    _, (dense, sparse) = sparse_and_dense(spark)
+    given = spark.range(400).select("id", F.when(F.col("id") % 5 == 0, F.lit(None)).otherwise(F.col("id") % 4).cast("int").alias("a"), F.when(F.col("id") % 3 == 0, "25").when(F.col("id") % 3 == 1, "none").otherwise("3").alias("b"))
+    one, other = (SyntheticModel(net, {})._transform(given, 3).orderBy("id").collect() for net in (dense, sparse))
+    assert [r.asDict() for r in one] == [r.asDict() for r in other]
+    assert {r.c is None for r in one if r.a is None or r.b == "none" or r.a == 3} == {True}
+    assert len({r.c for r in one if r.a == 0 and r.b == "25"}) > 5
+
+
+def test_running_sums_over_one_hot_group(spark):
+    df = spark.range(2000).select(F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("g"), (F.col("id") * 7919 % 2000).alias("o"), (F.col("id") % 4).alias("x"))
+    plain = df.withColumn("s", F.sum("x").over(W.partitionBy("g").orderBy("o").rowsBetween(W.unboundedPreceding, W.currentRow)))
+    assert sorted(map(tuple, running_sums(df, ["g"], ["o"], {"s": F.col("x")}).collect())) == sorted(map(tuple, plain.collect()))
+    assert sorted(r.i for r in numbered(df, ["o"], "i").collect()) == list(range(2000))
