@@ -1,9 +1,10 @@
 """Packing documents into sequences by a grouping genetic algorithm on islands.
 
-Pieces of documents are dealt into blocks of bounded size. Every block is packed on several islands at
-once; after an epoch each island's best packing moves to the next island. A crossover puts whole well-filled
-sequences of one packing into another, takes out the sequences that hold the same pieces, and places the
-pieces left over by best fit. Pieces in badly filled sequences of all blocks are then dealt and packed again.
+Pieces of documents are dealt into blocks of bounded size, which best fit packs. What it leaves open, the sequences with room, is dealt
+into small groups that several islands search at once; after an epoch each island's best packing moves to the next island. A crossover
+puts whole well-filled sequences of one packing into another, takes out the sequences that hold the same pieces, and places the pieces left
+over by best fit. A second round deals what is still open into other groups. Where best fit already needs no more sequences than the
+lengths do, there is nothing to search and no generation runs.
 """
 
 from __future__ import annotations
@@ -187,46 +188,72 @@ def fitness(bins: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[int,
     return -len(fill), float((fill * fill).sum())
 
 
-def crossed(giver: np.ndarray, taker: np.ndarray, lengths: np.ndarray, capacity: int, rng: np.random.Generator) -> np.ndarray:
-    """A packing with a random half of the giver's fullest bins, the taker's bins that share nothing with them, and best fit for the rest."""
-    fill = np.bincount(giver, lengths)
-    good = np.flatnonzero(fill >= max(np.quantile(fill[fill > 0], 0.5), 0.9 * capacity))
-    taken = np.isin(giver, rng.choice(good, max(1, len(good) // 2), replace=False)) if len(good) else np.zeros(len(giver), bool)
-    broken = np.isin(taker, np.unique(taker[taken]))
+def crossed(
+    giver: np.ndarray, taker: np.ndarray, lengths: np.ndarray, capacity: int, rng: np.random.Generator, opened: int = 2, inject: bool = True
+) -> np.ndarray:
+    """A packing with some of the giver's well-filled bins, the taker's bins that share nothing with them, and best fit for the rest.
+
+    Some of the fullest bins are injected whole; bins of the taker that hold a document twice then are taken apart, and so are its ``opened``
+    least filled ones. Without ``inject`` only those are.
+    """
+    fill, old = np.bincount(giver, lengths), np.bincount(taker, lengths)
+    full = np.argsort(rng.random(len(fill)) * 0.02 * capacity - fill, kind="stable")[: max(1, int(0.7 * len(fill)))]
+    share = rng.choice([0.2, 0.4, 0.6])
+    chosen = np.zeros(len(fill), bool)
+    if inject:
+        chosen[rng.choice(full, min(len(full), max(1, int(share * len(fill)))), replace=False)] = True
+    taken = chosen[giver]
+    broken = np.zeros(len(old), bool)
+    broken[taker[taken]] = True
+    whole = np.flatnonzero(~broken)
+    broken[whole[np.argsort(old[whole] + rng.random(len(whole)) * 0.05 * capacity, kind="stable")[:opened]]] = True
+    stays = ~taken & ~broken[taker]
     out = np.full(len(giver), -1, np.int64)
-    out[taken] = giver[taken]
-    stays = ~broken
-    out[stays] = taker[stays] + len(fill)
-    _, placed = np.unique(out[taken | stays], return_inverse=True)
-    out[taken | stays] = placed
-    count = int(placed.max()) + 1 if len(placed) else 0
-    used = np.bincount(placed, lengths[taken | stays], count).astype(int)
-    left = np.flatnonzero(~taken & broken)
+    number = np.cumsum(chosen) - 1
+    out[taken] = number[giver[taken]]
+    used, again = np.unique(taker[stays], return_inverse=True)
+    count = int(chosen.sum()) + len(used)
+    out[stays] = int(chosen.sum()) + again
+    rooms = capacity - np.bincount(out[out >= 0], lengths[out >= 0], count).astype(np.int64)
+    left = np.flatnonzero(out < 0)
     left = left[np.argsort(-lengths[left], kind="stable")]
-    best_fit(left, lengths.tolist(), out, {b: capacity - u for b, u in enumerate(used.tolist())}, capacity, count)
+    best_fit(left, lengths.tolist(), out, dict(enumerate(rooms.tolist())), capacity, count)
     return out
 
 
-def evolve(population: list[np.ndarray], lengths: np.ndarray, capacity: int, rng: np.random.Generator, size: int, generations: int) -> list[np.ndarray]:
-    """An island's epoch: packings, best first. The first population is best fit on decreasing lengths and on disturbed ones."""
+def evolve(
+    population: list[np.ndarray], lengths: np.ndarray, capacity: int, rng: np.random.Generator, size: int, generations: int, inject: bool = True
+) -> list[np.ndarray]:
+    """An island's epoch: packings, best first. What the population lacks is filled up by best fit on decreasing lengths and on disturbed ones.
+
+    Parents are the better of two drawn at random; a child takes the place of the worst packing if it is better and like no other. Where
+    the best packing has no more bins than the lengths need, no generation runs.
+    """
+    population = list(population)
     while len(population) < size:
         noise = 1 + (0.2 * rng.random(len(lengths)) if population else 0)
         packing = np.zeros(len(lengths), np.int64)
         best_fit(np.argsort(-lengths * noise, kind="stable"), lengths.tolist(), packing, {}, capacity, 0)
-        population = [*population, packing]
-    rank = lambda p: fitness(p, lengths, capacity)
-    population = sorted(population, key=rank, reverse=True)
+        population.append(packing)
+    worth = [fitness(p, lengths, capacity) for p in population]
     least = -(-int(lengths.sum()) // capacity)
     for _ in range(generations):
-        if -rank(population[0])[0] <= least:
+        if -max(worth)[0] <= least or len(population) < 2:
             break
-        a, b = rng.choice(len(population), 2, replace=False)
-        children = [crossed(population[a], population[b], lengths, capacity, rng), crossed(population[b], population[a], lengths, capacity, rng)]
-        population = sorted([*population, *children], key=rank, reverse=True)[:size]
-    return population[:size]
+        order = sorted(range(len(population)), key=worth.__getitem__, reverse=True)
+        first, second = (int(rng.integers(len(order), size=2).min()) for _ in range(2))
+        if first == second:
+            second = (second + 1) % len(order)
+        for a, b in ((order[first], order[second]), (order[second], order[first])):
+            child = crossed(population[a], population[b] if inject else population[a], lengths, capacity, rng, inject=inject)
+            value, worst = fitness(child, lengths, capacity), min(range(len(population)), key=worth.__getitem__)
+            if value > worth[worst] and value not in worth:
+                population[worst], worth[worst] = child, value
+    order = sorted(range(len(population)), key=worth.__getitem__, reverse=True)
+    return [population[i] for i in order][:size]
 
 
-STATE = "level int, block bigint, island int, uids array<bigint>, lengths array<bigint>, packings array<array<bigint>>, bins bigint, fill double"
+STATE = "round int, block bigint, island int, uids array<bigint>, lengths array<bigint>, packings array<array<bigint>>, bins bigint, fill double"
 
 
 def _epoch(capacity: int, size: int, generations: int, epoch: int, seed: int):
@@ -235,50 +262,82 @@ def _epoch(capacity: int, size: int, generations: int, epoch: int, seed: int):
             rows = []
             for r in part.itertuples():
                 lengths = np.array(r.lengths, np.int64)
-                rng = np.random.default_rng([seed, epoch, r.level, r.block, r.island])
+                rng = np.random.default_rng([seed, epoch, r.round, r.block, r.island])
                 start = [np.array(p, np.int64) for p in r.packings]
                 packings = evolve(start, lengths, capacity, rng, size, generations)
                 bins, fill = fitness(packings[0], lengths, capacity)
-                rows.append((r.level, r.block, r.island, r.uids, r.lengths, [p.tolist() for p in packings], -bins, fill))
+                rows.append((r.round, r.block, r.island, r.uids, r.lengths, [p.tolist() for p in packings], -bins, fill))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in STATE.split(", ")])
 
     return run
 
 
-def pack_blocks(
-    items: DataFrame, capacity: int, level: int, block_rows: int, islands: int, epochs: int, size: int = 3, generations: int = 3, seed: int = 17
-) -> DataFrame:
-    """Rows ``(uid, length, sequence_id)`` for ``items(uid, length)``; every block's best island gives its packing."""
+def fit_blocks(items: DataFrame, capacity: int, block_rows: int) -> DataFrame:
+    """Rows ``(uid, length, sequence_id)`` for ``items(uid, length)``: best fit on decreasing lengths, block by block."""
     blocks = max(1, -(-items.count() // block_rows))
-    parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    listed = items.groupBy(F.pmod(F.xxhash64("uid", F.lit(level)), F.lit(blocks)).alias("block")).agg(
-        F.sort_array(F.collect_list(F.struct("uid", "length"))).alias("items")
-    )
-    nothing = F.array().cast("array<array<bigint>>")
-    state = listed.select(
-        F.lit(level).alias("level"), "block", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"),
-        F.col("items.uid").alias("uids"), F.col("items.length").alias("lengths"), nothing.alias("packings"),
+
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("uid")
+        lengths, bins = part["length"].to_numpy(np.int64), np.zeros(len(part), np.int64)
+        best_fit(np.argsort(-lengths, kind="stable"), lengths.tolist(), bins, {}, capacity, 0)
+        return pd.DataFrame({"uid": part["uid"], "length": lengths, "sequence_id": (key[0] << 20) + bins})
+
+    block = F.pmod(F.xxhash64("uid"), F.lit(blocks)).alias("block")
+    return cut_lineage(items.groupBy(block).applyInPandas(run, "uid bigint, length bigint, sequence_id bigint"))
+
+
+def search_groups(
+    packed: DataFrame, capacity: int, number: int, group_rows: int = 512, islands: int = 4, epochs: int = 2, size: int = 12, generations: int = 40, seed: int = 17
+) -> DataFrame:
+    """Rows ``(uid, length, sequence_id)`` of the sequences that the genetic search may improve, packed anew in groups of about ``group_rows``.
+
+    Whole sequences with room left are dealt into groups. Islands search each group, starting from its present packing and from best fit, and send their best
+    packing on to the next island between epochs; the best island's packing holds, so no group gets worse. Groups with as few sequences as their
+    lengths need, for which nothing can be gained, are left out and not returned.
+    """
+    fills = packed.groupBy("sequence_id").agg(F.sum("length").alias("filled")).where(F.col("filled") < capacity).select("sequence_id")
+    open_ = cut_lineage(packed.join(fills, "sequence_id"))
+    groups = max(1, -(-open_.count() // group_rows))
+    dealt = open_.withColumn("block", F.pmod(F.xxhash64("sequence_id", F.lit(number)), F.lit(groups)))
+    need = dealt.groupBy("block").agg(F.count_distinct("sequence_id").alias("now"), F.ceil(F.sum("length") / capacity).alias("least")).where("now > least")
+    item = F.struct("uid", "length", "sequence_id")
+    listed = dealt.join(need.select("block"), "block").groupBy("block").agg(F.sort_array(F.collect_list(item)).alias("items"))
+    marks = F.array_sort(F.array_distinct("items.sequence_id"))
+    present = F.transform("items", lambda x: (F.array_position(F.col("marks"), x.sequence_id) - 1).cast("bigint"))
+    state = listed.withColumn("marks", marks).select(
+        F.lit(number).alias("round"), "block", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"),
+        F.col("items.uid").alias("uids"), F.col("items.length").alias("lengths"), F.array(present).alias("packings"),
     )
+    parts = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for epoch in range(epochs):
-        state = cut_lineage(
-            state.repartition(min(parts, blocks * islands), "block", "island").mapInPandas(_epoch(capacity, size, generations, epoch, seed), STATE)
-        )
-        best = F.col("packings")[0]
-        movers = state.select("block", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), best.alias("elite"))
+        state = cut_lineage(state.repartition(4 * parts, "block", "island").mapInPandas(_epoch(capacity, size, generations, epoch, seed), STATE))
+        movers = state.select("block", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.col("packings")[0].alias("elite"))
         joined = state.join(movers, ["block", "island"])
         moved = F.concat(F.array("elite"), F.slice("packings", 1, size - 1))
-        final, state = state, joined.select("level", "block", "island", "uids", "lengths", moved.alias("packings"))
+        final, state = state, joined.select("round", "block", "island", "uids", "lengths", moved.alias("packings"))
     order = F.struct(-F.col("bins"), "fill", -F.col("island"))
     winners = final.groupBy("block").agg(F.max_by("island", order).alias("island"))
     chosen = final.join(winners, ["block", "island"]).select(
         "block", F.explode(F.arrays_zip("uids", "lengths", F.col("packings")[0].alias("bins"))).alias("x")
     )
-    number = F.lit(level << 52) + F.shiftleft("block", 20) + F.col("x.bins")
-    return cut_lineage(chosen.select(F.col("x.uids").alias("uid"), F.col("x.lengths").alias("length"), number.alias("sequence_id")))
+    numbers = F.lit((number + 1) << 52) + F.shiftleft("block", 20) + F.col("x.bins")
+    return cut_lineage(chosen.select(F.col("x.uids").alias("uid"), F.col("x.lengths").alias("length"), numbers.alias("sequence_id")))
+
+
+def pack_lengths(items: DataFrame, capacity: int, block_rows: int = 8192, rounds: int = 2, **search) -> DataFrame:
+    """Rows ``(uid, length, sequence_id)`` for ``items(uid, length)``: best fit in blocks, then rounds of genetic search on what it leaves open,
+    each in other groups, so that sequences of different blocks meet."""
+    packed = fit_blocks(items, capacity, block_rows)
+    for number in range(rounds):
+        better = search_groups(packed, capacity, number, **search)
+        if better.isEmpty():
+            continue
+        packed = cut_lineage(packed.join(better.select("uid"), "uid", "left_anti").select("uid", "length", "sequence_id").unionByName(better))
+    return packed
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, block_rows: int = 8192, islands: int = 4, epochs: int = 2, full: float = 0.97
+    docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, block_rows: int = 8192, rounds: int = 2
 ) -> DataFrame:
     """Rows ``(doc_id, piece, start, length, ids_crc32, sequence_id, offset)`` for all of ``docs(doc_id, text)``.
 
@@ -289,13 +348,7 @@ def pack_documents(
     """
     pieces = cut_lineage(cut_pieces(docs, tokenizer_path, capacity, end_id))
     rest = pieces.where(F.col("length") < capacity).select("uid", "length")
-    packed = pack_blocks(rest, capacity, 0, block_rows, islands, epochs)
-    fills = packed.groupBy("sequence_id").agg(F.sum("length").alias("fill"))
-    poor = cut_lineage(packed.join(fills.where(F.col("fill") < full * capacity), "sequence_id"))
-    again = pack_blocks(poor.select("uid", "length"), capacity, 1, block_rows, islands, epochs)
-    sequences = lambda df: df.agg(F.count_distinct("sequence_id")).first()[0]
-    if sequences(again) < sequences(poor):
-        packed = packed.join(poor.select("sequence_id").distinct(), "sequence_id", "left_anti").select("uid", "length", "sequence_id").unionByName(again)
+    packed = pack_lengths(rest, capacity, block_rows, rounds)
     grouped = packed.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("uid", "length"))).alias("items"))
     before = lambda x, i: F.struct(
         x.uid.alias("uid"), F.aggregate(F.slice("items", F.lit(1), i), F.lit(0).cast("bigint"), lambda a, y: a + y.length).alias("offset"))

@@ -1,8 +1,9 @@
 """Near-duplicate vectors by navigable small-world graphs, one for every shard of a label.
 
 Equal vectors are one node. A label's nodes are dealt into shards of bounded size, every shard gets a layered
-graph, and every node is looked up in every shard of its label. Beams are widened until an audit against all
-cosines of the shard passes. Pairs found are confirmed in double precision; the links' components are joined.
+graph, and every node is looked up in every shard of its label by a walk, whatever the shard's size. A label's beams are widened
+until an audit passes: the true links of some of its nodes, by all cosines, pooled over all shards. Pairs found are confirmed in double
+precision; the links' components are joined.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ from pyspark.sql import functions as F
 from evidentia.llm.common import components, prepare
 from evidentia.session import cut_lineage
 
-AUDIT = 64  # queries of a shard pair that are compared with all cosines
+AUDIT_LINKS = 200  # true links of a label that its audit has to see, unless all its nodes or AUDIT_MOST are audited
+AUDIT_FIRST, AUDIT_MOST = 64, 4096  # nodes of a label that are audited at first and at most
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -138,30 +140,27 @@ class Graph:
         return graph
 
 
-def search(graph: Graph, queries: np.ndarray, limit: float, recall: float, width: int) -> np.ndarray:
+def search(graph: Graph, queries: np.ndarray, limit: float, width: int) -> np.ndarray:
     """Which nodes of the graph each query links with (queries x nodes).
 
-    A beam that is full of links is doubled; one that reaches an eighth of the shard gives way to all cosines. The
-    audit compares evenly spread queries with all cosines and doubles every beam until the share found is ``recall``.
+    A beam that is full of links is doubled, and so is one whose walk met fewer nodes than it holds: that walk failed. Only where a beam as
+    wide as the shard still misses nodes, because the graph falls apart, the query takes all cosines.
     """
     n, x = len(graph.x), graph.x.astype(np.float64)
-    audit = np.unique(np.linspace(0, len(queries) - 1, min(AUDIT, len(queries))).astype(int))
-    truth = queries[audit] @ x.T >= limit
-    while True:
-        hits = np.zeros((len(queries), n), bool)
-        for i, q in enumerate(queries.astype(np.float32)):
-            beam = width
-            while 8 * beam < n:
-                found = graph.near(q, beam)
-                if len(found) < beam or found[-1][0] < limit - 1e-3:
-                    hits[i, [j for s, j in found if s >= limit - 1e-3]] = True
-                    break
-                beam *= 2
-            else:
+    hits = np.zeros((len(queries), n), bool)
+    for i, q in enumerate(queries.astype(np.float32)):
+        beam = min(width, n)
+        while True:
+            found = graph.near(q, beam)
+            whole = len(found) >= beam
+            if whole and (beam == n or found[-1][0] < limit - 1e-3):
+                hits[i, [j for s, j in found if s >= limit - 1e-3]] = True
+                break
+            if beam == n:
                 hits[i] = x @ queries[i] >= limit - 1e-3
-        if 8 * width >= n or not truth.any() or hits[audit][truth].mean() >= recall:
-            return hits
-        width *= 2
+                break
+            beam = min(2 * beam, n)
+    return hits
 
 
 def confirmed(hits: np.ndarray, a: np.ndarray, b: np.ndarray, limit: float) -> np.ndarray:
@@ -209,34 +208,79 @@ def _build(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([row], columns=[c.split()[0] for c in INDEX.split(", ")])
 
 
-def _link(limit: float, recall: float, width: int):
+FOUND = "label int, dim int, id bigint, links bigint, root bigint"
+
+
+def _link(limit: float, width: int):
     def load(r, side: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, Graph]:
         part = lambda name, kind: np.frombuffer(getattr(r, f"{side}_{name}"), kind)
         x = part("vectors", np.float64).reshape(-1, r.dim)
         return part("ids", np.int64), part("copies", np.int64), x, Graph.unpack(x, part("head", np.int32).reshape(-1, 3), part("links", np.int32), part("entry", np.int32))
 
+    columns = [c.split()[0] for c in FOUND.split(", ")]
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for r in part.itertuples():
                 ids, copies, x, graph = load(r, "a")
                 if r.a == r.b:
-                    hits = search(graph, x, limit, recall, width)
+                    hits = search(graph, x, limit, width)
                     hits |= hits.T
                     np.fill_diagonal(hits, False)
                     hits = confirmed(hits, x, x, limit)
                     hits |= hits.T  # a product may round differently in the other order
-                    yield found_links(hits, ids, copies, ids, copies).drop_duplicates("id")
+                    yield found_links(hits, ids, copies, ids, copies).drop_duplicates("id").assign(label=r.label, dim=r.dim)[columns]
                 else:
                     ids2, copies2, y, graph2 = load(r, "b")
-                    hits = search(graph2, x, limit, recall, width) | search(graph, y, limit, recall, width).T
-                    yield found_links(confirmed(hits, x, y, limit), ids, copies, ids2, copies2)
+                    hits = search(graph2, x, limit, width) | search(graph, y, limit, width).T
+                    yield found_links(confirmed(hits, x, y, limit), ids, copies, ids2, copies2).assign(label=r.label, dim=r.dim)[columns]
 
     return run
 
 
+def _true_links(limit: float):
+    def run(key: tuple, nodes: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
+        if not len(nodes) or not len(asking):
+            return pd.DataFrame({"label": [], "dim": [], "id": [], "links": []})
+        x, y = unit(np.stack(nodes["embedding"].to_numpy())), unit(np.stack(asking["embedding"].to_numpy()))
+        ids, copies = nodes["id"].to_numpy(np.int64), nodes["copies"].to_numpy(np.int64)
+        near = y @ x.T >= limit - 1e-9
+        links = []
+        for i, own in enumerate(asking["id"].to_numpy(np.int64)):
+            at = np.flatnonzero(near[i])
+            at = at[((x[at] * y[i]).sum(1) >= limit) & (ids[at] != own)]
+            links.append(int(copies[at].sum()))
+        return pd.DataFrame({"label": key[0], "dim": key[1], "id": asking["id"], "links": links})
+
+    return run
+
+
+def audited(dealt: DataFrame, shards: DataFrame, limit: float) -> DataFrame:
+    """``(label, dim, id, links)``: the true links of a sample of each label's nodes, by all cosines over all its shards.
+
+    The sample grows with every round until the label's audit has seen ``AUDIT_LINKS`` links, all nodes or ``AUDIT_MOST`` of them.
+    """
+    most, seen, todo = AUDIT_FIRST, None, shards
+    while True:
+        part = F.lit(float(most)) / F.col("nodes")
+        u = F.pmod(F.xxhash64("id", F.lit("audit")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+        chosen = dealt.join(todo.select("label", "dim", "nodes", "shards"), ["label", "dim"]).where(u < part)
+        asking = chosen.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).select("label", "dim", "shard", "id", "embedding").toDF("a_label", "a_dim", "a_shard", "id", "embedding")
+        keys = ["label", "dim", "shard"]
+        found = dealt.join(todo.select("label", "dim"), ["label", "dim"]).groupBy(*keys).cogroup(asking.groupBy("a_label", "a_dim", "a_shard")).applyInPandas(_true_links(limit), "label int, dim int, id bigint, links bigint")
+        known = cut_lineage(found.groupBy("label", "dim", "id").agg(F.sum("links").alias("links")))
+        short = known.groupBy("label", "dim").agg(F.sum("links").alias("links"))
+        more = cut_lineage(todo.join(short, ["label", "dim"], "left").where((F.coalesce("links", F.lit(0)) < AUDIT_LINKS) & (F.col("nodes") > most)).drop("links"))
+        kept = known.join(more.select("label", "dim"), ["label", "dim"], "left_anti")
+        if most * 4 > AUDIT_MOST or more.isEmpty():
+            return known if seen is None else seen.unionByName(known)
+        seen, todo, most = kept if seen is None else seen.unionByName(kept), more, most * 4
+
+
 def near_vectors(vectors: DataFrame, limit: float = 0.93, shard_rows: int = 8192, recall: float = 0.98, width: int = 32) -> DataFrame:
-    """Rows ``(vec_id, n_links, component_id, kept)`` for every row of ``vectors(vec_id, embedding, label)``.
+    """Rows ``(vec_id, n_links, component_id, kept, recall)`` for every row of ``vectors(vec_id, embedding, label)``.
 
+    Also ``recall``: the share of the audited true links of the row's label that was found, 1 without any; null for rows that link with nothing by rule.
     Rows link if their labels are equal and not null and the cosine is at least ``limit``. Vectors that are null, empty, zero or hold a
     null or a number that is not finite link with nothing; so do rows without a key, which have no component and are kept. Equal
     vectors of a label are linked; each row counts its copies. Repeated rows count as copies; vectors of different lengths
@@ -250,26 +294,43 @@ def near_vectors(vectors: DataFrame, limit: float = 0.93, shard_rows: int = 8192
     rows = cut_lineage(rows.withColumn("usable", usable))
     good = rows.where("usable")
     nodes = cut_lineage(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")).withColumn("dim", F.size("embedding")))
-    shards = nodes.groupBy("label", "dim").agg(F.ceil(F.count("*") / F.lit(shard_rows)).cast("int").alias("shards"))
-    dealt = nodes.join(shards, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("id"), "shards").cast("int"))
+    counted = nodes.groupBy("label", "dim").agg(F.count("*").alias("nodes"))
+    shards = cut_lineage(counted.withColumn("shards", F.ceil(F.col("nodes") / F.lit(shard_rows)).cast("int")))
+    dealt = cut_lineage(nodes.join(shards.drop("nodes"), ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("id"), "shards").cast("int")).drop("shards"))
     index = cut_lineage(dealt.groupBy("label", "dim", "shard").applyInPandas(_build, INDEX))
 
+    truth = cut_lineage(audited(dealt, shards, limit))
     kept = ["ids", "copies", "vectors", "head", "links", "entry"]
-    side = lambda s: index.select("label", "dim", F.col("shard").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in kept])
     last = index.groupBy("label", "dim").agg(F.max("shard").alias("last"))
-    left = side("a").join(last, ["label", "dim"]).withColumn("b", F.explode(F.sequence("a", "last")))
-    pairs = left.join(side("b"), ["label", "dim", "b"])
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    prepare(spark, 4)  # a row holds one or two whole shards
-    found = cut_lineage(pairs.repartition(4 * parts, "label", "dim", "a", "b").mapInPandas(_link(limit, recall, width), "id bigint, links bigint, root bigint"))
-    prepare(spark)
+    found, figures, todo = None, None, cut_lineage(index.select("label", "dim").distinct())
+    while True:
+        of = index.join(todo, ["label", "dim"])
+        side = lambda s: of.select("label", "dim", F.col("shard").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in kept])  # noqa: B023, E731
+        left = side("a").join(last, ["label", "dim"]).withColumn("b", F.explode(F.sequence("a", "last")))
+        pairs = left.join(side("b"), ["label", "dim", "b"])
+        prepare(spark, 4)  # a row holds one or two whole shards
+        met = cut_lineage(pairs.repartition(4 * parts, "label", "dim", "a", "b").mapInPandas(_link(limit, width), FOUND))
+        prepare(spark)
+        got = met.groupBy("id").agg(F.sum("links").alias("got"))
+        shares = truth.join(todo, ["label", "dim"]).join(got, "id", "left").groupBy("label", "dim").agg(
+            F.sum(F.coalesce("got", F.lit(0))).alias("got"), F.sum("links").alias("true"))
+        share = F.when(F.col("true") > 0, F.col("got") / F.col("true")).otherwise(1.0)
+        shares = cut_lineage(todo.join(shares.select("label", "dim", share.alias("recall")), ["label", "dim"], "left").fillna(1.0, ["recall"]))
+        low = cut_lineage(shares.where(F.col("recall") < recall).select("label", "dim")) if width < shard_rows else shares.limit(0)
+        again = not low.isEmpty()
+        met, shares = (df.join(low, ["label", "dim"], "left_anti") if again else df for df in (met, shares))
+        found, figures = (met, shares) if found is None else (found.unionByName(met), figures.unionByName(shares))
+        if not again:
+            break
+        todo, width = low, 2 * width
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     labels = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     known = cut_lineage(
-        nodes.join(links, "id", "left").join(labels, "id", "left").select(
-            "label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "id").alias("root"))
+        nodes.join(links, "id", "left").join(labels, "id", "left").join(figures, ["label", "dim"], "left").select(
+            "label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "id").alias("root"), "recall")
     )
-    joined = good.join(known, ["label", "embedding"]).select("vec_id", "n_links", F.col("root").alias("component_id"))
-    alone = rows.where("NOT usable").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
+    joined = good.join(known, ["label", "embedding"]).select("vec_id", "n_links", F.col("root").alias("component_id"), "recall")
+    alone = rows.where("NOT usable").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(None).cast("double").alias("recall"))
     kept_row = F.col("component_id").isNull() | (F.col("vec_id") == F.col("component_id"))
-    return joined.unionByName(alone).withColumn("kept", kept_row)
+    return joined.unionByName(alone).withColumn("kept", kept_row).select("vec_id", "n_links", "component_id", "kept", "recall")

@@ -72,6 +72,43 @@ def test_crossing_keeps_every_piece():
     assert -packing.fitness(best[0], lengths, 100)[0] <= -(-lengths.sum() // 100) + 2
 
 
+def islands(lengths, seed, inject=True, migrate=True):
+    """Four islands of three epochs on one group, without Spark."""
+    made = [[] for _ in range(4)]
+    for epoch in range(3):
+        made = [packing.evolve(p, lengths, 2048, np.random.default_rng([seed, epoch, i]), 12, 40, inject) for i, p in enumerate(made)]
+        made = [[made[i - 1][0], *p[:11]] if migrate else p for i, p in enumerate(made)]
+    return np.array(max(packing.fitness(p[0], lengths, 2048) for p in made))
+
+
+def test_islands_beat_best_fit_and_need_crossover_and_migration():
+    """Documents of 400 to 1,200 tokens, which best fit packs badly."""
+    fit, whole, plain, apart = (np.zeros(2) for _ in range(4))
+    for seed in range(8):
+        lengths = np.random.default_rng(seed).integers(400, 1200, 300)
+        fit += packing.fitness(packing.evolve([], lengths, 2048, np.random.default_rng(0), 1, 0)[0], lengths, 2048)
+        whole += islands(lengths, seed)
+        plain += islands(lengths, seed, inject=False)
+        apart += islands(lengths, seed, migrate=False)
+    assert -whole[0] <= -fit[0] - 8  # a sequence less in every group
+    assert -whole[0] < -apart[0] < -plain[0] <= -fit[0]
+    assert whole[1] > apart[1] > plain[1]
+
+
+def test_search_of_a_table_beats_best_fit(spark):
+    rng = np.random.default_rng(9)
+    items = spark.createDataFrame([(i, int(n)) for i, n in enumerate(rng.integers(400, 1200, 1500))], "uid bigint, length bigint")
+    count = lambda df: df.select("sequence_id").distinct().count()
+    plain, packed = packing.fit_blocks(items, 2048, 500), packing.pack_lengths(items, 2048, 500, group_rows=250)
+    assert sorted(map(tuple, packed.select("uid", "length").collect())) == sorted(map(tuple, items.collect()))
+    assert max(r[0] for r in packed.groupBy("sequence_id").sum("length").select("sum(length)").collect()) <= 2048
+    assert count(packed) <= count(plain) - 6
+    even = spark.createDataFrame([(i, 1024) for i in range(40)], "uid bigint, length bigint")
+    assert packing.search_groups(packing.fit_blocks(even, 2048, 500), 2048, 0).isEmpty()
+    odd = spark.createDataFrame([(i, 1000) for i in range(41)], "uid bigint, length bigint")
+    assert packing.search_groups(packing.fit_blocks(odd, 2048, 500), 2048, 0).isEmpty()  # needs 21 and has 21
+
+
 def test_best_fit_takes_the_tightest_room():
     bins = np.full(3, -1)
     assert packing.best_fit(np.array([0, 1, 2]), [5, 9, 4], bins, {0: 6, 1: 5}, 10, 2) == 3

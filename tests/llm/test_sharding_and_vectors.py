@@ -81,7 +81,8 @@ def test_near_vectors(spark):
     key = lambda r: (r[0] is None, r[0] or 0, *[str(x) for x in r[1:]])
     for size in (8192, 40):
         got = vectors.near_vectors(near_table(spark, rows), shard_rows=size).collect()
-        assert sorted(map(tuple, got), key=key) == sorted(brute(rows), key=key)
+        assert sorted((tuple(r)[:4] for r in got), key=key) == sorted(brute(rows), key=key)
+        assert all(r.recall is None or r.recall >= 0.98 for r in got)
     assert vectors.near_vectors(near_table(spark, []).limit(0)).count() == 0
 
 
@@ -99,11 +100,64 @@ def test_graph_finds_neighbours(n):
     assert found >= 0.9 * right
 
 
-def test_audit_widens_beams():
+def clusters(n, dim, seed):
+    """Vectors of which some lie in clusters, as rows of one label."""
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(0, 1, (n // 8, dim))
+    x = np.vstack([np.repeat(centres, 4, axis=0) + rng.normal(0, 0.16, (n // 8 * 4, dim)), rng.normal(0, 1, (n - n // 8 * 4, dim))])
+    return x.astype(np.float32)
+
+
+def test_large_labels_over_several_shards(spark):
+    """Every link of two labels of some thousand vectors, in one shard and in four."""
+    x, y = clusters(3000, 24, 1), clusters(2500, 24, 2)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(10_000 + i, v.tolist(), 1) for i, v in enumerate(y)]
+    expected = {}
+    for first, part in ((0, x), (10_000, y)):
+        u = vectors.unit(part)
+        near = u @ u.T >= 0.93
+        expected.update({first + i: int(n) - 1 for i, n in enumerate(near.sum(1))})
+    for size in (8192, 800):
+        got = {r.vec_id: r for r in vectors.near_vectors(near_table(spark, rows), shard_rows=size).collect()}
+        right, found = sum(expected.values()), sum(r.n_links for r in got.values())
+        assert all(r.n_links <= expected[i] for i, r in got.items()) and right > 3000
+        assert found >= 0.995 * right
+        assert {r.recall >= 0.98 for r in got.values()} == {True}
+
+
+def test_low_recall_widens_the_beams_of_that_label(spark, monkeypatch):
+    """A search that finds nothing at first is repeated for the labels whose audit fails, and only for them."""
+    real, tried = vectors._link, []
+
+    def narrow(limit, width):
+        tried.append(width)
+        run = real(limit, width)
+        if width > 32:
+            return run
+
+        def lose(parts):
+            for out in run(parts):
+                yield out[out["label"] != 0]
+
+        return lose
+
+    monkeypatch.setattr(vectors, "_link", narrow)
+    x = clusters(240, 16, 3)
+    rows = [(i, v.tolist(), i % 2) for i, v in enumerate(x)]
+    got = vectors.near_vectors(near_table(spark, rows)).collect()
+    assert sorted(tuple(r)[:4] for r in got) == sorted(brute(rows)) and tried == [32, 64]
+    assert {r.recall for r in got} == {1.0}
+
+
+def test_failed_walks_and_groups():
     rng = np.random.default_rng(0)
     x = vectors.unit(np.vstack([rng.normal(0, 1, (1, 16)) + rng.normal(0, 0.05, (400, 16)), rng.normal(0, 1, (600, 16))]))
-    hits = vectors.search(vectors.Graph(x, m=3, width=3), x, 0.93, 1.0, 2)
-    assert (hits >= (x @ x.T >= 0.93)).all()
+    hits = vectors.search(vectors.Graph(x, m=6, width=20), x, 0.93, 2)
+    true = x @ x.T >= 0.93
+    assert hits[true].mean() > 0.99
+    graph = vectors.Graph(x[:300])
+    graph.layers, graph.top = [{i: [] for i in range(300)}], 0  # no way from node to node
+    assert (vectors.search(graph, x[:20], 0.93, 4) >= true[:20, :300]).all()
     chain = np.zeros((4, 4), bool)
     chain[[0, 1, 1, 3], [1, 1, 2, 3]] = True
     rows, columns = vectors.groups(chain)
