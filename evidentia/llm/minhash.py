@@ -178,8 +178,11 @@ def near_duplicates(docs: DataFrame, per_cent: int = 75) -> DataFrame:
     ``component_id`` is the smallest key that the text reaches by links, itself included, and ``kept`` tells whether that is its
     own. Texts without words link with nothing. Rows that share a key are one node; a row without a key links with nothing, has no
     component and is kept. Equal texts are one node, so copies of any number cost one row each. Other columns are not read. A
-    pair at 0.75 exactly shares no band with probability 5e-6.
+    pair at 0.75 exactly shares no band with probability 5e-6. The bands and the least estimate are made for 75 and more; a lower
+    ``per_cent`` would lose links and is refused.
     """
+    if not 75 <= per_cent <= 100:
+        raise ValueError(f"per_cent is {per_cent}, not 75 to 100")
     prepare(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     signed = cut_lineage(signatures(docs))

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from evidentia.llm import minhash
 from tests.llm.cases import ODD_ROWS, docs_table, no_docs, odd_docs
@@ -110,3 +111,9 @@ def test_odd_rows(spark):
         else:
             assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), expected[r.doc_id], expected[r.doc_id] == r.doc_id)
     assert minhash.near_duplicates(no_docs(spark)).count() == 0
+
+
+def test_lower_similarities_are_refused(spark):
+    for per_cent in (74, 0, 101):
+        with pytest.raises(ValueError, match="per_cent"):
+            minhash.near_duplicates(no_docs(spark), per_cent)
