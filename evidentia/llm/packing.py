@@ -310,7 +310,7 @@ def search_groups(
     )
     parts = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for epoch in range(epochs):
-        state = cut_lineage(state.repartition(4 * parts, "block", "island").mapInPandas(_epoch(capacity, size, generations, epoch, seed), STATE))
+        state = cut_lineage(state.repartition(min(4 * parts, groups * islands), "block", "island").mapInPandas(_epoch(capacity, size, generations, epoch, seed), STATE))
         movers = state.select("block", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.col("packings")[0].alias("elite"))
         joined = state.join(movers, ["block", "island"])
         moved = F.concat(F.array("elite"), F.slice("packings", 1, size - 1))
