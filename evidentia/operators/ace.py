@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.functions.sampling import hash_uniform
+from evidentia.operators.graph import backdoor_set
 
 PAIRS_IN_ONE_AGGREGATE = 300
 
@@ -71,8 +72,18 @@ def moments(df: DataFrame, cols: Sequence[str], pairs: set[tuple[str, str]] | No
     return Moments(cols, row["n"], mean, cov)
 
 
-def adjustment_columns(edges: DataFrame, treatments: Sequence[str]) -> DataFrame:
-    """The treatments' parents in a causal graph ``(parent, child)``, treatments left out."""
+def adjustment_columns(edges: DataFrame, treatments: Sequence[str], outcome: str | None = None, unusable: Sequence[str] = ()) -> DataFrame:
+    """Rows ``feature``: what to hold fixed, from a causal graph ``(parent, child)`` of columns.
+
+    With an outcome a minimal set that meets the backdoor condition (see ``backdoor_set``); a graph without one raises. Without an outcome
+    the treatments' parents, treatments left out.
+    """
+    if outcome is not None:
+        listed = [(r["parent"], r["child"]) for r in edges.select("parent", "child").distinct().collect()]  # an edge per pair of columns
+        chosen = backdoor_set(listed, treatments, outcome, unusable)
+        if chosen is None:
+            raise ValueError(f"no columns separate {list(treatments)} from {outcome}")
+        return edges.sparkSession.createDataFrame([(c,) for c in chosen], "feature string")
     return edges.where(F.col("child").isin(*treatments) & ~F.col("parent").isin(*treatments)).select(
         F.col("parent").alias("feature")
     ).distinct()

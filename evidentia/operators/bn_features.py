@@ -5,14 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark import keyword_only
-from pyspark.ml import Estimator, Model
+from pyspark.ml import Estimator
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.operators.cpt import Network, fit_network
 from evidentia.operators.graph import Edge
 from evidentia.operators.inference import with_probabilities
+from evidentia.operators.persist import State, TableModel, Tables, named, under
 from evidentia.operators.selection import FeatureParams
 from evidentia.operators.structure import learn_structure
 
@@ -53,7 +54,7 @@ class NetworkFeatureGenerator(Estimator, FeatureParams):
         return NetworkFeatureModel(fit_network(df, nodes, edges), classes)
 
 
-class NetworkFeatureModel(Model):
+class NetworkFeatureModel(TableModel):
     """Appends ``lambda_<column>`` for every network column; works on batch and streaming tables."""
 
     def __init__(self, network: Network, classes: int | None) -> None:
@@ -76,12 +77,10 @@ class NetworkFeatureModel(Model):
         """Only the generated columns."""
         return self.transform(df).select(*[f"lambda_{c}" for c in self.network.nodes])
 
-    def save(self, path: str) -> None:
-        self.network.save(path)
-        spark = self.network.cpt.sparkSession
-        spark.createDataFrame([(self.num_classes,)], "num_classes int").coalesce(1).write.mode("overwrite").json(f"{path}/model")
+    def state(self) -> tuple[State, Tables]:
+        network, tables = self.network.state()
+        return {"network": network, "num_classes": self.num_classes}, named("network", tables)
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str) -> NetworkFeatureModel:
-        row = spark.read.schema("num_classes int").json(f"{path}/model").first()
-        return cls(Network.load(spark, path), row["num_classes"])
+    def from_state(cls, state: State, tables: Tables) -> NetworkFeatureModel:
+        return cls(Network.from_state(state["network"], under("network", tables)), state["num_classes"])

@@ -85,6 +85,18 @@ class Network:
         prob = (F.col("n") + F.lit(self.ess) / (r * q)) / (F.coalesce("n_pa", F.lit(0)) + F.lit(self.ess) / q)
         return joined.select(*columns, "n", prob.alias("prob"))
 
+    def state(self) -> tuple[dict, dict[str, DataFrame]]:
+        """Settings and tables, for a model that holds the network."""
+        params = {
+            "nodes": self.nodes, "edges": [list(e) for e in self.edges], "types": self.types, "cards": self.cards,
+            "ess": self.ess, "max_cells": self.max_cells,
+        }
+        return params, {"cpt": self.cpt}
+
+    @classmethod
+    def from_state(cls, state: dict, tables: dict[str, DataFrame]) -> Network:
+        return cls(cpt=tables["cpt"], **{**state, "edges": [tuple(e) for e in state["edges"]]})
+
     def save(self, path: str) -> None:
         """Probabilities as parquet, parameters as one JSON text row."""
         params = {
@@ -126,11 +138,12 @@ def fit_network(
     edges: Iterable[Edge],
     ess: float = EQUIVALENT_SAMPLE_SIZE,
     max_cells: int = MAX_CELLS,
+    counted: bool = False,
 ) -> Network:
     """Estimate every table of a network: prob = (n + ess/(r q)) / (n_pa + ess/q).
 
     Two passes over counts: the rows are compressed once, all families are counted in one shuffle.
-    The result is kept in the checkpoint folder so that scoring never counts again.
+    The result is kept in the checkpoint folder so that scoring never counts again. ``counted`` rows are combinations with their number ``n``.
     """
     nodes, edges = list(nodes), list(edges)
     topological(nodes, edges)
@@ -139,7 +152,7 @@ def fit_network(
         if isinstance(df.schema[c].dataType, (T.ArrayType, T.MapType, T.StructType)):
             raise ValueError(f"column {c} is not a category")
     families = as_families(nodes, edges)
-    table = compress(df, nodes).persist()
+    table = (df.groupBy(*nodes).agg(F.sum("n").alias("n")) if counted else compress(df, nodes)).persist()
     try:
         cards = cardinalities(table, nodes)
         counts = family_counts(table, families)

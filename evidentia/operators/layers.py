@@ -12,12 +12,13 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark import keyword_only
-from pyspark.ml import Estimator, Model
+from pyspark.ml import Estimator
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evidentia.operators.persist import State, TableModel, Tables
 from evidentia.session import cut_lineage
 
 
@@ -110,11 +111,20 @@ class UnitImportance(Estimator):
         return out
 
 
-class UnitImportanceModel(Model):
+class UnitImportanceModel(TableModel):
     def __init__(self, layers, units, sample, weights: list[np.ndarray], intercepts: list[np.ndarray]) -> None:
         super().__init__()
         self.layers, self.units, self.sample, self.weights, self.intercepts = layers, units, sample, weights, intercepts
 
+    def state(self) -> tuple[State, Tables]:
+        numbers = {"weights": [w.tolist() for w in self.weights], "intercepts": [b.tolist() for b in self.intercepts]}
+        return {"layers": self.layers, "units": self.units, "sample": self.sample, **numbers}, {}
+
+    @classmethod
+    def from_state(cls, state: State, tables: Tables) -> UnitImportanceModel:
+        weights, intercepts = ([np.array(x, dtype=float) for x in state[n]] for n in ("weights", "intercepts"))
+        return cls(state["layers"], state["units"], state["sample"], weights, intercepts)
+
     def equations(self, df: DataFrame) -> DataFrame:
         """``(layer, unit, source, coefficient)``; ``source`` is a unit of the layer before, null for the intercept."""
         rows = []

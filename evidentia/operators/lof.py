@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evidentia.functions.binning import ranges
+from evidentia.operators.persist import named, under
 from evidentia.operators.tree import PartitionTree
 from evidentia.session import cut_lineage
 
@@ -78,6 +79,16 @@ class PlaceFactors:
         factors = cut_lineage(near.join(lrd, "id").select("id", factor.alias("lof")))
         return cls(cols, k, tree, places, lrd.select("id", "k_dist", "lrd"), factors)
 
+    def state(self) -> tuple[dict, dict[str, DataFrame]]:
+        tree, tables = self.tree.state()
+        own = {"places": self.places, "density": self.density, "factors": self.factors}
+        return {"cols": self.cols, "k": self.k, "tree": tree}, {**own, **named("tree", tables)}
+
+    @classmethod
+    def from_state(cls, state: dict, tables: dict[str, DataFrame]) -> PlaceFactors:
+        tree = PartitionTree.from_state(state["tree"], under("tree", tables))
+        return cls(state["cols"], state["k"], tree, tables["places"], tables["density"], tables["factors"])
+
     def at(self, rows: DataFrame, name: str) -> DataFrame:
         """Add where each row lies; null where a column is missing or not finite."""
         finite = F.forall(place(self.cols), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(math.inf)))

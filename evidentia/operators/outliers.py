@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark import StorageLevel, keyword_only
-from pyspark.ml import Estimator, Model
+from pyspark.ml import Estimator
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +18,7 @@ from evidentia.operators.graph import Edge
 from evidentia.operators.inference import with_probabilities
 from evidentia.operators.mixture import gaussian_table
 from evidentia.operators.lof import PlaceFactors, min_max, scaled
+from evidentia.operators.persist import State, TableModel, Tables, named, under
 from evidentia.operators.selection import FeatureParams
 from evidentia.operators.structure import learn_structure
 from evidentia.session import cut_lineage
@@ -158,7 +159,7 @@ class TabularOutlierDetector(Estimator, FeatureParams):
         return model
 
 
-class TabularOutlierModel(Model):
+class TabularOutlierModel(TableModel):
     """Adds ``lof_score``, ``bn_score``, ``score``; see ``predict`` and ``decision_function``."""
 
     def __init__(self, density: list[PlaceFactors], network_score: NetworkScore | None, weight: float) -> None:
@@ -167,6 +168,33 @@ class TabularOutlierModel(Model):
         self.fitted: dict[str, tuple[float, float]] = {}
         self.cutoff = 0.0
 
+    def state(self) -> tuple[State, Tables]:
+        state: State = {"weight": self.weight, "fitted": self.fitted, "cutoff": self.cutoff, "density": [], "network": None}
+        tables: Tables = {}
+        for i, factors in enumerate(self.density):
+            own, held = factors.state()
+            state["density"].append(own)
+            tables.update(named(f"density{i}", held))
+        if self.network_score:
+            network, held = self.network_score.network.state()
+            gaussians = self.network_score.gaussians
+            state["network"] = {"network": network, "nodes": self.network_score.nodes, "gaussians": [[g.node, g.parents, g.rows, g.overall] for g in gaussians]}
+            tables.update(named("network", held))
+            tables.update(named("gaussian", {g.node: g.table for g in gaussians if g.table is not None}))
+        return state, tables
+
+    @classmethod
+    def from_state(cls, state: State, tables: Tables) -> TabularOutlierModel:
+        density = [PlaceFactors.from_state(own, under(f"density{i}", tables)) for i, own in enumerate(state["density"])]
+        score = None
+        if state["network"]:
+            kept = state["network"]
+            gaussians = [GaussianNode(node, parents, tables.get(f"gaussian/{node}"), rows, tuple(overall)) for node, parents, rows, overall in kept["gaussians"]]
+            score = NetworkScore(Network.from_state(kept["network"], under("network", tables)), kept["nodes"], gaussians)
+        model = cls(density, score, state["weight"])
+        model.fitted, model.cutoff = {c: tuple(r) for c, r in state["fitted"].items()}, state["cutoff"]
+        return model
+
     def _raw(self, df: DataFrame) -> tuple[DataFrame, list[str], list[str]]:
         lof_names, bn_names = [], []
         for i, factors in enumerate(self.density):
@@ -204,17 +232,27 @@ class TabularOutlierModel(Model):
             kept.unpersist()
 
     def _transform(self, df: DataFrame) -> DataFrame:
+        refuse(df, ["lof_score", "bn_score", "score"])
         return self._scored(*self._raw(df))
 
     def predict(self, df: DataFrame) -> DataFrame:
         """Adds ``prediction``: -1 for an outlier, 1 otherwise."""
+        refuse(df, ["prediction"])
         return self.transform(df).withColumn("prediction", outlier_label(F.col("score"), self.cutoff))
 
     def decision_function(self, df: DataFrame) -> DataFrame:
         """Adds ``decision``: the cutoff minus the score, negative for an outlier."""
+        refuse(df, ["decision"])
         return self.transform(df).withColumn("decision", F.lit(self.cutoff) - F.col("score"))
 
 
+def refuse(df: DataFrame, names: Sequence[str]) -> None:
+    """Columns that a result adds must not be there already: they would be lost without a word."""
+    there = [c for c in df.columns if c.lower() in names]
+    if there:
+        raise ValueError(f"the table has columns that the result adds: {there}")
+
+
 def outlier_label(score: Column, cutoff: float) -> Column:
     """-1 above the cutoff, else 1; null where a row has no score."""
     return F.when(score > F.lit(cutoff), F.lit(-1)).when(score.isNotNull(), F.lit(1))

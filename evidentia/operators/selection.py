@@ -118,21 +118,33 @@ def markov_blanket(edges: DataFrame, node: str) -> DataFrame:
 
 
 class MarkovBlanketSelector(Estimator, FeatureParams):
-    """Learns a network over features and label, keeps the label's Markov blanket."""
+    """Keeps the label's Markov blanket: by conditional tests (``method="tests"``, default), or that of a network learned over features and
+    label (``"network"``). With tests, a feature's score is its statistic given the rest of the blanket over its limit."""
 
+    method = Param(Params._dummy(), "method", "tests or network", TypeConverters.toString)
+    alpha = Param(Params._dummy(), "alpha", "level of the tests", TypeConverters.toFloat)
     iterations = Param(Params._dummy(), "iterations", "search iterations", TypeConverters.toInt)
     seed = Param(Params._dummy(), "seed", "random seed", TypeConverters.toInt)
 
     @keyword_only
-    def __init__(self, *, featureCols=None, labelCol=None, keepCols=None, iterations=100, seed=0):
+    def __init__(self, *, featureCols=None, labelCol=None, keepCols=None, iterations=100, seed=0, method="tests", alpha=0.01):
         super().__init__()
-        self._setDefault(iterations=100, seed=0)
+        self._setDefault(iterations=100, seed=0, method="tests", alpha=0.01)
         self._set(**{n: v for n, v in self._input_kwargs.items() if v is not None})
 
     def _fit(self, df: DataFrame) -> SelectorModel:
+        from evidentia.operators.blanket import BlanketSearch
         from evidentia.operators.structure import learn_structure
 
         cols, label = self.features(df), self.label(df)
+        if self.getOrDefault("method") not in ("tests", "network"):
+            raise ValueError(f"unknown method {self.getOrDefault('method')}")
+        if self.getOrDefault("method") == "tests":
+            search = BlanketSearch(df, label, cols, self.getOrDefault("alpha"))
+            chosen = search.find()
+            last = {(t.feature, frozenset(t.given)): t.ratio for t in search.tests}
+            ratios = {c: last.get((c, frozenset(chosen) - {c})) for c in cols}
+            return SelectorModel.of(self, df, cols, chosen, ratios)
         found = learn_structure(
             df, [*cols, label], iterations=self.getOrDefault("iterations"), seed=self.getOrDefault("seed")
         )

@@ -1,13 +1,14 @@
 """Structure search: stochastic hill climbing over edge lists, scored in Spark.
 
 The rows are compressed once into counts per observed combination. Each round asks Spark for the
-scores of every family that one legal move away needs and that is not known yet, in one job; the
+statistics of every family that is one legal move away and not known yet, in one job; the
 walk itself touches scores only. Samples are nested: of every combination's rows each sample takes its
 share, up to one row, and a larger sample keeps what a smaller one has.
 """
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
@@ -22,12 +23,12 @@ from evidentia.operators.families import (
     FAMILIES_PER_JOB,
     PARENT_PENALTY,
     Family,
-    bic_of_cells,
     cardinalities,
+    combinations,
     compress,
-    family_counts,
 )
 from evidentia.operators.graph import Edge, is_acyclic, parents_of
+from evidentia.session import cut_lineage
 
 # Fixed values of the search.
 REPOSITORY_SIZE = 10
@@ -47,43 +48,142 @@ class Structure:
     jobs: int
 
 
-class _Scores:
-    """Family scores at every sample stage, fetched from Spark in batches.
+@dataclass(frozen=True)
+class _Set:
+    """Columns whose combinations are counted, among the rows that have a value in ``full`` as well."""
+
+    cols: frozenset[str]
+    full: frozenset[str]
+
 
-    ``table`` holds the counts by the stage at which rows enter the sample. A batch of families is
-    counted by that stage, and only the counted cells are added up for the stages that contain
-    them, so one job scores the batch for all stages.
+class SetCounts:
+    """Statistics of sets of columns, fetched from Spark in batches: H = the sum of n ln n over the combinations of a set, and the rows.
+
+    ``table`` holds the counts ``n`` by the stage at which rows enter the sample (``entered``); only the counted cells are added up for the
+    stages that contain them, so one job serves all stages. Large tables are not read for every batch: the margin over the columns that
+    sets have in common is kept as a table, and a set is counted from the smallest table kept that holds its columns.
     """
 
-    def __init__(self, table: DataFrame, cards: dict[str, int], cols: Sequence[str]) -> None:
-        self.table, self.cards, self.cols = table, cards, cols
-        self.known: dict[tuple[int, Family], float] = {}
+    MARGIN_ROWS = 100_000  # a table up to this size needs no smaller margins
+    MARGIN_COLUMNS = 8
+
+    def __init__(self, table: DataFrame, cols: Sequence[str]) -> None:
+        self.cols = list(cols)
+        sizes = table.agg(F.count(F.lit(1)), *[F.count_if(F.col(c).isNull()) for c in cols]).first()
+        self.gaps = frozenset(c for c, n in zip(cols, sizes[1:]) if n)  # columns with missing values
+        self.margins: list[tuple[frozenset[str], DataFrame, int]] = [(frozenset(cols), table, sizes[0])]
+        self.known: dict[_Set, list[tuple[float, int]]] = {}
         self.jobs = 0
 
-    def has(self, families: Iterable[Family]) -> bool:
-        return all((0, f) in self.known for f in families)
+    def of(self, cols: Iterable[str], among: Iterable[str] = ()) -> _Set:
+        """The set of some columns among the rows that have values in ``among`` as well."""
+        cols = frozenset(cols)
+        return _Set(cols, (frozenset(among) & self.gaps) - cols)
 
-    def fetch(self, needed: Iterable[Family], likely: Iterable[Family] = ()) -> None:
-        """Score the needed families, and as many likely ones as fit the last job."""
-        wanted = [f for f in dict.fromkeys(needed) if (0, f) not in self.known]
+    def missing(self, sets: Iterable[_Set]) -> list[_Set]:
+        return [s for s in dict.fromkeys(sets) if s.cols and s not in self.known]
+
+    def value(self, s: _Set, stage: int, whole: _Set) -> tuple[float, int]:
+        """H and the rows of a set; of no columns, those of the rows of ``whole``."""
+        if s.cols:
+            return self.known[s][stage]
+        total = self.known[whole][stage][1]
+        return (total * math.log(total) if total else 0.0), total
+
+    def fetch(self, needed: Iterable[_Set], likely: Iterable[_Set] = ()) -> None:
+        """Count the needed sets, and as many likely ones as fit the last job."""
+        wanted = self.missing(needed)
         if not wanted:
             return
         room = -len(wanted) % FAMILIES_PER_JOB
-        wanted += [f for f in dict.fromkeys(likely) if (0, f) not in self.known and f not in wanted][:room]
+        if room:
+            wanted += [s for s in self.missing([*likely, *_small_sets(self.cols, FAMILIES_PER_JOB)]) if s not in wanted][:room]
         for start in range(0, len(wanted), FAMILIES_PER_JOB):
-            batch = wanted[start : start + FAMILIES_PER_JOB]
-            entered = family_counts(self.table, batch, ["entered"])
-            stages = F.explode(F.sequence("entered", F.lit(STAGES - 1))).alias("stage")
-            cells = entered.select("family", "pa", "state", "n", stages).groupBy("family", "stage", "pa", "state").agg(F.sum("n").alias("n"))
-            rows = bic_of_cells(cells, batch, self.cards, ["stage"]).collect()
-            self.jobs += 1
-            self.known.update({(s, f): 0.0 for s in range(STAGES) for f in batch})
-            self.known.update({(r["stage"], batch[r["family"]]): steady(r["score"]) for r in rows})
+            self._count(wanted[start : start + FAMILIES_PER_JOB])
+
+    def _count(self, batch: list[_Set]) -> None:
+        covers: list[tuple[set[str], list[int]]] = []
+        for k in sorted(range(len(batch)), key=lambda k: -len(batch[k].cols | batch[k].full)):
+            need = batch[k].cols | batch[k].full
+            for cover, members in covers:
+                if len(cover | need) <= max(self.MARGIN_COLUMNS, len(need)):
+                    cover |= need
+                    members.append(k)
+                    break
+            else:
+                covers.append((set(need), [k]))
+        cells = None
+        for cover, members in covers:
+            one = self._cells(self._margin(frozenset(cover)), [(k, batch[k]) for k in members])
+            cells = one if cells is None else cells.unionByName(one)
+        n = F.col("n")
+        rows = cells.groupBy("k", "stage").agg(F.sum(n * F.ln(n.cast("double"))).alias("h"), F.sum("n").alias("total")).collect()
+        self.jobs += 1
+        for s in batch:
+            self.known[s] = [(0.0, 0)] * STAGES
+        for r in rows:
+            self.known[batch[r["k"]]][r["stage"]] = (r["h"], r["total"])
+
+    def _cells(self, table: DataFrame, numbered: list[tuple[int, _Set]]) -> DataFrame:
+        """``(k, stage, at, n)``: the counted combinations of every set. The sets are data, so a plan is the same for one and for hundreds."""
+        order = [c for c in self.cols if c in table.columns]
+        place = {c: i + 1 for i, c in enumerate(order)}
+        listed = [F.struct(F.lit(k).alias("k"), F.lit([place[c] for c in order if c in s.cols]).alias("cols"), F.lit([place[c] for c in order if c in s.cols | s.full]).alias("full")) for k, s in numbered]
+        values = F.array(*[F.col(c).cast("string") for c in order])
+        rows = table.select(values.alias("v"), "entered", "n", F.explode(F.array(*listed)).alias("s"))
+        legal = rows.where(F.forall("s.full", lambda i: F.element_at("v", i).isNotNull()))
+        cells = legal.groupBy(F.col("s.k").alias("k"), "entered", F.transform("s.cols", lambda i: F.element_at("v", i)).alias("at")).agg(F.sum("n").alias("n"))
+        stages = F.explode(F.sequence("entered", F.lit(STAGES - 1))).alias("stage")
+        return cells.select("k", "at", "n", stages).groupBy("k", "stage", "at").agg(F.sum("n").alias("n"))
+
+    def _margin(self, cols: frozenset[str]) -> DataFrame:
+        """The smallest table kept that holds some columns, or a new one where that is large."""
+        held, table, rows = min((m for m in self.margins if cols <= m[0]), key=lambda m: m[2])
+        if rows <= self.MARGIN_ROWS or held == cols:
+            return table
+        names = [c for c in self.cols if c in cols]
+        made = cut_lineage(table.groupBy(*names, "entered").agg(F.sum("n").alias("n")))
+        self.margins.append((cols, made, made.count()))
+        return made
+
+
+class _Scores:
+    """Family scores at every sample stage: a family's fit is H(node and parents) - H(parents), so families that share columns share statistics."""
+
+    def __init__(self, table: DataFrame, cards: dict[str, int], cols: Sequence[str]) -> None:
+        self.cards, self.cols = cards, list(cols)
+        self.counts = SetCounts(table, cols)
+
+    @property
+    def jobs(self) -> int:
+        return self.counts.jobs
+
+    def sets(self, family: Family) -> tuple[_Set, _Set]:
+        """The sets of the family and of its parents; rows that miss a value of the family count for neither."""
+        whole = {family[0], *family[1]}
+        return self.counts.of(whole), self.counts.of(family[1], whole)
+
+    def has(self, families: Iterable[Family]) -> bool:
+        return not self.counts.missing(s for f in families for s in self.sets(f))
+
+    def fetch(self, needed: Iterable[Family], likely: Iterable[Family] = ()) -> None:
+        """Count what the needed families ask, and as much for likely ones as fits the last job."""
+        self.counts.fetch([s for f in needed for s in self.sets(f)], (s for f in likely for s in self.sets(f)))
+
+    def family(self, stage: int, f: Family) -> float:
+        """sum n ln(n / n_pa) - 0.5 ln(N) q (r - 1)"""
+        whole, parents = self.sets(f)
+        h, total = self.counts.value(whole, stage, whole)
+        if not total:
+            return 0.0
+        above, _ = self.counts.value(parents, stage, whole)
+        cost = 0.5 * combinations(self.cards, f[1]) * (self.cards[f[0]] - 1)
+        return steady(h - above - math.log(total) * cost)
 
     def network(self, stage: int, edges: Sequence[Edge]) -> float:
         families = as_families(self.cols, edges)
         self.fetch(families)
-        return sum(self.known[(stage, f)] - PARENT_PENALTY * len(f[1]) for f in families)
+        return sum(self.family(stage, f) - PARENT_PENALTY * len(f[1]) for f in families)
 
 
 def steady(score: float) -> float:
@@ -95,15 +195,14 @@ def as_families(nodes: Sequence[str], edges: Iterable[Edge]) -> list[Family]:
     return [(c, tuple(p)) for c, p in parents_of(nodes, edges).items()]
 
 
-def _small_families(nodes: Sequence[str], most: int = 2 * FAMILIES_PER_JOB) -> list[Family]:
-    """Families with one or two parents, the ones a search meets first; bounded in number."""
-    out: list[Family] = []
-    for size in (1, 2):
-        for c in nodes:
-            for p in combos([x for x in nodes if x != c], size):
-                if len(out) >= most:
-                    return out
-                out.append((c, p))
+def _small_sets(nodes: Sequence[str], most: int) -> list[_Set]:
+    """Sets of columns by size, the ones a search meets first; bounded in number."""
+    out: list[_Set] = []
+    for size in range(1, len(nodes) + 1):
+        for cols in combos(nodes, size):
+            if len(out) >= most:
+                return out
+            out.append(_Set(frozenset(cols), frozenset()))
     return out
 
 
@@ -198,7 +297,7 @@ def learn_structure(
             needed = as_families(nodes, candidate)
             if not scores.has(needed):
                 reachable = (f for kind in moves.values() for m in kind if legal(m) for f in as_families(nodes, m))
-                scores.fetch(needed, [*reachable, *_small_families(nodes)])
+                scores.fetch(needed, reachable)
             new_score = scores.network(stage, candidate)
             if new_score > score + TIE * abs(score):
                 current, score = candidate, new_score

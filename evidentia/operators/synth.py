@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import json
 import math
 import uuid
 from collections.abc import Sequence
 
 from pyspark import keyword_only
-from pyspark.ml import Estimator, Model
+from pyspark.ml import Estimator
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -21,6 +20,7 @@ from evidentia.operators.families import combinations
 from evidentia.operators.graph import Edge, ancestors, topological
 from evidentia.operators.joins import split_join
 from evidentia.operators.mixture import fit_mixtures, single_normals
+from evidentia.operators.persist import State, TableModel, Tables, named, under
 from evidentia.operators.selection import FeatureParams
 from evidentia.operators.structure import learn_structure
 from evidentia.session import cut_lineage
@@ -40,8 +40,9 @@ def cumulative_table(network: Network, node: str) -> DataFrame:
 def _attach(df: DataFrame, table: DataFrame, keys: Sequence[str], values: Sequence[str], small: bool) -> DataFrame:
     if not keys:
         # One row of parameters for all: read as scalar subqueries, not joined.
-        return df.withColumns({v: table.select(v).scalar() for v in values})
-    return df.join(F.broadcast(table.select(*keys, *values)) if small else table.select(*keys, *values), list(keys), "left")
+        return df.withColumns({v: table.select(F.col(f"`{v}`")).scalar() for v in values})
+    side = table.select(*keys, *[F.col(f"`{v}`") for v in values])
+    return df.join(F.broadcast(side) if small else side, list(keys), "left")
 
 
 def draw_category(df: DataFrame, network: Network, node: str, seed: int, id_col: str, drawn: Sequence[str] = ()) -> DataFrame:
@@ -49,13 +50,13 @@ def draw_category(df: DataFrame, network: Network, node: str, seed: int, id_col:
     network has filled in itself."""
     if not network.is_dense(node):
         return _draw_sparse(df, network, node, seed, id_col, drawn)
-    df = _attach(df, cumulative_table(network, node), network.parents[node], ["cdf"], small=True)
-    u = hash_uniform(F.col(id_col), node, seed)
-    df = df.withColumn("__u", u)
-    hit = F.get(F.filter("cdf", lambda c: F.col("__u") < c["hi"]), F.lit(0))["state"]
+    cdf, at = (f"{n}-{uuid.uuid4().hex}" for n in ("cdf", "u"))  # names that no table has
+    df = _attach(df, cumulative_table(network, node).withColumnRenamed("cdf", cdf), network.parents[node], [cdf], small=True)
+    df = df.withColumn(at, hash_uniform(F.col(id_col), node, seed))
+    hit = F.get(F.filter(F.col(f"`{cdf}`"), lambda c: F.col(f"`{at}`") < c["hi"]), F.lit(0))["state"]
     # Rounding may leave the last end a hair below one.
-    state = F.coalesce(hit, F.element_at("cdf", -1)["state"])
-    return df.withColumn(node, state).drop("__u", "cdf")
+    state = F.coalesce(hit, F.element_at(F.col(f"`{cdf}`"), -1)["state"])
+    return df.withColumn(node, state).drop(at, cdf)
 
 
 def ranked_states(network: Network, node: str) -> DataFrame:
@@ -204,7 +205,7 @@ class SyntheticGenerator(Estimator, FeatureParams):
         return SyntheticModel(network, mixtures)
 
 
-class SyntheticModel(Model):
+class SyntheticModel(TableModel):
     SMALL_ROWS = 1_000_000
 
     def __init__(self, network: Network, mixtures: dict[str, tuple[list[str], DataFrame, int, int]]) -> None:
@@ -237,16 +238,12 @@ class SyntheticModel(Model):
         keep = [c for c in df.columns if c in given]
         return df.select(*keep, *[c for c in [*self.network.nodes, *self.mixtures] if c not in given])
 
-    def save(self, path: str) -> None:
-        self.network.save(f"{path}/network")
-        spark = self.network.cpt.sparkSession
-        meta = json.dumps({c: [p, n, k] for c, (p, _, n, k) in self.mixtures.items()})
-        spark.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/mixtures.json")
-        for c, (_, table, _, _) in self.mixtures.items():
-            table.write.mode("overwrite").parquet(f"{path}/mixture={c}")
+    def state(self) -> tuple[State, Tables]:
+        network, tables = self.network.state()
+        facts = {c: [parents, rows, components] for c, (parents, _, rows, components) in self.mixtures.items()}
+        return {"network": network, "mixtures": facts}, {**named("network", tables), **named("mixture", {c: m[1] for c, m in self.mixtures.items()})}
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str) -> SyntheticModel:
-        meta = json.loads(spark.read.text(f"{path}/mixtures.json").first()["value"])
-        mixtures = {c: (p, spark.read.parquet(f"{path}/mixture={c}"), n, k) for c, (p, n, k) in meta.items()}
-        return cls(Network.load(spark, f"{path}/network"), mixtures)
+    def from_state(cls, state: State, tables: Tables) -> SyntheticModel:
+        mixtures = {c: (p, tables[f"mixture/{c}"], n, k) for c, (p, n, k) in state["mixtures"].items()}
+        return cls(Network.from_state(state["network"], under("network", tables)), mixtures)

@@ -248,6 +248,13 @@ class PartitionTree:
         asks = dealt.groupBy("cell", "chunk").cogroup(cells.groupBy("cell", "chunk")).applyInPandas(run, ASK)
         return self._completed(cut_lineage(asks), k)
 
+    def state(self) -> tuple[dict, dict[str, DataFrame]]:
+        return {"d": self.d, "depth": self.depth}, {"nodes": self.nodes, "blocks": self.blocks}
+
+    @classmethod
+    def from_state(cls, state: dict, tables: dict[str, DataFrame]) -> PartitionTree:
+        return cls(state["d"], tables["nodes"], tables["blocks"], state["depth"])
+
     def _parts(self) -> int:
         return 4 * int(self.nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.functions.sampling import bottom_k
+from evidentia.operators.families import cardinalities, compress, named_bic_scores
 from evidentia.operators.lof import PlaceFactors, bagged_lof, exact_lof
 from evidentia.operators.outliers import TabularOutlierDetector, random_bags
-from evidentia.operators.sequences import SequenceOutlierDetector
+from evidentia.operators.sequences import SequenceOutlierDetector, previous_values
 from evidentia.plans.common import r6, registry, sql_r6, sql_uniform, table
-from evidentia.plans.networks import sql_cpt
+from evidentia.plans.networks import sql_bic, sql_cpt
 from evidentia.session import cut_lineage
 
 REG = registry()
@@ -221,3 +222,62 @@ def ts_anomaly(spark, sf_dir) -> DataFrame:
     df = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
     model = SequenceOutlierDetector(entityCol="user_id", orderCols=["ts", "event_id"], stateCol="event_type").fit(df)
     return model.transform(df).select("event_id", "user_id", "event_type", "previous", r6("score").alias("score"), "prediction")
+
+
+STATES = ["event_type", "band"]
+SLICES = [("event_type", "event_type"), ("event_type", "band"), ("band", "band")]
+_BANDED = "(SELECT event_id, ts, user_id, event_type, least(4, floor(value / 40))::BIGINT AS band FROM events)"
+
+
+def banded(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", F.least(F.lit(4), F.floor(F.col("value") / 40)).alias("band"))
+
+
+_SLICED = (
+    f"WITH seq AS (SELECT event_id, user_id, event_type, band, lag(event_id) OVER w AS earlier, lag(event_type) OVER w AS previous_event_type, lag(band) OVER w AS previous_band "
+    f"FROM {_BANDED} WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), pairs AS (SELECT * FROM seq WHERE earlier IS NOT NULL AND event_type IS NOT NULL "
+    "AND band IS NOT NULL AND previous_event_type IS NOT NULL AND previous_band IS NOT NULL), "
+)
+_TWO_STATES = (
+    _SLICED + f"a AS (SELECT * FROM {sql_cpt('event_type', ['previous_event_type'], 'pairs')}), b AS (SELECT * FROM {sql_cpt('band', ['previous_event_type', 'previous_band'], 'pairs')}), "
+    "scores AS (SELECT event_id, user_id, CASE WHEN earlier IS NOT NULL THEN -ln(coalesce(a.prob, 0.5)) - ln(coalesce(b.prob, 0.5)) END AS score FROM seq "
+    "LEFT JOIN a USING (previous_event_type, event_type) LEFT JOIN b USING (previous_event_type, previous_band, band)), cutoff AS (SELECT quantile_cont(score, 0.95) AS cutoff FROM scores) "
+    f"SELECT event_id, user_id, {sql_r6('score')} AS score, CASE WHEN score > cutoff THEN -1 ELSE 1 END AS prediction FROM scores CROSS JOIN cutoff"
+)
+
+
+@REG.add("ts_anomaly_states", _TWO_STATES)
+def ts_anomaly_states(spark, sf_dir) -> DataFrame:
+    """Several states in a two-slice network whose edges are given."""
+    df = banded(spark, sf_dir)
+    model = SequenceOutlierDetector(entityCol="user_id", orderCols=["ts", "event_id"], stateCols=STATES, sliceEdges=SLICES).fit(df)
+    return model.transform(df).select("event_id", "user_id", r6("score").alias("score"), "prediction")
+
+
+def _searched_sql() -> str:
+    """The greedy choice of every state's parents among two states before, from the scores of the four sets."""
+    source, before = "pairs", [f"previous_{c}" for c in STATES]
+    sets = [[], before[:1], before[1:], before]
+    scores = ", ".join(
+        f"{c}_scores AS (SELECT {', '.join(f'{sql_bic(c, p, source)} - 0.1e0 * {len(p)} AS s{i}' for i, p in enumerate(sets))})" for c in STATES
+    )
+    chosen = "CASE WHEN greatest(s1, s2) <= s0 THEN 0 WHEN s3 > greatest(s1, s2) THEN 3 WHEN s1 >= s2 THEN 1 ELSE 2 END"
+    names = "CASE i " + " ".join(f"WHEN {i} THEN '{','.join(p)}'" for i, p in enumerate(sets)) + " END"
+    rows = " UNION ALL ".join(
+        f"SELECT '{c}' AS state, {names} AS parents, {sql_r6('CASE i WHEN 0 THEN s0 WHEN 1 THEN s1 WHEN 2 THEN s2 ELSE s3 END')} AS score FROM (SELECT *, {chosen} AS i FROM {c}_scores)" for c in STATES
+    )
+    return _SLICED + scores + " " + rows
+
+
+@REG.add("ts_slice_edges", _searched_sql())
+def ts_slice_edges(spark, sf_dir) -> DataFrame:
+    """Which states depend on which states before, searched between the slices alone; the score of each state's family."""
+    df = banded(spark, sf_dir)
+    model = SequenceOutlierDetector(entityCol="user_id", orderCols=["ts", "event_id"], stateCols=STATES).fit(df)
+    rows = previous_values(df, "user_id", ["ts", "event_id"], model.before, "met").where("met").dropna()
+    nodes = model.network.nodes
+    counts = compress(rows, nodes)
+    families = [(c, tuple(model.network.parents[c])) for c in STATES]
+    scored = named_bic_scores(counts, families, cardinalities(counts, nodes))
+    penalty = F.when(F.col("parents") == "", 0.0).otherwise(F.size(F.split("parents", ",")) * 0.1)
+    return scored.select(F.col("node").alias("state"), "parents", r6(F.col("score") - penalty).alias("score"))

@@ -29,6 +29,42 @@ def adjustment_columns(spark, sf_dir) -> DataFrame:
     return adjustment(screened(spark, sf_dir), ["net"])
 
 
+# On top of the edges that the data show: two further causes of the prices, of which one way between them leads through a collider.
+CAUSES = [("season", "flag"), ("season", "dear"), ("flag", "status"), ("habit", "flag"), ("habit", "net"), ("habit", "dear")]
+
+
+def _backdoor_sql(x: str, y: str) -> str:
+    """All backdoor paths, what blocks them, all sets of usable columns, and the walk from the largest set downwards."""
+    listed = " UNION ".join(f"SELECT '{a}', '{b}'" for a, b in CAUSES)
+    return (
+        f"WITH RECURSIVE {_screened_sql()}, g(parent, child) AS MATERIALIZED (SELECT parent, child FROM edges UNION {listed}), "
+        "below(top, c) AS (SELECT DISTINCT parent, parent FROM g UNION SELECT child, child FROM g UNION SELECT top, child FROM below JOIN g ON parent = c), "
+        f"usable AS (SELECT c, (row_number() OVER (ORDER BY c) - 1)::INTEGER AS bit FROM (SELECT DISTINCT top AS c FROM below WHERE c IN ('{x}', '{y}') "
+        f"AND top NOT IN (SELECT c FROM below WHERE top = '{x}') AND top <> '{y}')), "
+        f"steps AS (SELECT parent AS a, child AS b, true AS forth FROM g WHERE parent <> '{x}' UNION ALL SELECT child, parent, false FROM g WHERE parent <> '{x}'), "
+        f"paths(tip, forth, nodes, colliders) AS (SELECT b, forth, [b], []::VARCHAR[] FROM steps WHERE a = '{x}' UNION ALL SELECT s.b, s.forth, list_append(nodes, s.b), "
+        f"CASE WHEN p.forth AND NOT s.forth THEN list_append(colliders, p.tip) ELSE colliders END FROM paths p JOIN steps s ON s.a = p.tip "
+        f"WHERE p.tip <> '{y}' AND NOT list_contains(nodes, s.b) AND s.b <> '{x}'), "
+        f"whole AS MATERIALIZED (SELECT row_number() OVER () AS p, nodes, colliders FROM paths WHERE tip = '{y}'), "
+        "masks AS (SELECT range AS m FROM range((SELECT (1 << count(*))::BIGINT FROM usable))), "
+        f"plain AS (SELECT p, unnest(nodes) AS c, colliders FROM whole), "
+        "stops AS (SELECT p, sum(1 << bit)::BIGINT AS plain FROM plain JOIN usable USING (c) WHERE NOT list_contains(colliders, c) GROUP BY p), "
+        "opens AS (SELECT p, k, coalesce(sum(1 << bit), 0)::BIGINT AS need FROM (SELECT p, unnest(colliders) AS k FROM whole) JOIN below ON top = k LEFT JOIN usable USING (c) GROUP BY p, k), "
+        "good AS MATERIALIZED (SELECT m FROM masks WHERE NOT EXISTS (SELECT 1 FROM whole LEFT JOIN stops USING (p) WHERE m & coalesce(plain, 0) = 0 "
+        "AND NOT EXISTS (SELECT 1 FROM opens WHERE opens.p = whole.p AND m & need = 0))), "
+        "walk(m, bit) AS (SELECT (SELECT max(m) FROM masks WHERE m IN (SELECT m FROM good)), (SELECT count(*) FROM usable) UNION ALL "
+        "SELECT CASE WHEN m & (1 << (bit - 1)) > 0 AND m - (1 << (bit - 1)) IN (SELECT m FROM good) THEN m - (1 << (bit - 1)) ELSE m END, bit - 1 FROM walk WHERE bit > 0) "
+        "SELECT c AS feature FROM walk JOIN usable u ON walk.bit = 0 AND walk.m & (1 << u.bit) > 0"
+    )
+
+
+@REG.add("adjustment_backdoor", _backdoor_sql("dear", "net"))
+def adjustment_backdoor(spark, sf_dir) -> DataFrame:
+    """A minimal set against confounding of dear and net on the edges that the data show and some that are given."""
+    given = spark.createDataFrame(CAUSES, "parent string, child string")
+    return adjustment(screened(spark, sf_dir).unionByName(given), ["dear"], "net")
+
+
 @REG.add("ace_single", f"SELECT 'l_quantity' AS treatment, {sql_r6('regr_slope(l_extendedprice, l_quantity)')} AS effect FROM lineitem")
 def ace_single(spark, sf_dir) -> DataFrame:
     df = table(spark, sf_dir, "lineitem")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from statistics import NormalDist
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from evidentia.operators.cpt import Network, fit_network
 from evidentia.operators.families import cardinalities, compress, edge_gains, named_bic_scores, network_score, screened_edges
 from evidentia.operators.graph import allowed_edges, is_acyclic, parent_table
 from evidentia.operators.inference import with_probabilities
-from evidentia.operators.selection import markov_blanket
+from evidentia.operators.selection import MarkovBlanketSelector, markov_blanket
 from evidentia.operators.structure import learn_structure, random_forest
 from evidentia.plans.common import r6, registry, sql_r6, table
 from evidentia.session import scratch_path
@@ -265,6 +266,44 @@ def markov_blanket_query(spark, sf_dir) -> DataFrame:
     return markov_blanket(screened(spark, sf_dir), "dear")
 
 
+ALPHA, LEAST_ROWS = 0.01, 5.0
+
+
+def _tests_sql(target: str, cols: list[str]) -> str:
+    """Grow and shrink in SQL: statistics of all sets of columns as bit masks, then the two walks as recursive steps."""
+    every = [target, *cols]  # bit 0 is the target
+    masks = [[c for i, c in enumerate(every) if m >> i & 1] for m in range(1, 1 << len(every))]
+    sums = " UNION ALL ".join(f"SELECT {m} AS mask, sum(n * ln(n)) AS h FROM (SELECT count(*)::DOUBLE AS n FROM derived GROUP BY {', '.join(s)})" for m, s in enumerate(masks, 1))
+    cards = ", ".join(f"(SELECT count(DISTINCT {c}) FROM derived) AS r{i}" for i, c in enumerate(every))
+    states = " * ".join(f"CASE WHEN s.mask & {1 << i} > 0 THEN r{i} ELSE 1 END" for i in range(1, len(every)))
+    own = "CASE x " + " ".join(f"WHEN {i} THEN r{i}" for i in range(1, len(every))) + " END"
+    z = NormalDist().inv_cdf(1 - ALPHA)
+    names = "CASE x " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(cols, 1)) + " END"
+    h = lambda mask: f"(SELECT h FROM sums WHERE mask = {mask})"
+    return (
+        f"WITH RECURSIVE derived AS MATERIALIZED ({DERIVED_SQL}), sums AS MATERIALIZED (SELECT 0 AS mask, count(*) * ln(count(*)) AS h FROM derived UNION ALL {sums}), "
+        f"cards AS (SELECT count(*) AS n, {cards} FROM derived), "
+        f"asked AS (SELECT s.mask, x, n, {states} AS q, {own} AS r, r0 FROM sums s CROSS JOIN range(1, {len(every)}) t(x) CROSS JOIN cards "
+        "WHERE s.mask & 1 = 0 AND s.mask & (1 << x)::BIGINT = 0), "
+        f"tests AS MATERIALIZED (SELECT mask, x, n >= {LEAST_ROWS} * r * r0 * q AS enough, 2 * ({h('asked.mask | (1 << x) | 1')} - {h('asked.mask | (1 << x)')} - {h('asked.mask | 1')} + "
+        f"{h('asked.mask')}) / (f * pow(1 - 2e0 / (9 * f) + {z!r} * sqrt(2e0 / (9 * f)), 3)) AS ratio FROM (SELECT *, greatest(1, (r - 1) * (r0 - 1) * q) AS f FROM asked) asked), "
+        "adds AS MATERIALIZED (SELECT mask, arg_max(x, (ratio, -x)) AS x FROM tests WHERE enough AND ratio > 1 GROUP BY mask), "
+        f"drops AS MATERIALIZED (SELECT mask | (1 << x) AS mask, arg_min(x, (ratio, x)) AS x FROM tests WHERE enough AND ratio <= 1 GROUP BY mask | (1 << x)), "
+        "grown AS (SELECT 0::BIGINT AS mask UNION SELECT grown.mask | (1 << x) FROM grown JOIN adds ON adds.mask = grown.mask), "
+        "shrunk AS (SELECT max(mask) AS mask, 0 AS step FROM grown UNION ALL SELECT shrunk.mask - (1 << x), step + 1 FROM shrunk JOIN drops ON drops.mask = shrunk.mask), "
+        "blanket AS (SELECT arg_max(mask, step) AS mask FROM shrunk) "
+        f"SELECT {names} AS feature, (x - 1)::INTEGER AS position, {sql_r6('ratio')} AS score, blanket.mask & (1 << x)::BIGINT > 0 AS selected FROM blanket "
+        "JOIN tests ON tests.mask = blanket.mask & ~((1 << x)::BIGINT)"
+    )
+
+
+@REG.add("markov_blanket_tests", _tests_sql("dear", [c for c in ORDER if c != "dear"]))
+def markov_blanket_tests(spark, sf_dir) -> DataFrame:
+    """The selector by conditional tests: which columns it keeps, and every column's statistic given the blanket over its limit."""
+    model = MarkovBlanketSelector(labelCol="dear", alpha=ALPHA).fit(derived(spark, sf_dir))
+    return model.support(spark).withColumn("score", r6("score"))
+
+
 def _scored_edges(spark, df: DataFrame, edges: list[tuple[str, str]]) -> DataFrame:
     """Edges with the score of the child's family."""
     counts = compress(df, ORDER)

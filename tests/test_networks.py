@@ -1,14 +1,18 @@
+from itertools import combinations
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evidentia import NetworkFeatureGenerator
+from evidentia import MarkovBlanketSelector, NetworkFeatureGenerator
+from evidentia.operators.blanket import BlanketSearch, critical_value
 from evidentia.operators.bn_features import NetworkFeatureModel
 from evidentia.operators.cpt import fit_network
 from evidentia.operators.families import cardinalities, compress, named_bic_scores, network_score
-from evidentia.operators.graph import topological
+from evidentia.operators.ace import adjustment_columns
+from evidentia.operators.graph import backdoor_set, connected, descendants, topological
 from evidentia.operators.inference import with_probabilities
-from evidentia.operators.structure import learn_structure
+from evidentia.operators.structure import SetCounts, _Scores, learn_structure
 from evidentia.streaming.scoring import score_stream
 from tests.fixtures import CHAIN, DAYS, NODES, SCHEMA, SLIP, WET, bdeu, bic, day_rows
 
@@ -149,6 +153,67 @@ def test_scores(df):
     assert network_score(counts, families[:3], cards).first()["score"] == pytest.approx(total)
 
 
+def gappy(spark):
+    rows = [(i % 3, None if i % 11 == 0 else (i * i) % 4, (i % 3 + i % 2) % 3, None if i % 7 == 0 else i % 5) for i in range(600)]
+    return spark.createDataFrame(rows, "a int, b int, c int, d int")
+
+
+@pytest.mark.parametrize("limit", [0, 10**6])
+def test_statistics_of_sets_give_the_scores_of_families(spark, monkeypatch, limit):
+    """Families share what is counted of their columns; missing values and small margins change nothing."""
+    monkeypatch.setattr(SetCounts, "MARGIN_ROWS", limit)
+    monkeypatch.setattr(SetCounts, "MARGIN_COLUMNS", 2)
+    df = gappy(spark)
+    counts = compress(df, df.columns)
+    cards = cardinalities(counts, df.columns)
+    families = [(c, p) for c in df.columns for k in (0, 1, 2, 3) for p in combinations([x for x in df.columns if x != c], k)]
+    expected = {(r["node"], r["parents"]): r["score"] for r in named_bic_scores(counts, families, cards).collect()}
+    scores = _Scores(counts.withColumn("entered", F.lit(3)), cards, df.columns)
+    scores.fetch(families)
+    assert scores.jobs == 1 and (len(scores.counts.margins) == 1 if limit else len(scores.counts.margins) > 3)
+    for c, p in families:
+        assert scores.family(3, (c, p)) == pytest.approx(expected[c, ",".join(p)], rel=1e-9)
+        assert scores.family(0, (c, p)) == 0.0
+
+
+def planted(spark, n=4000):
+    """a and s are causes of c, c of d, a of e, and z stands apart: the blanket of a is c, e and the spouse s."""
+    import random
+
+    rng = random.Random(5)
+    rows = []
+    for _ in range(n):
+        a, s = rng.randrange(2), rng.randrange(2)
+        c = rng.choice([a, a ^ s, a ^ s, a ^ s, rng.randrange(2)])
+        rows.append((a, s, c, c if rng.random() < 0.9 else rng.randrange(2), a if rng.random() < 0.85 else rng.randrange(2), rng.randrange(3)))
+    return spark.createDataFrame(rows, "a int, s int, c int, d int, e int, z int")
+
+
+def test_blanket_by_tests_holds_the_spouse(spark):
+    df = planted(spark)
+    model = MarkovBlanketSelector(labelCol="a").fit(df)
+    assert model.get_feature_names_out() == ["s", "c", "e"]
+    assert model.transform(df).columns == ["s", "c", "e"]
+    search = BlanketSearch(df, "a", ["s", "c", "d", "e", "z"])
+    assert search.find() == ["s", "c", "e"]
+    assert any(t.feature == "s" and not t.given and t.ratio <= 1 for t in search.tests)  # independent alone
+    with pytest.raises(ValueError, match="method"):
+        MarkovBlanketSelector(labelCol="a", method="guess").fit(df)
+
+
+def test_critical_values():
+    """Against the table of the chi-square distribution, level 0.01."""
+    for freedom, value in ((1, 6.635), (2, 9.210), (5, 15.086), (10, 23.209), (30, 50.892), (100, 135.807)):
+        assert critical_value(freedom, 0.01) == pytest.approx(value, rel=0.02)
+
+
+def test_tests_without_enough_rows_say_nothing(spark):
+    df = spark.createDataFrame([(i % 2, i % 2, i) for i in range(30)], "t int, x int, wide int")
+    assert BlanketSearch(df, "t", ["x", "wide"]).find() == ["x"]
+    empty = BlanketSearch(df.limit(0), "t", ["x", "wide"])
+    assert empty.find() == []
+
+
 def test_learned_network(df):
     model = NetworkFeatureGenerator(featureCols=NODES, blackList=[("rain", "wet")], iterations=12).fit(df)
     assert model.num_classes is None
@@ -242,3 +307,64 @@ def test_samples_hold_their_share_of_every_combination(spark):
 def test_columns_of_many_values_can_be_linked(spark):
     df = spark.range(8000).select((F.col("id") % 2000).cast("int").alias("p"), (F.col("id") % 2000 % 1500).cast("int").alias("c"))
     assert learn_structure(df, ["p", "c"], iterations=0).edges == [("p", "c")]
+
+
+def moral_separation(edges, x, y, z):
+    """d-separation by the moral graph of the ancestors."""
+    above = descendants([(b, a) for a, b in edges], {x, y, *z})
+    kept = [(a, b) for a, b in edges if a in above and b in above]
+    links = {frozenset(e) for e in kept} | {frozenset((a, c)) for a, b in kept for c, d in kept if b == d and a != c}
+    seen, todo = set(), [x]
+    while todo:
+        c = todo.pop()
+        if c not in seen and c not in z:
+            seen.add(c)
+            todo += [o for e in links if c in e for o in e if o != c]
+    return y not in seen
+
+
+def test_reachability_equals_moral_separation():
+    import random
+
+    rng = random.Random(2)
+    for _ in range(150):
+        nodes = list("abcdef")
+        edges = [(a, b) for i, a in enumerate(nodes) for b in nodes[i + 1 :] if rng.random() < 0.4]
+        x, y = rng.sample(nodes, 2)
+        z = [c for c in nodes if c not in (x, y) and rng.random() < 0.4]
+        assert (y not in connected(edges, [x], z)) == moral_separation(edges, x, y, z)
+
+
+def test_backdoor_sets(spark):
+    collider = [("u", "x"), ("u", "m"), ("v", "m"), ("v", "y"), ("x", "y")]
+    assert backdoor_set(collider, ["x"], "y") == []  # the parents of x are u: not needed, as m is a collider
+    both = [*collider, ("m", "x"), ("m", "y")]
+    assert backdoor_set(both, ["x"], "y") == ["m", "u"]  # m opens the way from u to v
+    assert backdoor_set(both, ["x"], "y", unusable=["u"]) == ["m", "v"]
+    assert backdoor_set(both, ["x"], "y", unusable=["u", "v"]) is None
+    assert backdoor_set([("x", "c"), ("y", "c"), ("x", "w"), ("w", "y")], ["x"], "y") == []  # nothing below x
+    edges = spark.createDataFrame([*both, *both], "parent string, child string")
+    assert [r.feature for r in adjustment_columns(edges, ["x"], "y").collect()] == ["m", "u"]
+    assert [r.feature for r in adjustment_columns(edges, ["x"]).orderBy("feature").collect()] == ["m", "u"]
+    with pytest.raises(ValueError, match="separate"):
+        adjustment_columns(edges, ["x"], "y", ["m"])
+    with pytest.raises(ValueError, match="treatment"):
+        backdoor_set(both, ["x"], "x")
+
+
+def test_backdoor_sets_are_minimal_and_found_whenever_there_is_one():
+    import random
+
+    rng = random.Random(7)
+    for _ in range(60):
+        nodes = list("abcdefg")
+        edges = [(a, b) for i, a in enumerate(nodes) for b in nodes[i + 1 :] if rng.random() < 0.35]
+        x, y = sorted(rng.sample(nodes, 2))
+        hidden = [c for c in nodes if c not in (x, y) and rng.random() < 0.3]
+        rest = [e for e in edges if e[0] != x]
+        usable = [c for c in nodes if c not in descendants(edges, [x]) and c != y and c not in hidden]
+        good = [set(z) for k in range(len(usable) + 1) for z in combinations(usable, k) if moral_separation(rest, x, y, list(z))]
+        found = backdoor_set(edges, [x], y, hidden)
+        assert (found is None) == (not good)
+        if found is not None:
+            assert set(found) in good and not any(set(found) - {c} in good for c in found)
