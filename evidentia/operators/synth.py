@@ -28,13 +28,13 @@ from evidentia.session import cut_lineage
 LEAST_BUCKETS, MOST_BUCKETS = 64, 1 << 20  # of the unit interval of a parent combination
 
 
-def cumulative_table(network: Network, node: str) -> DataFrame:
+def cumulative_table(network: Network, node: str, out: str = "cdf") -> DataFrame:
     """Per parent combination the sorted states with the upper ends of their probability intervals."""
     parents = network.parents[node]
     table = network.node_table(node)
     upper = F.sum("prob").over(W.partitionBy(*parents).orderBy(node).rowsBetween(W.unboundedPreceding, W.currentRow))
     entry = F.struct(F.col(node).alias("state"), F.col("__hi").alias("hi"))
-    return table.withColumn("__hi", upper).groupBy(*parents).agg(F.sort_array(F.collect_list(entry)).alias("cdf"))
+    return table.withColumn("__hi", upper).groupBy(*parents).agg(F.sort_array(F.collect_list(entry)).alias(out))
 
 
 def _attach(df: DataFrame, table: DataFrame, keys: Sequence[str], values: Sequence[str], small: bool) -> DataFrame:
@@ -51,7 +51,7 @@ def draw_category(df: DataFrame, network: Network, node: str, seed: int, id_col:
     if not network.is_dense(node):
         return _draw_sparse(df, network, node, seed, id_col, drawn)
     cdf, at = (f"{n}-{uuid.uuid4().hex}" for n in ("cdf", "u"))  # names that no table has
-    df = _attach(df, cumulative_table(network, node).withColumnRenamed("cdf", cdf), network.parents[node], [cdf], small=True)
+    df = _attach(df, cumulative_table(network, node, cdf), network.parents[node], [cdf], small=True)
     df = df.withColumn(at, hash_uniform(F.col(id_col), node, seed))
     hit = F.get(F.filter(F.col(f"`{cdf}`"), lambda c: F.col(f"`{at}`") < c["hi"]), F.lit(0))["state"]
     # Rounding may leave the last end a hair below one.
