@@ -29,10 +29,15 @@ class Moments:
     cov: np.ndarray
 
     def solve(self, regressors: Sequence[str], outcome: str) -> tuple[np.ndarray, float]:
-        """Least-squares coefficients and the intercept; the smallest solution if columns depend on each other."""
+        """Least-squares coefficients and the intercept; the smallest solution if columns depend on each other.
+
+        Columns are brought to deviation 1 first, so that one with large numbers costs the others no digits.
+        """
         at = [self.cols.index(c) for c in regressors]
         y = self.cols.index(outcome)
-        coef = np.linalg.pinv(self.cov[np.ix_(at, at)], hermitian=True) @ self.cov[at, y]
+        scale = np.sqrt(np.diag(self.cov)[at])
+        scale = np.where(scale > 0, scale, 1.0)
+        coef = np.linalg.pinv(self.cov[np.ix_(at, at)] / np.outer(scale, scale), hermitian=True) @ (self.cov[at, y] / scale) / scale
         return coef, float(self.mean[y] - coef @ self.mean[at])
 
 

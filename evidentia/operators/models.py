@@ -70,19 +70,20 @@ def rank_consistency(
         "logistic": LogisticRegression(maxIter=20),
         "bayes": NaiveBayes(featuresCol="counts"),
     }
-    parts = []
     try:
         fitted = {name: estimator.fit(fit_rows) for name, estimator in candidates.items()}
     finally:
         fit_rows.unpersist()
-    for name, model in fitted.items():
-        for kind, rows in (("real", test), ("synthetic", made)):
-            scored = model.transform(prep.transform(shaped(rows)))
-            wrong = F.avg((F.col("prediction") != F.col("label")).cast("double"))
-            parts.append(scored.agg(wrong.alias("error")).select(F.lit(name).alias("model"), F.lit(kind).alias("kind"), "error"))
-    errors = parts[0]
-    for p in parts[1:]:
-        errors = errors.unionByName(p)
+    errors = None
+    for kind, rows in (("real", test), ("synthetic", made)):
+        # one pass: the predictions of all models stand on the row
+        scored = prep.transform(shaped(rows)).select("features", "counts", "label")
+        for name, model in fitted.items():
+            renamed = model.copy().setPredictionCol(f"{name}__p").setProbabilityCol(f"{name}__q").setRawPredictionCol(f"{name}__r")
+            scored = renamed.transform(scored)
+        wrong = [F.avg((F.col(f"{name}__p") != F.col("label")).cast("double")).alias(name) for name in fitted]
+        one = scored.agg(*wrong).select(F.explode(F.create_map(*[x for name in fitted for x in (F.lit(name), F.col(name))])).alias("model", "error"), F.lit(kind).alias("kind"))
+        errors = one if errors is None else errors.unionByName(one)
     wide = errors.groupBy("model").pivot("kind", ["real", "synthetic"]).agg(F.first("error"))
     everything = W.partitionBy()  # a row per model
     ranked = wide.select(

@@ -16,6 +16,7 @@ from evidentia.operators.models import accuracy, forest, with_confidence
 from evidentia.plans.common import r6, registry, sql_r6, sql_uniform, table
 from evidentia.plans.networks import EDGES, NODES, PARENTS, _screened_sql, screened, sql_lambda
 from evidentia.plans.selection import FEATURES, TARGET
+from evidentia.session import cut_lineage
 
 REG = registry()
 OUTCOME = "l_extendedprice"
@@ -149,6 +150,73 @@ def ace_confidence(spark, sf_dir) -> DataFrame:
     return effects.table(spark)
 
 
+def _facts(spark, rows: list[tuple[str, float]]) -> DataFrame:
+    return spark.createDataFrame([(n, float(v)) for n, v in rows], "fact string, value double").select("fact", r6("value").alias("value"))
+
+
+def sql_facts(rows: dict[str, str]) -> str:
+    return " UNION ALL ".join(f"SELECT '{n}' AS fact, {sql_r6(v)} AS value" for n, v in rows.items())
+
+
+_TEST = f"(SELECT * FROM lineitem WHERE NOT {sql_uniform(*[f'{c}::VARCHAR' for c in MODEL_KEYS], 42)} < 0.7)"
+
+
+@REG.add(
+    "rf_accuracy_facts",
+    sql_facts({
+        "test rows": f"(SELECT count(*) FROM {_TEST})", "accuracy less right rows over all": "0", "accuracy outside 0 to 1": "0",
+        "classes": "(SELECT count(DISTINCT l_returnflag) FROM lineitem)", "confidence below an even guess": "0", "confidence above 1": "0",
+    }),
+)
+def rf_accuracy_facts(spark, sf_dir) -> DataFrame:
+    """What must hold of a forest's accuracy and confidence whatever trees it grew; rows and classes are counted."""
+    train, test = hash_split(_model_rows(spark, sf_dir), MODEL_KEYS, 0.7, 42)
+    model = forest(MODEL_FEATURES, "l_returnflag").fit(train)
+    labels = list(model.stages[0].labels)
+    scored = with_confidence(model, test)
+    found = accuracy(scored).first()
+    index = F.array_position(F.array(*[F.lit(c) for c in labels]), F.col("l_returnflag")) - 1
+    again = scored.agg(
+        F.count_if(F.col("prediction") == index).alias("right"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("confidence") < 1 / (len(labels) + 1) - 1e-9).alias("low"),
+        F.count_if(F.col("confidence") > 1 + 1e-9).alias("high")).first()
+    return _facts(spark, [
+        ("test rows", found["n"]), ("accuracy less right rows over all", found["accuracy"] - again["right"] / again["n"]),
+        ("accuracy outside 0 to 1", float(not 0 <= found["accuracy"] <= 1)), ("classes", len(labels)), ("confidence below an even guess", again["low"]), ("confidence above 1", again["high"]),
+    ])
+
+
+@REG.add(
+    "explain_row_facts",
+    f"WITH one AS (SELECT * FROM {_TEST} ORDER BY {', '.join(MODEL_KEYS)} LIMIT 1) "
+    + sql_facts({**{c: f"(SELECT {c} FROM one)" for c in MODEL_KEYS}, "rows": "1", "the class is a label": "1", "confidence outside even guess to 1": "0"}),
+)
+def explain_row_facts(spark, sf_dir) -> DataFrame:
+    """Which row is explained, and that its prediction is one of the classes with a confidence that can be."""
+    rows = explain_one_row(spark, sf_dir).collect()
+    classes = _model_rows(spark, sf_dir).select("l_returnflag").distinct().count()
+    r = rows[0]
+    return _facts(spark, [
+        *[(c, r[c]) for c in MODEL_KEYS], ("rows", len(rows)), ("the class is a label", r["prediction"] in range(classes)),
+        ("confidence outside even guess to 1", not 1 / (classes + 1) <= r["confidence"] <= 1),
+    ])
+
+
+@REG.add(
+    "ace_confidence_facts",
+    sql_facts({"treatments": str(len(MODEL_FEATURES)), "rows": "(SELECT count(*) FROM lineitem)", **{f"residual along {c}": "0" for c in MODEL_FEATURES}}),
+)
+def ace_confidence_facts(spark, sf_dir) -> DataFrame:
+    """The effects on a model's confidence are those of least squares: what they leave over is orthogonal to every treatment."""
+    df = _model_rows(spark, sf_dir)
+    scored = cut_lineage(with_confidence(forest(MODEL_FEATURES, "l_returnflag").fit(df), df).select(*MODEL_FEATURES, "confidence"))
+    effects = AverageCausalEffect(treatments=MODEL_FEATURES, outcome="confidence").fit(scored).effects
+    rest = F.col("confidence")
+    for c, effect in effects.items():
+        rest = rest - F.lit(effect) * F.col(c)
+    along = scored.withColumn("rest", rest).agg(F.count(F.lit(1)).alias("n"), *[F.corr("rest", c).alias(c) for c in MODEL_FEATURES]).first()
+    return _facts(spark, [("treatments", len(effects)), ("rows", along["n"]), *[(f"residual along {c}", along[c]) for c in MODEL_FEATURES]])
+
+
 # Units as slices of the vectors: 4 layers of 2 units with 8 numbers each.
 LAYERS, UNITS, WIDTH = 4, 2, 8
 LAYER_NAMES = [f"layer{i}" for i in range(LAYERS)]

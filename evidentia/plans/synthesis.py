@@ -186,3 +186,27 @@ def error_rank_consistency(spark, sf_dir) -> DataFrame:
     ).fit(df)
     made = model.sample(df.count(), SEED)
     return rank_consistency(df, made, ["lang", "source"], ["n_chars"], "toxic", key=["doc_id"], seed=SEED)
+
+
+@REG.add(
+    "error_rank_facts",
+    "SELECT 'models' AS fact, 5e0 AS value UNION ALL SELECT 'errors outside 0 to 1', 0e0 UNION ALL SELECT 'ranks that are not the errors', 0e0 "
+    "UNION ALL SELECT 'correlation less that of the ranks', 0e0",
+)
+def error_rank_facts(spark, sf_dir) -> DataFrame:
+    """Ranks and rank correlation recomputed from the errors."""
+    rows = error_rank_consistency(spark, sf_dir).collect()
+    wrong, pairs = 0, []
+    for r in rows:
+        own = [1 + sum(o[f"error_{k}"] < r[f"error_{k}"] for o in rows) for k in ("real", "synthetic")]
+        wrong += own != [r["rank_real"], r["rank_synthetic"]]
+        pairs.append(own)
+    means = [sum(p[i] for p in pairs) / len(pairs) for i in (0, 1)]
+    cross = [[sum((p[i] - means[i]) * (p[j] - means[j]) for p in pairs) for j in (0, 1)] for i in (0, 1)]
+    expected = cross[0][1] / (cross[0][0] * cross[1][1]) ** 0.5 if cross[0][0] and cross[1][1] else None
+    apart = 0.0 if rows[0]["spearman"] is None and expected is None else rows[0]["spearman"] - expected
+    facts = [
+        ("models", float(len(rows))), ("errors outside 0 to 1", float(sum(not 0 <= r[c] <= 1 for r in rows for c in ("error_real", "error_synthetic")))),
+        ("ranks that are not the errors", float(wrong)), ("correlation less that of the ranks", apart),
+    ]
+    return spark.createDataFrame(facts, "fact string, value double").select("fact", r6("value").alias("value"))
