@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.functions.running import running_sums
+from evidentia.session import cut_lineage
 
 BUCKETS = 2048
 ACCURACY = 10_000
@@ -126,17 +127,25 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     return out
 
 
-def weighted_quantile(df: DataFrame, value: str, weight: str, prob: float) -> float:
-    """Linear-interpolated quantile of a column whose rows stand for ``weight`` equal rows each; NaN for an empty table.
+def weighted_quantiles(df: DataFrame, value: str, weight: str, probs: Sequence[float]) -> list[float]:
+    """Linear-interpolated quantiles of a column whose rows stand for ``weight`` equal rows each; NaN for an empty table.
 
     Weights are added up by range of values, so no task holds them all. Missing values and weights below one count for nothing.
     """
     legal = df.select(_clean(value).alias("x"), F.col(weight).cast("bigint").alias("w")).where("x IS NOT NULL AND w > 0")
-    cells = running_sums(legal.groupBy("x").agg(F.sum("w").alias("w")), [], ["x"], {"upto": F.col("w")})
+    cells = cut_lineage(running_sums(legal.groupBy("x").agg(F.sum("w").alias("w")), [], ["x"], {"upto": F.col("w")}))
     total = cells.agg(F.max("upto")).first()[0]
     if not total:
-        return math.nan
-    at = prob * (total - 1)
-    low, high = (F.min(F.when(F.col("upto") > r, F.col("x"))) for r in (math.floor(at), math.ceil(at)))
-    row = cells.agg(low.alias("low"), high.alias("high")).first()
-    return row["low"] + (row["high"] - row["low"]) * (at - math.floor(at))
+        return [math.nan] * len(probs)
+    ends = [(p * (total - 1), f) for p in probs for f in (math.floor, math.ceil)]
+    found = cells.agg(*[F.min(F.when(F.col("upto") > f(at), F.col("x"))).alias(f"q{i}") for i, (at, f) in enumerate(ends)]).first()
+    out = []
+    for i in range(len(probs)):
+        low, high, at = found[2 * i], found[2 * i + 1], ends[2 * i][0]
+        out.append(low + (high - low) * (at - math.floor(at)))
+    return out
+
+
+def weighted_quantile(df: DataFrame, value: str, weight: str, prob: float) -> float:
+    """One of ``weighted_quantiles``."""
+    return weighted_quantiles(df, value, weight, [prob])[0]

@@ -2,49 +2,93 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.functions.quantiles import exact_quantiles
+from evidentia.functions.quantiles import weighted_quantiles
 from evidentia.session import cut_lineage
 
 SD_FLOOR = 1e-6
-CUT_EVERY = 5
 BROADCAST_ROWS = 1_000_000
+TOLERANCE = 1e-10  # least share by which an iteration has to raise the likelihood
+
+
+@dataclass
+class _Cells:
+    """Distinct values with their numbers, ``(parents..., x, w)``: all that fitting needs, made in one pass over the rows."""
+
+    table: DataFrame
+    parents: list[str]
+    floor: float
+    sd: float
+
+    @classmethod
+    def of(cls, df: DataFrame, node: str, parents: Sequence[str]) -> _Cells:
+        x = F.nanvl(F.col(node).cast("double"), F.lit(None).cast("double"))
+        values = df.select(*parents, x.alias("x")).where(F.col("x").isNotNull())
+        table = cut_lineage(values.groupBy(*parents, "x").agg(F.count(F.lit(1)).alias("w")))
+        mean = table.agg(F.sum(F.col("x") * F.col("w")) / F.sum("w")).first()[0]
+        off = F.col("x") - F.lit(mean)
+        variance = table.agg(F.sum(off * off * F.col("w")) / F.sum("w")).first()[0] if mean is not None else 0.0
+        sd = math.sqrt(variance or 0.0) or 1.0
+        return cls(table, list(parents), sd * SD_FLOOR, sd)
+
+    def fit(self, components: int, iterations: int) -> DataFrame:
+        """``(parents..., total, weights, means, sds)`` after expectation-maximisation, all parent combinations at once.
+
+        All start from the quantiles of the whole column, so the result is repeatable. Ends when an iteration no longer raises the likelihood of
+        all combinations together by ``TOLERANCE`` of it, or after ``iterations``.
+        """
+        starts = weighted_quantiles(self.table, "x", "w", [(i + 0.5) / components for i in range(components)])
+        params = cut_lineage(self.table.groupBy(*self.parents).agg(
+            F.sum("w").alias("total"),
+            F.array(*[F.lit(1.0 / components)] * components).alias("weights"),
+            F.array(*[F.lit(m) for m in starts]).alias("means"),
+            F.array(*[F.lit(self.sd)] * components).alias("sds"),
+        ))
+        before = None
+        for _ in range(iterations):
+            stepped = self.step(params, components)
+            likelihood = stepped.agg(F.sum("likelihood")).first()[0]  # of the parameters that the step started from
+            params = stepped.drop("likelihood")
+            if before is not None and likelihood - before <= TOLERANCE * abs(likelihood):
+                break
+            before = likelihood
+        return params
+
+    def step(self, params: DataFrame, components: int) -> DataFrame:
+        """One iteration, and ``likelihood``: the log-likelihood of every combination under ``params``."""
+        side = F.broadcast(params) if params.count() <= BROADCAST_ROWS else params
+        return cut_lineage(_step(self.table, side, self.parents, components, F.lit(self.floor)))
 
 
 def fit_mixtures(df: DataFrame, node: str, parents: Sequence[str], components: int = 2, iterations: int = 10) -> DataFrame:
-    """``(parents..., n, weights, means, sds)`` with one array slot per component.
+    """``(parents..., n, weights, means, sds)`` with one array slot per component: a Gaussian mixture per parent combination.
 
-    Expectation-maximisation as one grouped aggregate per iteration over the cached values;
-    the parameters of all parent combinations are a table joined back on the parents. All start from
-    the quantiles of the whole column, so the result is repeatable.
+    The rows are read once, into counts of distinct values; every iteration is a grouped aggregate over those.
     """
-    parents = list(parents)
-    x = F.nanvl(F.col(node).cast("double"), F.lit(None).cast("double"))
-    values = df.select(*parents, x.alias("x")).where(F.col("x").isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        starts = exact_quantiles(df, [node], [(i + 0.5) / components for i in range(components)])[node]
-        sd = df.agg(F.stddev_pop(x).alias("sd")).first()["sd"] or 1.0
-        floor = F.lit(sd * SD_FLOOR)
-        params = values.groupBy(*parents).agg(
-            F.count(F.lit(1)).alias("total"),
-            F.array(*[F.lit(1.0 / components)] * components).alias("weights"),
-            F.array(*[F.lit(m) for m in starts]).alias("means"),
-            F.array(*[F.lit(sd)] * components).alias("sds"),
-        )
-        params = cut_lineage(params)
-        small = params.count() <= BROADCAST_ROWS
-        for i in range(iterations):
-            params = _step(values, F.broadcast(params) if small else params, parents, components, floor)
-            if (i + 1) % CUT_EVERY == 0 or i + 1 == iterations:
-                params = cut_lineage(params)
-        return params.withColumnRenamed("total", "n")
-    finally:
-        values.unpersist()
+    return _Cells.of(df, node, parents).fit(components, iterations).withColumnRenamed("total", "n")
+
+
+def choose_mixtures(df: DataFrame, node: str, parents: Sequence[str], most: int = 3, iterations: int = 20) -> DataFrame:
+    """``(parents..., n, components, bic, weights, means, sds)``: for every parent combination the mixture of 1 to ``most`` components with the least
+    BIC, -2 ln L + (3 components - 1) ln n; of equal ones the smaller."""
+    cells = _Cells.of(df, node, parents)
+    found = None
+    for k in range(1, most + 1):
+        params = cells.fit(k, iterations)
+        worth = cells.step(params, k).select(*cells.parents, "likelihood")
+        joined = params.join(worth, cells.parents) if cells.parents else params.withColumn("likelihood", F.lit(worth.first()[0] if not worth.isEmpty() else None).cast("double"))
+        n = F.col("total").cast("double")
+        one = joined.withColumns({"components": F.lit(k), "bic": -2 * F.col("likelihood") + F.lit(3.0 * k - 1) * F.ln(n)})
+        found = one if found is None else found.unionByName(one)
+    kept = ["total", "components", "bic", "weights", "means", "sds"]
+    best = found.groupBy(*cells.parents).agg(F.min_by(F.struct(*kept), F.struct("bic", "components")).alias("b"))
+    return cut_lineage(best.where("b IS NOT NULL").select(*cells.parents, *[F.col(f"b.{c}").alias("n" if c == "total" else c) for c in kept]))
 
 
 def gaussian_table(df: DataFrame, node: str, parents: Sequence[str]) -> DataFrame:
@@ -76,9 +120,11 @@ def _step(values: DataFrame, params: DataFrame, parents: list[str], components:
     joined = joined.withColumn("peak", peak)
     total = sum((F.exp(F.col(l) - F.col("peak")) for l in logs[1:]), F.exp(F.col(logs[0]) - F.col("peak")))
     joined = joined.withColumn("norm", total)
-    sums = [F.count(F.lit(1)).alias("total")]
+    w = F.col("w")
+    density = F.col("peak") + F.ln("norm") - F.lit(0.5 * math.log(2 * math.pi))
+    sums = [F.sum(w).alias("total"), F.sum(w * density).alias("likelihood")]
     for c, l in enumerate(logs):
-        r = F.exp(F.col(l) - F.col("peak")) / F.col("norm")
+        r = w * F.exp(F.col(l) - F.col("peak")) / F.col("norm")
         centred = F.col("x") - F.col("means")[c]
         sums += [F.sum(r).alias(f"r{c}"), F.sum(r * centred).alias(f"d{c}"), F.sum(r * centred * centred).alias(f"q{c}")]
         sums.append(F.first(F.col("means")[c]).alias(f"m{c}"))
@@ -94,7 +140,7 @@ def _step(values: DataFrame, params: DataFrame, parents: list[str], components:
         return F.when(F.col(f"r{c}") > 1e-9, F.greatest(spread, floor)).otherwise(F.col(f"s{c}"))
 
     return agg.select(
-        *parents, "total",
+        *parents, "total", "likelihood",
         F.array(*[F.col(f"r{c}") / F.col("total") for c in range(components)]).alias("weights"),
         F.array(*[new_mean(c) for c in range(components)]).alias("means"),
         F.array(*[new_sd(c) for c in range(components)]).alias("sds"),

@@ -19,7 +19,7 @@ from evidentia.operators.cpt import MAX_CELLS, Network, fit_network
 from evidentia.operators.families import combinations
 from evidentia.operators.graph import Edge, ancestors, topological
 from evidentia.operators.joins import split_join
-from evidentia.operators.mixture import fit_mixtures, single_normals
+from evidentia.operators.mixture import choose_mixtures, fit_mixtures, single_normals
 from evidentia.operators.persist import State, TableModel, Tables, named, under
 from evidentia.operators.selection import FeatureParams
 from evidentia.operators.structure import learn_structure
@@ -165,7 +165,7 @@ def draw_number(
     df = _attach(df, side, parents, ["__ends", "__means", "__sds"], small)
     df = df.withColumn("__u", hash_uniform(F.col(id_col), f"{node}#0", seed))
     # The number of ends at or below u is the component's place.
-    df = df.withColumn("__c", F.least(F.size(F.filter("__ends", lambda e: e <= F.col("__u"))), F.lit(components - 1)))
+    df = df.withColumn("__c", F.least(F.size(F.filter("__ends", lambda e: e <= F.col("__u"))), F.size("__means") - 1))
     value = F.get("__means", F.col("__c")) + F.get("__sds", F.col("__c")) * normal
     return df.withColumn(node, value).drop("__u", "__c", "__ends", "__means", "__sds")
 
@@ -174,7 +174,7 @@ class SyntheticGenerator(Estimator, FeatureParams):
     """Fits a hybrid network: ``featureCols`` are categories, ``numericParents`` maps each continuous
     column to its category parents. With ``components`` above 1 continuous nodes are Gaussian mixtures."""
 
-    components = Param(Params._dummy(), "components", "mixture components", TypeConverters.toInt)
+    components = Param(Params._dummy(), "components", "mixture components; 0 chooses 1 to 3 by BIC", TypeConverters.toInt)
     iterations = Param(Params._dummy(), "iterations", "search iterations", TypeConverters.toInt)
     seed = Param(Params._dummy(), "seed", "random seed", TypeConverters.toInt)
     maxCells = Param(Params._dummy(), "maxCells", "cells of a table that is laid out and broadcast", TypeConverters.toInt)
@@ -200,7 +200,10 @@ class SyntheticGenerator(Estimator, FeatureParams):
         count = self.getOrDefault("components")
         mixtures = {}
         for c, parents in self.numeric_parents.items():
-            table = fit_mixtures(df, c, parents, count) if count > 1 else single_normals(df, c, parents)
+            if count == 0:
+                table = choose_mixtures(df, c, parents)
+            else:
+                table = cut_lineage(fit_mixtures(df, c, parents, count)) if count > 1 else single_normals(df, c, parents)
             mixtures[c] = (list(parents), table, table.count(), count)
         return SyntheticModel(network, mixtures)
 

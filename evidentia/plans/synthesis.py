@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evidentia.operators.balance import ClassBalancer
 from evidentia.operators.balance import class_imbalance as imbalance
-from evidentia.operators.mixture import fit_mixtures, gaussian_table
+from evidentia.operators.mixture import choose_mixtures, fit_mixtures, gaussian_table
 from evidentia.operators.models import rank_consistency
 from evidentia.operators.synth import SyntheticGenerator
 from evidentia.plans.common import r6, registry, sql_r6, sql_uniform, table
@@ -137,35 +137,59 @@ def class_imbalance(spark, sf_dir) -> DataFrame:
     return imbalance(labelled(spark, sf_dir), "toxic").withColumn("ratio", r6("ratio"))
 
 
-def _mixture_sql(iterations: int) -> str:
-    """Two components per status, the iterations unrolled."""
-    start = (
-        "p0 AS (SELECT l_linestatus, 0.5e0 AS w0, 0.5e0 AS w1, (SELECT quantile_cont(l_extendedprice, 0.25) FROM lineitem) AS m0, "
-        "(SELECT quantile_cont(l_extendedprice, 0.75) FROM lineitem) AS m1, (SELECT stddev_pop(l_extendedprice) FROM lineitem) AS s0, "
-        "(SELECT stddev_pop(l_extendedprice) FROM lineitem) AS s1, 0::BIGINT AS n FROM (SELECT DISTINCT l_linestatus FROM lineitem))"
-    )
-    steps = [start]
-    for i in range(iterations):
-        dens = [f"ln(w{c}) - ln(s{c}) - pow((x - m{c}) / s{c}, 2) / 2" for c in (0, 1)]
-        steps.append(
-            f"e{i} AS (SELECT *, 1 / (1 + exp(l1 - l0)) AS r0, 1 / (1 + exp(l0 - l1)) AS r1 FROM (SELECT p.l_linestatus, l_extendedprice AS x, m0, m1, "
-            f"{dens[0].replace('x -', 'l_extendedprice -')} AS l0, {dens[1].replace('x -', 'l_extendedprice -')} AS l1 "
-            f"FROM lineitem JOIN p{i} p USING (l_linestatus)))"
-        )
-        part = ", ".join(
-            f"sum(r{c}) / count(*) AS w{c}, any_value(m{c}) + sum(r{c} * (x - m{c})) / sum(r{c}) AS m{c}" for c in (0, 1)
-        )
-        spread = ", ".join(
-            f"sqrt(sum(r{c} * (x - m{c}) * (x - m{c})) / sum(r{c}) - pow(sum(r{c} * (x - m{c})) / sum(r{c}), 2)) AS s{c}" for c in (0, 1)
+def _mixture_steps(iterations: int, k: int) -> tuple[list[str], str]:
+    """Named steps of ``k`` components per status, the iterations unrolled, and the name of the last parameters; ``<name>_l`` has their likelihood."""
+    every, tag = range(k), f"k{k}_"
+    starts = ", ".join(f"{1 / k!r}::DOUBLE AS w{c}, (SELECT quantile_cont(l_extendedprice, {(c + 0.5) / k!r}) FROM lineitem) AS m{c}, (SELECT stddev_pop(l_extendedprice) FROM lineitem) AS s{c}" for c in every)
+    steps = [f"{tag}p0 AS (SELECT l_linestatus, {starts}, 0::BIGINT AS n FROM (SELECT DISTINCT l_linestatus FROM lineitem))"]
+
+    def expected(i: int) -> str:
+        logs = ", ".join(f"ln(w{c}) - ln(s{c}) - pow((l_extendedprice - m{c}) / s{c}, 2) / 2 AS l{c}" for c in every)
+        shares = ", ".join(f"1 / ({' + '.join(f'exp(l{o} - l{c})' for o in every)}) AS r{c}" for c in every)
+        peak = f"greatest({', '.join(f'l{c}' for c in every)})"
+        return (
+            f"SELECT *, {shares}, {peak} + ln({' + '.join(f'exp(l{c} - {peak})' for c in every)}) - ln(2 * pi()) / 2 AS density FROM "
+            f"(SELECT p.l_linestatus, l_extendedprice AS x, {', '.join(f'm{c}' for c in every)}, {logs} FROM lineitem JOIN {tag}p{i} p USING (l_linestatus))"
         )
-        steps.append(f"p{i + 1} AS (SELECT l_linestatus, {part}, {spread}, count(*) AS n FROM e{i} GROUP BY l_linestatus)")
-    last = f"p{iterations}"
+
+    for i in range(iterations):
+        part = ", ".join(f"sum(r{c}) / count(*) AS w{c}, any_value(m{c}) + sum(r{c} * (x - m{c})) / sum(r{c}) AS m{c}" for c in every)
+        spread = ", ".join(f"sqrt(sum(r{c} * (x - m{c}) * (x - m{c})) / sum(r{c}) - pow(sum(r{c} * (x - m{c})) / sum(r{c}), 2)) AS s{c}" for c in every)
+        steps.append(f"{tag}e{i} AS ({expected(i)})")
+        steps.append(f"{tag}p{i + 1} AS MATERIALIZED (SELECT l_linestatus, {part}, {spread}, count(*) AS n FROM {tag}e{i} GROUP BY l_linestatus)")
+    last = f"{tag}p{iterations}"
+    steps.append(f"{last}_l AS (SELECT l_linestatus, sum(density) AS likelihood FROM ({expected(iterations)}) GROUP BY l_linestatus)")
+    return steps, last
+
+
+def _mixture_sql(iterations: int) -> str:
+    """Two components per status."""
+    steps, last = _mixture_steps(iterations, 2)
     return f"WITH {', '.join(steps)} " + " UNION ALL ".join(
         f"SELECT l_linestatus, {c} AS component, n, round(w{c}, 5) + 0e0 AS weight, round(m{c}, 2) + 0e0 AS mean, round(s{c}, 2) + 0e0 AS sd FROM {last}"
         for c in (0, 1)
     )
 
 
+def _chosen_sql(iterations: int, most: int) -> str:
+    steps, rows = [], []
+    for k in range(1, most + 1):
+        own, last = _mixture_steps(iterations, k)
+        steps += own
+        rows.append(f"SELECT l_linestatus, n, {k} AS components, -2 * likelihood + {3.0 * k - 1} * ln(n) AS bic, m0 AS first FROM {last} JOIN {last}_l USING (l_linestatus)")
+    return (
+        f"WITH {', '.join(steps)}, every AS ({' UNION ALL '.join(rows)}) SELECT l_linestatus, any_value(n) AS n, arg_min(components, (bic, components)) AS components, "
+        "round(min(bic), 2) + 0e0 AS bic, round(arg_min(first, (bic, components)), 2) + 0e0 AS first_mean FROM every GROUP BY l_linestatus"
+    )
+
+
+@REG.add("gmm_chosen", _chosen_sql(4, 3))
+def gmm_chosen(spark, sf_dir) -> DataFrame:
+    """How many components the BIC of every status asks for."""
+    fitted = choose_mixtures(table(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_linestatus"], most=3, iterations=4)
+    return fitted.select("l_linestatus", "n", "components", (F.round("bic", 2) + F.lit(0.0)).alias("bic"), (F.round(F.col("means")[0], 2) + F.lit(0.0)).alias("first_mean"))
+
+
 @REG.add("gmm_nodes", _mixture_sql(5))
 def gmm_nodes(spark, sf_dir) -> DataFrame:
     fitted = fit_mixtures(table(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_linestatus"], components=2, iterations=5)

@@ -10,7 +10,7 @@ from evidentia.operators.ace import moments
 from evidentia.operators.balance import class_imbalance
 from evidentia.operators.cpt import fit_network
 from evidentia.operators.layers import response_norms
-from evidentia.operators.mixture import fit_mixtures
+from evidentia.operators.mixture import choose_mixtures, fit_mixtures
 from evidentia.operators.synth import SyntheticModel
 from evidentia.sources.tables import as_table, attach_target, load_table, split_target
 
@@ -62,6 +62,26 @@ def test_mixture_finds_two_groups(spark):
     assert whole["means"][0] == pytest.approx(np.mean([v for _, v in rows]))
 
 
+def test_components_are_chosen_by_group(spark):
+    rng = np.random.default_rng(0)
+    rows = [(0, float(v)) for v in [*rng.normal(0, 1, 400), *rng.normal(20, 2, 200)]] + [(1, float(v)) for v in rng.normal(10, 1, 300)]
+    rows += [(2, 5.0)] * 40 + [(3, None)] * 3
+    df = spark.createDataFrame(rows, "k int, x double")
+    found = {r["k"]: r for r in choose_mixtures(df, "x", ["k"], 3, 30).collect()}
+    assert {k: r["components"] for k, r in found.items()} == {0: 2, 1: 1, 2: 1}
+    assert [len(found[0][c]) for c in ("weights", "means", "sds")] == [2, 2, 2] and found[0]["means"] == pytest.approx([0, 20], abs=0.5)
+    x = np.array([v for k, v in rows if k == 1])
+    likelihood = -0.5 * len(x) * (np.log(2 * np.pi * x.var()) + 1)
+    assert found[1]["bic"] == pytest.approx(-2 * likelihood + 2 * np.log(len(x)))
+    whole = choose_mixtures(df, "x", [], 2).first()
+    assert whole["components"] == 2 and whole["n"] == 940
+    model = SyntheticGenerator(featureCols=["k"], knownStructure=[], numericParents={"x": ["k"]}, components=0).fit(df.where("k < 3"))
+    made = model.sample(900, seed=4)
+    assert made.where("x IS NULL").count() == 0
+    near = made.where("k = 0").agg(F.avg((F.col("x") > 10).cast("int"))).first()[0]
+    assert near == pytest.approx(1 / 3, abs=0.08)
+
+
 def test_balancing(spark):
     df = frame(spark)
     out = ClassBalancer(featureCols=["c"], labelCol="t", knownStructure=[("t", "c")], numericParents={"x": ["t"]}, seed=1).fit_resample(df)
