@@ -34,7 +34,7 @@ _LOADED: dict[str, Ids] = {}
 class Ids(Kept):
     """Ids by piece of text, as little-endian unsigned 32-bit numbers."""
 
-    LIMIT = 1_000_000
+    LIMIT = 500_000
     PART = 20_000
 
     def __init__(self, spec: str):
@@ -109,7 +109,7 @@ def text_ids(texts: pa.Array, table: Ids) -> tuple[np.ndarray, np.ndarray]:
     return ids, ends[lists.offsets.to_numpy()]
 
 
-def by_size(texts: pa.Array, most: int = 8_000_000) -> Iterator[tuple[int, int]]:
+def by_size(texts: pa.Array, most: int = 4_000_000) -> Iterator[tuple[int, int]]:
     """Runs of texts of about ``most`` bytes at most, a longer text by itself."""
     sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
     start, total = 0, 0
