@@ -17,7 +17,7 @@ from evidentia.session import local_session
 
 HEADLINE = [
     "iqr_discretize", "cut_discretize", "causal_select", "nmi_relevance", "nmi_select", "bic_family_scores", "bdeu_cpt",
-    "bn_lambda", "bn_structure", "lof_sampled", "lof_rows", "outlier_predict", "bn_anomaly", "ts_anomaly", "synthetic_sample", "oversample_rows", "error_rank_consistency", "gmm_nodes",
+    "bn_lambda", "bn_structure", "lof_rows", "outlier_predict", "bn_anomaly", "ts_anomaly", "synthetic_sample", "oversample_rows", "error_rank_consistency", "gmm_nodes", "gmm_chosen", "lof_wide", "markov_blanket_tests", "synthetic_sample_large", "ts_anomaly_states",
     "ace_two", "placebo_effect", "scm_ablation",
 ]
 

@@ -35,7 +35,7 @@ def split_join(
     Keys that hold more than ``share`` of the rows are at most ``1 / share``; their rows of ``side`` are broadcast if they fit
     ``hot_bytes`` (counted from their JSON form). All other keys are joined by exchange, where none holds more than ``share``; rows that
     have their match already or that hold a null in a key, which finds none, spread evenly over that exchange. ``counts`` (keys and
-    ``rows``) saves a count of ``rows`` if it is known. ``rows`` is read once, and once more where they are counted.
+    ``rows``) saves a count of ``rows`` if it is known; a stream can't be counted and has none joined apart. ``rows`` is read once, and once more where they are counted.
     """
     keys = list(keys)
     other = [c for c in side.columns if c not in keys]
@@ -43,9 +43,10 @@ def split_join(
     if clash:
         raise ValueError(f"columns on both sides: {sorted(clash)}")
     col = lambda c: F.col(f"`{c}`")
-    counts = key_counts(rows, keys) if counts is None else counts.dropna(subset=keys)
-    total = counts.agg(F.sum("rows")).first()[0] or 0
-    hot = counts.where(F.col("rows") > F.lit(share * total)).select(*[col(k) for k in keys]).collect() if total else []
+    if counts is None and not rows.isStreaming:
+        counts = key_counts(rows, keys)
+    total = 0 if counts is None else counts.dropna(subset=keys).agg(F.sum("rows")).first()[0] or 0
+    hot = counts.dropna(subset=keys).where(F.col("rows") > F.lit(share * total)).select(*[col(k) for k in keys]).collect() if total else []
     found, taken, salt, held = (f"{n}-{uuid.uuid4().hex}" for n in ("found", "taken", "salt", "held"))  # names that no table has
     away = F.lit(False)
     for k in keys:

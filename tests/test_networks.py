@@ -277,7 +277,9 @@ def test_scoring_broadcasts_and_stays_in_the_jvm(df, model):
     assert plan.count("BroadcastHashJoin") >= 3 and "SortMergeJoin" not in plan and "Python" not in plan
 
 
-def test_stream_scores_like_a_batch(spark, df, model, tmp_path):
+@pytest.mark.parametrize("cells", [10**6, 1])
+def test_stream_scores_like_a_batch(spark, df, model, tmp_path, cells):
+    model = NetworkFeatureModel(fit_network(df, NODES, CHAIN, max_cells=cells), 2)
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     df.repartition(3).write.parquet(source)
     stream = spark.readStream.schema(df.schema).parquet(source)
