@@ -40,7 +40,7 @@ def rank_consistency(
     real: DataFrame, made: DataFrame, categories: Sequence[str], numbers: Sequence[str], label: str, key: Sequence[str], seed: int = 0
 ) -> DataFrame:
     """Errors of several models on real and synthetic test rows with their ranks and the rank
-    correlation: ``(model, error_real, error_synthetic, rank_real, rank_synthetic, spearman)``.
+    correlation, null where all models rank alike: ``(model, error_real, error_synthetic, rank_real, rank_synthetic, spearman)``.
 
     Every row counts in every error: a missing number is 0 with a flag of its own. Numbers are floored at zero for the
     model of counts alone."""
@@ -91,4 +91,7 @@ def rank_consistency(
         F.rank().over(everything.orderBy("real")).alias("rank_real"),
         F.rank().over(everything.orderBy("synthetic")).alias("rank_synthetic"),
     )
-    return ranked.withColumn("spearman", F.corr("rank_real", "rank_synthetic").over(everything))
+    # models that all err alike have one rank and no correlation
+    varied = [F.min(c).over(everything) < F.max(c).over(everything) for c in ("rank_real", "rank_synthetic")]
+    marked = ranked.withColumn("varied", varied[0] & varied[1])
+    return marked.withColumn("spearman", F.corr(F.when(F.col("varied"), F.col("rank_real")), "rank_synthetic").over(everything)).drop("varied")

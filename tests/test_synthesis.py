@@ -11,6 +11,7 @@ from evidentia.operators.balance import class_imbalance
 from evidentia.operators.cpt import fit_network
 from evidentia.operators.layers import response_norms
 from evidentia.operators.mixture import choose_mixtures, fit_mixtures
+from evidentia.operators.models import rank_consistency
 from evidentia.operators.synth import SyntheticModel
 from evidentia.sources.tables import as_table, attach_target, load_table, split_target
 
@@ -241,3 +242,10 @@ def test_running_sums_over_one_hot_group(spark):
     plain = df.withColumn("s", F.sum("x").over(W.partitionBy("g").orderBy("o").rowsBetween(W.unboundedPreceding, W.currentRow)))
     assert sorted(map(tuple, running_sums(df, ["g"], ["o"], {"s": F.col("x")}).collect())) == sorted(map(tuple, plain.collect()))
     assert sorted(r.i for r in numbered(df, ["o"], "i").collect()) == list(range(2000))
+
+
+def test_models_that_all_err_alike_have_no_rank_correlation(spark):
+    rows = [(i, "x", 4, int(i % 3 == 0)) for i in range(90)]
+    df = spark.createDataFrame(rows, "id bigint, kind string, size int, label int")
+    found = rank_consistency(df, df, ["kind"], ["size"], "label", key=["id"]).collect()
+    assert len(found) == 5 and {(r["rank_real"], r["rank_synthetic"], r["spearman"]) for r in found} == {(1, 1, None)}
