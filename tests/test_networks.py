@@ -113,6 +113,21 @@ def test_unseen_combination_is_uniform_dense_and_sparse(spark):
     assert by_key[("z", "u", 1)] == by_key[("x", "u", 9)] == 0.25
 
 
+def test_cells_of_a_large_table_are_laid_out_after_the_joins(spark, monkeypatch):
+    monkeypatch.setattr("evidentia.operators.cpt.STATES_PER_LIST", 3)
+    rows = [(f"p{i % 7}", i % 5, i * i % 23 if i % 9 else None) for i in range(300)]
+    df = spark.createDataFrame([*rows, ("p0", None, 1), (None, 2, 2), ("p1", 1, 40)], "a string, b int, c int")
+    edges = [("a", "c"), ("b", "c"), ("a", "b")]
+    dense = fit_network(df, ["a", "b", "c"], edges)
+    sparse = fit_network(df, ["a", "b", "c"], edges, max_cells=1)
+    for node in ("a", "b", "c"):
+        cells = sparse.complete_table(node)
+        assert sorted(map(tuple, cells.select("n", node).collect())) == sorted(map(tuple, dense.node_table(node).select("n", node).collect()))
+        assert cells.count() == dense.cells(node) and table_of(cells) == pytest.approx(table_of(dense.node_table(node)))
+    plan = sparse.complete_table("c")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Join")
+
+
 def diamond(spark, n=400):
     """a -> b, a -> c, (b, c) -> d, d -> e with several states, of which many combinations never occur."""
     import random
