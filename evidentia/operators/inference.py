@@ -11,7 +11,8 @@ from evidentia.operators.cpt import Network
 from evidentia.operators.families import combinations
 from evidentia.operators.factors import Term, marginal_terms
 from evidentia.operators.graph import ancestors
-from evidentia.operators.joins import split_join
+from evidentia.operators.joins import key_counts, split_join
+from evidentia.session import cut_lineage
 
 
 def fallback_probability(num_classes: int | None) -> float:
@@ -19,10 +20,26 @@ def fallback_probability(num_classes: int | None) -> float:
     return 1.0 / num_classes if num_classes else 0.5
 
 
-def _lookup(df: DataFrame, table: DataFrame, keys: Sequence[str], value: str, out: str, small: bool) -> DataFrame:
+class _Counted:
+    """How many rows every key has, counted once on the rows as they came: lookups add columns, no rows."""
+
+    def __init__(self, rows: DataFrame) -> None:
+        self.rows = rows
+        self.known: dict[tuple[str, ...], DataFrame] = {}
+
+    def of(self, keys: Sequence[str]) -> DataFrame | None:
+        if self.rows.isStreaming:
+            return None
+        key = tuple(sorted(keys))
+        if key not in self.known:
+            self.known[key] = cut_lineage(key_counts(self.rows, key))
+        return self.known[key]
+
+
+def _lookup(df: DataFrame, table: DataFrame, keys: Sequence[str], value: str, out: str, counted: _Counted | None = None) -> DataFrame:
     """Left equi-join that adds ``out``. A table of checked size is broadcast; others are joined by exchange, very frequent keys apart."""
-    if not small:
-        return split_join(df, table.select(*keys, F.col(value).alias(out)), keys)
+    if counted is not None:
+        return split_join(df, table.select(*keys, F.col(value).alias(out)), keys, counted.of(keys))
     names = {k: f"__k{i}" for i, k in enumerate(keys)}
     side = table.select(*[F.col(k).alias(n) for k, n in names.items()], F.col(value).alias(out))
     on: Column | None = None
@@ -94,6 +111,7 @@ def with_probabilities(
     """
     fallback = F.lit(fallback_probability(num_classes))
     cols = list(df.columns)
+    counted = _Counted(df)
     for node in nodes or network.nodes:
         out = f"{prefix}{node}"
         if node not in cols:
@@ -105,22 +123,22 @@ def with_probabilities(
         if all(network.is_dense(c) for c in {node, *above}):
             table = marginal_table(network, node, shown)
             keys = [c for c in table.columns if c != "prob"]
-            df = _lookup(df, table, keys, "prob", out, small=True)
+            df = _lookup(df, table, keys, "prob", out)
             df = df.withColumn(out, F.coalesce(F.col(out), fallback))
         elif summed:
-            df = _sparse_marginal(df, network, node, shown, out, fallback)
+            df = _sparse_marginal(df, network, node, shown, out, fallback, counted)
         else:
-            df = _sparse_lookup(df, network, node, out, fallback)
+            df = _sparse_lookup(df, network, node, out, fallback, counted)
     return df
 
 
-def _with_known(df: DataFrame, network: Network, cols: Sequence[str], out: str) -> DataFrame:
+def _with_known(df: DataFrame, network: Network, cols: Sequence[str], out: str, counted: _Counted) -> DataFrame:
     """Add whether all of some columns hold states of the network."""
     known, marks = F.lit(True), []
     for c in cols:
         marks.append(f"__known{len(marks)}")
         states = network.node_table(c).select(c).distinct().withColumn("known", F.lit(True))
-        df = _lookup(df, states, [c], "known", marks[-1], small=False)
+        df = _lookup(df, states, [c], "known", marks[-1], counted)
         known = known & F.coalesce(F.col(marks[-1]), F.lit(False))
     return df.withColumn(out, known).drop(*marks)
 
@@ -135,31 +153,31 @@ def _value_of(terms: Sequence[Term], names: dict[int, str]) -> Column:
     return total
 
 
-def _sparse_marginal(df: DataFrame, network: Network, node: str, shown: Sequence[str], out: str, fallback: Column) -> DataFrame:
+def _sparse_marginal(df: DataFrame, network: Network, node: str, shown: Sequence[str], out: str, fallback: Column, counted: _Counted) -> DataFrame:
     """P(node given the present parents) where some table is too large to lay out: every sparse part is looked up."""
     joint, given = marginal_terms(network, node, shown)
     parts = {id(p): p for t in (*joint, *given) for p in t.parts}
     names = {key: f"__f{i}" for i, key in enumerate(parts)}
     for key, part in parts.items():
-        df = _lookup(df, part.table, part.cols, "v", names[key], small=False)
-    df = _with_known(df, network, [node, *shown], "__known")
+        df = _lookup(df, part.table, part.cols, "v", names[key], counted)
+    df = _with_known(df, network, [node, *shown], "__known", counted)
     prob = _value_of(joint, names) / _value_of(given, names)
     return df.withColumn(out, F.when(F.col("__known"), prob).otherwise(fallback)).drop("__known", *names.values())
 
 
-def _sparse_lookup(df: DataFrame, network: Network, node: str, out: str, fallback: Column) -> DataFrame:
+def _sparse_lookup(df: DataFrame, network: Network, node: str, out: str, fallback: Column, counted: _Counted) -> DataFrame:
     """Observed cells by one shuffled join, the others from the parents' totals and the prior."""
     parents = network.parents[node]
     q, r = float(combinations(network.cards, parents)), float(network.cards[node])
     table = network.node_table(node)
-    df = _lookup(df, table, [*parents, node], "prob", out, small=False)
+    df = _lookup(df, table, [*parents, node], "prob", out, counted)
     # The prior's share of a cell follows from the parent's total; without a total the row is uniform.
     if parents:
         totals = table.groupBy(*parents).agg(F.sum("n").alias("n_pa"))
-        df = _lookup(df, totals, parents, "n_pa", "__n_pa", small=False)
+        df = _lookup(df, totals, parents, "n_pa", "__n_pa", counted)
     else:
         df = df.withColumn("__n_pa", F.lit(None).cast("bigint"))
     unseen = F.lit(network.ess / (r * q)) / (F.coalesce("__n_pa", F.lit(0)) + F.lit(network.ess / q))
-    df = _with_known(df, network, [node, *parents], "__known")
+    df = _with_known(df, network, [node, *parents], "__known", counted)
     value = F.coalesce(F.col(out), F.when(F.col("__known"), unseen), fallback)
     return df.withColumn(out, value).drop("__n_pa", "__known")

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evidentia.session import cut_lineage
+
 HOT_SHARE = 0.001  # of the rows on one key, beyond which it is joined apart
 HOT_BYTES = 64 << 20  # of the small side's rows for those keys
 SALTS = 1024
@@ -36,6 +38,7 @@ def split_join(
     ``hot_bytes`` (counted from their JSON form). All other keys are joined by exchange, where none holds more than ``share``; rows that
     have their match already or that hold a null in a key, which finds none, spread evenly over that exchange. ``counts`` (keys and
     ``rows``) saves a count of ``rows`` if it is known; a stream can't be counted and has none joined apart. ``rows`` is read once, and once more where they are counted.
+    Where every key is frequent, no row is moved.
     """
     keys = list(keys)
     other = [c for c in side.columns if c not in keys]
@@ -44,8 +47,10 @@ def split_join(
         raise ValueError(f"columns on both sides: {sorted(clash)}")
     col = lambda c: F.col(f"`{c}`")
     if counts is None and not rows.isStreaming:
-        counts = key_counts(rows, keys)
-    total = 0 if counts is None else counts.dropna(subset=keys).agg(F.sum("rows")).first()[0] or 0
+        counts = cut_lineage(key_counts(rows, keys))
+    total, named_keys = 0, 0
+    if counts is not None:
+        total, named_keys = counts.dropna(subset=keys).agg(F.coalesce(F.sum("rows"), F.lit(0)), F.count(F.lit(1))).first()
     hot = counts.dropna(subset=keys).where(F.col("rows") > F.lit(share * total)).select(*[col(k) for k in keys]).collect() if total else []
     found, taken, salt, held = (f"{n}-{uuid.uuid4().hex}" for n in ("found", "taken", "salt", "held"))  # names that no table has
     away = F.lit(False)
@@ -59,6 +64,8 @@ def split_join(
         if weight <= hot_bytes:
             ready = named.select(*[col(k) for k in keys], F.struct(*[col(c) for c in other]).alias(held), F.lit(True).alias(taken))
             marked = rows.join(F.broadcast(ready), keys, "left")
+            if len(hot) == named_keys:
+                return marked.select(*[col(c) for c in rows.columns], *[col(held)[c].alias(c) for c in other])
             away = away | F.coalesce(col(taken), F.lit(False))
     spread = [col(f.name) for f in rows.schema.fields if not _holds_map(f.dataType)]
     marked = marked.withColumn(salt, F.when(away, F.pmod(F.xxhash64(*spread), F.lit(SALTS)) + 1).otherwise(0))

@@ -56,3 +56,12 @@ def test_empty_and_clashes(spark):
     assert split_join(rows, side.limit(0), keys).where("value IS NOT NULL").count() == 0
     with pytest.raises(ValueError, match="both sides"):
         split_join(rows, side, ["a key"])
+
+
+def test_no_row_moves_where_every_key_is_frequent(spark):
+    rows = spark.range(3000).select("id", F.when(F.col("id") % 7 != 1, F.col("id") % 4).alias("k"))
+    side = spark.createDataFrame([(i, float(i)) for i in range(1, 2000)], "k bigint, v double")
+    joined = split_join(rows, side, ["k"])
+    expected = sorted(map(str, rows.join(side, ["k"], "left").select("id", "k", "v").collect()))
+    assert sorted(map(str, joined.collect())) == expected
+    assert joined._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") == 2  # of the frequent keys with the side, and of the rows with these

@@ -385,3 +385,14 @@ def test_backdoor_sets_are_minimal_and_found_whenever_there_is_one():
         assert (found is None) == (not good)
         if found is not None:
             assert set(found) in good and not any(set(found) - {c} in good for c in found)
+
+
+def test_lookups_of_large_tables_count_the_rows_as_they_came(spark, monkeypatch):
+    from evidentia.operators import inference
+
+    df = spark.createDataFrame([(i % 2, i % 5, i % 3) for i in range(60)], "a int, b int, c int")
+    network = fit_network(df, ["a", "b", "c"], [("a", "b"), ("a", "c"), ("b", "c")], max_cells=1)
+    seen = []
+    monkeypatch.setattr(inference, "key_counts", lambda rows, keys, count=inference.key_counts: seen.append((rows.columns, keys)) or count(rows, keys))
+    with_probabilities(df.drop("b"), network)
+    assert seen and all(columns == ["a", "c"] for columns, _ in seen) and len({k for _, k in seen}) == len(seen)
