@@ -78,7 +78,7 @@ def segments(network: Network, node: str, states: DataFrame) -> DataFrame:
     run = cut_lineage(running_sums(seen, parents, ["rank"], {"upto": F.col("n"), "pos": F.lit(1)}))
     totals = run.groupBy(*parents).agg(F.sum("n").alias("n_pa"), F.count(F.lit(1)).alias("k"))
     none = totals.select(*parents, F.lit(0).cast("bigint").alias("pos"), F.lit(-1).cast("bigint").alias("rank"), F.lit(0).cast("bigint").alias("upto"), F.lit(0).cast("bigint").alias("n"))
-    rows = run.select(*parents, "pos", "rank", "upto", "n").unionByName(none)
+    rows = run.select(*parents, "pos", "rank", "upto", "n", F.col(node).alias("state")).unionByName(none, allowMissingColumns=True)
     if parents:
         rows = rows.join(totals, parents)
     else:
@@ -87,12 +87,14 @@ def segments(network: Network, node: str, states: DataFrame) -> DataFrame:
     step = F.lit(a) / mass
     rows = rows.withColumns({"step": step, "base": F.col("upto") / mass, "buckets": F.least(F.greatest("k", F.lit(LEAST_BUCKETS)), F.lit(MOST_BUCKETS)).cast("bigint")})
     low = F.when(F.col("pos") == 0, F.lit(0.0)).otherwise(F.col("rank") * F.col("step") + (F.col("upto") - F.col("n")) / mass)
-    rows = cut_lineage(rows.withColumns({"lo": low, "hi": F.when(F.col("pos") == 0, F.lit(0.0)).otherwise((F.col("rank") + 1) * F.col("step") + F.col("base"))}))
-    following = rows.select(*parents, (F.col("pos") - 1).alias("pos"), F.col("lo").alias("end"), F.col("rank").alias("until"))
-    whole = rows.join(following, [*parents, "pos"], "left").withColumns({"end": F.coalesce("end", F.lit(2.0)), "until": F.coalesce("until", F.lit(int(r)).cast("bigint"))})
+    rows = rows.withColumns({"lo": low, "hi": F.when(F.col("pos") == 0, F.lit(0.0)).otherwise((F.col("rank") + 1) * F.col("step") + F.col("base"))})
+    # the next observed state begins where the unseen ones up to its rank end
+    following = run.select(*parents, (F.col("pos") - 1).alias("pos"), F.col("rank").alias("until"))
+    whole = rows.join(following, [*parents, "pos"], "left").withColumns({
+        "end": F.coalesce(F.col("until") * F.col("step") + F.col("base"), F.lit(2.0)), "until": F.coalesce("until", F.lit(int(r)).cast("bigint"))})
     touched = F.sequence(F.floor(F.col("lo") * F.col("buckets")), F.least(F.floor(F.col("end") * F.col("buckets")), F.col("buckets") - 1))
-    named = whole.where("lo < end AND lo < 1").join(states, "rank", "left").withColumn("bucket", F.explode(touched))
-    return named.select(*parents, "bucket", "buckets", "rank", "until", "step", "base", "lo", "hi", "end", F.col(node).alias("state"))
+    met = whole.where("lo < end AND lo < 1").withColumn("bucket", F.explode(touched))
+    return met.select(*parents, "bucket", "buckets", "rank", "until", "step", "base", "lo", "hi", "end", "state")
 
 
 def _draw_sparse(df: DataFrame, network: Network, node: str, seed: int, id_col: str, drawn: Sequence[str]) -> DataFrame:
@@ -108,6 +110,8 @@ def _draw_sparse(df: DataFrame, network: Network, node: str, seed: int, id_col:
     kept = [col(c) for c in df.columns]
     states = ranked_states(network, node)
     parts = cut_lineage(segments(network, node, states))
+    if parents and drawn and not df.isStreaming:
+        df = cut_lineage(df)  # the parents are counted before they are joined, and drawn once
     rows = df.withColumn(at, hash_uniform(F.col(id_col), node, seed))
     marks = []
     for p in parents:

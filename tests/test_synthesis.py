@@ -249,3 +249,16 @@ def test_models_that_all_err_alike_have_no_rank_correlation(spark):
     df = spark.createDataFrame(rows, "id bigint, kind string, size int, label int")
     found = rank_consistency(df, df, ["kind"], ["size"], "label", key=["id"]).collect()
     assert len(found) == 5 and {(r["rank_real"], r["rank_synthetic"], r["spearman"]) for r in found} == {(1, 1, None)}
+
+
+def test_large_tables_draw_a_parent_once(spark, monkeypatch):
+    from evidentia.operators import synth
+
+    df = spark.createDataFrame([(i % 3, i % 7, i % 5) for i in range(200)], "a int, b int, c int")
+    model = SyntheticGenerator(featureCols=["a", "b", "c"], knownStructure=[("a", "b"), ("b", "c")], maxCells=1).fit(df)
+    plans = []
+    join = synth.split_join
+    monkeypatch.setattr(synth, "split_join", lambda rows, *rest: plans.append(rows._jdf.queryExecution().optimizedPlan().toString()) or join(rows, *rest))
+    made = model.sample(300, 5)
+    # rows whose parents are counted stand in a table: no draw before runs again
+    assert made.count() == 300 and len(plans) == 5 and [p.count("Join") for p in plans[1::2]] == [0, 0]
