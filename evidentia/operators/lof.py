@@ -107,10 +107,10 @@ class PlaceFactors:
         loc = f"loc-{uuid.uuid4().hex}"  # a name that no table has
         rows = self.at(df, loc)
         # kept before it is filtered: a condition on a place of many columns would be taken apart by the optimizer
-        there = cut_lineage(rows.select(F.col(f"`{loc}`").alias("loc")).distinct()).where("loc IS NOT NULL")
+        there = rows.select(F.col(f"`{loc}`").alias("loc")).distinct()
+        there = cut_lineage(there.select(F.monotonically_increasing_id().alias("id"), "loc")).where("loc IS NOT NULL")
         known = self.known(out)
-        fresh = there if apart else there.join(known, "loc", "left_anti")
-        fresh = cut_lineage(fresh.select(F.monotonically_increasing_id().alias("id"), "loc"))
+        fresh = there if apart else cut_lineage(there.join(known, "loc", "left_anti"))
         scored = known.limit(0) if apart else known
         if not fresh.isEmpty():
             scored = scored.unionByName(self._unseen(fresh).select("loc", F.col("lof").alias(out)))

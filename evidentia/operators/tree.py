@@ -212,7 +212,8 @@ class PartitionTree:
                         if len(live):
                             yield ask(row["cell"], q, ids[live], x[live], w[live] - 1, ids[live], block, k)
 
-        return self._completed(cut_lineage(self.blocks.repartition(self._parts(), "cell").mapInArrow(run, ASK)), k)
+        asks = self.blocks.repartition(self._parts(), "cell").mapInArrow(run, ASK)
+        return self._completed(cut_lineage(asks) if self.depth else asks, k)
 
     def nearest(self, fresh: DataFrame, k: int) -> DataFrame:
         """The same for places ``fresh(id, loc)`` that are not in the tree."""
@@ -246,7 +247,7 @@ class PartitionTree:
 
         dealt, cells = self._dealt(rows, F.xxhash64("id"), ASKS * LEAF)
         asks = dealt.groupBy("cell", "chunk").cogroup(cells.groupBy("cell", "chunk")).applyInPandas(run, ASK)
-        return self._completed(cut_lineage(asks), k)
+        return self._completed(cut_lineage(asks) if self.depth else asks, k)
 
     def state(self) -> tuple[dict, dict[str, DataFrame]]:
         return {"d": self.d, "depth": self.depth}, {"nodes": self.nodes, "blocks": self.blocks}
@@ -266,7 +267,7 @@ class PartitionTree:
         return dealt, cells
 
     def _completed(self, asks: DataFrame, k: int) -> DataFrame:
-        """Pairs found in the own cells and those in all other cells within reach."""
+        """Pairs found in the own cells and those in all other cells within reach. ``asks`` are read once where the tree is a single cell."""
         found = asks.select(F.explode("pair").alias("p")).select("p.*")
         if not self.depth:
             return found

@@ -225,3 +225,14 @@ def test_sequence_detector(spark):
     out = model.transform(df).where("prediction = -1").collect()
     assert (3, 20) in {(r["e"], r["i"]) for r in out}
     assert len(out) <= 3
+
+
+def test_asking_leaves_of_a_single_cell_are_not_kept(spark, monkeypatch):
+    from evidentia.operators import tree
+    from evidentia.operators.lof import PlaceFactors
+
+    kept = []
+    monkeypatch.setattr(tree, "cut_lineage", lambda df, cut=tree.cut_lineage: kept.append(df.columns) or cut(df))
+    rows = spark.createDataFrame([(i, float(i * i % 17), float(i % 5)) for i in range(60)], "id bigint, x double, y double")
+    scored = PlaceFactors.fit(rows, ["x", "y"], 3).score(rows, apart=True)
+    assert scored.where("lof IS NULL").count() == 0 and kept and not any("pair" in columns for columns in kept)
