@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator
@@ -72,8 +72,7 @@ def segments(network: Network, node: str, states: DataFrame) -> DataFrame:
     on. A first row without a state leads up to the first. Every row is told which of the combination's ``buckets`` it touches.
     """
     parents = network.parents[node]
-    q, r = float(combinations(network.cards, parents)), float(network.cards[node])
-    a, b = network.ess / (r * q), network.ess / q
+    r = network.cards[node]
     seen = network.node_table(node).where("n > 0").select(*parents, node, "n").join(states, node)
     run = cut_lineage(running_sums(seen, parents, ["rank"], {"upto": F.col("n"), "pos": F.lit(1)}))
     totals = run.groupBy(*parents).agg(F.sum("n").alias("n_pa"), F.count(F.lit(1)).alias("k"))
@@ -83,18 +82,27 @@ def segments(network: Network, node: str, states: DataFrame) -> DataFrame:
         rows = rows.join(totals, parents)
     else:
         rows = rows.withColumns({c: totals.select(c).scalar() for c in ("n_pa", "k")})
-    mass = F.col("n_pa") + F.lit(b)
-    step = F.lit(a) / mass
-    rows = rows.withColumns({"step": step, "base": F.col("upto") / mass, "buckets": F.least(F.greatest("k", F.lit(LEAST_BUCKETS)), F.lit(MOST_BUCKETS)).cast("bigint")})
-    low = F.when(F.col("pos") == 0, F.lit(0.0)).otherwise(F.col("rank") * F.col("step") + (F.col("upto") - F.col("n")) / mass)
-    rows = rows.withColumns({"lo": low, "hi": F.when(F.col("pos") == 0, F.lit(0.0)).otherwise((F.col("rank") + 1) * F.col("step") + F.col("base"))})
     # the next observed state begins where the unseen ones up to its rank end
     following = run.select(*parents, (F.col("pos") - 1).alias("pos"), F.col("rank").alias("until"))
-    whole = rows.join(following, [*parents, "pos"], "left").withColumns({
-        "end": F.coalesce(F.col("until") * F.col("step") + F.col("base"), F.lit(2.0)), "until": F.coalesce("until", F.lit(int(r)).cast("bigint"))})
+    whole = rows.join(following, [*parents, "pos"], "left").withColumn("until", F.coalesce("until", F.lit(int(r)).cast("bigint")))
+    i = interval(network, node, F.col)
+    buckets = F.least(F.greatest("k", F.lit(LEAST_BUCKETS)), F.lit(MOST_BUCKETS)).cast("bigint")
+    whole = whole.withColumns({"lo": i["lo"], "end": i["end"], "buckets": buckets}).where("lo < end AND lo < 1")
     touched = F.sequence(F.floor(F.col("lo") * F.col("buckets")), F.least(F.floor(F.col("end") * F.col("buckets")), F.col("buckets") - 1))
-    met = whole.where("lo < end AND lo < 1").withColumn("bucket", F.explode(touched))
-    return met.select(*parents, "bucket", "buckets", "rank", "until", "step", "base", "lo", "hi", "end", "state")
+    met = whole.withColumn("bucket", F.explode(touched))
+    return met.select(*parents, "bucket", "buckets", "rank", "until", "n_pa", "upto", "n", "state")
+
+
+def interval(network: Network, node: str, col: Callable[[str], Column]) -> dict[str, Column]:
+    """``step``, ``base``, ``lo``, ``hi`` and ``end`` from a segment's counts, which take less room than they."""
+    q, r = float(combinations(network.cards, network.parents[node])), float(network.cards[node])
+    mass = col("n_pa") + F.lit(network.ess / q)
+    step, base, first = F.lit(network.ess / (r * q)) / mass, col("upto") / mass, col("rank") < 0
+    return {
+        "step": step, "base": base, "lo": F.when(first, F.lit(0.0)).otherwise(col("rank") * step + (col("upto") - col("n")) / mass),
+        "hi": F.when(first, F.lit(0.0)).otherwise((col("rank") + 1) * step + base),
+        "end": F.when(col("until") < F.lit(int(r)), col("until") * step + base).otherwise(F.lit(2.0)),
+    }
 
 
 def _draw_sparse(df: DataFrame, network: Network, node: str, seed: int, id_col: str, drawn: Sequence[str]) -> DataFrame:
@@ -124,22 +132,23 @@ def _draw_sparse(df: DataFrame, network: Network, node: str, seed: int, id_col:
         rows = rows.withColumn(count, parts.agg(F.max("buckets")).scalar())
     # a combination without intervals gets buckets that nothing meets, spread like the draws
     rows = rows.withColumn(bucket, F.coalesce(F.floor(col(at) * col(count)), -1 - F.floor(col(at) * LEAST_BUCKETS)))
-    side = {c: tag(c) for c in ("bucket", "rank", "until", "step", "base", "lo", "hi", "end", "state", *parents)}
+    side = {c: tag(c) for c in ("bucket", "rank", "until", "n_pa", "upto", "n", "state", *parents)}
     side_rows = parts.select(*[F.col(c).alias(n) for c, n in side.items()])
     s = lambda c: col(side[c])
-    on = (col(bucket) == s("bucket")) & (s("lo") <= col(at)) & (col(at) < s("end"))
+    i = interval(network, node, s)
+    on = (col(bucket) == s("bucket")) & (i["lo"] <= col(at)) & (col(at) < i["end"])
     for p in parents:
         on = on & (col(p) == s(p))
     met = rows.join(side_rows, on, "left")
-    hit = s("state").isNotNull() & (col(at) < s("hi"))
-    further = F.greatest(F.least(F.floor((col(at) - s("base")) / s("step")), s("until") - 1), s("rank"))
+    hit = s("state").isNotNull() & (col(at) < i["hi"])
+    further = F.greatest(F.least(F.floor((col(at) - i["base"]) / i["step"]), s("until") - 1), s("rank"))
     evenly = F.least(F.floor(col(at) * F.lit(r)), F.lit(r - 1))
     legal = F.lit(True)
     for p in parents:
         legal = legal & col(p).isNotNull()
     for m in marks:
         legal = legal & F.coalesce(col(m), F.lit(False))
-    place = F.when(legal & ~F.coalesce(hit, F.lit(False)), F.when(s("lo").isNull(), evenly).otherwise(further)).cast("bigint")
+    place = F.when(legal & ~F.coalesce(hit, F.lit(False)), F.when(s("rank").isNull(), evenly).otherwise(further)).cast("bigint")
     met = met.select(*kept, F.when(legal & hit, s("state")).alias(state), place.alias(rank))
     nothing = states.limit(0).select(F.col("rank").alias(rank), F.lit(0).alias("rows"))  # ranks are spread evenly
     named = split_join(met, states.select(F.col("rank").alias(rank), F.col(node).alias(known)), [rank], nothing)
