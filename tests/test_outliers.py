@@ -236,3 +236,52 @@ def test_asking_leaves_of_a_single_cell_are_not_kept(spark, monkeypatch):
     rows = spark.createDataFrame([(i, float(i * i % 17), float(i % 5)) for i in range(60)], "id bigint, x double, y double")
     scored = PlaceFactors.fit(rows, ["x", "y"], 3).score(rows, apart=True)
     assert scored.where("lof IS NULL").count() == 0 and kept and not any("pair" in columns for columns in kept)
+
+
+def wide_points(rng):
+    """Independent columns, where boxes prune nothing; a cluster too tight and one too far away for single precision; places of several rows."""
+    free = rng.normal(0, 1, (260, 12))
+    tight = free[:1] + rng.normal(0, 1e-9, (30, 12))
+    far = 1e12 + rng.normal(0, 1e3, (30, 12))
+    lattice = rng.integers(0, 2, (60, 12)).astype(float)
+    return np.vstack([free, tight, far, lattice, np.repeat(free[5:6], 3, axis=0), np.repeat(free[7:8], 9, axis=0), np.full((1, 12), 1e25)])
+
+
+@pytest.mark.parametrize("cell", [None, 6, 40])
+def test_exact_factor_over_many_independent_columns(spark, cell):
+    check_exact(spark, wide_points(np.random.default_rng(21)), 4, cell)
+
+
+def test_unseen_rows_over_many_independent_columns(spark):
+    rng = np.random.default_rng(22)
+    points, fresh = wide_points(rng)[:-1], np.vstack([rng.normal(0, 1, (20, 12)), np.full((1, 12), 1e12)])
+    fitted = PlaceFactors.fit(frame(spark, points), [f"x{j}" for j in range(12)], 4, 40)
+    found = [r["lof"] for r in fitted.score(frame(spark, fresh)).orderBy("id").collect()]
+    assert np.allclose(found, brute_unseen(points, fresh, 4), rtol=1e-6)
+
+
+def test_leaves_move_once_for_each_group_of_cells(spark, monkeypatch):
+    from evidentia.operators import tree
+
+    kept = []
+    monkeypatch.setattr(tree, "cut_lineage", lambda df, cut=tree.cut_lineage: kept.append(cut(df)) or kept[-1])
+    points = np.random.default_rng(23).normal(0, 1, (1200, 12))
+    PlaceFactors.fit(frame(spark, points), [f"x{j}" for j in range(12)], 3, 8)
+    wanted = [df for df in kept if {"to", "from", "cell", "q"} <= set(df.columns)]
+    assert len(wanted) == 1
+    sent, asked = wanted[0].select("to", "cell", "q").distinct().count(), wanted[0].count()
+    assert asked > 3 * sent and wanted[0].select("to").distinct().count() >= 16
+
+
+def test_places_beyond_reach_are_not_measured():
+    """Rows of single cells: a bound on all distances is one product, and few are measured."""
+    from evidentia.operators.tree import _kernels
+
+    rng = np.random.default_rng(24)
+    kernels, x = _kernels(), rng.normal(0, 1, (2000, 64))
+    order, sizes = kernels.leaves(x, 128)
+    y = x[order]
+    row = {"cell": "0", "ids": np.arange(2000).tobytes(), "x": y.tobytes(), "w": np.ones(2000, np.int64).tobytes(), "sizes": sizes.astype(np.int64).tobytes()}
+    block = kernels.opened([row], 64)
+    found = kernels.search(y[:100], np.full(100, np.inf), np.arange(100), block, 5)
+    assert len(found[0]) == 500 and {kind for _, kind in block["screens"]} == {np.float32}
