@@ -2,28 +2,139 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from multiprocessing.pool import ThreadPool
 
-from pyspark.ml import Pipeline, PipelineModel
+import numpy as np
+import pandas as pd
+from pyspark import inheritable_thread_target
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, NaiveBayes, RandomForestClassifier
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import Bucketizer, OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evidentia.functions.sampling import hash_split
+from evidentia.session import cut_lineage
 
+ROWS_HELD = 4_000_000  # beyond which a forest counts its rows by bins instead of keeping every one with its draws
+BINS = 32  # of a feature, as in pyspark.ml
+BROADCAST_CELLS = 1_000_000
+FITS_AT_ONCE = 4
+DRAW_GROUPS = 256
 
-def forest(features: Sequence[str], label: str, trees: int = 20, depth: int = 5, seed: int = 42) -> Pipeline:
+
+def forest(features: Sequence[str], label: str, trees: int = 20, depth: int = 5, seed: int = 42, rows_held: int = ROWS_HELD) -> Forest:
     """Random forest on numeric features with an indexed label."""
-    return Pipeline(stages=[
-        StringIndexer(inputCol=label, outputCol="__label", stringOrderType="alphabetAsc", handleInvalid="keep"),
-        VectorAssembler(inputCols=list(features), outputCol="__features"),
-        RandomForestClassifier(
-            labelCol="__label", featuresCol="__features", numTrees=trees, maxDepth=depth, seed=seed,
-        ),
-    ])
+    return Forest(features, label, trees, depth, seed, rows_held)
+
+
+class Forest(Estimator):
+    """``RandomForestClassifier`` behind an indexed label, for tables of any length.
+
+    It keeps every row with its draw for every tree through all passes, so beyond ``rows_held`` rows the table is first
+    counted by (bins of the features, label). The draws of n equal rows add up to a Poisson number of mean n, so every tree gets a
+    bootstrap sample of all rows as before, in the form of weights, and trees with the same settings grow on at most as many cells as there are rows.
+    """
+
+    def __init__(self, features: Sequence[str], label: str, trees: int, depth: int, seed: int, rows_held: int):
+        super().__init__()
+        self.features, self.label, self.trees, self.depth, self.seed, self.rows_held = list(features), label, trees, depth, seed, rows_held
+
+    def _fit(self, df: DataFrame) -> PipelineModel:
+        index = StringIndexer(inputCol=self.label, outputCol="__label", stringOrderType="alphabetAsc", handleInvalid="keep")
+        if df.count() > self.rows_held:
+            return self._fit_counts(df, index)
+        return Pipeline(stages=[
+            index,
+            VectorAssembler(inputCols=self.features, outputCol="__features"),
+            RandomForestClassifier(
+                labelCol="__label", featuresCol="__features", numTrees=self.trees, maxDepth=self.depth, seed=self.seed,
+            ),
+        ]).fit(df)
+
+    def _fit_counts(self, df: DataFrame, index: StringIndexer) -> PipelineModel:
+        indexed = index.fit(df)
+        codes = [f"__code{i}" for i in range(len(self.features))]
+        binned = Bucketizer(splitsArray=_splits(df, self.features), inputCols=self.features, outputCols=codes)
+        rows = binned.transform(indexed.transform(df))
+        known = [F.coalesce(F.col(k), F.raise_error(F.lit(f"{c} is null"))).alias(k) for c, k in zip(self.features, codes)]
+        trees, seed = self.trees, self.seed
+        cells = cut_lineage(bootstrap_cells(rows.select(*codes, "__label"), trees, seed)).select(*known, "__label", "draws")
+        label = F.col("__label").alias("__label", metadata=rows.schema["__label"].metadata)  # names the classes
+        whole = VectorAssembler(inputCols=codes, outputCol="__codes").transform(cells).select("__codes", label, "draws").persist()
+
+        def grown(tree: int) -> Model:
+            one = RandomForestClassifier(
+                labelCol="__label", featuresCol="__codes", weightCol="__weight", numTrees=1, bootstrap=False, featureSubsetStrategy="sqrt",
+                maxDepth=self.depth, seed=seed + tree, probabilityCol=f"__tree{tree}", rawPredictionCol="", predictionCol="",
+            )
+            return one.fit(whole.withColumn("__weight", F.col("draws")[tree].cast("double")).where("__weight > 0"))
+
+        try:
+            with ThreadPool(FITS_AT_ONCE) as pool:
+                grown_trees = pool.map(inheritable_thread_target(df.sparkSession)(grown), range(trees))
+        finally:
+            whole.unpersist()
+        return PipelineModel([indexed, binned, CountedForestModel(grown_trees, codes)])
+
+
+class CountedForestModel(Model):
+    """Adds ``probability``, the mean of the trees', and ``prediction``. Rows with the same codes are scored once."""
+
+    def __init__(self, trees: Sequence[Model], codes: Sequence[str]):
+        super().__init__()
+        self.trees, self.codes = list(trees), list(codes)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        cells = VectorAssembler(inputCols=self.codes, outputCol="__codes").transform(df.select(*self.codes).distinct())
+        for tree in self.trees:
+            cells = tree.transform(cells)
+        votes = F.array(*[vector_to_array(t.getProbabilityCol()) for t in self.trees])
+        none = F.array(*[F.lit(0.0)] * self.trees[0].numClasses)
+        total = F.aggregate(votes, none, lambda a, v: F.zip_with(a, v, lambda x, y: x + y), lambda a: F.transform(a, lambda x: x / len(self.trees)))
+        scored = cut_lineage(cells.select(*self.codes, total.alias("__share")))
+        share = F.col("__share")
+        ready = scored.select(
+            *self.codes, array_to_vector(share).alias("probability"), (F.array_position(share, F.array_max(share)) - 1).cast("double").alias("prediction"),
+        )
+        return df.join(F.broadcast(ready) if scored.count() <= BROADCAST_CELLS else ready, self.codes)
+
+
+def bootstrap_cells(rows: DataFrame, trees: int, seed: int) -> DataFrame:
+    """The distinct rows with ``draws``: how often each tree's bootstrap sample holds a row like it, whatever the partitions are."""
+    keys, kinds = rows.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+
+    def drawn(group: tuple, cells: pd.DataFrame) -> pd.DataFrame:
+        cells = cells.sort_values(keys)
+        draws = np.random.default_rng([seed, int(group[0])]).poisson(cells["n"].to_numpy()[:, None], (len(cells), trees))
+        return cells[keys].assign(draws=list(draws))
+
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    group = F.pmod(F.xxhash64(*keys), F.lit(DRAW_GROUPS)).alias("__group")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return counts.withColumn("__group", group).repartition(parts, "__group").groupBy("__group").applyInPandas(drawn, f"{kinds}, draws array<bigint>")
+
+
+def _splits(df: DataFrame, features: Sequence[str]) -> list[list[float]]:
+    """Borders of at most ``BINS`` bins a feature: between any two values where there are as few, else at quantiles of all rows."""
+    value = [F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None)) for c in features]
+    seen = df.agg(*[F.min(v).alias(f"lo{i}") for i, v in enumerate(value)], *[F.approx_count_distinct(v).alias(f"d{i}") for i, v in enumerate(value)]).first()
+    borders: dict[int, list[float]] = {}
+    for i, v in enumerate(value):
+        if seen[f"d{i}"] <= 2 * BINS:
+            values = sorted(r[0] for r in df.select(v.alias("v")).distinct().dropna().collect())
+            if len(values) <= BINS:
+                borders[i] = [(a + b) / 2 for a, b in zip(values, values[1:])]
+    wide = [i for i in range(len(value)) if i not in borders]
+    if wide:
+        probs = [i / BINS for i in range(1, BINS)]
+        found = df.agg(*[F.percentile_approx(value[i], probs).alias(f"q{i}") for i in wide]).first()
+        borders |= {i: sorted({q for q in found[f"q{i}"] if q > seen[f"lo{i}"]}) for i in wide}
+    finite = [[b for b in borders[i] if np.isfinite(b)] for i in range(len(value))]
+    return [[-np.inf, *(b or [0.0]), np.inf] for b in finite]
 
 
 def with_confidence(model: PipelineModel, df: DataFrame, out: str = "confidence") -> DataFrame:

@@ -138,7 +138,7 @@ def explain_one_row(spark, sf_dir) -> DataFrame:
     """The prediction for one row: the first one of the test part."""
     train, test = hash_split(_model_rows(spark, sf_dir), MODEL_KEYS, 0.7, 42)
     model = forest(MODEL_FEATURES, "l_returnflag").fit(train)
-    one = test.orderBy(*MODEL_KEYS).limit(1)
+    one = cut_lineage(test.orderBy(*MODEL_KEYS).limit(1))
     return with_confidence(model, one).select(*MODEL_KEYS, "l_returnflag", "prediction", r6("confidence").alias("confidence"))
 
 
