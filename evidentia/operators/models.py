@@ -9,10 +9,11 @@ import numpy as np
 import pandas as pd
 from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
-from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, NaiveBayes, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, NaiveBayes, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import Bucketizer, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -81,7 +82,7 @@ class Forest(Estimator):
         return PipelineModel([indexed, binned, CountedForestModel(grown_trees, codes)])
 
 
-class CountedForestModel(Model):
+class CountedForestModel(Model, MLWritable, MLReadable):
     """Adds ``probability``, the mean of the trees', and ``prediction``. Rows with the same codes are scored once."""
 
     def __init__(self, trees: Sequence[Model], codes: Sequence[str]):
@@ -102,6 +103,33 @@ class CountedForestModel(Model):
         )
         return df.join(F.broadcast(ready) if scored.count() <= BROADCAST_CELLS else ready, self.codes)
 
+    def write(self) -> MLWriter:
+        return _ForestWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _ForestReader()
+
+
+class _ForestWriter(MLWriter):
+    def __init__(self, model: CountedForestModel) -> None:
+        super().__init__()
+        self.model = model
+
+    def saveImpl(self, path: str) -> None:  # noqa: N802
+        extra = {"codes": self.model.codes, "trees": len(self.model.trees)}
+        DefaultParamsWriter.saveMetadata(self.model, path, self.sparkSession, extraMetadata=extra)
+        for i, tree in enumerate(self.model.trees):
+            tree.save(f"{path}/tree-{i}")
+
+
+class _ForestReader(MLReader):
+    def load(self, path: str) -> CountedForestModel:
+        metadata = DefaultParamsReader.loadMetadata(path, SparkSession.active())
+        model = CountedForestModel([RandomForestClassificationModel.load(f"{path}/tree-{i}") for i in range(metadata["trees"])], metadata["codes"])
+        model._resetUid(metadata["uid"])
+        return model
+
 
 def bootstrap_cells(rows: DataFrame, trees: int, seed: int) -> DataFrame:
     """The distinct rows with ``draws``: how often each tree's bootstrap sample holds a row like it, whatever the partitions are."""

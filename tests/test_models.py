@@ -3,6 +3,7 @@
 import pytest
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from evidentia.operators.models import accuracy, bootstrap_cells, forest, with_confidence
@@ -54,3 +55,11 @@ def test_missing_number_is_refused_either_way(rows):
     for held in (COUNTED, 2000):
         with pytest.raises((PySparkException, Py4JJavaError), match="(?i)null"):
             forest(["x", "z"], "flag", trees=2, rows_held=held).fit(holed)
+
+
+def test_counted_forest_is_saved(rows, tmp_path):
+    model = forest(["x", "z"], "flag", trees=2, rows_held=COUNTED).fit(rows)
+    model.save(str(tmp_path / "forest"))
+    again = PipelineModel.load(str(tmp_path / "forest"))
+    found = [sorted(with_confidence(m, rows).select("id", "prediction", "confidence").collect()) for m in (model, again)]
+    assert found[0] == found[1] and len(found[0]) == 2000
