@@ -11,15 +11,16 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evidentia.operators.families import cardinalities, combinations, compress, family_counts
+from evidentia.operators.families import Family, cardinalities, combinations, compress, family_counts
 from evidentia.operators.graph import Edge, parents_of, topological
 from evidentia.operators.structure import as_families
-from evidentia.session import cut_lineage
+from evidentia.session import discard, kept_table, passing_shuffles
 
 EQUIVALENT_SAMPLE_SIZE = 5.0  # fixed value of the prior
 MAX_CELLS = 1_000_000  # cells of a table that lookups may broadcast
@@ -167,33 +168,54 @@ def fit_network(
         if isinstance(df.schema[c].dataType, (T.ArrayType, T.MapType, T.StructType)):
             raise ValueError(f"column {c} is not a category")
     families = as_families(nodes, edges)
-    table = (df.groupBy(*nodes).agg(F.sum("n").alias("n")) if counted else compress(df, nodes)).persist()
+    spark = df.sparkSession
+    table, path = kept_table(df.groupBy(*nodes).agg(F.sum("n").alias("n")) if counted else compress(df, nodes))
     try:
-        cards = cardinalities(table, nodes)
-        counts = family_counts(table, families)
-        node_at = F.element_at(F.array(*[F.lit(c) for c, _ in families]), F.col("family") + 1)
-        observed = counts.select(node_at.alias("node"), "pa", "state", "n")
+        with passing_shuffles(spark):
+            cards = cardinalities(table, nodes)
         dense = [f for f in families if cards[f[0]] * combinations(cards, f[1]) <= max_cells and cards[f[0]]]
-        sparse = [f for f in families if f not in dense]
-        parts = []
-        if dense:
-            states = _states(table, sorted({c for f in dense for c in (f[0], *f[1])}))
-            grid = None
-            for node, parents in dense:
-                g = _grid(states, node, parents)
-                grid = g if grid is None else grid.unionByName(g)
-            parts.append(grid.join(observed, ["node", "pa", "state"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("bigint"))))
-        if sparse:
-            parts.append(observed.where(F.col("node").isin([c for c, _ in sparse])))
-        cells = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-        totals = observed.groupBy("node", "pa").agg(F.sum("n").alias("n_pa"))
-        q = F.lit(1.0)
-        r = F.lit(1.0)
-        for node, parents in families:
-            q = F.when(F.col("node") == node, F.lit(float(combinations(cards, parents)))).otherwise(q)
-            r = F.when(F.col("node") == node, F.lit(float(cards[node]))).otherwise(r)
-        prob = (F.col("n") + F.lit(ess) / (r * q)) / (F.coalesce("n_pa", F.lit(0)) + F.lit(ess) / q)
-        cpt = cells.join(totals, ["node", "pa"], "left").select("node", "pa", "state", "n", prob.alias("prob"))
-        return Network(nodes, edges, types, cards, cut_lineage(cpt), ess, max_cells)
+        parts = [_dense_cells(table, dense, cards, ess)] if dense else []
+        parts += [_sparse_cells(table, f, cards, ess) for f in families if f not in dense]
+        return Network(nodes, edges, types, cards, kept_table(reduce(DataFrame.unionByName, parts))[0], ess, max_cells)
     finally:
-        table.unpersist()
+        discard(spark, path)
+
+
+def _dense_cells(table: DataFrame, families: Sequence[Family], cards: dict[str, int], ess: float) -> DataFrame:
+    """Every cell of tables whose size is checked, all counted together."""
+    node_at = F.element_at(F.array(*[F.lit(c) for c, _ in families]), F.col("family") + 1)
+    observed = family_counts(table, families).select(node_at.alias("node"), "pa", "state", "n")
+    states = _states(table, sorted({c for f in families for c in (f[0], *f[1])}))
+    grid = reduce(DataFrame.unionByName, [_grid(states, node, parents) for node, parents in families])
+    cells = grid.join(observed, ["node", "pa", "state"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))
+    totals = observed.groupBy("node", "pa").agg(F.sum("n").alias("n_pa"))
+    q = F.lit(1.0)
+    r = F.lit(1.0)
+    for node, parents in families:
+        q = F.when(F.col("node") == node, F.lit(float(combinations(cards, parents)))).otherwise(q)
+        r = F.when(F.col("node") == node, F.lit(float(cards[node]))).otherwise(r)
+    prob = (F.col("n") + F.lit(ess) / (r * q)) / (F.coalesce("n_pa", F.lit(0)) + F.lit(ess) / q)
+    return cells.join(totals, ["node", "pa"], "left").select("node", "pa", "state", "n", prob.alias("prob"))
+
+
+def _sparse_cells(table: DataFrame, family: Family, cards: dict[str, int], ess: float) -> DataFrame:
+    """The observed cells of one table, which may be as many as the rows: keys are counted and joined as they are and become text when they are written."""
+    node, parents = family
+    whole = reduce(Column.__and__, [F.col(c).isNotNull() for c in (node, *parents)])
+    keys = {c: f"__key{i}" for i, c in enumerate((node, *parents))}
+    typed = table.where(whole).select(*[_exact_key(table, c).alias(k) for c, k in keys.items()], "n")
+    above = [keys[p] for p in parents]
+    cells = typed.groupBy(*keys.values()).agg(F.sum("n").alias("n"))
+    totals = typed.groupBy(*above).agg(F.sum("n").alias("__n_pa"))
+    cells = cells.join(totals, above) if above else cells.withColumn("__n_pa", totals.scalar())
+    q, r = float(combinations(cards, parents)), float(cards[node])
+    prior = (ess / (r * q), ess / q) if r * q else (0.0, 0.0)  # without states there are no cells
+    prob = (F.col("n") + F.lit(prior[0])) / (F.col("__n_pa") + F.lit(prior[1]))
+    pa = F.array(*[F.col(k).cast("string") for k in above]) if above else F.array().cast("array<string>")
+    return cells.select(F.lit(node).alias("node"), pa.alias("pa"), F.col(keys[node]).cast("string").alias("state"), "n", prob.alias("prob"))
+
+
+def _exact_key(table: DataFrame, c: str) -> Column:
+    """A column whose values differ where their texts do; else its text."""
+    kind = table.schema[c].dataType
+    return F.col(c) if isinstance(kind, (T.IntegralType, T.BooleanType, T.DateType)) else F.col(c).cast("string")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evidentia.functions.running import numbered, running_sums
+from evidentia.functions.running import numbered
 from evidentia.functions.sampling import hash_uniform
 from evidentia.operators.cpt import MAX_CELLS, Network, fit_network
 from evidentia.operators.families import combinations
@@ -23,9 +24,12 @@ from evidentia.operators.mixture import choose_mixtures, fit_mixtures, single_no
 from evidentia.operators.persist import State, TableModel, Tables, named, under
 from evidentia.operators.selection import FeatureParams
 from evidentia.operators.structure import learn_structure
-from evidentia.session import cut_lineage
+from evidentia.session import cut_lineage, discard, kept_table
 
 LEAST_BUCKETS, MOST_BUCKETS = 64, 1 << 20  # of the unit interval of a parent combination
+PER_BUCKET = 32  # observed states
+CHUNK = 1 << 18  # observed states that a task adds up in order
+FEW_COMBINATIONS = 100_000  # whose numbers of buckets are broadcast
 
 
 def cumulative_table(network: Network, node: str, out: str = "cdf") -> DataFrame:
@@ -64,33 +68,68 @@ def ranked_states(network: Network, node: str) -> DataFrame:
     return cut_lineage(numbered(network.node_table(node).select(node).distinct(), [node], "rank"))
 
 
-def segments(network: Network, node: str, states: DataFrame) -> DataFrame:
-    """The inverse distribution of a node whose table is too large to lay out, per parent combination that occurred.
+@dataclass
+class Segments:
+    """The inverse distribution of a node whose table is too large to lay out: its ``rows``, and into how many ``buckets`` the unit interval of a
+    parent combination is cut, where that is not ``LEAST_BUCKETS`` (a number for a node without parents)."""
+
+    rows: DataFrame
+    buckets: DataFrame | int
+    few: bool
+    paths: list[str]
+
+
+def segments(network: Network, node: str, states: DataFrame) -> Segments:
+    """The segments of every parent combination that occurred.
 
     States lie in their order; one that was never seen takes the same small step as all such. So a row stands for an observed state and all unseen
     ones up to the next: ``[lo, end)`` of the unit interval, of which ``[lo, hi)`` is the observed state (``rank``), then come steps of ``step`` from ``base``
-    on. A first row without a state leads up to the first. Every row is told which of the combination's ``buckets`` it touches.
+    on. A first row without a state leads up to the first. There is a row for every bucket that a segment touches. Cells move once, to their parents: a
+    combination with more than ``CHUNK`` of them is cut by rank, and its parts are added up apart.
     """
     parents = network.parents[node]
-    r = network.cards[node]
-    seen = network.node_table(node).where("n > 0").select(*parents, node, "n").join(states, node)
-    run = cut_lineage(running_sums(seen, parents, ["rank"], {"upto": F.col("n"), "pos": F.lit(1)}))
-    totals = run.groupBy(*parents).agg(F.sum("n").alias("n_pa"), F.count(F.lit(1)).alias("k"))
-    none = totals.select(*parents, F.lit(0).cast("bigint").alias("pos"), F.lit(-1).cast("bigint").alias("rank"), F.lit(0).cast("bigint").alias("upto"), F.lit(0).cast("bigint").alias("n"))
-    rows = run.select(*parents, "pos", "rank", "upto", "n", F.col(node).alias("state")).unionByName(none, allowMissingColumns=True)
+    spark, r = states.sparkSession, network.cards[node]
+    seen = network.node_table(node).where("n > 0").select(*parents, node, "n")
+    totals, path = kept_table(seen.groupBy(*parents).agg(F.sum("n").alias("n_pa"), F.count(F.lit(1)).alias("k")))
+    buckets = F.least(F.greatest(F.ceil(F.col("k") / PER_BUCKET), F.lit(LEAST_BUCKETS)), F.lit(MOST_BUCKETS)).cast("bigint")
+    chunks = F.ceil(F.col("k") / CHUNK)
+    found = totals.agg(F.max(buckets).alias("buckets"), F.count_if(buckets > LEAST_BUCKETS).alias("many"), F.max(chunks).alias("chunks")).first()
+    split = (found["chunks"] or 0) > 1
+    cells = seen.join(states, node).withColumnRenamed(node, "state")
     if parents:
-        rows = rows.join(totals, parents)
+        dealt: DataFrame | int = totals.where(buckets > LEAST_BUCKETS).select(*parents, buckets.alias("buckets"))
+        facts = totals.where(chunks > 1).select(*parents, chunks.alias("chunks"))  # at most one for every CHUNK cells
+        cells = cells.join(F.broadcast(facts), parents, "left") if split else cells.withColumn("chunks", F.lit(1))
     else:
-        rows = rows.withColumns({c: totals.select(c).scalar() for c in ("n_pa", "k")})
-    # the next observed state begins where the unseen ones up to its rank end
-    following = run.select(*parents, (F.col("pos") - 1).alias("pos"), F.col("rank").alias("until"))
-    whole = rows.join(following, [*parents, "pos"], "left").withColumn("until", F.coalesce("until", F.lit(int(r)).cast("bigint")))
+        dealt = int(found["buckets"] or LEAST_BUCKETS)
+        cells = cells.withColumn("chunks", F.lit(found["chunks"] or 1))
+    chunk = F.floor(F.col("rank") * F.col("chunks") / F.lit(float(r))).cast("int") if split else F.lit(0)
+    part = [*parents, "chunk"]
+    cells = cells.withColumn("chunk", F.coalesce(chunk, F.lit(0))).drop("chunks")
+    inside = W.partitionBy(*part).orderBy("rank")
+    run = cells.withColumns({"upto": F.sum("n").over(inside.rowsBetween(W.unboundedPreceding, W.currentRow)), "until": F.lead("rank").over(inside)})
+    run = run.withColumns({"n_pa": F.sum("n").over(W.partitionBy(*part)), "k": F.count(F.lit(1)).over(W.partitionBy(*part))})
+    if split:
+        sums = cells.groupBy(*part).agg(F.sum("n").alias("s"), F.count(F.lit(1)).alias("c"), F.min("rank").alias("first"))
+        over, whole = W.partitionBy(*parents).orderBy("chunk"), W.partitionBy(*parents)
+        others = sums.select(
+            *part, F.coalesce(F.sum("s").over(over.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"),
+            F.lead("first").over(over).alias("next"), F.sum("s").over(whole).alias("all_n"), F.sum("c").over(whole).alias("all_k"),
+        )
+        run = run.join(others, part).withColumns({
+            "upto": F.col("before") + F.col("upto"), "until": F.coalesce("until", "next"), "n_pa": F.col("all_n"), "k": F.col("all_k"),
+        })
+    none = F.lit(0).cast("bigint")
+    seg = F.struct(F.col("rank"), F.coalesce("until", F.lit(int(r)).cast("bigint")).alias("until"), F.col("upto"), F.col("n"), F.col("state"))
+    lead = F.struct(F.lit(-1).cast("bigint").alias("rank"), F.col("rank").alias("until"), none.alias("upto"), none.alias("n"), F.when(F.lit(False), F.col("state")).alias("state"))
+    first = F.col("upto") == F.col("n")  # every cell has rows, so no other has none before it
+    rows = run.select(*parents, buckets.alias("buckets"), "n_pa", F.explode(F.when(first, F.array(lead, seg)).otherwise(F.array(seg))).alias("s")).select(*parents, "buckets", "n_pa", "s.*")
     i = interval(network, node, F.col)
-    buckets = F.least(F.greatest("k", F.lit(LEAST_BUCKETS)), F.lit(MOST_BUCKETS)).cast("bigint")
-    whole = whole.withColumns({"lo": i["lo"], "end": i["end"], "buckets": buckets}).where("lo < end AND lo < 1")
+    whole = rows.withColumns({"lo": i["lo"], "end": i["end"]}).where("lo < end AND lo < 1")
     touched = F.sequence(F.floor(F.col("lo") * F.col("buckets")), F.least(F.floor(F.col("end") * F.col("buckets")), F.col("buckets") - 1))
-    met = whole.withColumn("bucket", F.explode(touched))
-    return met.select(*parents, "bucket", "buckets", "rank", "until", "n_pa", "upto", "n", "state")
+    met = whole.withColumn("bucket", F.explode(touched)).select(*parents, "bucket", "rank", "until", "n_pa", "upto", "n", "state")
+    out, kept = kept_table(met)
+    return Segments(out, dealt, found["many"] <= FEW_COMBINATIONS, [path, kept])
 
 
 def interval(network: Network, node: str, col: Callable[[str], Column]) -> dict[str, Column]:
@@ -109,16 +148,17 @@ def _draw_sparse(df: DataFrame, network: Network, node: str, seed: int, id_col:
     """Sampling by an interval join without a range join: intervals and draws meet on (parents, bucket) and are compared there.
 
     A combination's draws spread over its buckets, so a frequent one is no single task; parents that never occurred together draw evenly from all
-    states.
+    states. Draws move once, to their bucket; only those of states that were never seen are joined with the states' names.
     """
     parents, r = network.parents[node], network.cards[node]
+    spark, live = df.sparkSession, df.isStreaming
     tag = lambda n: f"{n}-{uuid.uuid4().hex}"  # noqa: E731  names that no table has
     at, count, bucket, rank, state, known = (tag(n) for n in ("u", "buckets", "bucket", "rank", "state", "known"))
     col = lambda c: F.col(f"`{c}`")
     kept = [col(c) for c in df.columns]
     states = ranked_states(network, node)
-    parts = cut_lineage(segments(network, node, states))
-    if parents and drawn and not df.isStreaming:
+    parts = segments(network, node, states)
+    if parents and drawn and not live and not parts.few:
         df = cut_lineage(df)  # the parents are counted before they are joined, and drawn once
     rows = df.withColumn(at, hash_uniform(F.col(id_col), node, seed))
     marks = []
@@ -127,13 +167,15 @@ def _draw_sparse(df: DataFrame, network: Network, node: str, seed: int, id_col:
             marks.append(tag("known"))
             rows = split_join(rows, network.node_table(p).select(p).distinct().withColumn(marks[-1], F.lit(True)), [p])
     if parents:
-        rows = split_join(rows, parts.groupBy(*parents).agg(F.max("buckets").alias(count)), parents)
+        dealt = parts.buckets.withColumnRenamed("buckets", count)
+        nowhere = dealt.limit(0).select(*parents, F.lit(0).alias("rows"))
+        rows = split_join(rows, F.broadcast(dealt), parents, nowhere) if parts.few else split_join(rows, dealt, parents)
     else:
-        rows = rows.withColumn(count, parts.agg(F.max("buckets")).scalar())
-    # a combination without intervals gets buckets that nothing meets, spread like the draws
-    rows = rows.withColumn(bucket, F.coalesce(F.floor(col(at) * col(count)), -1 - F.floor(col(at) * LEAST_BUCKETS)))
+        rows = rows.withColumn(count, F.lit(parts.buckets).cast("bigint"))
+    # draws of a combination without intervals meet nothing and spread, too
+    rows = rows.select(*kept, *[col(m) for m in marks], col(at), F.floor(col(at) * F.coalesce(col(count), F.lit(LEAST_BUCKETS))).alias(bucket))
     side = {c: tag(c) for c in ("bucket", "rank", "until", "n_pa", "upto", "n", "state", *parents)}
-    side_rows = parts.select(*[F.col(c).alias(n) for c, n in side.items()])
+    side_rows = parts.rows.select(*[F.col(c).alias(n) for c, n in side.items()])
     s = lambda c: col(side[c])
     i = interval(network, node, s)
     on = (col(bucket) == s("bucket")) & (i["lo"] <= col(at)) & (col(at) < i["end"])
@@ -151,8 +193,13 @@ def _draw_sparse(df: DataFrame, network: Network, node: str, seed: int, id_col:
     place = F.when(legal & ~F.coalesce(hit, F.lit(False)), F.when(s("rank").isNull(), evenly).otherwise(further)).cast("bigint")
     met = met.select(*kept, F.when(legal & hit, s("state")).alias(state), place.alias(rank))
     nothing = states.limit(0).select(F.col("rank").alias(rank), F.lit(0).alias("rows"))  # ranks are spread evenly
-    named = split_join(met, states.select(F.col("rank").alias(rank), F.col(node).alias(known)), [rank], nothing)
-    return named.select(*kept, F.coalesce(col(state), col(known)).alias(node))
+    names = states.select(F.col("rank").alias(rank), F.col(node).alias(known))
+    if live:
+        return split_join(met, names, [rank], nothing).select(*kept, F.coalesce(col(state), col(known)).alias(node))
+    met, _ = kept_table(met)
+    discard(spark, *parts.paths)
+    named, _ = kept_table(split_join(met.where(col(rank).isNotNull()), names, [rank], nothing).select(*kept, col(known).alias(node)))
+    return met.where(col(rank).isNull()).select(*kept, col(state).alias(node)).union(named)
 
 
 def standard_normal(id_col: str, node: str, seed: int) -> Column:

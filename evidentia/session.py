@@ -8,9 +8,13 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def local_session(cpus: str | int = "*", app: str = "evidentia", **conf: str) -> SparkSession:
     """A session for tests and bench runs. On a cluster, pass your own session instead."""
@@ -70,3 +74,30 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = scratch_path(spark, "table")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def passing_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the queries run inside go as soon as their query has ended, not when the driver next frees memory."""
+    before = spark.conf.get(SHUFFLES_GO)
+    spark.conf.set(SHUFFLES_GO, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(SHUFFLES_GO, before)
+
+
+def kept_table(df: DataFrame) -> tuple[DataFrame, str]:
+    """``cut_lineage`` for tables of as many rows as the data: packed closer, without the shuffle files it was made from, and with its path for ``discard``."""
+    spark = df.sparkSession
+    path = scratch_path(spark, "table")
+    with passing_shuffles(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete intermediate tables that nothing reads any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -262,3 +262,29 @@ def test_large_tables_draw_a_parent_once(spark, monkeypatch):
     made = model.sample(300, 5)
     # rows whose parents are counted stand in a table: no draw before runs again
     assert made.count() == 300 and len(plans) == 5 and [p.count("Join") for p in plans[1::2]] == [0, 0]
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_cut_combinations_draw_as_whole_ones(spark, monkeypatch, few):
+    """Cells of a combination that are added up in several parts, in more buckets than others have, broadcast or not."""
+    from evidentia.operators import synth
+
+    for name, value in (("CHUNK", 4), ("PER_BUCKET", 1), ("LEAST_BUCKETS", 2), ("FEW_COMBINATIONS", few)):
+        monkeypatch.setattr(synth, name, value)
+    _, (dense, sparse) = sparse_and_dense(spark)
+    one, other = (SyntheticModel(net, {}).sample(3000, 8).orderBy("id").collect() for net in (dense, sparse))
+    assert [tuple(r) for r in one] == [tuple(r) for r in other]
+
+
+def test_large_tables_leave_little_on_disk(spark, monkeypatch, tmp_path):
+    """Of a fit and a draw stay the table, the drawn rows and the states' numbers; cells are not kept once more for every step."""
+    from evidentia import session
+
+    monkeypatch.setattr(session, "scratch_path", lambda _, name: str(tmp_path / f"{name}-{len(list(tmp_path.iterdir()))}-{np.random.default_rng().integers(1 << 60)}"))
+    cells = 4000
+    df = spark.range(cells).select((F.col("id") % 40).alias("a"), (F.col("id") * 7919 % 2003).alias("b"))
+    model = SyntheticGenerator(featureCols=["a", "b"], knownStructure=[("a", "b")], maxCells=1).fit(df)
+    made = model.sample(cells, 5)
+    assert made.distinct().count() == cells
+    kept = sum(spark.read.parquet(str(p)).count() for p in tmp_path.iterdir() if any(x.name.endswith(".parquet") for x in p.iterdir()))
+    assert kept < 2003 + 5 * cells  # 28,347 before
