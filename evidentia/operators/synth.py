@@ -27,7 +27,8 @@ from evidentia.operators.structure import learn_structure
 from evidentia.session import cut_lineage, discard, kept_table
 
 LEAST_BUCKETS, MOST_BUCKETS = 64, 1 << 20  # of the unit interval of a parent combination
-PER_BUCKET = 32  # observed states
+PER_BUCKET = 8  # observed states, of a combination
+MANY_STATES = 2048  # beyond which a combination has more buckets than the least
 CHUNK = 1 << 18  # observed states that a task adds up in order
 FEW_COMBINATIONS = 100_000  # whose numbers of buckets are broadcast
 
@@ -91,7 +92,8 @@ def segments(network: Network, node: str, states: DataFrame) -> Segments:
     spark, r = states.sparkSession, network.cards[node]
     seen = network.node_table(node).where("n > 0").select(*parents, node, "n")
     totals, path = kept_table(seen.groupBy(*parents).agg(F.sum("n").alias("n_pa"), F.count(F.lit(1)).alias("k")))
-    buckets = F.least(F.greatest(F.ceil(F.col("k") / PER_BUCKET), F.lit(LEAST_BUCKETS)), F.lit(MOST_BUCKETS)).cast("bigint")
+    more = F.least(F.greatest(F.ceil(F.col("k") / PER_BUCKET), F.lit(LEAST_BUCKETS)), F.lit(MOST_BUCKETS))
+    buckets = F.when(F.col("k") > MANY_STATES, more).otherwise(LEAST_BUCKETS).cast("bigint")
     chunks = F.ceil(F.col("k") / CHUNK)
     found = totals.agg(F.max(buckets).alias("buckets"), F.count_if(buckets > LEAST_BUCKETS).alias("many"), F.max(chunks).alias("chunks")).first()
     split = (found["chunks"] or 0) > 1

@@ -269,7 +269,7 @@ def test_cut_combinations_draw_as_whole_ones(spark, monkeypatch, few):
     """Cells of a combination that are added up in several parts, in more buckets than others have, broadcast or not."""
     from evidentia.operators import synth
 
-    for name, value in (("CHUNK", 4), ("PER_BUCKET", 1), ("LEAST_BUCKETS", 2), ("FEW_COMBINATIONS", few)):
+    for name, value in (("CHUNK", 4), ("PER_BUCKET", 1), ("MANY_STATES", 2), ("LEAST_BUCKETS", 2), ("FEW_COMBINATIONS", few)):
         monkeypatch.setattr(synth, name, value)
     _, (dense, sparse) = sparse_and_dense(spark)
     one, other = (SyntheticModel(net, {}).sample(3000, 8).orderBy("id").collect() for net in (dense, sparse))
